@@ -46,13 +46,8 @@ def block_hits(sums, first, weight, starts, row, width: int) -> np.ndarray:
     # a start is a candidate if one of its own blocks, whole inside its window, was hit elsewhere
     count = np.concatenate(([0], np.cumsum(anchored)))
     rest = np.flatnonzero(count[starts + width - size + 1] > count[starts])
-    key = K.rolling(sums, width)[starts[rest]]
-    order = np.argsort(key, kind="stable")
-    new = np.concatenate(([True], key[order][1:] != key[order][:-1])) if len(key) else np.zeros(0, bool)
-    group = np.cumsum(new) - 1
-    total = np.bincount(group, weights=weight[row[rest[order]]], minlength=1)
     out = np.zeros(len(starts), bool)
-    out[rest[order[total[group] > 1]]] = True
+    out[rest[K.repeated(K.rolling(sums, width)[starts[rest]], weight[row[rest]])]] = True
     return out
 
 

@@ -17,21 +17,21 @@ _INVERSE = pow(BASE, -1, 1 << 64)
 _tables: dict[int, np.ndarray] = {}
 
 #: Bytes of text that one vectorised step handles (longer single texts are handled whole).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; tables are kept up to 4 million entries."""
+    """base**0 .. base**(n-1) modulo 2**64; tables are kept up to a million entries."""
     have = _tables.get(base)
     if have is None or len(have) < n:
-        size = 1 << max(20, int(n - 1).bit_length())
+        size = 1 << max(18, int(n - 1).bit_length())
         have = np.full(size, base, U64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if size <= 1 << 22:
+        if size <= 1 << 20:
             _tables[base] = have
     return have[:n]
 
@@ -148,6 +148,32 @@ def minimizer_runs(sums: np.ndarray, offsets: np.ndarray, width: int, gram: int)
     return np.searchsorted(offsets, a, "right") - 1, p, a, b, h[p]
 
 
+def repeated(ids: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Mask of the entries whose equals, itself included, weigh more than 1 together (weights are 1 or more).
+
+    The entry's number rides in the low bits, so one sort of plain integers does; neighbours are
+    then compared in all 64 bits.
+    """
+    n = len(ids)
+    out = weight > 1
+    if n < 2:
+        return out
+    bits = U64(int(n).bit_length())
+    key = ((ids >> bits) << bits) | np.arange(n, dtype=U64)
+    key.sort()
+    order = (key & ((U64(1) << bits) - U64(1))).astype(np.int64)
+    key >>= bits
+    full = ids[order]
+    same = full[1:] == full[:-1]
+    if ((key[1:] == key[:-1]) & ~same).any():  # unequal ids that agree in the high bits may stand between equal ones
+        order = np.argsort(ids, kind="stable")
+        full = ids[order]
+        same = full[1:] == full[:-1]
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out
+
+
 def runs(flags: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(start, end) of maximal runs of True; cut marks places where a run has to end and another may begin."""
     f = np.concatenate(([False], flags, [False]))

@@ -30,7 +30,7 @@ from . import kernels as K
 Unit = Callable[[np.ndarray, np.ndarray], tuple]
 
 #: Bytes of contexts that a solver takes at a time (one gram's group is never split).
-SOLVE_BYTES = 4 << 20
+SOLVE_BYTES = 1 << 19
 
 
 def byte_units(data: np.ndarray, offsets: np.ndarray):
@@ -112,8 +112,9 @@ def _solved(solver: Callable, units: Unit, width: int):
         data, offsets = K.flat(table.column("ctx"))
         sums, first, _, _ = units(data, offsets)
         w, s = table.column("w").to_numpy(), table.column("s").to_numpy()
-        starts = K.ranges(first[:-1], np.maximum(np.diff(first) - width + 1, 0))
-        row = np.searchsorted(first, starts, "right") - 1
+        served = np.maximum(np.diff(first) - width + 1, 0)
+        starts = K.ranges(first[:-1], served)
+        row = np.repeat(np.arange(len(served)), served)
         hit = solver(sums, first, w, starts, row)
         begin, stop = K.runs(hit, np.concatenate(([True], row[1:] != row[:-1])) if len(row) else None)
         own = row[begin]
@@ -138,7 +139,7 @@ def _solved(solver: Callable, units: Unit, width: int):
                         yield solve(pa.Table.from_batches(held))
                         held, size = [], 0
                     continue
-                take = batch.slice(0, 8_000)
+                take = batch.slice(0, 1_000)
                 held.append(take)
                 size += take.column("ctx").nbytes
                 batch = batch.slice(len(take))

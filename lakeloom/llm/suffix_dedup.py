@@ -34,13 +34,7 @@ def refine(sums, first, weight, starts, row, width: int) -> np.ndarray:
     alive = np.arange(len(starts))
     depth = step
     while True:
-        ids = bucket[starts[alive]]
-        order = np.argsort(ids, kind="stable")
-        sorted_ids = ids[order]
-        new = np.concatenate(([True], sorted_ids[1:] != sorted_ids[:-1]))
-        group = np.cumsum(new) - 1
-        total = np.bincount(group, weights=weight[row[alive[order]]])
-        alive = np.sort(alive[order[total[group] > 1]])
+        alive = alive[K.repeated(bucket[starts[alive]], weight[row[alive]])]
         if depth >= width or not len(alive):
             break
         jump = min(depth, width - depth)  # the last jump overlaps where width isn't a power of two times step
