@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat, line_dedup, warc
 from .block_dedup import block_dedup
+from .decontaminate import contaminations
 from .licenses import license_scan
+from .near_dedup import near_duplicate_classes
 from .packing import pack_documents
 from .quality import quality_scores
 from .suffix_dedup import suffix_dedup
@@ -21,6 +24,26 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(_table(spark, sf_dir, "documents"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digests(_table(spark, sf_dir, "documents"))
+
+
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.revisit_digests(_table(spark, sf_dir, "pages"))
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_digests(_table(spark, sf_dir, "conversations"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminations(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -40,12 +63,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
+        "op2_minhash_near_dedup": op2_minhash_near_dedup,
         "op3_packing": op3_packing,
-        "op7_quality_rules": op7_quality_rules,
+        "op4_line_dedup": op4_line_dedup,
+        "op5_warc_revisits": op5_warc_revisits,
         "op6_suffix_dedup": op6_suffix_dedup,
+        "op7_quality_rules": op7_quality_rules,
+        "op8_chat_format": op8_chat_format,
+        "op9_decontamination": op9_decontamination,
         "op10_substring_dedup": op10_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others' methods (sketches, darts, tilings, tokenizers, Viterbi paths) have no SQL form; tests compare them with brute force."""
+    return {"op4_line_dedup": line_dedup.ORACLE, "op5_warc_revisits": warc.ORACLE}
