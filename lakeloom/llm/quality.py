@@ -38,7 +38,7 @@ SYMBOLS = "#*$%&|<>"
 
 
 def measures(docs: DataFrame, *keep: str) -> DataFrame:
-    """The columns of keep, and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper (all long)."""
+    """The columns of keep, _once, and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper (all long)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(WHITE)) != "")
     cut = docs.select(
@@ -61,7 +61,8 @@ def measures(docs: DataFrame, *keep: str) -> DataFrame:
     ordered = hashed.withColumn("_s", F.expr("if(size(array_distinct(_h)) = size(_h), array(), sort_array(transform(_h, (x, i) -> struct(x as h, i as i))))"))
     twice = ordered.withColumn("_p", F.expr("sort_array(transform(filter(_s, (x, j) -> x.h = coalesce(get(_s, j + 1).h, x.h + 1) or x.h = coalesce(get(_s, j - 1).h, x.h + 1)), x -> x.i))"))
     covered = F.expr("aggregate(zip_with(_p, slice(_p, 2, greatest(size(_p) - 1, 0)), (a, b) -> coalesce(least(5, b - a), 5)), 0L, (a, x) -> a + x)")
-    return twice.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"), "n_lines", "n_upper")
+    # a filter that reads _once stays above this projection: pushed below, it would repeat all of the above in its conditions
+    return twice.select(*keep, F.monotonically_increasing_id().alias("_once"), "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"), "n_lines", "n_upper")
 
 
 def ratio(sql: str) -> Column:
@@ -110,7 +111,7 @@ def verdict() -> Column:
 def quality_scores(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, lang, source."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").alias("lang"), F.col("source").alias("source"))
-    measured = written(measures(named, "doc_id", "lang", "source"))  # read twice, measured once
+    measured = written(measures(named, "doc_id", "lang", "source").drop("_once"))  # read twice, measured once
     limits = fences(measured).select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), *(f"{r}_{s}" for r in RATIOS for s in ("low", "high")))
     joined = measured.join(limits, measured.lang.eqNullSafe(F.col("f_lang")) & measured.source.eqNullSafe(F.col("f_source")), "left")
     return joined.select(
@@ -128,4 +129,4 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     limits = fences(measures(named, "lang", "source")).select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), *(f"{r}_{s}" for r in RATIOS for s in ("low", "high")))
     measured = measures(named, "_row", "lang", "source")
     joined = measured.join(limits, measured.lang.eqNullSafe(F.col("f_lang")) & measured.source.eqNullSafe(F.col("f_source")), "left")
-    return joined.where(~base_failed() & verdict()).select("_row.*")
+    return joined.where((F.col("_once") >= 0) & ~base_failed() & verdict()).select("_row.*")
