@@ -18,7 +18,10 @@ packed each by itself; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
@@ -32,21 +35,69 @@ WINDOW, LEAST_TIER, STEP_IDS, END_ID = 4096, 256, 1 << 18, 2
 VOCABULARY = "word_bpe_49k.json"
 
 #: Words whose ids a worker keeps; and bytes of text that are packed together.
-CACHED_WORDS, POOL_BYTES = 400_000, 6 << 20
+CACHED_WORDS, POOL_BYTES = 800_000, 6 << 20
 
 _SPLIT = bytes(32 if x in (9, 10, 13) else x for x in range(256))
+#: Letters a-z and those of Latin-1 (composed, each with one lower-case form), then other ASCII characters than letters, digits, ' < > |.
+_PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-;=?@\[-`{}~]*)")
 _cache: dict[bytes, bytes] = {}
-_tokenizers: dict[str, object] = {}
+_coders: dict[str, tuple] = {}
 
 
-def _tokenizer(path: str):
-    if path not in _tokenizers:
+def _coder(path: str) -> tuple:
+    """(tokenizer, encoder of plain words) of a vocabulary file.
+
+    The second is the same byte-pair vocabulary as ranks for a faster library: the mark of a word's
+    end is byte 255, which no UTF-8 text has, and ids are in order of the merges. It takes words of
+    plain letters only, of which the tokenizer's normaliser and splitter make one lower-case piece; it
+    is used only if the file has the layout that this needs.
+    """
+    if path not in _coders:
         from tokenizers import Tokenizer
 
-        _tokenizers.clear()
+        _coders.clear()
         _cache.clear()
-        _tokenizers[path] = Tokenizer.from_file(path)
-    return _tokenizers[path]
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocabulary, plain = model["vocab"], None
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte_of = {chr(x): x for x in shown} | {chr(256 + i): x for i, x in enumerate(x for x in range(256) if x not in shown)}
+        merges = [x if isinstance(x, str) else " ".join(x) for x in model["merges"]]
+        first = len(vocabulary) - len(merges)
+        in_order = all(vocabulary.get(x.replace(" ", "", 1)) == first + i for i, x in enumerate(merges))
+        if in_order and first == 512 and model.get("end_of_word_suffix") == "</w>" and all(vocabulary.get(f"{c}</w>", -1) >= 256 for c in byte_of):
+            import tiktoken
+
+            ranks = {}
+            for token, i in vocabulary.items():
+                ends = i >= 256 and token.endswith("</w>")
+                ranks[bytes(byte_of[c] for c in (token[:-4] if ends else token)) + b"\xff" * ends] = i
+            plain = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        _coders[path] = Tokenizer.from_file(path), plain
+    return _coders[path]
+
+
+def _learn(words: list[bytes], path: str) -> None:
+    """Puts the ids of words that are not cached into the cache."""
+    tokenizer, plain = _coder(path)
+    rest = []
+    for w in words:
+        m = _PLAIN.fullmatch(w) if plain else None
+        if m is None:
+            rest.append(w)
+            continue
+        ids = _cache.get(m[1]) if m[2] else None
+        if ids is None:
+            letters = m[1] if m[1].isalpha() else m[1].decode().lower().encode()
+            ids = array("I", plain(letters + b"\xff")).tobytes()
+        if m[2]:
+            if m[2] not in _cache:
+                _cache[m[2]] = array("I", tokenizer.encode(m[2].decode(), add_special_tokens=False).ids).tobytes()
+            ids += _cache[m[2]]
+        _cache[w] = ids
+    if rest:
+        for w, e in zip(rest, tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
+            _cache[w] = array("I", e.ids).tobytes()
 
 
 def encode(texts: list[bytes], path: str) -> list[bytes]:
@@ -55,18 +106,19 @@ def encode(texts: list[bytes], path: str) -> list[bytes]:
     The vocabulary's normaliser and splitter never look across white space, so the ids of a text
     are those of its blank-separated words, which are looked up and tokenised once.
     """
-    import numpy as np
-
-    tokenizer, out = _tokenizer(path), []
+    _coder(path)  # the cache belongs to this vocabulary
+    out = []
     for raw in texts:
         words = raw.lower().translate(_SPLIT).split(b" ")  # bytes.lower changes A-Z only, as the normaliser would
-        if new := [w for w in set(words) if w not in _cache]:
-            if len(_cache) + len(new) > CACHED_WORDS:
+        ids = list(map(_cache.get, words))
+        if None in ids:
+            if len(_cache) > CACHED_WORDS:
                 _cache.clear()
-                new = list(set(words))
-            for w, e in zip(new, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                _cache[w] = np.array(e.ids, "<u4").tobytes()
-        out.append(b"".join(map(_cache.__getitem__, words)))
+            new = [i for i, x in enumerate(ids) if x is None]
+            _learn(list({words[i] for i in new}), path)
+            for i in new:
+                ids[i] = _cache[words[i]]
+        out.append(b"".join(ids))
     return out
 
 
