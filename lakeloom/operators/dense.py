@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bm25 import ranked
 
@@ -34,7 +35,7 @@ def embed(docs: DataFrame, embedder: Callable[[list[str]], np.ndarray], text: st
                 raise ValueError("the model gave a zero or non-finite vector")
             yield pdf.assign(embedding=list(v / norm))
 
-    return docs.mapInPandas(run, docs.schema.add("embedding", "array<float>"))
+    return docs.mapInPandas(run, T.StructType([*docs.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))]))
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id") -> DataFrame:

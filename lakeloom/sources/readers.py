@@ -86,9 +86,10 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
 
 def reports(spark: SparkSession, paths: list[str], schema: str) -> tuple[DataFrame, DataFrame]:
     """(valid reports, paths of invalid files): a broken file is noted, not fatal."""
-    rows = spark.read.option("multiLine", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", "true").schema(f"{schema}, _corrupt string").json(paths)
-    rows = rows.withColumn("path", F.col("_metadata.file_path"))
-    return rows.where("_corrupt is null").drop("_corrupt"), rows.where("_corrupt is not null").select("path").distinct()
+    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(paths).select("value", F.col("_metadata.file_path").alias("path"))
+    parsed = files.select("path", F.from_json(F.regexp_replace("value", "^\ufeff", ""), f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
+    good = F.col("r").isNotNull() & F.col("r._corrupt").isNull()
+    return parsed.where(good).select("path", "r.*").drop("_corrupt"), parsed.where(~good).select("path")
 
 
 def by_ids(rows: DataFrame, ids: list[str], key: str) -> DataFrame:
