@@ -23,24 +23,27 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from .lineage import fresh_names
 
 #: Production parameter: lines that a repeated run has at least.
 LEAST_LINES = 2
 
 
-def _removed(keyed: DataFrame, least: int) -> DataFrame:
-    """_rid, _gone: first lines of the deleted windows of `least` lines."""
-    rows = keyed.select("_rid", "_did", F.expr("transform(split(coalesce(text, ''), '\\n', -1), x -> xxhash64(x))").alias("b"))
+def _removed(keyed: DataFrame, rid: str, did: str, gone: str, least: int) -> DataFrame:
+    """rid and gone: first lines of the deleted windows of `least` lines."""
+    rows = keyed.select(F.col(rid).alias("rid"), F.col(did).alias("did"), F.expr("transform(split(coalesce(text, ''), '\\n', -1), x -> xxhash64(x))").alias("b"))
     depth = 1
     while depth < least:
         step = min(depth, least - depth)
-        rows = rows.select("_rid", "_did", F.expr(f"transform(slice(b, 1, greatest(size(b) - {step}, 0)), (x, i) -> xxhash64(x, b[i + {step}]))").alias("b"))
+        rows = rows.select("rid", "did", F.expr(f"transform(slice(b, 1, greatest(size(b) - {step}, 0)), (x, i) -> xxhash64(x, b[i + {step}]))").alias("b"))
         depth += step
-    suffixes = rows.select("_rid", "_did", F.posexplode("b").alias("pos", "bucket"))
-    place = F.struct("_did", "_rid", "pos")
+    suffixes = rows.select("rid", "did", F.posexplode("b").alias("pos", "bucket"))
+    place = F.struct("did", "rid", "pos")
     firsts = suffixes.groupBy("bucket").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     later = suffixes.join(firsts, "bucket").where(place != F.col("first"))
-    return later.groupBy("_rid").agg(F.collect_set(F.struct("_did", "pos")).alias("_gone"))
+    return later.groupBy(F.col("rid").alias(rid)).agg(F.collect_set(F.struct("did", "pos")).alias(gone))
 
 
 def deduplicated(docs: DataFrame, least: int = LEAST_LINES) -> DataFrame:
@@ -49,19 +52,20 @@ def deduplicated(docs: DataFrame, least: int = LEAST_LINES) -> DataFrame:
     Three columns are added: n_lines, n_removed and n_runs; a column of docs with such a name gives way.
     """
     docs = docs.drop("n_lines", "n_removed", "n_runs")
-    keyed = docs.withColumns({"_did": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_rid": F.xxhash64("doc_id", "text")})
-    dealt = keyed.repartition("_rid").join(_removed(keyed, least), "_rid", "left")
-    out = docs.schema
+    rid, did, gone_name = fresh_names(docs, "rid", "did", "gone")
+    keyed = docs.withColumns({did: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), rid: F.xxhash64("doc_id", "text")})
+    dealt = keyed.repartition(rid).join(_removed(keyed, rid, did, gone_name, least), rid, "left")
+    out = StructType(list(docs.schema.fields))
     for name in ("n_lines", "n_removed", "n_runs"):
         out = out.add(name, "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, dids, gone = batch.column("text").to_pylist(), batch.column("_did").to_pylist(), batch.column("_gone").to_pylist()
+            texts, dids, gone = batch.column("text").to_pylist(), batch.column(did).to_pylist(), batch.column(gone_name).to_pylist()
             counts = []
             for k, text in enumerate(texts):
                 lines = (text or "").split("\n")
-                drop = {p for x in gone[k] or () if x["_did"] == dids[k] for p in range(x["pos"], x["pos"] + least)}
+                drop = {p for x in gone[k] or () if x["did"] == dids[k] for p in range(x["pos"], x["pos"] + least)}
                 if drop:
                     texts[k] = "\n".join(x for i, x in enumerate(lines) if i not in drop)
                 counts.append((len(lines), len(drop), sum(i - 1 not in drop for i in drop)))
@@ -70,7 +74,7 @@ def deduplicated(docs: DataFrame, least: int = LEAST_LINES) -> DataFrame:
                 if field == "text":
                     columns.append(pa.array(texts, pa.string()))
                 elif field == "n_chars":
-                    columns.append(pa.array([None if x is None else len(x) for x in texts], batch.column("n_chars").type))
+                    columns.append(pa.array([None if x is None else len(x) for x in texts], pa.int64()).cast(batch.column("n_chars").type))
                 else:
                     columns.append(batch.column(field))
             columns += [pa.array(x, pa.int64()) for x in zip(*counts, strict=True)] if counts else [pa.array([], pa.int64())] * 3

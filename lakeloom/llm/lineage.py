@@ -19,3 +19,13 @@ def written(frame: DataFrame) -> DataFrame:
     path = f"{shared_folder(frame)}/lakeloom-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def fresh_names(frame: DataFrame, *names: str) -> list[str]:
+    """Names for working columns that no column of frame has."""
+    taken, out = {c.lower() for c in frame.columns}, []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
