@@ -14,6 +14,14 @@ VERDICTS = ("support", "contradiction", "insufficient")
 MAX_CONTEXTS, MAX_CHARS = 1000, 100_000
 
 
+def check_contexts(contexts: DataFrame) -> DataFrame:
+    """The contexts, after one aggregation found none too long and no answer with too many."""
+    worst = contexts.groupBy("answer_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.char_length("text")).alias("chars")).agg(F.max("n").alias("n"), F.max("chars").alias("chars")).first()
+    if (worst.n or 0) > MAX_CONTEXTS or (worst.chars or 0) > MAX_CHARS:
+        raise ValueError(f"at most {MAX_CONTEXTS} contexts of at most {MAX_CHARS} characters")
+    return contexts
+
+
 def claims(answers: DataFrame) -> DataFrame:
     """(answer_id, answer) -> (answer_id, claim_no, claim, citations); caveats that need no citation are left out.
 
@@ -115,3 +123,35 @@ def cost_range(calls: DataFrame, hit: float = 0.003, miss: float = 0.15, complet
     tokens = calls.select("run_id", F.coalesce("hit_tokens", F.lit(0)).alias("h"), F.coalesce("miss_tokens", F.greatest(F.coalesce("prompt_tokens", F.lit(0)) - F.coalesce("hit_tokens", F.lit(0)), F.lit(0))).alias("m"), F.coalesce("completion_tokens", F.lit(0)).alias("c"))
     low = (F.sum("h") * hit + F.sum("m") * miss + F.sum("c") * completion) / 1e6
     return tokens.groupBy("run_id").agg(F.round(low, 8).alias("low"), F.round(2 * low, 8).alias("high"))
+
+
+def related_context(hits: DataFrame, papers: int = 20, chunks: int = 4, longest: int = 4000, max_chars: int = 12000) -> DataFrame:
+    """Contexts of related papers: the first papers, few chunks of each, cut to a length, taken round robin within a budget."""
+    from .context import select_contexts
+
+    return select_contexts(hits.where(F.col("parent_rank") <= papers).withColumn("question", F.lit("")), max_chars, chunks, 220, longest)
+
+
+def comparisons(entries: DataFrame, cited: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Comparisons (comparison_id, paper_id, entry_no) that hold: every entry supported, entries' papers equal to the cited papers, two or more."""
+    judged = apply_verdicts(entries, verdicts, ["comparison_id", "entry_no"])
+    per = judged.groupBy("comparison_id").agg(F.bool_and(F.col("verdict") == "support").alias("ok"), F.array_sort(F.collect_set("paper_id")).alias("papers"))
+    named = cited.groupBy("comparison_id").agg(F.array_sort(F.collect_set("paper_id")).alias("cited"))
+    return per.join(named, "comparison_id").where((F.col("papers") == F.col("cited")) & F.col("ok") & (F.size("papers") >= 2)).select("comparison_id", "papers")
+
+
+def inferences(groups: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Group inferences that cite evidence of at least two papers; others are unknown."""
+    per = evidence.groupBy("group_id").agg(F.countDistinct("paper_id").alias("n"))
+    return groups.join(per, "group_id", "left").select("group_id", F.when(F.coalesce("n", F.lit(0)) >= 2, F.col("inference")).otherwise("unknown").alias("inference"))
+
+
+def review_rows(results: DataFrame, contexts: DataFrame, most: int = 5) -> DataFrame:
+    """Rows for human review (review_id, run_id, query_id, question, answer, evidence): the cited contexts, or the first few if none is cited.
+
+    results: run_id, query_id, question, answer. contexts: query_id, number, text. Ids are stable.
+    """
+    cited = results.withColumn("cited", T.citation_numbers(F.col("answer")))
+    joined = cited.join(contexts, "query_id", "left").where(F.col("number").isNull() | F.array_contains("cited", F.col("number")) | ((F.size("cited") == 0) & (F.col("number") <= most)))
+    packed = joined.groupBy("run_id", "query_id", "question", "answer").agg(F.array_sort(F.collect_list(F.when(F.col("number").isNotNull(), F.struct("number", "text")))).alias("evidence"))
+    return packed.withColumn("review_id", T.short_id(F.col("run_id"), F.col("query_id"), F.col("answer")))

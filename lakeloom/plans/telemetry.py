@@ -59,3 +59,20 @@ def missing_fields(rows: DataFrame, *names: str) -> DataFrame:
     for x in empty.values():
         every &= x
     return rows.agg(*(F.count_if(x).alias(f"no_{c}") for c, x in empty.items()), F.count_if(every).alias("no_field"))
+
+
+def usage(calls: DataFrame) -> DataFrame:
+    """Model calls by stage: number, failures, tokens."""
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    return calls.groupBy("stage").agg(F.count(F.lit(1)).alias("calls"), F.count_if(F.col("status") != "ok").alias("failed"), n("prompt_tokens"), n("completion_tokens"))
+
+
+def completed_latency(rows: DataFrame, keys: list[str], points: tuple = (0.5, 0.95)) -> DataFrame:
+    """Percentiles of seconds over completed runs: successful and refused ones."""
+    return percentiles(rows.where(F.col("outcome").isin("successful", "refused")), keys, F.col("seconds"), points)
+
+
+def inherit(rows: DataFrame, runs: DataFrame, *columns: str) -> DataFrame:
+    """Rows take what they lack from their run's metadata."""
+    meta = runs.select("run_id", *(F.col(c).alias(f"_{c}") for c in columns))
+    return rows.join(meta, "run_id", "left").withColumns({c: F.coalesce(c, f"_{c}") for c in columns}).drop(*(f"_{c}" for c in columns))

@@ -104,3 +104,17 @@ def unit_vectors(rows: DataFrame, dimension: int) -> DataFrame:
     if not bad.isEmpty():
         raise ValueError("a vector has the wrong dimension or norm")
     return rows
+
+
+def paper_chunks(chunks: DataFrame, parent_id: str) -> DataFrame:
+    """One paper's chunks in reading order."""
+    return chunks.where(F.col("parent_id") == parent_id).orderBy("chunk_index", "chunk_id")
+
+
+def probes(questions: DataFrame, translations: dict[str, str]) -> DataFrame:
+    """Questions under their translations, ids suffixed _zh; a question without one is an error."""
+    rows = questions.sparkSession.createDataFrame(list(translations.items()), "id string, translated string")
+    joined = questions.join(rows, "id")
+    if joined.count() != questions.count() or len(translations) != questions.count():
+        raise ValueError("questions and translations differ")
+    return joined.withColumns({"id": F.concat("id", F.lit("_zh")), "question": F.col("translated")}).drop("translated")
