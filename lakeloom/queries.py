@@ -537,6 +537,75 @@ def excerpt_windows(s, d):
     return docs.select("doc_id", F.sha2(T.best_window(F.col("text"), F.array_distinct(T.tokenize(F.col("title")))), 256).alias("digest"))
 
 
+@query("""SELECT doc_id, CASE WHEN regexp_full_match(trim(coalesce(nullif(source, ''), CAST(doc_id AS VARCHAR))), '\\d+') THEN 'https://api.semanticscholar.org/graph/v1/paper/CorpusId%3A' || source || '?fields=title,url' ELSE '' END AS by_source,
+'https://api.semanticscholar.org/graph/v1/paper/CorpusId%3A' || doc_id || '?fields=title,url' AS by_id FROM documents""")
+def record_urls(s, d):
+    return _read(s, d, "documents").select("doc_id", T.record_url(F.col("source"), F.col("doc_id")).alias("by_source"), T.record_url(F.lit(""), F.col("doc_id")).alias("by_id"))
+
+
+@query(f"""WITH {_QRELS}, q AS (SELECT query_id, doc_id FROM qrels), per AS (SELECT query_id, 1 - count_if(length(text) < 500) / count(*) AS reach FROM q JOIN documents USING (doc_id) GROUP BY query_id)
+SELECT round(avg(reach), 6) AS ceiling FROM per""")
+def textless_ceiling(s, d):
+    return metrics.textless_ceiling(_qrels(s, d), _read(s, d, "documents").where(F.char_length("text") < 500))
+
+
+@query(f"""WITH {_QRELS}, o AS (SELECT doc_id, min(query_id) AS o FROM qrels GROUP BY doc_id), first_rows AS (SELECT doc_id FROM o ORDER BY o, doc_id LIMIT 50),
+rest AS (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM o) ORDER BY doc_id LIMIT 100)
+SELECT doc_id FROM (SELECT doc_id, 0 AS g FROM first_rows UNION ALL SELECT doc_id, 1 FROM rest ORDER BY g, doc_id) ORDER BY g, doc_id LIMIT 100""")
+def pilot_sample(s, d):
+    from .sources.readers import pilot
+
+    return pilot(_read(s, d, "documents").select("doc_id"), _qrels(s, d).withColumnRenamed("query_id", "query_order"), "doc_id", "doc_id")
+
+
+_E2E = """SELECT conv_id, count(*) AS turns, count_if(role = 'assistant') AS replies, count_if(role = 'user') AS asks, min(CASE WHEN role = 'system' THEN 1 ELSE 0 END) AS all_system FROM conversations GROUP BY conv_id"""
+
+
+@query(f"""WITH c AS ({_E2E}), r AS (SELECT conv_id AS query_id, CASE WHEN turns % 7 = 0 THEN 'failed' ELSE 'ok' END AS state, CASE turns % 3 WHEN 0 THEN 'answerable' WHEN 1 THEN 'unanswerable' ELSE 'unknown' END AS answerability,
+CASE WHEN turns % 5 = 0 THEN NULL ELSE [conv_id, conv_id + 1] END AS gold, turns % 4 <> 0 AS in_corpus, [conv_id, conv_id + 2] AS ranked, asks > replies AS refused, asks AS n_claims, replies AS n_supported, turns AS n_citations, asks AS n_valid FROM c)
+SELECT query_id, CASE WHEN state = 'failed' THEN 'retrieval_failed' WHEN gold IS NULL THEN 'no_qrels' WHEN NOT in_corpus THEN 'incomplete_gold_out_of_scope' ELSE 'scored' END AS status,
+CASE WHEN state <> 'failed' AND gold IS NOT NULL AND in_corpus THEN 0.5::DOUBLE END AS recall, CASE WHEN state <> 'failed' AND answerability <> 'unknown' THEN CAST(refused = (answerability = 'unanswerable') AS DOUBLE) END AS refusal_ok,
+round(n_valid / n_citations, 8) AS citation_validity, round(n_supported / nullif(n_claims, 0), 8) AS supported_claim_rate, 'original' AS language FROM r""")
+def e2e_scores(s, d):
+    c = _read(s, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.count_if(F.col("role") == "assistant").alias("replies"), F.count_if(F.col("role") == "user").alias("asks"))
+    t = F.col("turns")
+    rows = c.select(
+        F.col("conv_id").alias("query_id"), F.when(t % 7 == 0, "failed").otherwise("ok").alias("state"), F.when(t % 3 == 0, "answerable").when(t % 3 == 1, "unanswerable").otherwise("unknown").alias("answerability"),
+        F.when(t % 5 != 0, F.array(F.col("conv_id"), F.col("conv_id") + 1)).alias("gold"), (t % 4 != 0).alias("in_corpus"), F.array(F.col("conv_id"), F.col("conv_id") + 2).alias("ranked"), (F.col("asks") > F.col("replies")).alias("refused"),
+        F.col("asks").alias("n_claims"), F.col("replies").alias("n_supported"), t.alias("n_citations"), F.col("asks").alias("n_valid"),
+    )
+    return metrics.e2e_scores(rows).withColumns({"citation_validity": F.round("citation_validity", 8), "supported_claim_rate": F.round("supported_claim_rate", 8)})
+
+
+@query("""WITH r AS (SELECT event_type AS scope, user_id AS system, event_id % 10 AS question, event_id % 3 = 0 AS detail, event_id FROM events)
+SELECT event_id, detail FROM r WHERE detail UNION ALL SELECT event_id, detail FROM r a WHERE NOT detail AND NOT EXISTS (SELECT 1 FROM r b WHERE b.detail AND b.scope = a.scope AND b.system = a.system AND b.question = a.question)""")
+def report_dedupe(s, d):
+    e = _read(s, d, "events")
+    rows = e.select(F.col("event_type").alias("scope"), F.col("user_id").alias("system"), (F.col("event_id") % 10).alias("question"), (F.col("event_id") % 3 == 0).alias("detail"), "event_id")
+    return telemetry.dedupe_reports(rows).select("event_id", "detail")
+
+
+@query("""WITH t AS (SELECT conv_id, turn, role, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS n FROM conversations)
+SELECT a.conv_id, a.turn, contains(a.n, b.n) AND b.n <> '' AS quoted FROM t a JOIN t b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1""")
+def quote_containment(s, d):
+    c = _read(s, d, "conversations")
+    following = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("quote"))
+    return c.join(following, ["conv_id", "turn"]).select("conv_id", "turn", T.contains_quote(F.col("text"), F.col("quote")).alias("quoted"))
+
+
+@query("""WITH u AS (SELECT event_type AS stage, CASE WHEN value > 0 THEN 'ok' ELSE 'failed' END AS status, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT stage, count(*) AS calls, count_if(status <> 'ok') AS failed, CAST(coalesce(sum(k), 0) AS BIGINT) AS prompt_tokens, CAST(coalesce(sum(2 * k), 0) AS BIGINT) AS completion_tokens FROM u GROUP BY stage""")
+def call_usage(s, d):
+    k = F.get_json_object("props", "$.k").cast("long")
+    return telemetry.usage(_read(s, d, "events").select(F.col("event_type").alias("stage"), F.when(F.col("value") > 0, "ok").otherwise("failed").alias("status"), k.alias("prompt_tokens"), (2 * k).alias("completion_tokens")))
+
+
+@query("""WITH lines AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem) SELECT p_partkey, count(DISTINCT l_suppkey) AS suppliers, count(*) AS n FROM part LEFT JOIN lines ON l_partkey = p_partkey GROUP BY p_partkey HAVING count(*) > 1""")
+def part_suppliers(s, d):
+    rows = _read(s, d, "part").select("p_partkey").join(_read(s, d, "lineitem").select("l_partkey", "l_suppkey"), F.col("l_partkey") == F.col("p_partkey"), "left")
+    return rows.groupBy("p_partkey").agg(F.countDistinct("l_suppkey").alias("suppliers"), F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
