@@ -6,14 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, line_dedup, warc
-from .block_dedup import block_dedup
+from . import block_dedup, chat, line_dedup, suffix_dedup, warc
 from .decontaminate import contaminations
 from .licenses import license_scan
 from .near_dedup import near_duplicate_classes
 from .packing import pack_documents
 from .quality import quality_scores
-from .suffix_dedup import suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,11 +51,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(_table(spark, sf_dir, "documents"))
+    return suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return block_dedup(_table(spark, sf_dir, "documents"))
+    return block_dedup.block_dedup(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -77,4 +75,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """The others' methods (sketches, darts, tilings, tokenizers, Viterbi paths) have no SQL form; tests compare them with brute force."""
-    return {"op4_line_dedup": line_dedup.ORACLE, "op5_warc_revisits": warc.ORACLE}
+    return {
+        "op4_line_dedup": line_dedup.ORACLE,
+        "op5_warc_revisits": warc.ORACLE,
+        "op6_suffix_dedup": suffix_dedup.ORACLE,
+        "op10_substring_dedup": block_dedup.ORACLE,
+    }

@@ -62,3 +62,15 @@ def suffix_dedup(docs: DataFrame, width: int = WINDOW, gram: int = GRAM) -> Data
         return len(text), len(text) - len(kept), len(K.runs(gone)[0]), R.sha256(kept)
 
     return R.digests(removed_bytes(docs, width, gram), cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+starts AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 400)) AS k FROM (SELECT doc_id, x, unnest(generate_series(0, length(x) // 2 - 200)) AS i FROM d)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS n FROM starts) WHERE n > 1),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM again)) GROUP BY doc_id, g),
+cut AS (SELECT doc_id, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed FROM spans GROUP BY doc_id)
+SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN a IS NULL THEN x ELSE substr(x, 1, 2 * a[1]) || array_to_string(list_transform(generate_series(1, len(a)), lambda j: substr(x, 2 * b[j] + 1, 2 * (coalesce(a[j + 1], length(x) // 2) - b[j]))), '') END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeloom.llm import chat, decontaminate, kernels, licenses, line_dedup, near_dedup, packing, quality, warc
+from lakeloom.llm import queries as llm_queries
 from lakeloom.llm.block_dedup import block_dedup
 from lakeloom.llm.suffix_dedup import suffix_dedup
 
@@ -231,7 +232,7 @@ def test_signatures_estimate_similarity():
 
 
 def test_large_bucket_in_turns(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "TURN", 4)
+    monkeypatch.setattr(near_dedup, "FIRST", 2)
     base = sentence(5, 100).split()
     rows = [(i, " ".join(w if j != (i * 7) % 100 and j != (i * 13) % 100 else f"v{i}" for j, w in enumerate(base))) for i in range(30)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -283,13 +284,16 @@ def test_revisits(spark):
     assert rows_of(warc.resolve_revisits(frame, block=7).select("record_id", "source_id")) == rows_of(warc.resolve_revisits(frame).select("record_id", "source_id"))
 
 
-def test_page_revisits_match_sql(spark):
+@pytest.mark.parametrize("name", sorted(llm_queries.oracle_sql()))
+def test_matches_sql(spark, name):
     import duckdb
 
     c = duckdb.connect()
-    c.sql(f"CREATE VIEW pages AS SELECT * FROM '{DATA}/pages.parquet'")
-    got = warc.revisit_digests(spark.read.parquet(f"{DATA}/pages.parquet"))
-    assert rows_of(got) == sorted(c.sql(warc.ORACLE).fetchall(), key=repr)
+    for table in ("documents", "pages"):
+        c.sql(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
+    got, want = llm_queries.queries()[name](spark, DATA), c.sql(llm_queries.oracle_sql()[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    assert rows_of(got.select(*want.columns)) == sorted(want.fetchall(), key=repr)
 
 
 def test_transcripts(spark):
