@@ -20,26 +20,58 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from . import kernels as K
 from .lineage import fresh_names
 
 #: Production parameter: lines that a repeated run has at least.
 LEAST_LINES = 2
 
 
+def line_spans(data: np.ndarray, offsets: np.ndarray):
+    """(start, end, first): byte spans of the lines of all texts, and the number of lines before each text."""
+    breaks = np.flatnonzero(data == 10)
+    first = np.searchsorted(breaks, offsets) + np.arange(len(offsets))
+    opens, closes = np.zeros(first[-1], bool), np.zeros(first[-1], bool)
+    opens[first[:-1]] = True
+    closes[first[1:] - 1] = True
+    start, end = np.zeros(first[-1], np.int64), np.zeros(first[-1], np.int64)
+    start[opens], start[~opens] = offsets[:-1], breaks + 1
+    end[closes], end[~closes] = offsets[1:], breaks
+    return start, end, first
+
+
+def _suffixes(least: int):
+    """rid, did, text -> rid, did, pos, bucket of every suffix with at least `least` lines, at that depth."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = K.flat(batch.column("text"))
+            rid, did = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rid", "did"))
+            for i, j in K.chunks(offsets):
+                part = data[offsets[i] : offsets[j]]
+                start, end, first = line_spans(part, offsets[i : j + 1] - offsets[i])
+                bucket, depth = K.span_hash(K.prefix(part), start, end), 1
+                while depth < least and len(bucket) > min(depth, least - depth):
+                    step = min(depth, least - depth)
+                    bucket = K.mix(bucket[:-step] * K.U64(K.BASE) ^ K.mix(bucket[step:]))
+                    depth += step
+                n = np.maximum(np.diff(first) - least + 1, 0)
+                at, doc = K.ranges(first[:-1], n), np.repeat(np.arange(j - i), n)
+                yield pa.RecordBatch.from_arrays([pa.array(rid[i:j][doc]), pa.array(did[i:j][doc]), pa.array((at - first[doc]).astype(np.int32)), pa.array(bucket[at].view(np.int64))], ["rid", "did", "pos", "bucket"])
+
+    return run
+
+
 def _removed(keyed: DataFrame, rid: str, did: str, gone: str, least: int) -> DataFrame:
     """rid and gone: first lines of the deleted windows of `least` lines."""
-    rows = keyed.select(F.col(rid).alias("rid"), F.col(did).alias("did"), F.expr("transform(split(coalesce(text, ''), '\\n', -1), x -> xxhash64(x))").alias("b"))
-    depth = 1
-    while depth < least:
-        step = min(depth, least - depth)
-        rows = rows.select("rid", "did", F.expr(f"transform(slice(b, 1, greatest(size(b) - {step}, 0)), (x, i) -> xxhash64(x, b[i + {step}]))").alias("b"))
-        depth += step
-    suffixes = rows.select("rid", "did", F.posexplode("b").alias("pos", "bucket"))
+    rows = keyed.select(F.col(rid).alias("rid"), F.col(did).alias("did"), F.coalesce("text", F.lit("")).alias("text"))
+    suffixes = rows.mapInArrow(_suffixes(least), "rid long, did long, pos int, bucket long")
     place = F.struct("did", "rid", "pos")
     firsts = suffixes.groupBy("bucket").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     later = suffixes.join(firsts, "bucket").where(place != F.col("first"))
