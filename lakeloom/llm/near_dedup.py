@@ -10,13 +10,16 @@ coordinates, the earliest dart of each coordinate stays, and coordinates without
 texts agree in a coordinate with the probability of their weighted Jaccard similarity.
 
 Joining: 32 bands of 7 coordinates (a pair at 0.8 meets in some band with probability 0.9995).
-Within a bucket nobody meets everybody. Every member is compared with the bucket's leader; then, as
-long as a bucket has members outside its leader's component, one of them leads in turn and is
-compared with the members that can be near at all: distance 1 - similarity is a metric, so two
-members whose distances to the first leader differ by more than the threshold's distance are not.
-When a bucket is done, each pair of its members is in one component, was compared, or is ruled out:
-no link between different texts is lost, at a cost linear in the bucket for each leader. Comparisons
-read the signatures first; what they leave open is decided on the shingles themselves.
+Within a bucket nobody meets everybody. Every member is compared with the bucket's leader, the member that
+meets most other texts over all bands (of a group of copies, their source); those outside the
+leader's component then are compared with the first 8 members in the bucket's order (the
+order of the texts' hashes), those still outside with the first 32, 128 and so on, until nobody is outside or all
+have been compared. In a dense group nearly all join in the first turn, whatever its size; only real
+strays meet the whole bucket. Distance 1 - similarity is a metric, so two members whose distances to
+the leader differ by more than the threshold's distance need not be compared. When a bucket is done,
+each pair of its members is in one component, was compared, or is ruled out: no link between
+different texts is lost. Comparisons read the signatures first; what they leave open is decided on
+the shingles themselves.
 
 Defined results: a null text is an empty one; texts without words are near only to identical texts;
 a text under five words is one shingle; identical texts are one class; a null id is an id like
@@ -27,24 +30,27 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import contract
-from .lineage import written
+from .lineage import fresh_names, written
 
 #: Production parameters.
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 32, 7
 COORDINATES = BANDS * BAND_ROWS
-#: Signature estimates below / above these decide by themselves (7 and more standard deviations below, 5 above).
-SURELY_FAR, SURELY_NEAR = 0.6, 0.93
+#: Signature estimates below / above these decide by themselves (3.7 standard deviations of an estimate at 0.8).
+SURELY_FAR, SURELY_NEAR = 0.7, 0.9
+#: Members of a bucket that an open one is compared with in the first turn; four times as far in each further turn.
+FIRST = 8
 #: Estimates may err by as much when distances are compared.
-SLACK = 0.15
+SLACK = 0.1
 
 U = np.uint64
 _GOLD, _LEVEL, _DART = U(0x9E3779B97F4A7C15), U(0xD1B54A32D192ED03), U(0x8CB92BA72F3D8DD7)
@@ -198,6 +204,18 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sims, pa.float64())], ["a", "b", "sim"])
 
 
+@contextmanager
+def _rows_per_batch(spark: SparkSession, n: int) -> Iterator[None]:
+    """Arrow batches of n rows for the tables that are written inside: rows here hold whole texts, sketches or shingles."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, n)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _compare(pairs: DataFrame, texts: DataFrame, cells: DataFrame) -> DataFrame:
     """pairs (a, b) with their similarity, written."""
     both = pairs
@@ -213,6 +231,11 @@ def _compare(pairs: DataFrame, texts: DataFrame, cells: DataFrame) -> DataFrame:
 
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (least id of the class) of every row."""
+    with _rows_per_batch(docs.sparkSession, 1000):
+        return _classes(docs, similarity)
+
+
+def _classes(docs: DataFrame, similarity: float) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("did"), F.xxhash64("text").alias("t"), "text")
     signed = rows.select("t", "did", "text").mapInArrow(_sign, "t long, did long, bands array<long>, sketch binary")
@@ -220,43 +243,51 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
     texts = written(signed.groupBy("t").agg(F.min("did").alias("did"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
 
     buckets = texts.where("bands is not null").select(F.explode("bands").alias("bucket"), "t")
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("leader")).where("n > 1").drop("n")
+    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = written(buckets.join(shared, "bucket"))
-    needed = members.select("t").distinct().join(texts.select("t", "did"), "t")
+    # the text that most others meet leads: in a group of copies that is the one they were made from
+    met = members.groupBy("t").agg(F.sum("n").alias("met"))
+    leaders = members.join(met, "t").groupBy("bucket").agg(F.max_by("t", F.struct("met", "t")).alias("leader"))
+    members = written(members.join(leaders, "bucket"))
+    needed = written(members.select("t").distinct().join(texts.select("t", "did"), "t"))
     cells = written(rows.select("did", "t", "text").join(needed, ["did", "t"], "left_semi").dropDuplicates(["did", "t"]).select("t", "text").mapInArrow(_cells, "t long, cells binary"))
 
     pairs = members.where("t <> leader").select(F.col("leader").alias("a"), F.col("t").alias("b")).distinct()
     known = _compare(pairs, texts, cells)
-    labels = contract(texts.select("t", F.col("t").alias("c")), known.where(F.col("sim") >= similarity).select("a", "b"))
+    labels = contract(needed.select("t", F.col("t").alias("c")), known.where(F.col("sim") >= similarity).select("a", "b"))
     near = known.select(F.col("a").alias("leader"), F.col("b").alias("t"), "sim")
-    members = members.join(near, ["leader", "t"], "left").select("bucket", "leader", "t", F.coalesce("sim", F.lit(1.0)).alias("sim"), (F.col("t") == F.col("leader")).alias("led"))
+    members = members.join(near, ["leader", "t"], "left").select("bucket", "leader", "n", "t", F.coalesce("sim", F.lit(1.0)).alias("sim"))
 
-    far = 1 - similarity + SLACK
+    far, turn = 1 - similarity + SLACK, 0
+    place = (F.col("t").cast("double") + 2.0**63) / 2.0**64  # of a member in its bucket's order, from 0 to 1
+    reach = lambda k: F.lit(0.0) if k < 1 else FIRST * 4.0 ** (k - 1) / F.col("n")
     while True:
+        turn += 1
         named = members.join(labels, "t")
         heads = named.where("t = leader").select("bucket", F.col("c").alias("head"))
-        named = named.join(heads, "bucket")
-        open_ = named.groupBy("bucket").agg(F.min(F.when((F.col("c") != F.col("head")) & ~F.col("led"), F.col("t"))).alias("next")).where("next is not null")
-        members = written(named.join(open_, "bucket").select("bucket", "leader", "t", "sim", "c", "next", (F.col("led") | (F.col("t") == F.col("next"))).alias("led")))
+        named = named.join(heads, "bucket").withColumn("open", F.col("c") != F.col("head"))
+        left = named.where(reach(turn - 1) < 1).groupBy("bucket").agg(F.bool_or("open").alias("any")).where("any").drop("any")
+        members = written(named.join(left, "bucket").select("bucket", "leader", "n", "t", "sim", "c", "open"))
         if members.isEmpty():
             break
-        lead = members.where("t = next").select("bucket", F.col("sim").alias("lead_sim"), F.col("c").alias("lead_c"))
-        pairs = members.join(lead, "bucket").where((F.col("c") != F.col("lead_c")) & (F.col("t") != F.col("leader")) & (F.abs(F.col("sim") - F.col("lead_sim")) <= far))
-        pairs = pairs.select(F.least("next", "t").alias("a"), F.greatest("next", "t").alias("b")).distinct()
+        asks = members.where("open").select("bucket", F.col("t").alias("asks"), F.col("sim").alias("asks_sim"), F.col("c").alias("asks_c"))
+        next_ = members.where((place >= reach(turn - 1)) & (place < reach(turn)) & (F.col("t") != F.col("leader")))
+        pairs = next_.join(asks, "bucket").where((F.col("c") != F.col("asks_c")) & (F.abs(F.col("sim") - F.col("asks_sim")) <= far))
+        pairs = pairs.select(F.least("asks", "t").alias("a"), F.greatest("asks", "t").alias("b")).distinct()
         known = _compare(pairs, texts, cells)
         labels = contract(labels, known.where(F.col("sim") >= similarity).select("a", "b"))
-        members = members.drop("c", "next")
+        members = members.drop("c", "open")
 
-    least = texts.join(labels, "t").groupBy("c").agg(F.min("did").alias("class_did"))
-    classes = texts.join(labels, "t").join(least, "c").select("t", "class_did")
+    joined = texts.select("t", "did").join(labels, "t", "left").withColumn("c", F.coalesce("c", "t"))
+    classes = joined.join(joined.groupBy("c").agg(F.min("did").alias("class_did")), "c").select("t", "class_did")
     named = rows.select("doc_id", "t").join(classes, "t")
     return named.select("doc_id", F.when(F.col("class_did") != (1 << 63) - 1, F.col("class_did")).alias("class_id"))
 
 
 def one_of_each_class(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, whose id is their class's id; of repeated rows one stays."""
+    """The rows of docs, all columns, whose id is their class's id; of rows with one id one stays."""
     classes = near_duplicate_classes(docs)
     chosen = written(classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
-    once = docs.join(chosen.where("n = 1").select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    more = docs.join(chosen.where("n > 1").select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    (i,) = fresh_names(docs, "id")
+    once, more = (docs.join(chosen.where(how).select(F.col("doc_id").alias(i)), F.col("doc_id").eqNullSafe(F.col(i)), "left_semi") for how in ("n = 1", "n > 1"))
     return once.unionByName(more.dropDuplicates(["doc_id"]))
