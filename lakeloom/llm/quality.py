@@ -126,7 +126,8 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     """
     row = F.struct(*docs.columns).alias("_row")
     named = docs.select(row, "text", F.col("lang").alias("lang"), F.col("source").alias("source"))
-    limits = fences(measures(named, "lang", "source")).select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), *(f"{r}_{s}" for r in RATIOS for s in ("low", "high")))
+    seen = written(measures(named, "lang", "source").drop("_once"))  # a few numbers a row
+    limits = fences(seen).select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), *(f"{r}_{s}" for r in RATIOS for s in ("low", "high")))
     measured = measures(named, "_row", "lang", "source")
     joined = measured.join(limits, measured.lang.eqNullSafe(F.col("f_lang")) & measured.source.eqNullSafe(F.col("f_source")), "left")
     return joined.where((F.col("_once") >= 0) & ~base_failed() & verdict()).select("_row.*")
