@@ -58,10 +58,10 @@ def pilot(rows: DataFrame, gold: DataFrame, key: str, order: str, n_gold: int =
     return first.unionByName(rest).orderBy("_g", "_o").limit(n).drop("_g", "_o")
 
 
-def benchmark_queries(rows: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Queries renumbered litsearch_001.., and gold ids that the corpus lacks (should be empty). rows: question, gold_paper_ids, position."""
+def benchmark_queries(rows: DataFrame, corpus: DataFrame, prefix: str = "query") -> tuple[DataFrame, DataFrame]:
+    """Queries renumbered <prefix>_001.., and gold ids that the corpus lacks (should be empty). rows: question, gold_paper_ids, position."""
     order = Window.orderBy("position")  # the query set is small and stated
-    queries = rows.select(F.format_string("litsearch_%03d", F.row_number().over(order)).alias("id"), collapse(F.col("question")).alias("question"), "gold_paper_ids")
+    queries = rows.select(F.format_string(f"{prefix}_%03d", F.row_number().over(order)).alias("id"), collapse(F.col("question")).alias("question"), "gold_paper_ids")
     missing = queries.select(F.explode("gold_paper_ids").alias("paper_id")).distinct().join(corpus.select("paper_id"), "paper_id", "left_anti")
     return queries, missing
 
