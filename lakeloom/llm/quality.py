@@ -112,7 +112,7 @@ def quality_scores(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, lang, source."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").alias("lang"), F.col("source").alias("source"))
     measured = written(measures(named, "doc_id", "lang", "source").drop("_once"))  # read twice, measured once
-    limits = fences(measured).select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), *(f"{r}_{s}" for r in RATIOS for s in ("low", "high")))
+    limits = written(fences(measured).select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), *(f"{r}_{s}" for r in RATIOS for s in ("low", "high"))))  # its size is known then: broadcast if small
     joined = measured.join(limits, measured.lang.eqNullSafe(F.col("f_lang")) & measured.source.eqNullSafe(F.col("f_source")), "left")
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & verdict()).alias("kept"), "lang", "source"
@@ -127,7 +127,7 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     row = F.struct(*docs.columns).alias("_row")
     named = docs.select(row, "text", F.col("lang").alias("lang"), F.col("source").alias("source"))
     seen = written(measures(named, "lang", "source").drop("_once"))  # a few numbers a row
-    limits = fences(seen).select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), *(f"{r}_{s}" for r in RATIOS for s in ("low", "high")))
+    limits = written(fences(seen).select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), *(f"{r}_{s}" for r in RATIOS for s in ("low", "high"))))  # its size is known then: broadcast if small
     measured = measures(named, "_row", "lang", "source")
     joined = measured.join(limits, measured.lang.eqNullSafe(F.col("f_lang")) & measured.source.eqNullSafe(F.col("f_source")), "left")
     return joined.where((F.col("_once") >= 0) & ~base_failed() & verdict()).select("_row.*")
