@@ -1,12 +1,15 @@
 """Operator 7: quality rules with adaptive thresholds from mergeable quantile sketches. DataFrame functions only.
 
 Each text's measures are computed whole inside the JVM. KLL sketches of five ratios are built per
-language and source (partial sketches are merged map-side, so a source with a third of all rows is
-no hot spot), merged again per language, and read as fences: a value beyond the upper quartile plus
-SPREAD interquartile ranges (or below the lower quartile less as much), and past a floor under
-which a value is never suspicious, fails. A group with fewer than LEAST_ROWS rows takes its
-language's fences, and a language with fewer takes those of all rows. The small fence table (one
-row a language and source) is joined back to filter.
+language and source over the rows that pass the base rules (partial sketches are merged map-side, so
+a source with a third of all rows is no hot spot), merged again per language, and read as fences: a
+value that lies beyond a group's upper quantile by more than a multiple of the distance between two
+of its quantiles (or as far below the lower one) fails. Ratios that are zero for most texts have no
+spread between the quartiles, so their fences read tail quantiles. Where even these coincide, a
+small least distance from the group's quantile takes the spread's place; no fence is a constant of
+its own. A group with fewer than LEAST_ROWS such rows takes its language's fences, and a language
+with fewer takes those of all rows. The small fence table (one row a language and source) is joined
+back to filter.
 
 Defined results: a null text has no words (base_failed); null languages and sources are groups like
 others; repeated rows get repeated results; an empty table gives no rows; columns of docs that are
@@ -22,15 +25,16 @@ from .lineage import written
 
 #: Production parameters.
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
-SKETCH_K, SPREAD, LEAST_ROWS = 1024, 6.0, 200
+SKETCH_K, SPREAD, TAIL_SPREAD, LEAST_ROWS = 1024, 6.0, 1.0, 200
 
-#: Measure -> (SQL over the columns of measures(), side of the fence, floor past which a value may fail).
+#: Measure -> (SQL over the columns of measures(), side of the fence, the two quantiles, distances of them to the fence, least distance).
+#: Symbols are read further in: junk made of them can be a tenth of a source.
 RATIOS = {
-    "word_length": ("word_chars / n_words", "both", (2.0, 12.0)),
-    "symbol_ratio": ("n_symbols / n_words", "high", (None, 0.1)),
-    "dup_line_ratio": ("n_dup_lines / n_lines", "high", (None, 0.3)),
-    "repeat_ratio": ("n_repeat_words / n_words", "high", (None, 0.15)),
-    "upper_ratio": ("n_upper / word_chars", "high", (None, 0.4)),
+    "word_length": ("word_chars / n_words", "both", (0.25, 0.75), SPREAD, 0.5),
+    "symbol_ratio": ("n_symbols / n_words", "high", (0.5, 0.8), SPREAD, 0.1),
+    "dup_line_ratio": ("n_dup_lines / n_lines", "high", (0.5, 0.98), TAIL_SPREAD, 0.1),
+    "repeat_ratio": ("n_repeat_words / n_words", "high", (0.5, 0.98), TAIL_SPREAD, 0.05),
+    "upper_ratio": ("n_upper / word_chars", "high", (0.25, 0.75), SPREAD, 0.01),
 }
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -76,19 +80,19 @@ def base_failed() -> Column:
 
 def fences(measured: DataFrame) -> DataFrame:
     """One row for each lang and source: lang, source, and <ratio>_low, <ratio>_high."""
-    ratios = measured.select("lang", "source", *(ratio(sql).alias(r) for r, (sql, _, _) in RATIOS.items()))
-    groups = ratios.where("word_length is not null").groupBy("lang", "source").agg(
+    ratios = measured.where(~base_failed()).select("lang", "source", *(ratio(sql).alias(r) for r, (sql, *_) in RATIOS.items()))
+    groups = ratios.groupBy("lang", "source").agg(
         F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(F.coalesce(r, F.lit(0.0)), SKETCH_K).alias(r) for r in RATIOS)
     )
     merged = [F.sum("n").alias("n"), *(F.kll_merge_agg_double(r, SKETCH_K).alias(r) for r in RATIOS)]
 
     def read(sketches: DataFrame, prefix: str, *keys: str) -> DataFrame:
         out = [F.col("n").alias(f"{prefix}n")]
-        for r, (_, side, (low, high)) in RATIOS.items():
-            q = [F.kll_sketch_get_quantile_double(r, F.lit(x)) for x in (0.25, 0.75)]
-            far = SPREAD * (q[1] - q[0])
-            out.append((F.least(q[0] - far, F.lit(low)) if side == "both" else F.lit(None).cast("double")).alias(f"{prefix}{r}_low"))
-            out.append(F.greatest(q[1] + far, F.lit(high)).alias(f"{prefix}{r}_high"))
+        for r, (_, side, between, times, least) in RATIOS.items():
+            q = [F.kll_sketch_get_quantile_double(r, F.lit(x)) for x in between]
+            far = F.greatest(times * (q[1] - q[0]), F.lit(least))
+            out.append((q[0] - far if side == "both" else F.lit(None).cast("double")).alias(f"{prefix}{r}_low"))
+            out.append((q[1] + far).alias(f"{prefix}{r}_high"))
         return sketches.select(*keys, *out)
 
     own = read(groups, "g_", "lang", "source")
@@ -102,7 +106,7 @@ def fences(measured: DataFrame) -> DataFrame:
 def verdict() -> Column:
     """True unless a ratio lies beyond its fence; a ratio or fence that doesn't exist passes."""
     ok = F.lit(True)
-    for r, (sql, _, _) in RATIOS.items():
+    for r, (sql, *_) in RATIOS.items():
         x = ratio(sql)
         ok &= F.coalesce((x <= F.col(f"{r}_high")) & (x >= F.coalesce(F.col(f"{r}_low"), x)), F.lit(True))
     return ok

@@ -157,6 +157,32 @@ def test_quality_fences(spark):
     assert not got[900] and not got[901] and sum(got.values()) == 300
 
 
+def with_ratio(name, level, seed):
+    """A text of 100 words and 20 lines in which a ratio is about level and the others are plain."""
+    r = np.random.default_rng(seed)
+    word = lambda n: "".join(r.choice(list("abcdefghij"), n))
+    sizes = r.integers(4, 7, 100) + (round(level) if name == "word_length" else 0)
+    words = [word(n) for n in sizes]
+    if name == "symbol_ratio":
+        words[: round(100 * level)] = [w + "#" for w in words[: round(100 * level)]]
+    if name == "upper_ratio":
+        words[: round(100 * level)] = [w.upper() for w in words[: round(100 * level)]]
+    if name == "repeat_ratio" and level:
+        words[50 : 50 + round(50 * level)] = words[: round(50 * level)]
+    lines = [" ".join(words[i : i + 5]) for i in range(0, 100, 5)]
+    if name == "dup_line_ratio":
+        lines[1 : 1 + round(20 * level)] = ["-"] * round(20 * level)
+    return "\n".join(lines)
+
+
+@pytest.mark.parametrize("name, plain, usual, probe", [("word_length", 0, 3, 3), ("symbol_ratio", 0, 0.3, 0.3), ("dup_line_ratio", 0, 0.5, 0.25), ("repeat_ratio", 0, 0.12, 0.12), ("upper_ratio", 0.02, 0.2, 0.2)])
+def test_quality_groups_differ(spark, name, plain, usual, probe):
+    rows = [(2 * i + k, with_ratio(name, level, 2 * i + k), "en", source) for i in range(250) for k, (level, source) in enumerate([(plain, "plain"), (usual, "usual")])]
+    rows += [(k, with_ratio(name, probe, 9999), "en", source) for k, source in ((-1, "plain"), (-2, "usual"))]
+    got = {r.doc_id: r.kept for r in quality.quality_scores(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not got[-1] and got[-2] and sum(got.values()) == 501
+
+
 def test_lines(docs):
     rows = sorted({(d is not None, d or 0, x) for d, x in pairs(docs)})
     firsts: dict = {}
