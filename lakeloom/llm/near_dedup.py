@@ -34,7 +34,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -52,6 +52,9 @@ FIRST = 8
 #: Estimates may err by as much when distances are compared.
 SLACK = 0.1
 
+#: Stands for a null id, after all others.
+NO_ID = (1 << 63) - 1
+
 U = np.uint64
 _GOLD, _LEVEL, _DART = U(0x9E3779B97F4A7C15), U(0xD1B54A32D192ED03), U(0x8CB92BA72F3D8DD7)
 _START = [0.0] + [2.0**-k for k in range(10, 0, -1)]
@@ -232,12 +235,24 @@ def _compare(pairs: DataFrame, texts: DataFrame, cells: DataFrame) -> DataFrame:
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (least id of the class) of every row."""
     with _rows_per_batch(docs.sparkSession, 1000):
-        return _classes(docs, similarity)
+        joined = _components(docs, similarity)
+        classes = joined.join(joined.groupBy("c").agg(F.min("did").alias("class_did")), "c").select("t", "class_did")
+        named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("t")).join(classes, "t")
+        return named.select("doc_id", F.when(F.col("class_did") != NO_ID, F.col("class_did")).alias("class_id"))
+
+
+def _id_key() -> Column:
+    """doc_id, null ids last."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+
 
+def _text_key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
-def _classes(docs: DataFrame, similarity: float) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("did"), F.xxhash64("text").alias("t"), "text")
+
+def _components(docs: DataFrame, similarity: float) -> DataFrame:
+    """t, did (least id of the text), c (component of near texts) of every different text."""
+    rows = docs.select(_id_key().alias("did"), _text_key().alias("t"), F.coalesce("text", F.lit("")).alias("text"))
     signed = rows.select("t", "did", "text").mapInArrow(_sign, "t long, did long, bands array<long>, sketch binary")
     # identical texts become one; the map-side merge meets hot ones
     texts = written(signed.groupBy("t").agg(F.min("did").alias("did"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
@@ -278,16 +293,18 @@ def _classes(docs: DataFrame, similarity: float) -> DataFrame:
         labels = contract(labels, known.where(F.col("sim") >= similarity).select("a", "b"))
         members = members.drop("c", "open")
 
-    joined = texts.select("t", "did").join(labels, "t", "left").withColumn("c", F.coalesce("c", "t"))
-    classes = joined.join(joined.groupBy("c").agg(F.min("did").alias("class_did")), "c").select("t", "class_did")
-    named = rows.select("doc_id", "t").join(classes, "t")
-    return named.select("doc_id", F.when(F.col("class_did") != (1 << 63) - 1, F.col("class_did")).alias("class_id"))
+    return texts.select("t", "did").join(labels, "t", "left").withColumn("c", F.coalesce("c", "t"))
 
 
 def one_of_each_class(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, whose id is their class's id; of rows with one id one stays."""
-    classes = near_duplicate_classes(docs)
-    chosen = written(classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
-    (i,) = fresh_names(docs, "id")
-    once, more = (docs.join(chosen.where(how).select(F.col("doc_id").alias(i)), F.col("doc_id").eqNullSafe(F.col(i)), "left_semi") for how in ("n = 1", "n > 1"))
-    return once.unionByName(more.dropDuplicates(["doc_id"]))
+    """One row of docs, all columns, of each class: the one with its least id (null ids last) and, of several texts with it, the least text hash.
+
+    Ids may repeat or be null, so rows are chosen by id and text; of rows equal in both one stays.
+    """
+    i, h = fresh_names(docs, "id", "h")
+    keyed = docs.withColumns({i: _id_key(), h: _text_key()})
+    with _rows_per_batch(docs.sparkSession, 1000):
+        least = _components(docs, SIMILARITY).groupBy("c").agg(F.min(F.struct("did", "t")).alias("x")).select(F.col("x.did").alias(i), F.col("x.t").alias(h))
+        chosen = written(keyed.select(i, h).join(least, [i, h], "left_semi").groupBy(i, h).agg(F.count(F.lit(1)).alias("n")))
+    once, more = (keyed.join(chosen.where(how), [i, h], "left_semi") for how in ("n = 1", "n > 1"))
+    return once.unionByName(more.dropDuplicates([i, h])).drop(i, h)

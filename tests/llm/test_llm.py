@@ -242,6 +242,16 @@ def test_near_duplicates(docs):
     assert one.columns == docs.columns and one.count() == len({find(x) for _, x in own}) - (len({find(x) for d, x in own if d is None} - {find(x) for d, x in own if d is not None}) > 1)
 
 
+def test_one_row_of_each_class_whatever_its_id(spark):
+    lone = [(None, sentence(100 + i, 40)) for i in range(20)]  # classes without an id
+    base = sentence(200, 100)
+    near = base.replace(base.split()[50], "changed")
+    rows = [*lone, (1, base), (1, sentence(201, 40)), (2, sentence(202, 40)), (2, near), (None, near), (3, None), (3, ""), (4, lone[0][1]), (5, sentence(203, 40)), (5, sentence(203, 40))]
+    got = [tuple(r) for r in near_dedup.one_of_each_class(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    want = [*lone[1:], (4, lone[0][1]), (1, base), (1, sentence(201, 40)), (2, sentence(202, 40)), (3, ""), (5, sentence(203, 40))]
+    assert sorted(((d, x or "") for d, x in got), key=repr) == sorted(want, key=repr)
+
+
 def test_signatures_estimate_similarity():
     import pyarrow as pa
 
