@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lakeloom.llm.decontaminate import decontaminated
-from lakeloom.llm.line_dedup import deduplicated
+from lakeloom.llm.line_dedup import ALONE_WORDS, deduplicated
 from lakeloom.llm.lineage import written
 from lakeloom.llm.near_dedup import one_of_each_class
 from lakeloom.llm.packing import pack_documents
@@ -23,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without later copies of repeated line runs; n_chars follows the text."""
-    return deduplicated(docs).select(*docs.columns)
+    """All documents, without later copies of repeated line runs and of repeated lines of ALONE_WORDS words; n_chars follows the text."""
+    return deduplicated(docs, alone=ALONE_WORDS).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

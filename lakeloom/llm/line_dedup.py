@@ -8,6 +8,10 @@ interval of the suffix array whose longest common prefix has at least that many
 run. Its first suffix in order of (doc_id, line) stays and the others' lines are deleted; the runs
 that result are maximal, since every depth-wide window of a longer run is in such an interval.
 
+With `alone`, a single line of at least so many words is a run too: its suffixes are also bucketed at
+depth one, and all but the first in the same order go. The pipeline does so; op4_line_dedup has runs of
+LEAST_LINES only, as its SQL.
+
 The doubling happens inside a document's own array, so only (id, line, bucket) rows of suffixes are
 shuffled, never the text; deletions return by row key.
 
@@ -31,6 +35,11 @@ from .lineage import fresh_names
 
 #: Production parameter: lines that a repeated run has at least.
 LEAST_LINES = 2
+#: Words of a line that the pipeline takes for a run by itself.
+ALONE_WORDS = 5
+
+#: Keeps the buckets of single lines apart from those of longer runs.
+U_ALONE = K.U64(0xA0761D6478BD642F)
 
 
 def line_spans(data: np.ndarray, offsets: np.ndarray):
@@ -46,8 +55,8 @@ def line_spans(data: np.ndarray, offsets: np.ndarray):
     return start, end, first
 
 
-def _suffixes(least: int):
-    """rid, did, text -> rid, did, pos, bucket of every suffix with at least `least` lines, at that depth."""
+def _suffixes(least: int, alone: int | None):
+    """rid, did, text -> rid, did, pos, lines, bucket of every suffix with at least `least` lines, at that depth, and of those whose first line has `alone` words, at depth one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,36 +66,44 @@ def _suffixes(least: int):
                 part = data[offsets[i] : offsets[j]]
                 start, end, first = line_spans(part, offsets[i : j + 1] - offsets[i])
                 bucket, depth = K.span_hash(K.prefix(part), start, end), 1
+                line = bucket
                 while depth < least and len(bucket) > min(depth, least - depth):
                     step = min(depth, least - depth)
                     bucket = K.mix(bucket[:-step] * K.U64(K.BASE) ^ K.mix(bucket[step:]))
                     depth += step
                 n = np.maximum(np.diff(first) - least + 1, 0)
                 at, doc = K.ranges(first[:-1], n), np.repeat(np.arange(j - i), n)
-                yield pa.RecordBatch.from_arrays([pa.array(rid[i:j][doc]), pa.array(did[i:j][doc]), pa.array((at - first[doc]).astype(np.int32)), pa.array(bucket[at].view(np.int64))], ["rid", "did", "pos", "bucket"])
+                found = [(at, doc, least, bucket[at])]
+                if alone is not None and least > 1:
+                    begins = K.words(part, offsets[i : j + 1] - offsets[i])[0]
+                    at = np.flatnonzero(np.searchsorted(begins, end) - np.searchsorted(begins, start) >= alone)
+                    found.append((at, np.searchsorted(first, at, "right") - 1, 1, K.mix(line[at] ^ U_ALONE)))
+                for at, doc, lines, key in found:
+                    columns = [rid[i:j][doc], did[i:j][doc], (at - first[doc]).astype(np.int32), np.full(len(at), lines, np.int32), key.view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["rid", "did", "pos", "lines", "bucket"])
 
     return run
 
 
-def _removed(keyed: DataFrame, rid: str, did: str, gone: str, least: int) -> DataFrame:
-    """rid and gone: first lines of the deleted windows of `least` lines."""
+def _removed(keyed: DataFrame, rid: str, did: str, gone: str, least: int, alone: int | None) -> DataFrame:
+    """rid and gone: first lines of the deleted windows, and their lines."""
     rows = keyed.select(F.col(rid).alias("rid"), F.col(did).alias("did"), F.coalesce("text", F.lit("")).alias("text"))
-    suffixes = rows.mapInArrow(_suffixes(least), "rid long, did long, pos int, bucket long")
+    suffixes = rows.mapInArrow(_suffixes(least, alone), "rid long, did long, pos int, lines int, bucket long")
     place = F.struct("did", "rid", "pos")
     firsts = suffixes.groupBy("bucket").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     later = suffixes.join(firsts, "bucket").where(place != F.col("first"))
-    return later.groupBy(F.col("rid").alias(rid)).agg(F.collect_set(F.struct("did", "pos")).alias(gone))
+    return later.groupBy(F.col("rid").alias(rid)).agg(F.collect_set(F.struct("did", "pos", "lines")).alias(gone))
 
 
-def deduplicated(docs: DataFrame, least: int = LEAST_LINES) -> DataFrame:
-    """The rows of docs, all columns, with later copies of repeated line runs cut from text (n_chars follows if present).
+def deduplicated(docs: DataFrame, least: int = LEAST_LINES, alone: int | None = None) -> DataFrame:
+    """The rows of docs, all columns, with later copies of repeated line runs, and of single lines of `alone` words or more, cut from text (n_chars follows if present).
 
     Three columns are added: n_lines, n_removed and n_runs; a column of docs with such a name gives way.
     """
     docs = docs.drop("n_lines", "n_removed", "n_runs")
     rid, did, gone_name = fresh_names(docs, "rid", "did", "gone")
     keyed = docs.withColumns({did: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), rid: F.xxhash64("doc_id", "text")})
-    dealt = keyed.repartition(rid).join(_removed(keyed, rid, did, gone_name, least), rid, "left")
+    dealt = keyed.repartition(rid).join(_removed(keyed, rid, did, gone_name, least, alone), rid, "left")
     out = StructType(list(docs.schema.fields))
     for name in ("n_lines", "n_removed", "n_runs"):
         out = out.add(name, "long")
@@ -97,7 +114,7 @@ def deduplicated(docs: DataFrame, least: int = LEAST_LINES) -> DataFrame:
             counts = []
             for k, text in enumerate(texts):
                 lines = (text or "").split("\n")
-                drop = {p for x in gone[k] or () if x["did"] == dids[k] for p in range(x["pos"], x["pos"] + least)}
+                drop = {p for x in gone[k] or () if x["did"] == dids[k] for p in range(x["pos"], x["pos"] + x["lines"])}
                 if drop:
                     texts[k] = "\n".join(x for i, x in enumerate(lines) if i not in drop)
                 counts.append((len(lines), len(drop), sum(i - 1 not in drop for i in drop)))

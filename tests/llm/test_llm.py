@@ -209,6 +209,17 @@ def test_longer_line_runs(spark):
     assert got == {1: "a\nb\nc\nd", 2: "a\nb\nx", 3: ""}
 
 
+def test_lines_that_repeat_alone(spark):
+    import corpus_pipeline as P
+
+    hot, long = "one two three four five", sentence(300, 60)
+    texts = [f"{hot}\na\n\n{long}\nend", f"b\n{hot}\nc\n\nd", f"{long}", f"e\n{hot}\n{hot}\nf\n{long}", f"{hot}  \n\na b c d\ng", "h\na b c d", None, f"x\ny\n{hot}\nx\ny\nk"]
+    rows = [(i, x, "en", "s", len(x or "")) for i, x in enumerate(texts)]
+    got = {r.doc_id: (r.text, r.n_chars) for r in P.lines(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), DATA).collect()}
+    want = [texts[0], "b\nc\n\nd", "", "e\nf", texts[4], texts[5], None, "x\ny\nk"]
+    assert {k: x for k, (x, _) in got.items()} == dict(enumerate(want)) and all(n == len(x) for x, n in got.values() if x is not None)
+
+
 def shingle_counts(text):
     w = re.findall(WORD, text)
     return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
