@@ -110,6 +110,8 @@ def encode(texts: list[bytes], path: str) -> list[bytes]:
     out = []
     for raw in texts:
         words = raw.lower().translate(_SPLIT).split(b" ")  # bytes.lower changes A-Z only, as the normaliser would
+        if b"<|" in raw:  # special tokens are matched before the normaliser
+            words = [w if b"<|" in w else low for w, low in zip(raw.translate(_SPLIT).split(b" "), words, strict=True)]
         ids = list(map(_cache.get, words))
         if None in ids:
             if len(_cache) > CACHED_WORDS:

@@ -136,6 +136,16 @@ def test_packing(docs):
     assert not any(left.values())
 
 
+def test_special_tokens_in_capitals():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(packing.VOCABULARY)
+    texts = ["A <|ENDOFTEXT|> b", "Word<|StartOfText|>Word", "<|endoftext|> End", "x<|y <| Z|>", "PLAIN Words, too"]
+    want = [Tokenizer.from_file(path).encode(x, add_special_tokens=False).ids for x in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.encode([x.encode() for x in texts], path)] == want
+
+
 def test_quality(docs):
     want = []
     for d, x in pairs(docs):
