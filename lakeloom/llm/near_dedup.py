@@ -17,8 +17,9 @@ order of the texts' hashes), those still outside with the first 32, 128 and so o
 have been compared. In a dense group nearly all join in the first turn, whatever its size; only real
 strays meet the whole bucket. Distance 1 - similarity is a metric, so two members whose distances to
 the leader differ by more than the threshold's distance need not be compared. When a bucket is done,
-each pair of its members is in one component, was compared, or is ruled out: no link between
-different texts is lost. Comparisons read the signatures first; what they leave open is decided on
+each pair of its members is in one component, was compared, or is ruled out. Distances may be
+estimates, so what rules a pair out has SLACK for their errors, and a link is lost only if they err
+by more. Comparisons read the signatures first; what they leave open is decided on
 the shingles themselves.
 
 Defined results: a null text is an empty one; texts without words are near only to identical texts;
@@ -49,8 +50,8 @@ COORDINATES = BANDS * BAND_ROWS
 SURELY_FAR, SURELY_NEAR = 0.7, 0.9
 #: Members of a bucket that an open one is compared with in the first turn; four times as far in each further turn.
 FIRST = 8
-#: Estimates may err by as much when distances are compared.
-SLACK = 0.1
+#: Two estimates' difference may err by as much when distances are compared (3.7 standard deviations at most).
+SLACK = 0.18
 
 #: Stands for a null id, after all others.
 NO_ID = (1 << 63) - 1
