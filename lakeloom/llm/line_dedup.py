@@ -1,11 +1,10 @@
-"""Operator 4: removal of repeated line runs by prefix doubling over line-id sequences.
-
-A document is its sequence of line ids (64-bit hashes of whole lines). Suffixes of all sequences
-are bucketed by their first line, then by the pair of the bucket at a line and the bucket as many
-lines on as are already known (1, 2, 4, ... lines; the last step overlaps when the least run is no
-power of two), and buckets with one suffix leave. A bucket left at the depth of the least run is an
-interval of the suffix array whose longest common prefix has at least that many lines: a repeated
-run. Its first suffix in order of (doc_id, line) stays and the others' lines are deleted; the runs
+"""Operator 4: removal of repeated line runs by windows of line ids, hashed by prefix doubling.
+
+A document is its sequence of line ids (64-bit hashes of whole lines). Each suffix is named by its
+first line, then by the pair of the name at a line and the name as many lines on as are already
+known (1, 2, 4, ... lines; the last step overlaps when the least run is no power of two), up to the
+depth of the least run. Suffixes are grouped once, at that depth; a group of several is what an
+interval of the suffix array with as long a common prefix would be: a repeated run. Its first suffix in order of (doc_id, line) stays and the others' lines are deleted; the runs
 that result are maximal, since every depth-wide window of a longer run is in such an interval.
 
 With `alone`, a single line of at least so many words is a run too: its suffixes are also bucketed at
