@@ -9,18 +9,25 @@ k ln k + 2 k darts have fallen, which costs the same for any total weight; each
 coordinates, the earliest dart of each coordinate stays, and coordinates without any read on. Two
 texts agree in a coordinate with the probability of their weighted Jaccard similarity.
 
-Joining: 32 bands of 7 coordinates (a pair at 0.8 meets in some band with probability 0.9995).
-Within a bucket nobody meets everybody. Every member is compared with the bucket's leader, the member that
-meets most other texts over all bands (of a group of copies, their source); those outside the
-leader's component then are compared with the first 8 members in the bucket's order (the
-order of the texts' hashes), those still outside with the first 32, 128 and so on, until nobody is outside or all
-have been compared. In a dense group nearly all join in the first turn, whatever its size; only real
-strays meet the whole bucket. Distance 1 - similarity is a metric, so two members whose distances to
-the leader differ by more than the threshold's distance need not be compared. When a bucket is done,
-each pair of its members is in one component, was compared, or is ruled out. Distances may be
-estimates, so what rules a pair out has SLACK for their errors, and a link is lost only if they err
-by more. Comparisons read the signatures first; what they leave open is decided on
-the shingles themselves.
+Joining: 32 bands of 7 coordinates (a pair at 0.8 meets in some band with probability 0.9995). The
+bands are the only estimate; what meets in a bucket is decided on the shingles themselves, exactly.
+Nobody meets everybody in a bucket:
+
+1. Every member is compared with the bucket's leader, the member that meets most others over all
+   bands (of a group of copies, their source). Sizes that differ too much need no comparison.
+2. What is left are strays, members outside the leader's component. A shingle is open if it occurs in
+   two components. All that a stray shares with another component is open, so with m shingles of
+   which o are open its similarity to a text with m' and o' is at most x / (m + m' - x), where
+   x = min(o, o'). Strays that no size in their bucket lets reach the threshold leave.
+3. The remaining ones are compared with the first members of the bucket whose bound reaches the
+   threshold, then with 16 times as many, and so on, over components that have grown meanwhile.
+
+So each pair in a bucket is in one component, was compared, or is ruled out by a proven bound: no
+link that the bands have found is lost. Work is linear in a bucket for copies of one source, however many:
+copies near it join in step 1, and those with changes of their own leave in step 2. Only strays that
+share their changes with other components go through step 3.
+
+Texts are told apart by 128 bits of hash, shingles by 64.
 
 Defined results: a null text is an empty one; texts without words are near only to identical texts;
 a text under five words is one shingle; identical texts are one class; a null id is an id like
@@ -31,11 +38,10 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -46,12 +52,10 @@ from .lineage import fresh_names, written
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 32, 7
 COORDINATES = BANDS * BAND_ROWS
-#: Signature estimates below / above these decide by themselves (3.7 standard deviations of an estimate at 0.8).
-SURELY_FAR, SURELY_NEAR = 0.7, 0.9
-#: Members of a bucket that an open one is compared with in the first turn; four times as far in each further turn.
-FIRST = 8
-#: Two estimates' difference may err by as much when distances are compared (3.7 standard deviations at most).
-SLACK = 0.18
+#: Members of a bucket that a stray is compared with in the first turn, and times as many in each further turn.
+FIRST, FURTHER = 64, 16
+#: Bits of the filter that keeps most texts without a bucket from being shingled again; too few only cost time.
+FILTER_BITS = 1 << 23
 
 #: Stands for a null id, after all others.
 NO_ID = (1 << 63) - 1
@@ -156,7 +160,7 @@ def _docs_in_steps(offsets: np.ndarray):
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """t, did, text -> t, did, bands (null without words), sketch (a byte a coordinate)."""
+    """k1, k2, did, text -> k1, k2, did, m (shingles), bands (null without words)."""
     for batch in batches:
         data, offsets = K.flat(batch.column("text"))
         for i, j in _docs_in_steps(offsets):
@@ -167,79 +171,53 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r in range(BAND_ROWS):
                 band = K.mix(band * _GOLD + sig[:, r::BAND_ROWS])
             band = K.mix(band ^ (np.arange(1, BANDS + 1, dtype=U) * _LEVEL))
-            empty = pa.array(np.bincount(doc, minlength=n) == 0)
+            m = np.bincount(doc, minlength=n)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), pa.array(band.view(np.int64).ravel()))
-            sketch = (sig & U(255)).astype(np.uint8)
-            rows = pa.array([x.tobytes() for x in sketch], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("t").slice(i, n), batch.column("did").slice(i, n), pa.compute.if_else(empty, pa.scalar(None, bands.type), bands), rows], ["t", "did", "bands", "sketch"])
+            bands = pa.compute.if_else(pa.array(m == 0), pa.scalar(None, bands.type), bands)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, n) for c in ("k1", "k2", "did")), pa.array(m), bands], ["k1", "k2", "did", "m", "bands"])
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """t, text -> t, cells (sorted 32-bit cell hashes)."""
-    for batch in batches:
-        data, offsets = K.flat(batch.column("text"))
-        for i, j in _docs_in_steps(offsets):
-            cells, doc = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            key = (doc.astype(U) << U(32)) | (cells >> U(32))
-            key.sort()
-            cut = np.searchsorted(key >> U(32), np.arange(j - i + 1, dtype=U)) * 4
-            low = np.ascontiguousarray(key.astype(np.uint32)).view(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column("t").slice(i, j - i), K.binary(low, cut[:-1], cut[1:])], ["t", "cells"])
+def _cells(bits):
+    """k1, k2, did, text -> k1, k2, did, cells (64-bit cell hashes, all different) of the rows that the filter lets through."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = bits.value
+        for batch in batches:
+            at = batch.column("at").to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array((words[at >> 6] >> (at & 63).astype(U)) & U(1) == U(1)))
+            data, offsets = K.flat(batch.column("text"))
+            for i, j in _docs_in_steps(offsets):
+                cells, doc = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                to = np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32)
+                listed = pa.ListArray.from_arrays(pa.array(to), pa.array(cells.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("k1", "k2", "did")), listed], ["k1", "k2", "did", "cells"])
 
-def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if len(batch):
-            a, b = (np.frombuffer(K.flat(batch.column(c))[0], np.uint8).reshape(len(batch), COORDINATES) for c in ("sa", "sb"))
-            same = np.concatenate([(a[x : x + 2000] == b[x : x + 2000]).mean(axis=1) for x in range(0, len(a), 2000)])
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array((same - 1 / 256) * 256 / 255)], ["a", "b", "sim"])
+    return run
 
 
-def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        (x, xo), (y, yo) = K.flat(batch.column("ca")), K.flat(batch.column("cb"))
-        sims = []
-        for i in range(len(batch)):
-            p, q = x[xo[i] : xo[i + 1]].view(np.uint32), y[yo[i] : yo[i + 1]].view(np.uint32)
-            both = np.concatenate((p, q))
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
-            sims.append(common / max(1, len(both) - common))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sims, pa.float64())], ["a", "b", "sim"])
-
-
-@contextmanager
-def _rows_per_batch(spark: SparkSession, n: int) -> Iterator[None]:
-    """Arrow batches of n rows for the tables that are written inside: rows here hold whole texts, sketches or shingles."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, n)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
-def _compare(pairs: DataFrame, texts: DataFrame, cells: DataFrame) -> DataFrame:
-    """pairs (a, b) with their similarity, written."""
-    both = pairs
-    for c in "ab":
-        both = both.join(texts.select(F.col("t").alias(c), F.col("sketch").alias(f"s{c}")), c)
-    guess = written(both.select("a", "b", "sa", "sb").mapInArrow(_estimate, "a long, b long, sim double"))
-    unsure = guess.where(F.col("sim").between(SURELY_FAR, SURELY_NEAR)).select("a", "b")
-    for c in "ab":
-        unsure = unsure.join(cells.select(F.col("t").alias(c), F.col("cells").alias(f"c{c}")), c)
-    exact = unsure.select("a", "b", "ca", "cb").mapInArrow(_exact, "a long, b long, sim double")
-    return written(guess.where(~F.col("sim").between(SURELY_FAR, SURELY_NEAR)).unionByName(exact))
+def _filter_place() -> Column:
+    return F.pmod(F.xxhash64("k1", "k2", "did"), F.lit(FILTER_BITS)).alias("at")
 
 
-def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id (least id of the class) of every row."""
-    with _rows_per_batch(docs.sparkSession, 1000):
-        joined = _components(docs, similarity)
-        classes = joined.join(joined.groupBy("c").agg(F.min("did").alias("class_did")), "c").select("t", "class_did")
-        named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("t")).join(classes, "t")
-        return named.select("doc_id", F.when(F.col("class_did") != NO_ID, F.col("class_did")).alias("class_id"))
+def _cells_of(needed: DataFrame, rows: DataFrame) -> DataFrame:
+    """t, cells of the texts of needed (k1, k2, did, t), written.
+
+    Texts are not shuffled for it: a filter of fixed size, whose false hits leave in the join, decides which are shingled again.
+    """
+    filled = needed.select(_filter_place()).groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[filled.column("w").to_numpy()] = filled.column("bits").to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast(bits.view(U))
+    cells = rows.select("k1", "k2", "did", "text", _filter_place()).mapInArrow(_cells(shared), "k1 long, k2 long, did long, cells array<long>")
+    return written(cells.join(needed, ["k1", "k2", "did"]).groupBy("t").agg(F.first("cells").alias("cells")))
+
+
+def _near(pairs: DataFrame, cells: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose weighted Jaccard similarity reaches the threshold."""
+    for c in "ab":
+        pairs = pairs.join(cells.select(F.col("t").alias(c), F.col("cells").alias(f"c{c}")), c)
+    sized = pairs.select("a", "b", F.size(F.array_intersect("ca", "cb")).alias("x"), (F.size("ca") + F.size("cb")).alias("n"))
+    return sized.where(F.col("x") >= similarity * (F.col("n") - F.col("x")) - 1e-9).select("a", "b")
 
 
 def _id_key() -> Column:
@@ -247,54 +225,80 @@ def _id_key() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
 
 
-def _text_key() -> Column:
-    return F.xxhash64(F.coalesce("text", F.lit("")))
+def _text_keys() -> tuple[Column, Column]:
+    """128 bits that name a text."""
+    text = F.coalesce("text", F.lit(""))
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
+
+
+def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, class_id (least id of the class) of every row."""
+    joined = _components(docs, similarity)
+    classes = joined.join(joined.groupBy("c").agg(F.min("did").alias("class_did")), "c").select("k1", "k2", "class_did")
+    k1, k2 = _text_keys()
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2")).join(classes, ["k1", "k2"])
+    return named.select("doc_id", F.when(F.col("class_did") != NO_ID, F.col("class_did")).alias("class_id"))
 
 
 def _components(docs: DataFrame, similarity: float) -> DataFrame:
-    """t, did (least id of the text), c (component of near texts) of every different text."""
-    rows = docs.select(_id_key().alias("did"), _text_key().alias("t"), F.coalesce("text", F.lit("")).alias("text"))
-    signed = rows.select("t", "did", "text").mapInArrow(_sign, "t long, did long, bands array<long>, sketch binary")
+    """k1, k2, did (least id of the text), c (component of near texts) of every different text."""
+    k1, k2 = _text_keys()
+    rows = docs.select(_id_key().alias("did"), k1.alias("k1"), k2.alias("k2"), F.coalesce("text", F.lit("")).alias("text"))
+    signed = rows.select("k1", "k2", "did", "text").mapInArrow(_sign, "k1 long, k2 long, did long, m long, bands array<long>")
     # identical texts become one; the map-side merge meets hot ones
-    texts = written(signed.groupBy("t").agg(F.min("did").alias("did"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    texts = signed.groupBy("k1", "k2").agg(F.min("did").alias("did"), F.first("m").alias("m"), F.first("bands").alias("bands"))
+    texts = written(texts.withColumn("t", F.monotonically_increasing_id()))
 
-    buckets = texts.where("bands is not null").select(F.explode("bands").alias("bucket"), "t")
+    buckets = texts.where("bands is not null").select(F.explode("bands").alias("bucket"), "t", "m")
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = written(buckets.join(shared, "bucket"))
     # the text that most others meet leads: in a group of copies that is the one they were made from
     met = members.groupBy("t").agg(F.sum("n").alias("met"))
-    leaders = members.join(met, "t").groupBy("bucket").agg(F.max_by("t", F.struct("met", "t")).alias("leader"))
+    leaders = members.join(met, "t").groupBy("bucket").agg(F.max(F.struct("met", "t", "m")).alias("x")).select("bucket", F.col("x.t").alias("leader"), F.col("x.m").alias("leader_m"))
     members = written(members.join(leaders, "bucket"))
-    needed = written(members.select("t").distinct().join(texts.select("t", "did"), "t"))
-    cells = written(rows.select("did", "t", "text").join(needed, ["did", "t"], "left_semi").dropDuplicates(["did", "t"]).select("t", "text").mapInArrow(_cells, "t long, cells binary"))
-
-    pairs = members.where("t <> leader").select(F.col("leader").alias("a"), F.col("t").alias("b")).distinct()
-    known = _compare(pairs, texts, cells)
-    labels = contract(needed.select("t", F.col("t").alias("c")), known.where(F.col("sim") >= similarity).select("a", "b"))
-    near = known.select(F.col("a").alias("leader"), F.col("b").alias("t"), "sim")
-    members = members.join(near, ["leader", "t"], "left").select("bucket", "leader", "n", "t", F.coalesce("sim", F.lit(1.0)).alias("sim"))
-
-    far, turn = 1 - similarity + SLACK, 0
-    place = (F.col("t").cast("double") + 2.0**63) / 2.0**64  # of a member in its bucket's order, from 0 to 1
-    reach = lambda k: F.lit(0.0) if k < 1 else FIRST * 4.0 ** (k - 1) / F.col("n")
+    needed = written(members.select("t").distinct().join(texts.select("k1", "k2", "did", "t"), "t"))
+    cells = _cells_of(needed, rows)
+
+    sizes_fit = F.least("m", "leader_m") >= similarity * F.greatest("m", "leader_m") - 1e-9
+    pairs = members.where(sizes_fit & (F.col("t") != F.col("leader"))).select(F.col("leader").alias("a"), F.col("t").alias("b")).distinct()
+    labels = contract(needed.select("t", F.col("t").alias("c")), _near(pairs, cells, similarity))
+    labels = _with_strays(members.drop("leader_m"), labels, cells, similarity)
+    return texts.select("k1", "k2", "did", "t").join(labels, "t", "left").withColumn("c", F.coalesce("c", "t")).drop("t")
+
+
+def _with_strays(members: DataFrame, labels: DataFrame, cells: DataFrame, similarity: float) -> DataFrame:
+    """labels (t, c) of members (bucket, n, t, m, leader), with the links of those outside their leaders' components."""
+    place = (F.xxhash64("t").cast("double") + 2.0**63) / 2.0**64  # of a member in its bucket's order, from 0 to 1
+    reach = lambda k: F.lit(0.0) if k < 1 else FIRST * float(FURTHER) ** (k - 1) / F.col("n")
+    turn = 0
     while True:
         turn += 1
         named = members.join(labels, "t")
-        heads = named.where("t = leader").select("bucket", F.col("c").alias("head"))
-        named = named.join(heads, "bucket").withColumn("open", F.col("c") != F.col("head"))
-        left = named.where(reach(turn - 1) < 1).groupBy("bucket").agg(F.bool_or("open").alias("any")).where("any").drop("any")
-        members = written(named.join(left, "bucket").select("bucket", "leader", "n", "t", "sim", "c", "open"))
+        mixed = named.groupBy("bucket").agg(
+            F.min("c").alias("lo"), F.max("c").alias("hi"), F.max_by("c", F.col("t") == F.col("leader")).alias("head"), F.min("m").alias("least_m"), F.max("m").alias("most_m")
+        ).where("lo < hi").drop("lo", "hi")
+        members = written(named.join(mixed, "bucket").withColumn("stray", F.col("c") != F.col("head")))
         if members.isEmpty():
-            break
-        asks = members.where("open").select("bucket", F.col("t").alias("asks"), F.col("sim").alias("asks_sim"), F.col("c").alias("asks_c"))
-        next_ = members.where((place >= reach(turn - 1)) & (place < reach(turn)) & (F.col("t") != F.col("leader")))
-        pairs = next_.join(asks, "bucket").where((F.col("c") != F.col("asks_c")) & (F.abs(F.col("sim") - F.col("asks_sim")) <= far))
-        pairs = pairs.select(F.least("asks", "t").alias("a"), F.greatest("asks", "t").alias("b")).distinct()
-        known = _compare(pairs, texts, cells)
-        labels = contract(labels, known.where(F.col("sim") >= similarity).select("a", "b"))
-        members = members.drop("c", "open")
-
-    return texts.select("t", "did").join(labels, "t", "left").withColumn("c", F.coalesce("c", "t"))
+            return labels
+        who = members.groupBy("t").agg(F.first("c").alias("c"), F.max("stray").alias("stray"))
+        spread = who.join(cells, "t").select("t", "c", "stray", F.explode("cells").alias("cell"))
+        open_cells = spread.groupBy("cell").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("cell")
+        counted = spread.where("stray").join(open_cells, "cell").groupBy("t").agg(F.count(F.lit(1)).alias("o"))
+        able = (F.col("most_m") >= similarity * F.col("m") - 1e-9) & (F.col("least_m") <= (1 + 1 / similarity) * F.col("o") - F.col("m") + 1e-9)
+        asks = written(members.where("stray").join(counted, "t").where(able).select("bucket", "t", "c", "m", "o"))
+        if asks.isEmpty():
+            return labels
+        asking = asks.select("bucket").distinct()
+        rest = members.where("not stray").join(asking, "bucket", "left_semi").withColumn("o", F.col("m"))
+        kept = members.select("bucket", "n", "t", "m", "leader", "c").join(asks.select("bucket", "t", "o"), ["bucket", "t"])
+        partners = written(rest.select("bucket", "n", "t", "m", "leader", "c", "o").unionByName(kept))
+        a = asks.select("bucket", *(F.col(x).alias(f"a_{x}") for x in ("t", "c", "m", "o")))
+        x = F.least("o", "a_o")
+        bound = x >= similarity * (F.col("m") + F.col("a_m") - x) - 1e-9
+        now = partners.where((place >= reach(turn - 1)) & (place < reach(turn)))
+        pairs = now.join(a, "bucket").where((F.col("c") != F.col("a_c")) & bound).select(F.least("a_t", "t").alias("a"), F.greatest("a_t", "t").alias("b")).distinct()
+        labels = contract(labels, _near(pairs, cells, similarity))
+        members = partners.where(reach(turn) < 1).select("bucket", "n", "t", "m", "leader")
 
 
 def one_of_each_class(docs: DataFrame) -> DataFrame:
@@ -302,10 +306,11 @@ def one_of_each_class(docs: DataFrame) -> DataFrame:
 
     Ids may repeat or be null, so rows are chosen by id and text; of rows equal in both one stays.
     """
-    i, h = fresh_names(docs, "id", "h")
-    keyed = docs.withColumns({i: _id_key(), h: _text_key()})
-    with _rows_per_batch(docs.sparkSession, 1000):
-        least = _components(docs, SIMILARITY).groupBy("c").agg(F.min(F.struct("did", "t")).alias("x")).select(F.col("x.did").alias(i), F.col("x.t").alias(h))
-        chosen = written(keyed.select(i, h).join(least, [i, h], "left_semi").groupBy(i, h).agg(F.count(F.lit(1)).alias("n")))
-    once, more = (keyed.join(chosen.where(how), [i, h], "left_semi") for how in ("n = 1", "n > 1"))
-    return once.unionByName(more.dropDuplicates([i, h])).drop(i, h)
+    i, h, g = fresh_names(docs, "id", "h", "g")
+    k1, k2 = _text_keys()
+    keyed = docs.withColumns({i: _id_key(), h: k1, g: k2})
+    least = _components(docs, SIMILARITY).groupBy("c").agg(F.min(F.struct("did", "k1", "k2")).alias("x"))
+    least = least.select(F.col("x.did").alias(i), F.col("x.k1").alias(h), F.col("x.k2").alias(g))
+    chosen = written(keyed.select(i, h, g).join(least, [i, h, g], "left_semi").groupBy(i, h, g).agg(F.count(F.lit(1)).alias("n")))
+    once, more = (keyed.join(chosen.where(how), [i, h, g], "left_semi") for how in ("n = 1", "n > 1"))
+    return once.unionByName(more.dropDuplicates([i, h, g])).drop(i, h, g)

@@ -288,10 +288,6 @@ def test_signatures_estimate_similarity():
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.05
 
 
-def test_slack_covers_two_estimates():
-    assert near_dedup.SLACK >= 3.7 * (2 * 0.25 / near_dedup.COORDINATES) ** 0.5
-
-
 def test_large_bucket_in_turns(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "FIRST", 2)
     base = sentence(5, 100).split()
