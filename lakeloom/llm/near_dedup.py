@@ -16,16 +16,17 @@ Nobody meets everybody in a bucket:
 1. Every member is compared with the bucket's leader, the member that meets most others over all
    bands (of a group of copies, their source). Sizes that differ too much need no comparison.
 2. What is left are strays, members outside the leader's component. A shingle is open if it occurs in
-   two components. All that a stray shares with another component is open, so with m shingles of
-   which o are open its similarity to a text with m' and o' is at most x / (m + m' - x), where
-   x = min(o, o'). Strays that no size in their bucket lets reach the threshold leave.
-3. The remaining ones are compared with the first members of the bucket whose bound reaches the
-   threshold, then with 16 times as many, and so on, over components that have grown meanwhile.
+   two components. All that a stray shares with a text of another component is open, so one with fewer open
+   shingles than the least overlap that any size in its bucket needs has no further link and leaves.
+3. Of a stray with o open shingles and a least overlap of x, any partner must have one of the o - x + 1 rarest
+   open ones. Strays meet other members on these only, where sizes and open shingles let them reach the
+   threshold, and are compared with them.
 
 So each pair in a bucket is in one component, was compared, or is ruled out by a proven bound: no
-link that the bands have found is lost. Work is linear in a bucket for copies of one source, however many:
-copies near it join in step 1, and those with changes of their own leave in step 2. Only strays that
-share their changes with other components go through step 3.
+link that the bands have found is lost. Copies near their source join in step 1, those with changes of
+their own leave in step 2, and in step 3 the shingles of the source are rarely among the rarest: if a
+stray lacked only few of them it would be linked to the source. So the work grows with the members
+of a bucket, not with their square.
 
 Texts are told apart by 128 bits of hash, shingles by 64.
 
@@ -41,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -52,8 +53,6 @@ from .lineage import fresh_names, written
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 32, 7
 COORDINATES = BANDS * BAND_ROWS
-#: Members of a bucket that a stray is compared with in the first turn, and times as many in each further turn.
-FIRST, FURTHER = 64, 16
 #: Bits of the filter that keeps most texts without a bucket from being shingled again; too few only cost time.
 FILTER_BITS = 1 << 23
 
@@ -255,7 +254,7 @@ def _components(docs: DataFrame, similarity: float) -> DataFrame:
     # the text that most others meet leads: in a group of copies that is the one they were made from
     met = members.groupBy("t").agg(F.sum("n").alias("met"))
     leaders = members.join(met, "t").groupBy("bucket").agg(F.max(F.struct("met", "t", "m")).alias("x")).select("bucket", F.col("x.t").alias("leader"), F.col("x.m").alias("leader_m"))
-    members = written(members.join(leaders, "bucket"))
+    members = written(members.join(leaders, "bucket").drop("n"))
     needed = written(members.select("t").distinct().join(texts.select("k1", "k2", "did", "t"), "t"))
     cells = _cells_of(needed, rows)
 
@@ -267,38 +266,31 @@ def _components(docs: DataFrame, similarity: float) -> DataFrame:
 
 
 def _with_strays(members: DataFrame, labels: DataFrame, cells: DataFrame, similarity: float) -> DataFrame:
-    """labels (t, c) of members (bucket, n, t, m, leader), with the links of those outside their leaders' components."""
-    place = (F.xxhash64("t").cast("double") + 2.0**63) / 2.0**64  # of a member in its bucket's order, from 0 to 1
-    reach = lambda k: F.lit(0.0) if k < 1 else FIRST * float(FURTHER) ** (k - 1) / F.col("n")
-    turn = 0
-    while True:
-        turn += 1
-        named = members.join(labels, "t")
-        mixed = named.groupBy("bucket").agg(
-            F.min("c").alias("lo"), F.max("c").alias("hi"), F.max_by("c", F.col("t") == F.col("leader")).alias("head"), F.min("m").alias("least_m"), F.max("m").alias("most_m")
-        ).where("lo < hi").drop("lo", "hi")
-        members = written(named.join(mixed, "bucket").withColumn("stray", F.col("c") != F.col("head")))
-        if members.isEmpty():
-            return labels
-        who = members.groupBy("t").agg(F.first("c").alias("c"), F.max("stray").alias("stray"))
-        spread = who.join(cells, "t").select("t", "c", "stray", F.explode("cells").alias("cell"))
-        open_cells = spread.groupBy("cell").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("cell")
-        counted = spread.where("stray").join(open_cells, "cell").groupBy("t").agg(F.count(F.lit(1)).alias("o"))
-        able = (F.col("most_m") >= similarity * F.col("m") - 1e-9) & (F.col("least_m") <= (1 + 1 / similarity) * F.col("o") - F.col("m") + 1e-9)
-        asks = written(members.where("stray").join(counted, "t").where(able).select("bucket", "t", "c", "m", "o"))
-        if asks.isEmpty():
-            return labels
-        asking = asks.select("bucket").distinct()
-        rest = members.where("not stray").join(asking, "bucket", "left_semi").withColumn("o", F.col("m"))
-        kept = members.select("bucket", "n", "t", "m", "leader", "c").join(asks.select("bucket", "t", "o"), ["bucket", "t"])
-        partners = written(rest.select("bucket", "n", "t", "m", "leader", "c", "o").unionByName(kept))
-        a = asks.select("bucket", *(F.col(x).alias(f"a_{x}") for x in ("t", "c", "m", "o")))
-        x = F.least("o", "a_o")
-        bound = x >= similarity * (F.col("m") + F.col("a_m") - x) - 1e-9
-        now = partners.where((place >= reach(turn - 1)) & (place < reach(turn)))
-        pairs = now.join(a, "bucket").where((F.col("c") != F.col("a_c")) & bound).select(F.least("a_t", "t").alias("a"), F.greatest("a_t", "t").alias("b")).distinct()
-        labels = contract(labels, _near(pairs, cells, similarity))
-        members = partners.where(reach(turn) < 1).select("bucket", "n", "t", "m", "leader")
+    """labels (t, c) of members (bucket, t, m, leader), with the links of those outside their leaders' components."""
+    named = members.join(labels, "t")
+    mixed = named.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max_by("c", F.col("t") == F.col("leader")).alias("head"), F.min("m").alias("least_m"))
+    rest = named.join(mixed.where("lo < hi").drop("lo", "hi"), "bucket").select("bucket", "t", "m", "c", "least_m", (F.col("c") != F.col("head")).alias("stray"))
+    rest = written(rest)
+    if rest.isEmpty():
+        return labels
+    who = written(rest.groupBy("t").agg(F.first("c").alias("c"), F.first("m").alias("m"), F.max("stray").alias("stray"), F.min("least_m").alias("least_m")))
+    spread = who.select("t", "c", "stray").join(cells, "t").select("t", "c", "stray", F.explode("cells").alias("cell"))
+    open_cells = spread.groupBy("cell").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("cell", "n")
+    own = Window.partitionBy("t")
+    ranked = spread.where("stray").select("t", "cell").join(open_cells, "cell").select("t", "cell", F.count(F.lit(1)).over(own).alias("o"), F.row_number().over(own.orderBy("n", "cell")).alias("k"))
+    # the least overlap with a text of the least size that the bucket has and the similarity lets
+    need = F.ceil(similarity / (1 + similarity) * (F.col("m") + F.greatest(similarity * F.col("m"), F.col("least_m"))) - 1e-9)
+    asks = written(ranked.join(who.drop("stray"), "t").where((F.col("o") >= need) & (F.col("k") <= F.col("o") - need + 1)).select("t", "c", "m", "o", "cell"))
+    if asks.isEmpty():
+        return labels
+    asking = asks.select("t").distinct()
+    met = rest.join(rest.join(asking, "t", "left_semi").select("bucket").distinct(), "bucket", "left_semi")
+    partners = met.where("not stray").select("t", "c", "m").unionByName(asks.select("t", "c", "m")).distinct()
+    theirs = partners.join(cells, "t").select(F.col("t").alias("b"), F.col("c").alias("b_c"), F.col("m").alias("b_m"), F.explode("cells").alias("cell"))
+    x = F.least("o", "b_m")
+    able = (F.col("c") != F.col("b_c")) & (x >= similarity * (F.col("m") + F.col("b_m") - x) - 1e-9)
+    pairs = asks.join(theirs, "cell").where(able).select(F.least("t", "b").alias("a"), F.greatest("t", "b").alias("b")).distinct()
+    return contract(labels, _near(written(pairs), cells, similarity))
 
 
 def one_of_each_class(docs: DataFrame) -> DataFrame:

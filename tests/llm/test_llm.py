@@ -109,6 +109,13 @@ def test_license_expressions():
     assert all(licenses.evaluate(x) is None for x in ("MIT OR", "(MIT", "", "AND MIT", "()"))
 
 
+def test_license_tags_and_long_texts(spark):
+    texts = {1: "SPDX License Identifier: MIT", 2: "the SPDX-License-Identifier tag", 3: "spdx-license-identifier = Apache-2.0 OR MIT\nSPDX_License_Identifier: ISC", 4: "cc by " * 100_000, 5: "SPDX-License-Identifier:"}
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert [got[k].labels for k in (1, 2, 3, 4, 5)] == ["mit", "", "apache-2.0,isc,mit", "cc-by", "invalid-expression"]
+    assert (got[4].n_base, got[4].first_word, got[4].last_word) == (100_000, 0, 199_998)
+
+
 def test_packing(docs):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -125,6 +132,10 @@ def test_packing(docs):
             assert r.offset == at and r.tier == w[0].tier <= 4096 and r.step_group == w[0].step_group
             at += r.length
         assert at == w[0].tier and at & (at - 1) == 0
+    groups = defaultdict(Counter)
+    for w in windows.values():
+        groups[w[0].tier][w[0].step_group] += w[0].tier
+    assert all(n == packing.STEP_IDS for g in groups.values() for n in sorted(g.values())[1:]) and all(n <= packing.STEP_IDS for g in groups.values() for n in g.values())
     for d, x in pairs(docs):
         ids = np.array([*tokenizer.encode(x, add_special_tokens=False).ids, 2], "<u4")
         at = 0
@@ -201,10 +212,11 @@ def test_lines(docs):
     for d, x in order:
         ls = x.split("\n")
         for i in range(len(ls) - 1):
-            firsts.setdefault((ls[i], ls[i + 1]), (d, x, i))
+            firsts.setdefault((ls[i], ls[i + 1]), []).append((d, x, i))
     for d, x in order:
         ls = x.split("\n")
-        gone = {j for i in range(len(ls) - 1) if firsts[ls[i], ls[i + 1]] != (d, x, i) for j in (i, i + 1)}
+        gone = {j for i in range(len(ls) - 1) if firsts[ls[i], ls[i + 1]][0] != (d, x, i) for j in (i, i + 1)}
+        gone -= {j for i in range(len(ls) - 1) if len(p := firsts[ls[i], ls[i + 1]]) > 1 and p[0] == (d, x, i) for j in (i, i + 1)}
         want[d, x] = (len(ls), len(gone), hashlib.sha256("\n".join(y for i, y in enumerate(ls) if i not in gone).encode()).hexdigest())
     expected = sorted(((d, *want[-(1 << 63) if d is None else d, x]) for d, x in pairs(docs)), key=repr)
     got = line_dedup.line_digests(docs)
@@ -219,6 +231,13 @@ def test_longer_line_runs(spark):
     assert got == {1: "a\nb\nc\nd", 2: "a\nb\nx", 3: ""}
 
 
+def test_overlapping_line_runs_keep_their_first_copies(spark):
+    rows = [(1, "z\nz\nz"), (2, "a\nb"), (3, "a\nb\nc"), (4, "b\nc"), (5, "z\nz\nq"), (5, "z\nz\nq"), (None, "b\nc\nb\nc")]
+    got = sorted(((r.doc_id, r.text) for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    # the null id orders first, so b, c stands there; c, b stands once
+    assert got == sorted([(None, "b\nc"), (1, "z\nz"), (2, "a\nb"), (3, ""), (4, ""), (5, "q"), (5, "q")], key=repr)
+
+
 def test_lines_that_repeat_alone(spark):
     import corpus_pipeline as P
 
@@ -288,12 +307,20 @@ def test_signatures_estimate_similarity():
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.05
 
 
-def test_large_bucket_in_turns(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "FIRST", 2)
+def test_large_bucket_with_strays(spark):
+    """Copies with changes of their own, copies of copies that share changes, and strays that are linked to one another only."""
     base = sentence(5, 100).split()
-    rows = [(i, " ".join(w if j != (i * 7) % 100 and j != (i * 13) % 100 else f"v{i}" for j, w in enumerate(base))) for i in range(30)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    test_near_duplicates(docs)
+    change = lambda words, places, mark: [f"{mark}{j}" if j in places else w for j, w in enumerate(words)]
+    rows = [(i, change(base, {i * 7 % 100, i * 13 % 100}, f"v{i}")) for i in range(30)]
+    far = change(base, set(range(10, 90, 12)), "f")  # under 0.8 to the base
+    rows += [(100 + i, change(far, {i * 11 % 100}, f"w{i}")) for i in range(6)]
+    rows += [(200 + i, change(rows[i][1], {50 + i, 70 + i, 95 - i}, "shared")) for i in range(8)] + [(300, base[:88]), (301, [*base, *"abcdefgh"])]
+    test_near_duplicates(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string"))
+
+
+def test_near_duplicates_of_the_larger_tables(spark):
+    """Every link of at least 0.8 that a shingle index finds at sf0.01 is inside one class, and classes hold nothing else."""
+    test_near_duplicates(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
 
 
 def test_decontamination(spark, docs):
@@ -315,6 +342,64 @@ def test_decontamination(spark, docs):
     assert not decontaminate.contaminations(own, bench.limit(0)).count()
 
 
+def plain_tiles(text, item, least):
+    """The longest match of free words, of equal ones the first, again and again."""
+    a, b, out = [True] * len(text), [True] * len(item), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(text)):
+            for j in range(len(item)):
+                k = 0
+                while i + k < len(text) and j + k < len(item) and a[i + k] and b[j + k] and text[i + k] == item[j + k]:
+                    k += 1
+                best = min(best, (-k, i, j))
+        k, i, j = -best[0], best[1], best[2]
+        if k < least:
+            return out
+        out.append((i, j, k))
+        a[i : i + k] = b[j : j + k] = [False] * k
+
+
+@pytest.mark.parametrize("letters", [1, 2, 3, 6])
+def test_tiles_equal_plain_tiling(letters):
+    r = np.random.default_rng(letters)
+    for _ in range(60):
+        text, item = (r.integers(1, letters + 1, r.integers(1, 40)).astype(np.uint64) for _ in range(2))
+        assert decontaminate.tiles(text, item, 3) == plain_tiles(text.tolist(), item.tolist(), 3)
+
+
+def test_contaminations_equal_brute_force(spark):
+    """Every document against every item, without seeds or index."""
+    docs, bench = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "benchmark"))
+    words = lambda x: re.findall(r"[a-z0-9\x80-\U0010ffff]+", (x or "").lower())
+    ids = defaultdict(lambda: len(ids) + 1)
+    number = lambda x: np.array([ids[w] for w in words(x)], np.uint64)
+    items = [(r.item_id, number(r.text)) for r in bench.collect()]
+    want = set()
+    for r in docs.collect():
+        text = number(r.text)
+        for i, item in items:
+            near = np.isin(item, text)
+            if len(item) >= decontaminate.SEED and near.mean() >= decontaminate.COVERAGE and 2 * sum(k for _, _, k in decontaminate.tiles(text, item)) >= len(item):
+                want.add((r.doc_id, i))
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminations(docs, bench).collect()} == want and want
+
+
+def test_blocks_and_equal_items(spark, monkeypatch):
+    text = sentence(77, 30)
+    docs = spark.createDataFrame([(1, f"lead {text} tail", 0), (2, sentence(78, 30), 0), (3, None, 0)], "doc_id long, text string, k1 long")
+    bench = spark.createDataFrame([(7, text, 1), (8, text, 1), (None, text, 1), (9, sentence(79, 30), 1), (10, None, 1)], "item_id long, text string, k2 long")
+    for size in (8 << 20, 64):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        assert rows_of(decontaminate.contaminations(docs, bench)) == sorted([(1, i, 1.0, 1) for i in (7, 8, None)], key=repr)
+        assert [r.doc_id for r in decontaminate.decontaminated(docs, bench).orderBy("doc_id").collect()] == [2, 3]
+
+
+def test_tiles_of_repetitive_texts():
+    text, item = np.ones(20_000, np.uint64), np.ones(8_000, np.uint64)
+    assert decontaminate.tiles(text, item) == [(0, 0, 8_000)]
+
+
 def test_tiles_are_greedy_and_disjoint():
     item, text = np.arange(1, 31, dtype=np.uint64), np.array([*range(16, 31), 99, *range(1, 16), 98, *range(5, 12)], np.uint64)
     got = decontaminate.tiles(text, item)
@@ -365,6 +450,17 @@ def test_transcripts(spark):
     assert sum(got[k] == v for k, v in want.items()) > 0.75 * len(want)
 
 
+def test_addresses_without_scheme_or_host(spark):
+    rows = [
+        (1, "example.com/a", 1, "response", "p1", {"etag": "x"}), (2, "other.org/b", 2, "revisit", None, {"etag": "x"}), (3, "//Example.com/a/", 3, "revisit", None, {"etag": "x"}),
+        (4, "/c", 1, "response", "p4", {"etag": "x"}), (5, "/c", 2, "revisit", None, {"etag": "x"}), (6, "", 2, "revisit", None, {"etag": "x"}), (7, "?q=1", 3, "revisit", None, {"etag": "x"}),
+    ]
+    frame = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "record_id long, url string, ts long, kind string, payload_digest string, headers map<string,string>, url_key string, body string")
+    got = {r.record_id: (r.status, r.source_id, r.url_key) for r in warc.resolve_revisits(frame).collect()}
+    assert got[3] == ("resolved", 1, "example.com/a") and got[2] == ("no_earlier_response", None, "other.org/b")
+    assert all(got[k] == ("no_earlier_response", None, None) for k in (5, 6, 7))
+
+
 def test_odd_transcripts(spark):
     rows = [(1, 0, "user", None), (1, 1, None, "x"), (1, None, "assistant", ""), (None, 0, "user", "a\n\nb"), (2, 5, "tool", "z"), (2, 5, "tool", "z")]
     conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("part", F.lit("clash"))
