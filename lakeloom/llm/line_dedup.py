@@ -1,20 +1,27 @@
-"""Operator 4: removal of repeated line runs by windows of line ids, hashed by prefix doubling.
-
-A document is its sequence of line ids (64-bit hashes of whole lines). Each suffix is named by its
-first line, then by the pair of the name at a line and the name as many lines on as are already
-known (1, 2, 4, ... lines; the last step overlaps when the least run is no power of two), up to the
-depth of the least run. Suffixes are grouped once, at that depth; a group of several is what an
-interval of the suffix array with as long a common prefix would be: a repeated run. Its first suffix in order of (doc_id, line) stays and the others' lines are deleted; the runs
-that result are maximal, since every depth-wide window of a longer run is in such an interval.
-
-With `alone`, a single line of at least so many words is a run too: its suffixes are also bucketed at
-depth one, and all but the first in the same order go. The pipeline does so; op4_line_dedup has runs of
-LEAST_LINES only, as its SQL.
-
-The doubling happens inside a document's own array, so only (id, line, bucket) rows of suffixes are
-shuffled, never the text; deletions return by row key.
-
-Defined results: a null text is an empty one and stays null; lines are split at \\n only and blank
+"""Operator 4: removal of repeated line runs by a suffix array over line ids, built by distributed prefix doubling.
+
+A document is a sequence of lines, and each line begins a suffix. The suffixes of all documents are
+ranked together: first by their first line, whose rank is the place (doc_id, row key, line) of the
+line's first copy; then by the pair of the ranks at a suffix and as many lines on as the ranks already
+reach, whose rank is again the place of the pair's first copy. So ranks of depth 1, 2, 4, ... name the
+same prefixes in the same order everywhere (the last step overlaps when the least run is no power of
+two). A suffix that is alone in its bucket has no longer common prefix with any other and leaves, and so
+do its later pairs: only repeated suffixes are shuffled after the first round, never the text.
+
+At the depth of the least run, a bucket is an interval of the suffix array whose longest common prefix
+is at least that. Its suffixes but the first are later copies; touching ones form the maximal runs that
+are deleted. Deeper rounds could only split the intervals: every window of a longer repeated run is
+itself in an interval of this depth, so the union of the deleted windows is the same. Lines of an
+interval's first suffix stay, even where a later copy of another run (or of itself) overlaps
+them: every repeated run stands somewhere whole.
+
+With `alone`, a single line of at least so many words is a run too: intervals of depth one whose line has
+as many words are added, by the same rule. The pipeline does so; op4_line_dedup has runs of LEAST_LINES
+only, as its SQL.
+
+Lines are told apart by 128 bits of hash, longer prefixes by places, which do not collide.
+
+Defined results: a null text is an empty one and stays null; lines are split at \n only and blank
 lines are lines; a null id orders first; rows alike in id and text are one document (both get its
 result); an empty table gives no rows; other columns are kept by deduplicated() and ignored else.
 """
@@ -30,17 +37,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import kernels as K
-from .lineage import fresh_names
+from .lineage import fresh_names, written
 
 #: Production parameter: lines that a repeated run has at least.
 LEAST_LINES = 2
 #: Words of a line that the pipeline takes for a run by itself.
 ALONE_WORDS = 5
 
-#: Keeps the buckets of single lines apart from those of longer runs.
-U_ALONE = K.U64(0xA0761D6478BD642F)
-
-
 def line_spans(data: np.ndarray, offsets: np.ndarray):
     """(start, end, first): byte spans of the lines of all texts, and the number of lines before each text."""
     breaks = np.flatnonzero(data == 10)
@@ -54,44 +57,59 @@ def line_spans(data: np.ndarray, offsets: np.ndarray):
     return start, end, first
 
 
-def _suffixes(least: int, alone: int | None):
-    """rid, did, text -> rid, did, pos, lines, bucket of every suffix with at least `least` lines, at that depth, and of those whose first line has `alone` words, at depth one."""
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """rid, did, text -> rid, did, pos, words, h1, h2 of every line."""
+    for batch in batches:
+        data, offsets = K.flat(batch.column("text"))
+        rid, did = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rid", "did"))
+        for i, j in K.chunks(offsets):
+            part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            start, end, first = line_spans(part, own)
+            begins = K.words(part, own)[0]
+            doc = np.repeat(np.arange(j - i), np.diff(first))
+            hashes = [K.span_hash(K.prefix(x), start, end).view(np.int64) for x in (part, K.mix(part.astype(np.uint64)))]
+            words = np.searchsorted(begins, end) - np.searchsorted(begins, start)
+            columns = [rid[i:j][doc], did[i:j][doc], (np.arange(len(doc)) - first[doc]).astype(np.int32), words.astype(np.int32), *hashes]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["rid", "did", "pos", "words", "h1", "h2"])
+
+
+def _ranked(suffixes: DataFrame, *key: str) -> DataFrame:
+    """The suffixes (rid, did, pos, words, key) whose key repeats, ranked by the place of its first copy."""
+    place = F.struct("did", "rid", "pos")
+    firsts = suffixes.groupBy(*key).agg(F.min(place).alias("place"), F.max(place).alias("last")).where("place <> last").drop("last")
+    return suffixes.join(firsts, [*key]).select("rid", "did", "pos", "words", F.col("place").alias("rank"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = K.flat(batch.column("text"))
-            rid, did = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rid", "did"))
-            for i, j in K.chunks(offsets):
-                part = data[offsets[i] : offsets[j]]
-                start, end, first = line_spans(part, offsets[i : j + 1] - offsets[i])
-                bucket, depth = K.span_hash(K.prefix(part), start, end), 1
-                line = bucket
-                while depth < least and len(bucket) > min(depth, least - depth):
-                    step = min(depth, least - depth)
-                    bucket = K.mix(bucket[:-step] * K.U64(K.BASE) ^ K.mix(bucket[step:]))
-                    depth += step
-                n = np.maximum(np.diff(first) - least + 1, 0)
-                at, doc = K.ranges(first[:-1], n), np.repeat(np.arange(j - i), n)
-                found = [(at, doc, least, bucket[at])]
-                if alone is not None and least > 1:
-                    begins = K.words(part, offsets[i : j + 1] - offsets[i])[0]
-                    at = np.flatnonzero(np.searchsorted(begins, end) - np.searchsorted(begins, start) >= alone)
-                    found.append((at, np.searchsorted(first, at, "right") - 1, 1, K.mix(line[at] ^ U_ALONE)))
-                for at, doc, lines, key in found:
-                    columns = [rid[i:j][doc], did[i:j][doc], (at - first[doc]).astype(np.int32), np.full(len(at), lines, np.int32), key.view(np.int64)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["rid", "did", "pos", "lines", "bucket"])
-
-    return run
+
+def _doubled(suffixes: DataFrame, step: int) -> DataFrame:
+    """Ranks of depth d to ranks of depth d + step (step at most d)."""
+    later = suffixes.select("rid", "did", (F.col("pos") - step).alias("pos"), F.col("rank").alias("next")).dropDuplicates(["rid", "did", "pos"])
+    return _ranked(suffixes.join(later, ["rid", "did", "pos"]), "rank", "next")
+
+
+def intervals(rows: DataFrame, least: int, alone: int | None = None) -> DataFrame:
+    """did, rid, pos, lines, rank of the suffixes in intervals of at least `least` common lines, and of those of one line with `alone` words.
+
+    rows: rid, did, text. rank is the place of the interval's first suffix.
+    """
+    lines = rows.mapInArrow(_lines, "rid long, did long, pos int, words int, h1 long, h2 long")
+    single = suffixes = written(_ranked(lines, "h1", "h2"))
+    depth = 1
+    while depth < least:
+        step = min(depth, least - depth)
+        suffixes, depth = _doubled(suffixes, step), depth + step
+        suffixes = written(suffixes) if depth < least else suffixes
+    found = suffixes.select("did", "rid", "pos", F.lit(least).alias("lines"), "rank")
+    if alone is not None and least > 1:
+        found = found.unionByName(single.where(F.col("words") >= alone).select("did", "rid", "pos", F.lit(1).alias("lines"), "rank"))
+    return found
 
 
 def _removed(keyed: DataFrame, rid: str, did: str, gone: str, least: int, alone: int | None) -> DataFrame:
-    """rid and gone: first lines of the deleted windows, and their lines."""
+    """rid and gone: windows of intervals that the row begins, later copies and first ones."""
     rows = keyed.select(F.col(rid).alias("rid"), F.col(did).alias("did"), F.coalesce("text", F.lit("")).alias("text"))
-    suffixes = rows.mapInArrow(_suffixes(least, alone), "rid long, did long, pos int, lines int, bucket long")
-    place = F.struct("did", "rid", "pos")
-    firsts = suffixes.groupBy("bucket").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = suffixes.join(firsts, "bucket").where(place != F.col("first"))
-    return later.groupBy(F.col("rid").alias(rid)).agg(F.collect_set(F.struct("did", "pos", "lines")).alias(gone))
+    later = F.struct("did", "rid", "pos") != F.struct(F.col("rank.did"), F.col("rank.rid"), F.col("rank.pos"))
+    found = intervals(rows, least, alone).select("rid", F.struct("did", "pos", "lines", later.alias("later")).alias("w"))
+    return found.groupBy(F.col("rid").alias(rid)).agg(F.collect_set("w").alias(gone)).where(F.exists(gone, lambda x: x["later"]))
 
 
 def deduplicated(docs: DataFrame, least: int = LEAST_LINES, alone: int | None = None) -> DataFrame:
@@ -113,7 +131,10 @@ def deduplicated(docs: DataFrame, least: int = LEAST_LINES, alone: int | None =
             counts = []
             for k, text in enumerate(texts):
                 lines = (text or "").split("\n")
-                drop = {p for x in gone[k] or () if x["did"] == dids[k] for p in range(x["pos"], x["pos"] + x["lines"])}
+                drop, first = (
+                    {p for x in gone[k] or () if x["did"] == dids[k] and x["later"] is later for p in range(x["pos"], x["pos"] + x["lines"])} for later in (True, False)
+                )
+                drop -= first
                 if drop:
                     texts[k] = "\n".join(x for i, x in enumerate(lines) if i not in drop)
                 counts.append((len(lines), len(drop), sum(i - 1 not in drop for i in drop)))
@@ -143,9 +164,11 @@ WITH lines AS (
 ), runs AS (
   SELECT doc_id, pos, line, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS next_line FROM lines
 ), later AS (
-  SELECT doc_id, pos, row_number() OVER (PARTITION BY line, next_line ORDER BY doc_id, pos) > 1 AS again FROM runs WHERE next_line IS NOT NULL
+  SELECT doc_id, pos, place > 1 AS again, place = 1 AND copies > 1 AS is_first
+  FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY line, next_line ORDER BY doc_id, pos) AS place, count(*) OVER (PARTITION BY line, next_line) AS copies FROM runs WHERE next_line IS NOT NULL)
 ), gone AS (
-  SELECT doc_id, pos FROM later WHERE again UNION SELECT doc_id, pos + 1 FROM later WHERE again
+  (SELECT doc_id, pos FROM later WHERE again UNION SELECT doc_id, pos + 1 FROM later WHERE again)
+  EXCEPT (SELECT doc_id, pos FROM later WHERE is_first UNION SELECT doc_id, pos + 1 FROM later WHERE is_first)
 ), marked AS (
   SELECT l.doc_id, l.pos, l.line, g.pos IS NOT NULL AS cut, lag(g.pos IS NOT NULL, 1, false) OVER (PARTITION BY l.doc_id ORDER BY l.pos) AS cut_before
   FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos
