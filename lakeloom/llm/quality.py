@@ -7,9 +7,9 @@ value that lies beyond a group's upper quantile by more than a multiple of the d
 of its quantiles (or as far below the lower one) fails. Ratios that are zero for most texts have no
 spread between the quartiles, so their fences read tail quantiles. Where even these coincide, a
 small least distance from the group's quantile takes the spread's place; no fence is a constant of
-its own. A group with fewer than LEAST_ROWS such rows takes its language's fences, and a language
-with fewer takes those of all rows. The small fence table (one row a language and source) is joined
-back to filter.
+its own. A group's fences are shrunk towards its language's, and these towards those of all rows, as if
+PRIOR_ROWS rows had been seen there: n rows of its own weigh n / (n + PRIOR_ROWS), at every size alike.
+The small fence table (one row a language and source) is joined back to filter.
 
 Defined results: a null text has no words (base_failed); null languages and sources are groups like
 others; repeated rows get repeated results; an empty table gives no rows; columns of docs that are
@@ -25,7 +25,7 @@ from .lineage import written
 
 #: Production parameters.
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
-SKETCH_K, SPREAD, TAIL_SPREAD, LEAST_ROWS = 1024, 6.0, 1.0, 200
+SKETCH_K, SPREAD, TAIL_SPREAD, PRIOR_ROWS = 1024, 6.0, 1.0, 20
 
 #: Measure -> (SQL over the columns of measures(), side of the fence, the two quantiles, distances of them to the fence, least distance).
 #: Symbols are read further in: junk made of them can be a tenth of a source.
@@ -42,7 +42,7 @@ SYMBOLS = "#*$%&|<>"
 
 
 def measures(docs: DataFrame, *keep: str) -> DataFrame:
-    """The columns of keep, _once, and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper (all long)."""
+    """The columns of keep, and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper (all long)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(WHITE)) != "")
     cut = docs.select(
@@ -60,13 +60,15 @@ def measures(docs: DataFrame, *keep: str) -> DataFrame:
         F.expr("aggregate(_words, 0L, (a, x) -> a + char_length(x) - char_length(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')))").alias("n_upper"),
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.expr("if(size(_words) < 5, array(), transform(sequence(0, size(_words) - 5), i -> xxhash64(_words[i], _words[i + 1], _words[i + 2], _words[i + 3], _words[i + 4])))").alias("_h"),
+        F.expr("transform(_words, x -> xxhash64(x))").alias("_w"),
     )
+    # hashes of five neighbours: five shifted slices side by side, so that no place is looked up by number
+    shifted = ", ".join(f"slice(_w, {i}, greatest(size(_w) - 4, 0))" for i in range(1, 6))
+    hashed = hashed.withColumn("_h", F.expr(f"transform(arrays_zip({shifted}), x -> xxhash64(x))")).drop("_w")
     ordered = hashed.withColumn("_s", F.expr("if(size(array_distinct(_h)) = size(_h), array(), sort_array(transform(_h, (x, i) -> struct(x as h, i as i))))"))
     twice = ordered.withColumn("_p", F.expr("sort_array(transform(filter(_s, (x, j) -> x.h = coalesce(get(_s, j + 1).h, x.h + 1) or x.h = coalesce(get(_s, j - 1).h, x.h + 1)), x -> x.i))"))
     covered = F.expr("aggregate(zip_with(_p, slice(_p, 2, greatest(size(_p) - 1, 0)), (a, b) -> coalesce(least(5, b - a), 5)), 0L, (a, x) -> a + x)")
-    # a filter that reads _once stays above this projection: pushed below, it would repeat all of the above in its conditions
-    return twice.select(*keep, F.monotonically_increasing_id().alias("_once"), "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"), "n_lines", "n_upper")
+    return twice.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"), "n_lines", "n_upper")
 
 
 def ratio(sql: str) -> Column:
@@ -99,8 +101,9 @@ def fences(measured: DataFrame) -> DataFrame:
     language = read(groups.groupBy("lang").agg(*merged), "l_", F.col("lang").alias("l_lang"))
     every = read(groups.agg(*merged), "a_")
     table = own.join(language, own.lang.eqNullSafe(F.col("l_lang"))).crossJoin(every)  # every has one row
-    pick = lambda c: F.when(F.col("g_n") >= LEAST_ROWS, F.col(f"g_{c}")).when(F.col("l_n") >= LEAST_ROWS, F.col(f"l_{c}")).otherwise(F.col(f"a_{c}"))
-    return table.select("lang", "source", *(pick(f"{r}_{side}").alias(f"{r}_{side}") for r in RATIOS for side in ("low", "high")))
+    toward = lambda n, x, y: (n * x + PRIOR_ROWS * y) / (n + PRIOR_ROWS)
+    fence = lambda c: toward(F.col("g_n"), F.col(f"g_{c}"), toward(F.col("l_n"), F.col(f"l_{c}"), F.col(f"a_{c}")))
+    return table.select("lang", "source", *(fence(f"{r}_{side}").alias(f"{r}_{side}") for r in RATIOS for side in ("low", "high")))
 
 
 def verdict() -> Column:
@@ -112,13 +115,18 @@ def verdict() -> Column:
     return ok
 
 
+def _with_fences(measured: DataFrame) -> DataFrame:
+    """A written table of measures with its rows' fences."""
+    limits = fences(measured).select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), *(f"{r}_{s}" for r in RATIOS for s in ("low", "high")))
+    limits = written(limits)  # its size is known then: broadcast if small
+    return measured.join(limits, measured.lang.eqNullSafe(F.col("f_lang")) & measured.source.eqNullSafe(F.col("f_source")), "left")
+
+
 def quality_scores(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, lang, source."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").alias("lang"), F.col("source").alias("source"))
-    measured = written(measures(named, "doc_id", "lang", "source").drop("_once"))  # read twice, measured once
-    limits = written(fences(measured).select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), *(f"{r}_{s}" for r in RATIOS for s in ("low", "high"))))  # its size is known then: broadcast if small
-    joined = measured.join(limits, measured.lang.eqNullSafe(F.col("f_lang")) & measured.source.eqNullSafe(F.col("f_source")), "left")
-    return joined.select(
+    measured = written(measures(named, "doc_id", "lang", "source"))  # read twice, measured once
+    return _with_fences(measured).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & verdict()).alias("kept"), "lang", "source"
     )
 
@@ -127,11 +135,8 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that the rules keep.
 
     The whole row travels with its measures, so nothing is joined by doc_id and repeated rows stay repeated.
+    It is written once with them, and measured once; the sketches' scan reads only the measures.
     """
     row = F.struct(*docs.columns).alias("_row")
-    named = docs.select(row, "text", F.col("lang").alias("lang"), F.col("source").alias("source"))
-    seen = written(measures(named, "lang", "source").drop("_once"))  # a few numbers a row
-    limits = written(fences(seen).select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), *(f"{r}_{s}" for r in RATIOS for s in ("low", "high"))))  # its size is known then: broadcast if small
-    measured = measures(named, "_row", "lang", "source")
-    joined = measured.join(limits, measured.lang.eqNullSafe(F.col("f_lang")) & measured.source.eqNullSafe(F.col("f_source")), "left")
-    return joined.where((F.col("_once") >= 0) & ~base_failed() & verdict()).select("_row.*")
+    measured = written(measures(docs.select(row, "text", F.col("lang").alias("lang"), F.col("source").alias("source")), "_row", "lang", "source"))
+    return _with_fences(measured).where(~base_failed() & verdict()).select("_row.*")
