@@ -1,8 +1,9 @@
 """Operator 1: licence scan by Aho-Corasick and a shunting-yard expression evaluator.
 
 One automaton finds notice phrases and the identifier tag in the normalised words of a whole text.
-Where the tag stands, the rest of its line is a licence expression: identifiers joined by AND, OR
-and WITH, with parentheses. A shunting-yard parser (WITH before AND before OR) evaluates it to
+Where the tag stands, however its words are separated, and a colon or equals sign follows, the rest of
+its line is a licence expression: identifiers joined by AND, OR and WITH, with parentheses. A tag
+without either sign is only mentioned and gives no label. A shunting-yard parser (WITH before AND before OR) evaluates it to
 identifiers and a restriction degree: OR lets the reader choose (minimum), AND binds to both
 (maximum), WITH softens copyleft by its exception. All findings of a text apply together.
 
@@ -57,7 +58,8 @@ DEGREES = {
 UNKNOWN, SOFTENED = 0.5, 0.4
 _ORDER = {"or": 1, "and": 2, "with": 3}
 _TOKEN = re.compile(r"\s*(?:([()])|([A-Za-z0-9][A-Za-z0-9.+:-]*))")
-_TAG_LINE = re.compile(rb"spdx-license-identifier[ \t]*:[ \t]*([^\r\n]*)", re.I)
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+_AFTER_TAG = re.compile(rb"[ \t]*[:=][ \t]*([^\r\n]*)")
 
 _LOWER_WORDS = bytes(x + 32 if 65 <= x <= 90 else x if x >= 0x80 or 48 <= x <= 57 or 97 <= x <= 122 else 32 for x in range(256))
 
@@ -123,10 +125,10 @@ def evaluate(expression: str) -> tuple[frozenset[str], float] | None:
 def _automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for phrase, label in NOTICE_PHRASES.items():
-        found.add_word(f" {phrase} ", (False, label, len(phrase) + 2))
+        found.add_word(f" {phrase} ", (False, label, phrase.count(" ") + 1))
     for phrase, label in BASE_PHRASES.items():
-        found.add_word(f" {phrase} ", (True, label, len(phrase) + 2))
-    found.add_word(f" {TAG} ", (False, "", len(TAG) + 2))
+        found.add_word(f" {phrase} ", (True, label, phrase.count(" ") + 1))
+    found.add_word(f" {TAG} ", (False, "", TAG.count(" ") + 1))
     found.make_automaton()
     return found
 
@@ -135,21 +137,23 @@ def _scan(automaton, raw: bytes) -> tuple:
     words = raw.translate(_LOWER_WORDS).split()
     line = (b" " + b" ".join(words) + b" ").decode("latin-1")  # a byte a character: the phrases are ASCII
     n_base, first, last, base, labels, risk = 0, None, None, set(), set(), 0.0
-    tagged = False
-    for end, (is_base, label, size) in automaton.iter(line):
+    seen, n_before, tags = 0, 0, set()  # blanks before a hit's end are counted on from the hit before
+    for end, (is_base, label, n) in automaton.iter(line):
+        n_before += line.count(" ", seen, end)
+        seen = end
         if not label:
-            tagged = True
+            tags.add(n_before - 1)  # number of the tag's last word
             continue
         labels.add(label)
         risk = max(risk, degree(label))
         if is_base:
-            place = line.count(" ", 0, end + 1 - size)
+            place = n_before - n
             first, last = place if first is None else min(first, place), place if last is None else max(last, place)
             n_base += 1
             base.add(label)
-    if tagged:
-        for m in _TAG_LINE.finditer(raw):
-            got = evaluate(m[1].decode("utf-8", "replace"))
+    for m in (w for i, w in enumerate(_WORD.finditer(raw)) if i in tags) if tags else ():
+        if rest := _AFTER_TAG.match(raw, m.end()):
+            got = evaluate(rest[1].decode("utf-8", "replace"))
             ids, x = got if got else (("invalid-expression",), UNKNOWN)
             labels.update(ids)
             risk = max(risk, x)
