@@ -10,7 +10,8 @@ windows: each (URL, block) sums up its last response, a window over those few ro
 next blocks as a synthetic first row, and one window per (URL, block) does the rest.
 
 Defined results: a revisit without an earlier response is `no_earlier_response`; one whose validators
-disagree, or where neither kind is on both sides, is `validator_mismatch`; a null URL, a null time or
+disagree, or where neither kind is on both sides, is `validator_mismatch`; an address without a scheme
+begins with its host; a null URL or one without a host has no key, and it, a null time or
 a null kind never resolves and resolves nothing; of full responses at one time that with the largest
 record id counts as latest; repeated rows get repeated results; an empty table gives no rows; other
 columns are ignored.
@@ -31,14 +32,15 @@ _DROPPED = r"^(utm_[^=]*|ref|gclid|fbclid|sessionid|phpsessid|jsessionid)(=|$)"
 
 
 def canonical_url(url: Column) -> Column:
-    """Host and path without scheme, www prefix, default port, fragment, trailing slash and tracking parameters; parameters sorted."""
-    bare = F.regexp_replace(F.trim(url), r"#.*$", "")
-    authority = F.lower(F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)", 1))
+    """Null without a host; else host and path without scheme, www prefix, default port, fragment, trailing slash and tracking parameters; parameters sorted."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(url), r"#.*$", ""), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//", "")
+    authority = F.lower(F.regexp_extract(bare, r"^([^/?]*)", 1))
     host = F.regexp_replace(F.regexp_replace(authority, r"^www[0-9]*\.", ""), r":(80|443)$", "")
-    path = F.regexp_replace(F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)", 1), r"/+$", "")
+    path = F.regexp_replace(F.regexp_extract(bare, r"^[^/?]*([^?]*)", 1), r"/+$", "")
     query = F.regexp_extract(bare, r"\?(.*)$", 1)
     kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(p).rlike(_DROPPED)))
-    return F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit("")))
+    whole = F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit("")))
+    return F.when(host != "", whole)
 
 
 def _tag(c: Column) -> Column:
@@ -93,22 +95,33 @@ def crawl_records(pages: DataFrame) -> DataFrame:
     """A crawl log of the pages: one full response and one revisit of every page.
 
     A page's response is captured at 10 x page_id. Its revisit follows 5 later, or comes 5 before where the
-    page's length is a multiple of 5; its tag is weak where the length is odd, and stale where it is
-    a multiple of 7.
+    page's length is a multiple of 5. The length's rest modulo 7 says which validators there are: 0 a stale tag
+    on the revisit; 1 no tag, the same date of modification; 2 no tag, another date; 3 none on the revisit;
+    4 none on the response; else both have the tag (weak on the revisit where the length is odd), and 6 another date
+    beside it. Revisits where the length is a multiple of 3 carry a cache rule (permitted), all a content type (not).
     """
     size, tag = F.char_length("html"), F.substring(F.sha2("html", 256), 1, 16)
+    rest = size % 7
     quoted = F.concat(F.lit('"'), tag, F.lit('"'))
     stale = F.concat(F.lit('"'), F.substring(F.sha2("url", 256), 1, 16), F.lit('"'))
-    date = lambda c: F.concat(F.lit("t"), c.cast("string"))
+    stamp = lambda c: F.concat(F.lit("t"), c.cast("string"))
     t = F.col("page_id") * 10
     later = F.when(size % 5 == 0, t - 5).otherwise(t + 5)
+
+    def headers(**values) -> Column:
+        """A map without the null ones."""
+        entries = F.array(*(F.struct(F.lit(k.replace("_", "-")).alias("key"), v.alias("value")) for k, v in values.items()))
+        return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
+
     response = pages.select(
         (F.col("page_id") * 2).alias("record_id"), "url", t.alias("ts"), F.lit("response").alias("kind"), F.sha2("html", 256).alias("payload_digest"),
-        F.create_map(F.lit("content-length"), size.cast("string"), F.lit("content-type"), F.lit("text/html"), F.lit("date"), date(t), F.lit("etag"), quoted).alias("headers"),
+        headers(content_length=size.cast("string"), content_type=F.lit("text/html"), date=stamp(t), etag=F.when(~rest.isin(1, 2, 4), quoted), last_modified=F.when(rest.isin(1, 2, 5, 6), stamp(t))).alias("headers"),
     )
+    asked_tag = F.when(rest == 0, stale).when(rest.isin(4, 5, 6), F.when(size % 2 == 1, F.concat(F.lit("W/"), quoted)).otherwise(quoted))
+    asked_date = F.when(rest.isin(1, 5), stamp(t)).when(rest.isin(2, 6), stamp(t + 1))
     revisit = pages.select(
         (F.col("page_id") * 2 + 1).alias("record_id"), "url", later.alias("ts"), F.lit("revisit").alias("kind"), F.lit(None).cast("string").alias("payload_digest"),
-        F.create_map(F.lit("content-length"), F.lit("0"), F.lit("date"), date(later), F.lit("etag"), F.when(size % 7 == 0, stale).when(size % 2 == 1, F.concat(F.lit("W/"), quoted)).otherwise(quoted)).alias("headers"),
+        headers(cache_control=F.when(size % 3 == 0, stamp(size)), content_length=F.lit("0"), content_type=F.lit("text/plain"), date=stamp(later), etag=asked_tag, last_modified=asked_date).alias("headers"),
     )
     return response.unionByName(revisit)
 
@@ -121,28 +134,29 @@ def revisit_digests(pages: DataFrame) -> DataFrame:
 
 ORACLE = r"""
 WITH parts AS (
-  SELECT page_id, html, url, regexp_replace(trim(url), '#.*$', '') AS bare FROM pages
+  SELECT page_id, html, url, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//', '') AS bare FROM pages
 ), keyed AS (
-  SELECT page_id, html, url,
-    regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)), '^www[0-9]*\.', ''), ':(80|443)$', '')
-    || regexp_replace(regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1), '/+$', '') AS place,
+  SELECT page_id, html, url, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^www[0-9]*\.', ''), ':(80|443)$', '') AS host,
+    regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
     list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(utm_[^=]*|ref|gclid|fbclid|sessionid|phpsessid|jsessionid)(=|$)'))) AS kept
   FROM parts
 ), named AS (
-  SELECT page_id, html, url, place || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS url_key, '"' || substr(sha256(html), 1, 16) || '"' AS tag FROM keyed
+  SELECT page_id, html, url, CASE WHEN host <> '' THEN host || path || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS url_key,
+    '"' || substr(sha256(html), 1, 16) || '"' AS tag, length(html) AS size, length(html) % 7 AS rest, page_id * 10 AS t FROM keyed
 ), full_answers AS (
-  SELECT page_id * 2 AS record_id, url_key, page_id * 10 AS ts, sha256(html) AS payload_digest, length(html) AS size, tag FROM named
+  SELECT page_id * 2 AS record_id, url_key, t AS ts, sha256(html) AS payload_digest, size, CASE WHEN rest NOT IN (1, 2, 4) THEN tag END AS tag, CASE WHEN rest IN (1, 2, 5, 6) THEN 't' || t END AS modified FROM named
 ), revisits AS (
-  SELECT page_id * 2 + 1 AS record_id, url_key, CASE WHEN length(html) % 5 = 0 THEN page_id * 10 - 5 ELSE page_id * 10 + 5 END AS ts,
-    CASE WHEN length(html) % 7 = 0 THEN '"' || substr(sha256(url), 1, 16) || '"' WHEN length(html) % 2 = 1 THEN 'W/' || tag ELSE tag END AS tag FROM named
+  SELECT page_id * 2 + 1 AS record_id, url_key, CASE WHEN size % 5 = 0 THEN t - 5 ELSE t + 5 END AS ts, CASE WHEN size % 3 = 0 THEN 't' || size END AS cache,
+    CASE WHEN rest = 0 THEN '"' || substr(sha256(url), 1, 16) || '"' WHEN rest IN (4, 5, 6) THEN CASE WHEN size % 2 = 1 THEN 'W/' || tag ELSE tag END END AS tag,
+    CASE WHEN rest IN (1, 5) THEN 't' || t WHEN rest IN (2, 6) THEN 't' || (t + 1) END AS modified FROM named
 ), matched AS (
-  SELECT r.record_id, r.url_key, r.ts, r.tag, f.record_id AS source_id, f.payload_digest, f.size, f.tag AS stored,
+  SELECT r.record_id, r.url_key, r.ts, r.cache, r.tag, r.modified, f.record_id AS source_id, f.payload_digest, f.size, f.tag AS stored, f.modified AS stored_modified,
     row_number() OVER (PARTITION BY r.record_id ORDER BY f.ts DESC) AS k
   FROM revisits r LEFT JOIN full_answers f ON f.url_key = r.url_key AND f.ts < r.ts
 ), judged AS (
-  SELECT *, CASE WHEN source_id IS NULL THEN 'no_earlier_response' WHEN regexp_replace(tag, '^W/', '') = stored THEN 'resolved' ELSE 'validator_mismatch' END AS status FROM matched WHERE k = 1
+  SELECT *, CASE WHEN source_id IS NULL THEN 'no_earlier_response' WHEN coalesce(regexp_replace(tag, '^W/', '') = stored, modified = stored_modified, false) THEN 'resolved' ELSE 'validator_mismatch' END AS status FROM matched WHERE k = 1
 )
 SELECT record_id, url_key, status, CASE WHEN status = 'resolved' THEN source_id END AS source_id, CASE WHEN status = 'resolved' THEN payload_digest END AS payload_digest,
-  CASE WHEN status = 'resolved' THEN 'content-length=' || size || ';content-type=text/html;date=t' || ts || ';etag=' || tag END AS headers
+  CASE WHEN status = 'resolved' THEN concat_ws(';', 'cache-control=' || cache, 'content-length=' || size, 'content-type=text/html', 'date=t' || ts, 'etag=' || coalesce(tag, stored), 'last-modified=' || coalesce(modified, stored_modified)) END AS headers
 FROM judged
 """
