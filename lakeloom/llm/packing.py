@@ -5,12 +5,13 @@ the widest window is cut into whole windows first and its rest is routed. Window
 the widest tier down: the longest waiting piece opens a window of its tier, the gap is filled by the
 longest pieces of shorter tiers that fit, and one piece is cut to close the window exactly. So every
 window is a power of two long and carries no padding; what is left at the end of a task (under one
-window) is closed as windows of descending powers of two. Windows of one tier are dealt to step
-groups of equal id counts.
+window) is closed as windows of descending powers of two, which may be narrower than the narrowest tier.
 
-Each task packs the documents that it reads: nothing is shuffled, and memory holds a few thousand
-documents. Sequence and group ids start from the partition's number, so a task that runs again
-gives the same rows.
+Each task packs the documents that it reads: no text is shuffled, and memory holds a few thousand
+documents. Sequence ids start from the partition's number, so a task that runs again
+gives the same rows. The pieces (a few numbers each) are written once; then the windows of a tier are
+numbered over all tasks, by adding up one count a task, and dealt to step groups of STEP_IDS ids: all groups of a
+tier but its last are full.
 
 Defined results: a null text is an empty one, whose only id is the closing id; repeated rows are
 packed each by itself; an empty table gives no rows; other columns are ignored.
@@ -27,9 +28,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import written
+
 #: Production parameters: widest window, narrowest routed tier, ids in a step group, closing id.
 WINDOW, LEAST_TIER, STEP_IDS, END_ID = 4096, 256, 1 << 18, 2
 VOCABULARY = "word_bpe_49k.json"
@@ -127,13 +130,13 @@ def encode(texts: list[bytes], path: str) -> list[bytes]:
 class Packer:
     """Packs one task's documents; windows come out as soon as they are closed."""
 
-    def __init__(self, partition: int, window: int = WINDOW, least: int = LEAST_TIER, step_ids: int = STEP_IDS):
-        self.window, self.least, self.step_ids = window, least, step_ids
-        self.next_sequence = self.next_group = partition << 40
+    def __init__(self, partition: int, window: int = WINDOW, least: int = LEAST_TIER):
+        self.window, self.least = window, least
+        self.next_sequence = partition << 40
         self.pool: list[tuple[int, int]] = []  # (length, key), sorted
         self.pieces: dict[int, tuple] = {}  # key -> (doc_id, ids, start)
         self.waiting = self.keys = 0
-        self.groups: dict[int, list[int]] = {}  # tier -> [group, ids in it]
+        self.closed: dict[int, int] = {}  # tier -> windows
         self.rows: list[tuple] = []
 
     def tier(self, length: int) -> int:
@@ -151,14 +154,11 @@ class Packer:
         return (*self.pieces.pop(key), length)
 
     def close(self, size: int, parts: list[tuple]) -> None:
-        group = self.groups.get(size)
-        if group is None or group[1] + size > self.step_ids:
-            self.groups[size] = group = [self.next_group, 0]
-            self.next_group += 1
-        group[1] += size
+        nth = self.closed.get(size, 0)
+        self.closed[size] = nth + 1
         offset = 0
         for doc_id, ids, start, length in parts:
-            self.rows.append((doc_id, start, length, zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)]), len(ids) // 4, self.next_sequence, offset, size, group[0]))
+            self.rows.append((doc_id, start, length, zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)]), len(ids) // 4, self.next_sequence, offset, size, nth))
             offset += length
         self.next_sequence += 1
 
@@ -201,7 +201,7 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, window: int =
 
     vocabulary: path of a tokenizers file that every executor can read (default: the installed public one).
     """
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, nth long"
     names, kinds = [x.split()[0] for x in schema.split(", ")], [pa.int64()] * 7 + [pa.int32(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +210,7 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, window: int =
             import public_tokenizers
 
             path = public_tokenizers.path(VOCABULARY)
-        packer = Packer(TaskContext.get().partitionId(), window, least, step_ids)
+        packer = Packer(TaskContext.get().partitionId(), window, least)
         end = END_ID.to_bytes(4, "little")
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -232,4 +232,14 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, window: int =
         packer.finish()
         yield from out()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return _with_step_groups(written(pieces.withColumn("task", F.shiftright("sequence_id", 40))), step_ids)
+
+
+def _with_step_groups(pieces: DataFrame, step_ids: int) -> DataFrame:
+    """Windows of a tier, numbered over all tasks, in groups of step_ids ids; the tier stands in a group id's high bits."""
+    counts = pieces.groupBy("task", "tier").agg((F.max("nth") + 1).alias("n"))
+    before = Window.partitionBy("tier").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # one row a task
+    starts = counts.select("task", "tier", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
+    group = F.shiftleft(F.col("tier").cast("long"), 40) + F.floor((F.col("begin") + F.col("nth")) * F.col("tier") / F.lit(step_ids)).cast("long")
+    return pieces.join(starts, ["task", "tier"]).select(*(c for c in pieces.columns if c not in ("nth", "task")), group.alias("step_group"))
