@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,6 +70,12 @@ def contains_quote(text: Column, quote: Column) -> Column:
     return (F.char_length(needle) > 0) & F.contains(quote_norm(text), needle)
 
 
+def quotes_cover_gold(gold: Column, quotes: Column, texts: Column) -> Column:
+    """Whether every gold id has a quote that stands in its text. gold: array<string>; quotes: array<struct<paper_id, quote>>; texts: map of id to text."""
+    held = lambda g: F.exists(quotes, lambda q: (q["paper_id"] == g) & contains_quote(F.try_element_at(texts, g), q["quote"]))
+    return (F.size(gold) > 0) & F.forall(gold, lambda g: F.coalesce(held(g), F.lit(False)))
+
+
 def short_id(*parts: Column, length: int = 20) -> Column:
     """Leading hex digits of the SHA-256 of parts joined by NUL."""
     joined = parts[0].cast("string")
@@ -167,15 +175,60 @@ def finite(x: Column) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
 
 
+# Section names that are headings by themselves, and month names that open none.
+KNOWN_SECTIONS = (
+    "abstract", "introduction", "related work", "background", "preliminaries", "method", "methods", "methodology", "approach", "experiments",
+    "experiment", "results", "discussion", "conclusion", "conclusions", "limitations", "acknowledgments", "acknowledgements", "references", "appendix",
+)
+MONTHS = (
+    "jan", "january", "feb", "february", "mar", "march", "apr", "april", "may", "jun", "june", "jul", "july", "aug", "august", "sep", "sept",
+    "september", "oct", "october", "nov", "november", "dec", "december",
+)
+
+# Fixed patterns: heading lines, equation and table lines, ends of sentences.
+_ATX = r"^(#{1,6})\s+(.+?)\s*#*\s*$"
+_NUMBERED = r"^(\d+(?:\.\d+){0,5})[.)]?\s+(.{2,100})$"
+_LOOSE = r"^(?:\d+(?:\.\d+)*\.?\s+)?(?:[A-Z][A-Za-z0-9 ,:;()'’/&-]{2,120}|[A-Z][A-Z0-9 ,:;()'’/&-]{2,120})$"
 _EQUATION = r"^\s*(?:\(?\d{1,3}\)?\s*)?(?:\$\$.*\$\$|\\\[.*\\\]|\\begin\{(?:equation|align|gather|math).+|[A-Za-z]\s*=\s*[^=].{0,100})\s*$"
 _TABLE = r"\||\t|\s{2,}\S+\s{2,}\S+"
+SENTENCE_END = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
+
+
+def heading(bare: Column) -> Column:
+    """struct(level, title, numbered) of a heading line with collapsed white space; null for other lines."""
+    kind = lambda level, title, numbered: F.struct(level.cast("int").alias("level"), title.alias("title"), F.lit(numbered).alias("numbered"))
+    marks = F.regexp_extract(bare, _ATX, 1)
+    number, title = F.regexp_extract(bare, _NUMBERED, 1), F.regexp_extract(bare, _NUMBERED, 2)
+    opening = F.lower(F.regexp_replace(F.substring_index(title, " ", 1), r"[.:]+$", ""))
+    like_prose = F.contains(F.lower(title), F.lit("arxiv:")) | title.rlike("[{};=@<>]") | opening.isin(*MONTHS) | (F.size(F.split(title, " ")) > 16)
+    counted = (number != "") & title.rlike(r"^\p{Lu}") & (F.substring_index(number, ".", 1).try_cast("int") <= 30) & ~like_prose
+    known = F.lower(F.regexp_replace(bare, ":+$", "")).isin(*KNOWN_SECTIONS)
+    found = (
+        F.when(marks != "", kind(F.char_length(marks), F.trim(F.regexp_extract(bare, _ATX, 2)), False))
+        .when(counted, kind(F.size(F.split(number, r"\.")), bare, True))
+        .when(known, kind(F.lit(1), bare, False))
+    )
+    return F.when(F.char_length(bare).between(1, 140), found)
+
+
+def is_loose_heading(bare: Column) -> Column:
+    """A capitalised line of 2 to 120 characters that ends like no sentence."""
+    return F.char_length(bare).between(2, 120) & ~bare.rlike(r"[.,;]$") & bare.rlike(_LOOSE)
+
+
+def is_equation(line: Column) -> Column:
+    return line.rlike(_EQUATION)
+
+
+def is_tabular(line: Column) -> Column:
+    return line.rlike(_TABLE)
 
 
 def block_kind(text: Column) -> Column:
     """equation, table or body, by the shape of a block's lines."""
     filled = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    tabular = F.size(F.filter(filled, lambda x: x.rlike(_TABLE)))
-    math = F.exists(filled, lambda x: x.rlike(_EQUATION)) | (F.size(F.split(text, r"\$\$")) >= 3)
+    tabular = F.size(F.filter(filled, is_tabular))
+    math = F.exists(filled, is_equation) | (F.size(F.split(text, r"\$\$")) >= 3)
     return F.when(math, "equation").when((F.size(filled) >= 2) & (tabular >= 0.6 * F.size(filled)), "table").otherwise("body")
 
 
