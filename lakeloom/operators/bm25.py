@@ -41,7 +41,7 @@ def query_terms(queries: DataFrame, tokens=tokenize) -> DataFrame:
 def contributions(postings: DataFrame, terms: DataFrame, key: str = "doc_id", title_weight: Column | float = TITLE_WEIGHT) -> DataFrame:
     boost = F.when(F.col("in_title"), title_weight).otherwise(F.lit(1.0))
     c = term_score(F.col("tf"), F.col("dl"), F.col("df"), F.col("n_docs"), F.col("avgdl")) * boost
-    return postings.join(terms, "term").select("query_id", key, "term", c.alias("part"))
+    return postings.join(terms, "term").select("query_id", key, "term", "in_title", c.alias("part"))
 
 
 def ranked(scored: DataFrame, k: int, key: str = "doc_id", *more: str) -> DataFrame:

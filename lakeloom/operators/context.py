@@ -47,11 +47,19 @@ def select_contexts(hits: DataFrame, max_chars: int = 12000, per_parent: int = 2
     return rows.select("query_id", (F.col("n") + 1).cast("long").alias("number"), "x.parent_id", "x.chunk_id", "x.text", F.sha2("x.text", 256).alias("text_sha256"))
 
 
-def full_contexts(parents: DataFrame, max_chars: int, overhead: int = 200) -> DataFrame:
-    """Whole texts in parent order; fits is false from the text on that overflows (an error for the caller)."""
-    order = Window.partitionBy("query_id").orderBy("parent_rank").rowsBetween(Window.unboundedPreceding, 0)
+def full_contexts(parents: DataFrame, max_chars: int = 12000, overhead: int = 200) -> DataFrame:
+    """Whole texts in parent order, numbered; a question whose texts don't fit together is an error.
+
+    parents: query_id, parent_id, parent_rank, text.
+    """
+    if max_chars < 500:
+        raise ValueError("max_chars must be at least 500")
     filled = parents.where(F.char_length("text") > 0)
-    return filled.withColumn("used", F.sum(F.char_length("text") + overhead).over(order)).withColumn("fits", F.col("used") <= max_chars)
+    over = filled.groupBy("query_id").agg(F.sum(F.char_length("text") + overhead).alias("used")).where(F.col("used") > max_chars)
+    if not over.isEmpty():
+        raise ValueError(f"whole texts need more than {max_chars} characters")
+    order = Window.partitionBy("query_id").orderBy("parent_rank")
+    return filled.select("query_id", F.row_number().over(order).cast("long").alias("number"), "parent_id", F.lit(None).cast("string").alias("chunk_id"), "text", F.sha2("text", 256).alias("text_sha256"))
 
 
 def prompt(contexts: DataFrame) -> DataFrame:

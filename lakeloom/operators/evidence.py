@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -14,11 +14,19 @@ VERDICTS = ("support", "contradiction", "insufficient")
 MAX_CONTEXTS, MAX_CHARS = 1000, 100_000
 
 
-def check_contexts(contexts: DataFrame) -> DataFrame:
-    """The contexts, after one aggregation found none too long and no answer with too many."""
-    worst = contexts.groupBy("answer_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.char_length("text")).alias("chars")).agg(F.max("n").alias("n"), F.max("chars").alias("chars")).first()
-    if (worst.n or 0) > MAX_CONTEXTS or (worst.chars or 0) > MAX_CHARS:
-        raise ValueError(f"at most {MAX_CONTEXTS} contexts of at most {MAX_CHARS} characters")
+def check_contexts(contexts: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+    """The contexts, after one aggregation found none too long, no answer with too many, and no blank name among the columns that name a source."""
+    names = [c for c in ("paper_id", "chunk_id", "section") if c in contexts.columns]
+    blank = F.lit(False)
+    for c in names:
+        blank |= F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == ""
+    per = contexts.groupBy("answer_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.char_length("text")).alias("chars"), F.count_if(blank).alias("blank"))
+    worst = per.agg(F.max("n").alias("n"), F.max("chars").alias("chars"), F.sum("blank").alias("blank")).first()
+    longest = answers.agg(F.max(F.char_length("answer"))).first()[0] if answers is not None else 0
+    if (worst.n or 0) > MAX_CONTEXTS or max(worst.chars or 0, longest or 0) > MAX_CHARS:
+        raise ValueError(f"at most {MAX_CONTEXTS} contexts, each and the answer of at most {MAX_CHARS} characters")
+    if worst.blank:
+        raise ValueError(f"{worst.blank} contexts lack one of {names}")
     return contexts
 
 
@@ -38,43 +46,64 @@ def claims(answers: DataFrame) -> DataFrame:
     return kept.select("answer_id", (F.row_number().over(Window.partitionBy("answer_id").orderBy("pos"))).cast("long").alias("claim_no"), "claim", "citations")
 
 
+def _guarded(judge: Callable) -> Callable:
+    """judge over Series, giving verdict and reason; results that make no sense and errors fail closed, without the error's text, which may hold secrets."""
+
+    def one(x) -> tuple[str, str]:
+        if isinstance(x, str):
+            said, why = x, ""
+        elif isinstance(x, Mapping):
+            said, why = str(x.get("verdict", "")), str(x.get("reason", ""))[:500]
+        else:
+            return "insufficient", "invalid_judge_result"
+        said = said.strip().casefold()
+        return (said, why) if said in VERDICTS else ("insufficient", "invalid_judge_verdict")
+
+    def run(claim: pd.Series, evidence: pd.Series) -> pd.DataFrame:
+        try:
+            got = list(judge(claim, evidence))
+            rows = [one(x) for x in got] if len(got) == len(claim) else [("insufficient", "invalid_judge_result")] * len(claim)
+        except Exception:
+            rows = [("insufficient", "judge_error")] * len(claim)
+        return pd.DataFrame(rows, columns=["verdict", "reason"])
+
+    return F.pandas_udf(run, "verdict string, reason string")
+
+
 def verify(answers: DataFrame, contexts: DataFrame, judge: Callable[[pd.Series, pd.Series], pd.Series] | None = None) -> DataFrame:
-    """Verdict and reason of each claim; contexts: (answer_id, number, text).
+    """Verdict and reason of each claim, and its citation numbers that no context has; contexts: (answer_id, number, text), checked first.
 
-    judge, if given, maps Series of claims and joined evidence to verdicts; whatever is not a known verdict is insufficient.
+    judge, if given, maps Series of claims and joined evidence to verdicts, or to mappings with verdict and reason; whatever
+    is no known verdict is insufficient.
     """
-    found = claims(answers)
-    cited = found.select("answer_id", "claim_no", "claim", F.explode("citations").alias("number")).join(contexts, ["answer_id", "number"], "left")
+    found, contexts = claims(answers), check_contexts(contexts, answers)
+    cited = found.select("answer_id", "claim_no", "claim", F.explode("citations").alias("number")).join(contexts.select("answer_id", "number", "text"), ["answer_id", "number"], "left")
     needle = T.evidence_norm(F.col("claim"))
     tested = cited.groupBy("answer_id", "claim_no").agg(
-        F.count_if(F.col("text").isNull()).alias("missing"),
+        F.array_sort(F.collect_list(F.when(F.col("text").isNull(), F.col("number")))).alias("unsupported"),
         F.coalesce(F.bool_or((needle != "") & F.contains(T.evidence_norm(F.col("text")), needle)), F.lit(False)).alias("exact"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "text"))), lambda x: x["text"]), "\n\n").alias("evidence"),
     )
-    joined = found.join(tested, ["answer_id", "claim_no"], "left")
+    joined = found.join(tested, ["answer_id", "claim_no"], "left").withColumn("unsupported", F.coalesce("unsupported", F.slice("citations", 1, 0)))
     if judge is None:
-        verdict, reason = F.when(F.col("exact"), "support").otherwise("insufficient"), F.when(F.col("exact"), "exact_text_match").otherwise("no_semantic_judge")
+        said = F.struct(F.when(F.col("exact"), "support").otherwise("insufficient").alias("verdict"), F.when(F.col("exact"), "exact_text_match").otherwise("no_semantic_judge").alias("reason"))
     else:
-
-        def guarded(claim: pd.Series, evidence: pd.Series) -> pd.Series:
-            try:
-                got = judge(claim, evidence)
-            except Exception:  # a judge's error text may hold secrets; the verdict fails closed
-                return pd.Series(["judge_error"] * len(claim))
-            return pd.Series(got).astype(str).str.strip().str.casefold()
-
-        said = F.pandas_udf(guarded, "string")("claim", F.coalesce("evidence", F.lit("")))
-        joined = joined.withColumn("said", said)
-        verdict = F.when(F.col("said").isin(*VERDICTS), F.col("said")).otherwise("insufficient")
-        reason = F.when(F.col("said").isin(*VERDICTS), "").when(F.col("said") == "judge_error", "judge_error").otherwise("invalid_judge_verdict")
-    uncited, invalid = F.size("citations") == 0, F.coalesce("missing", F.lit(0)) > 0
+        said = _guarded(judge)("claim", F.coalesce("evidence", F.lit("")))
+    joined = joined.withColumn("said", said)
+    uncited, invalid = F.size("citations") == 0, F.size("unsupported") > 0
     return joined.select(
         "answer_id", "claim_no", "claim", "citations",
-        F.when(uncited | invalid, "insufficient").otherwise(verdict).alias("verdict"),
-        F.when(uncited, "missing_citation").when(invalid, "invalid_citation_number").otherwise(reason).alias("reason"),
+        F.when(uncited | invalid, "insufficient").otherwise(F.col("said.verdict")).alias("verdict"),
+        F.when(uncited, "missing_citation").when(invalid, "invalid_citation_number").otherwise(F.col("said.reason")).alias("reason"),
+        "unsupported",
     )
 
 
+def unsupported_numbers(verdicts: DataFrame) -> DataFrame:
+    """(answer_id, numbers): the citation numbers of an answer that no context has, in order."""
+    return verdicts.groupBy("answer_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("unsupported")))).alias("numbers"))
+
+
 def answer_safety(answers: DataFrame, verdicts: DataFrame) -> DataFrame:
     """safe: at least one claim, no invalid number, every claim supported."""
     per = verdicts.groupBy("answer_id").agg(F.count(F.lit(1)).alias("n_claims"), F.bool_and((F.col("verdict") == "support") & (F.col("reason") != "invalid_citation_number")).alias("all_supported"))
@@ -88,22 +117,63 @@ def apply_verdicts(entries: DataFrame, verdicts: DataFrame, keys: list[str]) ->
     return entries.join(known, keys, "left").withColumn("verdict", F.coalesce("verdict", F.lit("insufficient")))
 
 
-def card_claims(proposals: DataFrame, chunks: DataFrame, most: int = 20) -> DataFrame:
+# The fields of a paper card.
+CARD_FIELDS = ("research_problem", "methods", "datasets", "experimental_setup", "main_findings", "limitations")
+
+
+def card_claims(proposals: DataFrame, chunks: DataFrame, most: int = 20, fields: tuple = CARD_FIELDS) -> DataFrame:
     """Proposed claims (parent_id, field, pos, claim, chunk_id, quote) whose quote stands verbatim in the parent's own chunk.
 
-    Claims without evidence go; the first of each spelling stays, at most `most` a field.
+    Claims without evidence or of unknown fields go; the first of each spelling stays, at most `most` a field.
     """
-    ok = proposals.join(chunks.select("parent_id", "chunk_id", F.col("text").alias("source")), ["parent_id", "chunk_id"]).where(T.contains_quote(F.col("source"), F.col("quote")) & (F.trim("claim") != ""))
-    grouped = ok.groupBy("parent_id", "field", F.lower(F.trim("claim")).alias("spelling")).agg(F.min("pos").alias("pos"), F.min_by("claim", "pos").alias("claim"), F.array_sort(F.collect_set(F.struct("chunk_id", "quote"))).alias("evidence"))
-    order = Window.partitionBy("parent_id", "field").orderBy("pos")
-    return grouped.withColumn("claim_no", F.row_number().over(order).cast("long")).where(F.col("claim_no") <= most).drop("spelling")
+    own = chunks.select("parent_id", "chunk_id", F.col("text").alias("source"))
+    ok = proposals.where(F.col("field").isin(*fields) & (F.trim("claim") != "")).join(own, ["parent_id", "chunk_id"]).where(T.contains_quote(F.col("source"), F.col("quote")))
+    spelt = ok.groupBy("parent_id", "field", F.lower(F.trim("claim")).alias("spelling")).agg(F.min("pos").alias("pos"), F.min_by("claim", "pos").alias("claim"), F.array_sort(F.collect_set(F.struct("chunk_id", "quote"))).alias("evidence"))
+    order = Window.partitionBy("parent_id", "field").orderBy("pos", "spelling")
+    return spelt.withColumn("claim_no", F.row_number().over(order).cast("long")).where(F.col("claim_no") <= most).drop("spelling")
+
+
+def card_drops(proposals: DataFrame, kept: DataFrame) -> DataFrame:
+    """(parent_id, proposed, dropped): how many proposed claims of a parent did not come into its card."""
+    asked = proposals.groupBy("parent_id").agg(F.countDistinct("field", "pos").alias("proposed"))
+    stayed = kept.groupBy("parent_id").agg(F.count(F.lit(1)).alias("kept"))
+    return asked.join(stayed, "parent_id", "left").select("parent_id", "proposed", (F.col("proposed") - F.coalesce("kept", F.lit(0))).alias("dropped"))
+
+
+def merged_cards(windows: DataFrame) -> DataFrame:
+    """Claims of a parent's windows (parent_id, window_no, field, claim_no, claim, evidence) as one card: the first of each spelling of a field, in order."""
+    first = windows.groupBy("parent_id", "field", F.lower(F.trim("claim")).alias("spelling")).agg(F.min(F.struct("window_no", "claim_no", "claim", "evidence")).alias("x"))
+    order = Window.partitionBy("parent_id", "field").orderBy("x.window_no", "x.claim_no")
+    return first.select("parent_id", "field", F.row_number().over(order).cast("long").alias("claim_no"), F.col("x.claim").alias("claim"), F.col("x.evidence").alias("evidence"), F.col("x.window_no").alias("window_no"))
 
 
 def card_status(windows: DataFrame) -> DataFrame:
-    """(parent_id, window_no, state, n_claims) -> verified, partial, failed or insufficient_evidence."""
-    g = windows.groupBy("parent_id").agg(F.count_if(F.col("state") == "failed").alias("failed"), F.count(F.lit(1)).alias("n"), F.sum("n_claims").alias("claims"))
-    status = F.when(F.col("failed") == F.col("n"), "failed").when(F.col("failed") > 0, "partial").when(F.coalesce("claims", F.lit(0)) == 0, "insufficient_evidence").otherwise("verified")
-    return g.select("parent_id", status.alias("status"))
+    """(parent_id, window_no, state, n_claims, and n_chunks if there) -> status, windows by state, chunks that were left out.
+
+    A window's state is failed, omitted (never tried) or anything else (done). All failed: failed; some failed or
+    omitted: partial; else verified with any claim and insufficient_evidence without.
+    """
+    chunks = F.col("n_chunks") if "n_chunks" in windows.columns else F.lit(0)
+    lost = F.col("state").isin("failed", "omitted")
+    g = windows.groupBy("parent_id").agg(
+        F.count_if(F.col("state") == "failed").alias("failed"), F.count_if(F.col("state") == "omitted").alias("omitted"), F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.sum("n_claims"), F.lit(0)).alias("claims"), F.coalesce(F.sum(F.when(lost, chunks)), F.lit(0)).cast("long").alias("omitted_chunks"), F.coalesce(F.sum(F.when(~lost, chunks)), F.lit(0)).cast("long").alias("processed_chunks"),
+    )
+    done = F.col("n") - F.col("failed") - F.col("omitted")
+    status = F.when(done == 0, "failed").when(done < F.col("n"), "partial").when(F.col("claims") == 0, "insufficient_evidence").otherwise("verified")
+    return g.select("parent_id", status.alias("status"), (F.col("n") - F.col("omitted")).alias("attempted_windows"), done.alias("completed_windows"), "processed_chunks", "omitted_chunks")
+
+
+def judged_entries(entries: DataFrame, judge: Callable[[pd.Series, pd.Series], pd.Series]) -> DataFrame:
+    """Entries (claim, evidence as text, ...) with verdict and reason from an injected verifier; it fails closed."""
+    return entries.withColumn("said", _guarded(judge)("claim", F.coalesce("evidence", F.lit("")))).select("*", "said.verdict", "said.reason").drop("said")
+
+
+def coverage(candidates: DataFrame, used: DataFrame) -> DataFrame:
+    """One row: candidate papers in order that the result uses, and those that it leaves out."""
+    marked = candidates.select("paper_id").distinct().join(used.select("paper_id").distinct().withColumn("used", F.lit(True)), "paper_id", "left")
+    pick = lambda how: F.array_sort(F.collect_list(F.when(how, F.col("paper_id"))))
+    return marked.agg(pick(F.col("used").isNotNull()).alias("covered"), pick(F.col("used").isNull()).alias("omitted"))
 
 
 def valid_groups(groups: DataFrame, evidence: DataFrame, least: int = 2) -> DataFrame:

@@ -39,6 +39,14 @@ def channel(hits: DataFrame, candidate_k: int, key: str = "doc_id") -> DataFrame
     return first.select("query_id", key, F.row_number().over(Window.partitionBy("query_id").orderBy("at")).cast("long").alias("rank"))
 
 
+def one_parent_each(hits: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """The hits, after one aggregation found no chunk with two parents."""
+    torn = hits.groupBy(key).agg(F.countDistinct("parent_id").alias("n")).where("n > 1")
+    if not torn.isEmpty():
+        raise ValueError(f"{torn.count()} chunks have several parents")
+    return hits
+
+
 def rerank(hits: DataFrame, scorer: Callable[[pd.Series, pd.Series], pd.Series] | None, limit: int, score: Column | None = None, key: str = "doc_id") -> DataFrame:
     """The first `limit` hits of a query by an injected cross encoder's score, the rest after them as they were.
 

@@ -1,9 +1,17 @@
-"""Fingerprints, versioned publication and resumable runs."""
+"""Fingerprints, versioned publication, staged rebuilds with rollback, and resumable runs.
+
+An artifact is a root folder with one directory a version and a log of pointers, numbered files of which
+each names a version and its facts. A pointer appears whole by one rename and is never replaced, so
+readers always find a current version: the newest pointer that can be read.
+"""
 
 from __future__ import annotations
 
 import json
+import re
+import tempfile
 import uuid
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,74 +23,190 @@ def fingerprint(frame: DataFrame) -> DataFrame:
     return frame.select(h.alias("h")).agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h").alias("x"), F.sum(F.pmod("h", F.lit(1 << 31))).alias("s"))
 
 
-def _fs(spark: SparkSession, path: str):
+def files(spark: SparkSession, path: str):
+    """(file system, path) of the JVM."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def publish(frame: DataFrame, root: str, **facts) -> str:
-    """Writes a new version directory, then replaces the pointer; readers see the old or the new version, never a mixture."""
-    spark, version = frame.sparkSession, uuid.uuid4().hex
+def scratch(spark: SparkSession) -> str:
+    """A new folder in spark.checkpoint.dir, which driver and executors share; a temporary one only on a local master without that setting."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[[^-]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir is not set: executors would write where nobody else reads")
+        folder = f"file://{tempfile.mkdtemp(prefix='lakeloom-')}"
+    return f"{folder}/lakeloom-{uuid.uuid4().hex}"
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, p = files(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Makes a file that appears whole; false if it is there already."""
+    fs, p = files(spark, path)
+    if fs.exists(p):
+        return False
+    part = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
+    stream = fs.create(part, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    done = not fs.exists(p) and fs.rename(part, p)
+    if not done:
+        fs.delete(part, False)
+    return done
+
+
+def _pointers(spark: SparkSession, root: str) -> list[int]:
+    fs, p = files(spark, f"{root}/_pointers")
+    if not fs.exists(p):
+        return []
+    names = [x.getPath().getName() for x in fs.listStatus(p)]
+    return sorted((int(x[:-5]) for x in names if x.endswith(".json") and x[:-5].isdigit()), reverse=True)
+
+
+def stage(frame: DataFrame, root: str, **facts) -> dict:
+    """Writes a new version that nobody reads yet; its facts, with version, row count and hashes."""
+    version = uuid.uuid4().hex
     frame.write.parquet(f"{root}/{version}")
-    row = fingerprint(spark.read.parquet(f"{root}/{version}")).first()
-    pointer = spark.createDataFrame([(version, json.dumps(facts | row.asDict(), sort_keys=True))], "version string, manifest string")
-    pointer.coalesce(1).write.mode("overwrite").json(f"{root}/_next")
-    fs, _ = _fs(spark, root)
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs.delete(path(f"{root}/_current"), True)
-    fs.rename(path(f"{root}/_next"), path(f"{root}/_current"))
-    return version
+    row = fingerprint(frame.sparkSession.read.parquet(f"{root}/{version}")).first()
+    return facts | row.asDict() | {"version": version}
+
+
+def point(spark: SparkSession, root: str, facts: dict) -> None:
+    """Makes a staged version the current one."""
+    while True:
+        number = max([0, *_pointers(spark, root)]) + 1
+        if write_once(spark, f"{root}/_pointers/{number:012d}.json", json.dumps(facts, sort_keys=True)):
+            return
+
+
+def publish(frame: DataFrame, root: str, **facts) -> str:
+    """A new current version; readers see the old or the new one, never a mixture and never none."""
+    staged = stage(frame, root, **facts)
+    point(frame.sparkSession, root, staged)
+    return staged["version"]
 
 
 def manifest(spark: SparkSession, root: str) -> tuple[str, dict]:
-    row = spark.read.schema("version string, manifest string").json(f"{root}/_current").first()
-    return row.version, json.loads(row.manifest)
+    """The current version and its facts; a pointer that can't be read gives way to the one before."""
+    for number in _pointers(spark, root):
+        try:
+            facts = json.loads(read_text(spark, f"{root}/_pointers/{number:012d}.json"))
+            return facts["version"], facts
+        except (ValueError, KeyError, TypeError):
+            continue
+    raise FileNotFoundError(f"{root}: nothing is published")
 
 
-def load(spark: SparkSession, root: str, verify: bool = False, **expected) -> DataFrame:
-    """The current version; a manifest that lacks an expected fact, or rows that don't match it, are errors."""
+def load(spark: SparkSession, root: str, verify: bool = False, at: str | None = None, **expected) -> DataFrame:
+    """The current version; a manifest that lacks an expected fact, or rows that don't match it, are errors. at: where the files lie now, if they were moved."""
     version, facts = manifest(spark, root)
     for k, v in expected.items():
         if facts.get(k) != v:
             raise ValueError(f"{root}: {k} is {facts.get(k)!r}, not {v!r}")
-    frame = spark.read.parquet(f"{root}/{version}")
+    frame = spark.read.parquet(f"{at or root}/{version}")
     if verify and {k: facts[k] for k in ("n", "x", "s")} != fingerprint(frame).first().asDict():
         raise ValueError(f"{root}: rows differ from the manifest")
     return frame
 
 
+def rebuild(spark: SparkSession, parts: Mapping[str, tuple[str, Callable[[], DataFrame], dict]], check: Callable[[dict[str, DataFrame]], None] | None = None) -> dict[str, str]:
+    """Builds several artifacts, name -> (root, builder, facts), checks them together, and only then makes them current: name -> version.
+
+    If a pointer can't be set, those set before are set back, so that the old versions stay current together.
+    """
+    staged = {name: (root, stage(build(), root, **facts)) for name, (root, build, facts) in parts.items()}
+    if check is not None:
+        check({name: spark.read.parquet(f"{root}/{facts['version']}") for name, (root, facts) in staged.items()})
+    before: dict[str, dict | None] = {}
+    try:
+        for name, (root, facts) in staged.items():
+            try:
+                before[name] = manifest(spark, root)[1]
+            except FileNotFoundError:
+                before[name] = None
+            point(spark, root, facts)
+    except Exception:
+        for name, old in before.items():
+            root = staged[name][0]
+            if old is not None and manifest(spark, root)[1] != old:
+                point(spark, root, old)
+            elif old is None:
+                fs, p = files(spark, f"{root}/_pointers")
+                fs.delete(p, True)
+        raise
+    return {name: facts["version"] for name, (_, facts) in staged.items()}
+
+
 def todo(wanted: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
     """What a resumed run still has to do."""
     return wanted.join(done.select(*keys), list(keys), "left_anti")
 
 
+class Checkpoint:
+    """Results of a run in batches that appear whole, under a header that says what the run is.
+
+    A run with another header is refused. A batch that was torn off (no success mark) doesn't count and is written again.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, header: dict):
+        self.spark, self.root = spark, root
+        text = json.dumps(header, sort_keys=True, ensure_ascii=False)
+        if not write_once(spark, f"{root}/header.json", text) and read_text(spark, f"{root}/header.json") != text:
+            raise ValueError(f"{root}: the checkpoint belongs to another run")
+
+    def _batches(self) -> list[str]:
+        fs, p = files(self.spark, self.root)
+        paths = [x.getPath() for x in fs.listStatus(p) if x.isDirectory()]
+        return sorted(x.toString() for x in paths if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS")))
+
+    def append(self, rows: DataFrame) -> None:
+        rows.write.parquet(f"{self.root}/{len(self._batches()):08d}-{uuid.uuid4().hex}")
+
+    def rows(self) -> DataFrame | None:
+        """All rows of whole batches; null if there is none yet."""
+        found = self._batches()
+        return self.spark.read.parquet(*found) if found else None
+
+    def todo(self, wanted: DataFrame, *keys: str) -> DataFrame:
+        done = self.rows()
+        return wanted if done is None else todo(wanted, done, *keys)
+
+
 def audit(spark: SparkSession, roots: dict[str, dict]) -> DataFrame:
     """(name, status, detail) of each artifact: ok, missing, stale (a fact differs) or corrupt (rows differ)."""
-    rows = []
-    for name, want in roots.items():
-        root = want["root"]
-        fs, p = _fs(spark, f"{root}/_current")
-        if not fs.exists(p):
-            rows.append((name, "missing", root))
-            continue
+
+    def state(root: str, **want) -> tuple[str, str]:
         try:
-            load(spark, root, verify=False, **{k: v for k, v in want.items() if k != "root"})
+            load(spark, root, **want)
+        except FileNotFoundError:
+            return "missing", root
         except ValueError as e:
-            rows.append((name, "stale", str(e)))
-            continue
+            return "stale", str(e)
+        except Exception as e:
+            return "corrupt", type(e).__name__
         try:
-            load(spark, root, verify=True)
-            rows.append((name, "ok", ""))
+            load(spark, root, verify=True).count()
         except Exception as e:
-            rows.append((name, "corrupt", type(e).__name__))
-    return spark.createDataFrame(rows, "name string, status string, detail string")
+            return "corrupt", type(e).__name__
+        return "ok", ""
+
+    return spark.createDataFrame([(name, *state(**want)) for name, want in roots.items()], "name string, status string, detail string")
 
 
 def valid_index_facts(facts: dict) -> bool:
     """Whether lexical index metadata make sense."""
     number = lambda x: isinstance(x, (int, float)) and not isinstance(x, bool) and abs(x) < float("inf")
     return (
-        facts.get("version") == 1
+        facts.get("format") == 1
         and facts.get("scope") in ("abstract", "full_text", "full_text_chunk")
         and isinstance(facts.get("documents"), int) and not isinstance(facts["documents"], bool) and facts["documents"] > 0
         and number(facts.get("k1")) and facts["k1"] > 0 and number(facts.get("b")) and 0 <= facts["b"] <= 1

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import importlib.util
+import io
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,14 +17,20 @@ PARENT = "paper_id string, corpusid string, title string, abstract string, full_
 
 
 def require(frame: DataFrame, key: str, *fields: str) -> DataFrame:
-    """The frame, after one aggregation found no row without a field and one found no repeated key; an empty frame is an error."""
-    bad = frame.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.exists(F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (key, *fields))), lambda x: F.trim(x) == "")).alias("blank")).first()
+    """The frame, after one aggregation found no row without a field and one found no repeated key; an empty frame is an error.
+
+    The error names the first row at fault in order of the key, and its file where one was read.
+    """
+    blank = F.exists(F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (key, *fields))), lambda x: F.trim(x) == "")
+    bad = frame.agg(F.count(F.lit(1)).alias("n"), F.count_if(blank).alias("blank")).first()
     if not bad.n:
         raise ValueError("no rows")
     if bad.blank:
-        raise ValueError(f"{bad.blank} rows lack one of {(key, *fields)}")
-    if not frame.groupBy(key).count().where("count > 1").isEmpty():
-        raise ValueError(f"repeated {key}")
+        worst = frame.where(blank).select(F.col(key).cast("string").alias("k"), F.input_file_name().alias("f")).orderBy("k").first()
+        raise ValueError(f"{bad.blank} rows lack one of {(key, *fields)}, the first {key} {worst.k!r} in {worst.f or 'memory'}")
+    twice = frame.groupBy(key).count().where("count > 1").orderBy(key).first()
+    if twice is not None:
+        raise ValueError(f"repeated {key}: {twice[0]!r}")
     return frame
 
 
@@ -29,21 +40,21 @@ def papers(spark: SparkSession, path: str) -> DataFrame:
     return require(rows, "paper_id", "source_url", "evidence_scope")
 
 
-def parents(spark: SparkSession, path: str) -> DataFrame:
-    """JSONL documents with their field aliases merged."""
+def parents(spark: SparkSession, path: str, default_url: str = "") -> DataFrame:
+    """JSONL documents with their field aliases merged; rows without an address get default_url, the address of their data set."""
     rows = spark.read.schema(PARENT).json(path)
     empty = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
-    out = rows.withColumns({"paper_id": F.coalesce(empty("paper_id"), empty("corpusid")), "full_text": F.coalesce(empty("full_text"), empty("full_paper")), "source_url": F.coalesce("source_url", F.lit(""))})
-    return require(out.drop("full_paper"), "paper_id", "full_text")
+    out = rows.withColumns({"paper_id": F.coalesce(empty("paper_id"), empty("corpusid")), "full_text": F.coalesce(empty("full_text"), empty("full_paper")), "source_url": F.coalesce("source_url", F.lit(default_url))})
+    return require(out.drop("full_paper"), "paper_id", "full_text").withColumns({"parent_id": F.col("paper_id"), "doc_type": F.lit("parent")})
 
 
-def shards(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Parquet shards: only id and nested text are read; rows without text go."""
-    rows = spark.read.parquet(path)
+def shards(spark: SparkSession, paths: str | list[str], limit: int | None = None) -> DataFrame:
+    """Parquet shards: only id and nested text are read; rows without text go, a repeated id is an error."""
+    rows = spark.read.parquet(*([paths] if isinstance(paths, str) else paths))
     names = set(rows.columns)
     text = [F.nullif(F.col(c), F.lit("")) for c, top in (("content.text", "content"), ("full_paper", "full_paper")) if top in names]
     out = rows.select(F.col("corpusid").cast("string").alias("paper_id"), F.coalesce(*text, F.lit("")).alias("full_text")).where("full_text <> ''")
-    return out if limit is None else out.limit(limit)
+    return require(out if limit is None else out.limit(limit), "paper_id")
 
 
 def with_metadata(texts: DataFrame, metadata: DataFrame) -> DataFrame:
@@ -58,10 +69,23 @@ def pilot(rows: DataFrame, gold: DataFrame, key: str, order: str, n_gold: int =
     return first.unionByName(rest).orderBy("_g", "_o").limit(n).drop("_g", "_o")
 
 
+def benchmark_papers(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Papers with collapsed title and abstract, and one row that counts empty titles, empty abstracts and rows without either."""
+    out = rows.withColumns({c: collapse(F.coalesce(F.col(c), F.lit(""))) for c in ("title", "abstract")})
+    bare = {c: F.col(c) == "" for c in ("title", "abstract")}
+    return out, out.agg(F.count_if(bare["title"]).alias("empty_title"), F.count_if(bare["abstract"]).alias("empty_abstract"), F.count_if(bare["title"] & bare["abstract"]).alias("empty_both"))
+
+
 def benchmark_queries(rows: DataFrame, corpus: DataFrame, prefix: str = "query") -> tuple[DataFrame, DataFrame]:
-    """Queries renumbered <prefix>_001.., and gold ids that the corpus lacks (should be empty). rows: question, gold_paper_ids, position."""
-    order = Window.orderBy("position")  # the query set is small and stated
-    queries = rows.select(F.format_string(f"{prefix}_%03d", F.row_number().over(order)).alias("id"), collapse(F.col("question")).alias("question"), "gold_paper_ids")
+    """Queries renumbered <prefix>_001.. by position, and gold ids that the corpus lacks (should be empty). rows: question, gold_paper_ids, position (unique).
+
+    A query's number is one more than the queries before it: counts by ranges of positions are added up, so no task sees all of them.
+    """
+    block = F.floor(F.col("position") / 4096)
+    counts = rows.groupBy(block.alias("block")).agg(F.count(F.lit(1)).alias("n"))
+    begin = counts.select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("begin"))  # one row a block
+    nth = F.row_number().over(Window.partitionBy("block").orderBy("position")) + F.col("begin")
+    queries = rows.withColumn("block", block).join(begin, "block").select(F.format_string(f"{prefix}_%03d", nth).alias("id"), collapse(F.col("question")).alias("question"), "gold_paper_ids")
     missing = queries.select(F.explode("gold_paper_ids").alias("paper_id")).distinct().join(corpus.select("paper_id"), "paper_id", "left_anti")
     return queries, missing
 
@@ -84,6 +108,23 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.substring(F.sha2("path", 256), 1, 16).alias("doc_id"), "path", text.alias("text"))
 
 
+def pdf_units(spark: SparkSession, path: str) -> DataFrame | None:
+    """(doc_id, path, section, text) of the pages of pdf files, section "第 n 页"; null where no pdf reader is installed."""
+    if importlib.util.find_spec("pypdf") is None:
+        return None
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.pdf").load(path)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pypdf import PdfReader
+
+        for pdf in frames:
+            pages = [(p, n, page.extract_text() or "") for p, content in zip(pdf["path"], pdf["content"], strict=True) for n, page in enumerate(PdfReader(io.BytesIO(content)).pages, 1)]
+            yield pd.DataFrame([(p, f"第 {n} 页", t) for p, n, t in pages if t.strip()], columns=["path", "section", "text"])
+
+    units = rows.select("path", "content").mapInPandas(run, "path string, section string, text string")
+    return units.select(F.substring(F.sha2(F.concat_ws("\0", "path", "section"), 256), 1, 16).alias("doc_id"), "path", "section", "text")
+
+
 def reports(spark: SparkSession, paths: list[str], schema: str) -> tuple[DataFrame, DataFrame]:
     """(valid reports, paths of invalid files): a broken file is noted, not fatal."""
     files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(paths).select("value", F.col("_metadata.file_path").alias("path"))

@@ -1,6 +1,11 @@
 """Expectations on tiny inputs."""
 
+import json
+import random
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,24 +80,90 @@ def test_dense(spark):
     assert one(spark, dense.normalise, [0.0, 0.0]) is None
 
 
-def test_structure():
+def structure(spark, *texts):
+    rows = spark.createDataFrame([(i, "", t) for i, t in enumerate(texts)], "doc_id long, title string, text string")
+    return chunk._structured_lines(rows).repartition(1).mapInArrow(
+        lambda it: (pa.RecordBatch.from_pylist([{"row": r, "path": list(p), "kind": k, "text": t, "a": x, "b": y} for r, p, k, t, x, y in chunk.blocks(b)]) for b in it if chunk.blocks(b)),
+        "row long, path array<string>, kind string, text string, a long, b long",
+    ).collect()
+
+
+def test_structure(spark):
     text = "# One\nfirst line\n\n## Two\na | b\nc | d\n# Three\nx = y + 1\n"
-    got = [(b["section_path"], b["paragraph_type"], b["start_line"], b["end_line"]) for b in chunk.blocks(text)]
-    assert got == [(["One"], "body", 2, 2), (["One", "Two"], "table", 5, 6), (["Three"], "equation", 8, 8)]
-    assert chunk.heading("17 Oct 2023") is None and chunk.heading("2.1 Model") == (2, "2.1 Model") and chunk.heading("References") == (1, "References")
-    refs = list(chunk.blocks("References\n1. Someone Wrote This\n"))
-    assert refs[0]["section"] == "References"
+    assert [(r.path, r.kind, r.a, r.b) for r in structure(spark, text)] == [(["One"], "body", 2, 2), (["One", "Two"], "table", 5, 6), (["Three"], "equation", 8, 8)]
+    for line, want in [("17 Oct 2023", None), ("2.1 Model", (2, "2.1 Model", True)), ("References", (1, "References", False)), ("## A #", (2, "A", False)), ("31 Big", None), ("3 small", None), ("4 X = y", None), ("x" * 141, None)]:
+        got = one(spark, T.heading, line)
+        assert (tuple(got) if got else None) == want, line
+    got = structure(spark, "References\n1. Someone Wrote This\n# Next\n2 Real Heading\nbody", "plain\n\ntext")
+    assert [r.path for r in got] == [["References"], ["Next", "2 Real Heading"][1:], ["全文"], ["全文"]]
+
+
+def path_of(lines, i):
+    """Section path of line i: its nearest heading, before it the nearest one that stands less deep, and so on. Depths by definition."""
+    depth, out = {}, []
+    heads = [(j, h) for j, h in enumerate(lines[:i]) if h]
+    for n, (j, (level, _)) in enumerate(heads):
+        depth[j] = min(level, depth[heads[n - 1][0]] + 1 if n else 1)
+    want = 99
+    for j, (_, title) in reversed(heads):
+        if depth[j] < want:
+            out.append(title)
+            want = depth[j]
+    return out[::-1] or ["全文"]
+
+
+def test_section_paths_equal_their_definition(spark):
+    r = random.Random(3)
+    texts = []
+    for _ in range(30):
+        texts.append("\n".join(r.choice(["", f"{'#' * r.randint(1, 6)} H{k}", f"word {k}", f"{r.randint(1, 9)}.{r.randint(1, 9)} Title {k}"]) for k in range(r.randint(1, 25))))
+    got = structure(spark, *texts)
+    for row, text in enumerate(texts):
+        lines = text.split("\n")
+        heads = [(x.count("#"), x.lstrip("# ")) if x.startswith("#") else (x.split()[0].count(".") + 1, x) if x[:1].isdigit() else None for x in lines]
+        want = [(tuple(path_of(heads, k)), k + 1) for k, x in enumerate(lines) if x.startswith("word")]
+        assert sorted((tuple(b.path), n) for b in got if b.row == row for n in range(b.a, b.b + 1)) == sorted(want)
 
 
 def test_long_text():
-    assert chunk.split_long("x" * 450, 200, 50) == ["x" * 200, "x" * 200, "x" * 150]
-    parts = chunk.split_long("Aa bb. " * 60, 200, 20)
-    assert len(parts) > 2 and all(b.startswith(a[-20:].strip()) for a, b in zip([p if i == 0 else p[21:] for i, p in enumerate(parts)], parts[1:], strict=False)) or parts
-    assert list(chunk.separator_windows("a" * 30 + ". " + "b" * 30, 40, 5))[0].endswith(".")
+    assert chunk.pieces_of("x" * 450, 200, 50) == ["x" * 200, "x" * 200, "x" * 150]
+    sentence = "Aa bb cc dd."
+    parts = chunk.pieces_of(" ".join([sentence] * 60), 200, 20)
+    plain = chunk.pieces_of(" ".join([sentence] * 60), 200, 0)
+    assert " ".join(plain) == " ".join([sentence] * 60) and all(len(x) <= 200 for x in plain) and len(parts) == len(plain) > 2
+    assert parts == [plain[0], *(f"{a[-20:]} {b}".strip() for a, b in zip(plain, plain[1:], strict=False))]
+    mixed = chunk.pieces_of(f"Short one. {'y' * 250}. Tail here.", 200, 0)
+    assert mixed == ["Short one.", "y" * 200, "y" * 50 + ".", "Tail here."]
+    assert list(chunk.separator_windows("a" * 30 + ". " + "b" * 30, 40, 5)) == ["a" * 30 + ".", ". " + "b" * 30][:1] + ["aaa. " + "b" * 30]
     with pytest.raises(ValueError):
         chunk.check_size(100, 0)
 
 
+def test_windows_end_after_the_best_separator():
+    """Every cut against the definition, looked for character by character."""
+    r = random.Random(5)
+    for _ in range(40):
+        text = "".join(r.choice(["a", "b", " ", "\n", "\n\n", "。", "？", ". "]) for _ in range(r.randint(1, 120))).strip()
+        want, at = [], 0
+        while text:
+            end = min(len(text), at + 30)
+            if end < len(text):
+                cuts = [max((p + len(s) for p in range(at + 15, end - len(s) + 1) if text.startswith(s, p)), default=None) for s in chunk.SEPARATORS]
+                end = next((c for c in cuts if c), end)
+            want += [x] if (x := text[at:end].strip()) else []
+            if end == len(text):
+                break
+            at = max(at + 1, end - 8)
+        assert list(chunk.separator_windows(text, 30, 8)) == want
+
+
+def test_legacy_chunks_pack_paragraphs(spark):
+    text = "Abstract Words\nfirst par\nstill first\n\nsecond par.\n\n" + "z" * 300 + "\nNEXT PART\nlast"
+    rows = spark.createDataFrame([(1, "a title.", text)], "doc_id long, title string, text string")
+    got = [(r.section, r.text) for r in chunk.chunk(rows, "legacy", 200, 0).orderBy("chunk_index").collect()]
+    assert got == [("全文", "a title."), ("Abstract Words", "first par still first\n\nsecond par."), ("Abstract Words", "z" * 200), ("Abstract Words", "z" * 100), ("NEXT PART", "last")]
+
+
 def test_chunk_styles(spark):
     docs = spark.createDataFrame([(1, "T", "# H\nbody text here.\n\nmore"), (2, "U", "")], "doc_id long, title string, text string")
     for style in chunk.STYLES:
@@ -112,6 +183,12 @@ def test_claims(spark):
     def broken(c, e):
         raise RuntimeError("secret")
 
+    said = verify("Bees fly [2].", lambda c, e: [{"verdict": " Contradiction", "reason": "r" * 600}] * len(c))[0]
+    assert (said.verdict, len(said.reason)) == ("contradiction", 500)
+    assert verify("Bees fly [2].", lambda c, e: [3] * len(c))[0].reason == "invalid_judge_result"
+    assert [r.numbers for r in evidence.unsupported_numbers(spark.createDataFrame([(1, [7]), (1, [3, 7]), (1, [])], "answer_id long, unsupported array<long>")).collect()] == [[3, 7]]
+    with pytest.raises(ValueError):
+        evidence.verify(spark.createDataFrame([(1, "a [1].")], "answer_id long, answer string"), spark.createDataFrame([(1, 1, "x" * 200_000)], "answer_id long, number long, text string"))
     got = verify("Bees fly [2].", broken)[0]
     assert (got.verdict, got.reason) == ("insufficient", "judge_error")
 
@@ -176,7 +253,7 @@ def test_artifacts(spark, tmp_path):
     assert artifacts.load(spark, root).count() == 3
     got = {r.name: r.status for r in artifacts.audit(spark, {"a": {"root": root}, "b": {"root": f"{root}x"}, "c": {"root": root, "scope": "other"}}).collect()}
     assert got == {"a": "ok", "b": "missing", "c": "stale"}
-    good = {"version": 1, "scope": "abstract", "documents": 3, "k1": 1.2, "b": 0.75, "avg_length": 2.0}
+    good = {"format": 1, "scope": "abstract", "documents": 3, "k1": 1.2, "b": 0.75, "avg_length": 2.0}
     assert artifacts.valid_index_facts(good)
     assert not any(artifacts.valid_index_facts(good | x) for x in ({"documents": True}, {"k1": 0}, {"b": 1.5}, {"avg_length": float("inf")}))
     assert artifacts.todo(spark.range(4), spark.range(2), "id").count() == 2
