@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import bm25, chunk, context, dense, evidence, fusion
-from .plans import metrics, telemetry
+from .plans import evaluate, metrics, telemetry
 from .streaming.incremental import latency_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,7 +115,7 @@ _WEIGHTS = (1.0, 1.25, 1.5)
 def _weight_hits(s, d, k=10):
     postings = bm25.build(_titled(s, d), text=_body(), title=F.col("title"))
     weights = F.explode(F.array(*map(F.lit, _WEIGHTS)))
-    parts = bm25.contributions(postings, bm25.query_terms(_items(s, d)), title_weight=1.0).join(postings.select("doc_id", "term", "in_title"), ["doc_id", "term"]).withColumn("weight", weights)
+    parts = bm25.contributions(postings, bm25.query_terms(_items(s, d)), title_weight=1.0).withColumn("weight", weights)
     raw = parts.groupBy("weight", "query_id", "doc_id").agg(F.round(F.sum(F.col("part") * F.when(F.col("in_title"), F.col("weight")).otherwise(1.0)), 9).alias("raw"))
     return bm25.ranked(raw, k, "doc_id", "weight")
 
@@ -176,19 +176,20 @@ def dense_norm_check(s, d):
 
 
 def _channels(s, d, k):
-    """Both channels for the documents with a vector; every twentieth asks with its title and its vector."""
-    both = _titled(s, d).join(_read(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
-    asked = both.where("doc_id % 20 = 0")
-    sparse = bm25.search(bm25.build(both), asked.select(F.col("doc_id").alias("query_id"), F.col("title").alias("question")), k)
-    near = dense.search(both.select("doc_id", "embedding"), asked.select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("vector")), k)
+    """Both channels over all documents and all vectors; every twentieth document asks with its title, and with its vector if it has one."""
+    docs = _titled(s, d)
+    asked = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("title").alias("question"))
+    vectors = _read(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    sparse = bm25.search(bm25.build(docs), asked, k)
+    near = dense.search(vectors, asked.join(vectors, F.col("query_id") == F.col("doc_id")).select("query_id", F.col("embedding").alias("vector")), k)
     return sparse.select("query_id", "doc_id", "rank"), near.select("query_id", "doc_id", "rank")
 
 
 def _hybrid(k: int) -> str:
-    return f"""WITH both_sides AS (SELECT doc_id, text, embedding::DOUBLE[] AS v FROM documents JOIN embeddings ON vec_id = doc_id),
-asked AS (SELECT doc_id AS query_id, {_FIRST} AS question FROM both_sides WHERE doc_id % 20 = 0), {_index('both_sides', 'doc_id', 'text')}, {_TERMS}, {_SCORED},
+    return f"""WITH asked AS (SELECT doc_id AS query_id, {_FIRST} AS question FROM documents WHERE doc_id % 20 = 0), {_index('documents', 'doc_id', 'text')}, {_TERMS}, {_SCORED},
 sparse AS (SELECT query_id, k, rank FROM {_top('scored', k)}),
-pairs AS (SELECT q.doc_id AS query_id, x.doc_id AS k, round(list_inner_product(x.v, q.v), 9) AS raw FROM both_sides x JOIN both_sides q ON q.doc_id % 20 = 0),
+vecs AS (SELECT vec_id AS k, embedding::DOUBLE[] AS v FROM embeddings),
+pairs AS (SELECT q.k AS query_id, x.k AS k, round(list_inner_product(x.v, q.v), 9) AS raw FROM vecs x JOIN vecs q ON q.k IN (SELECT query_id FROM asked)),
 dense AS (SELECT query_id, k, rank FROM {_top('pairs', k)})"""
 
 
@@ -203,11 +204,7 @@ parts AS (SELECT ck, rk, query_id, k, 1.0::DOUBLE / (rk + rank) AS part FROM spa
 fused AS (SELECT ck, rk, query_id, k, round(sum(part), 12) AS raw FROM parts GROUP BY ALL)
 SELECT ck AS candidate_k, rk AS rrf_k, query_id, k AS doc_id, rank FROM {_top('fused', 10, ', ck, rk')}""")
 def rrf_sweep(s, d):
-    sparse, near = _channels(s, d, 100)
-    grid = F.array(*(F.struct(F.lit(c).alias("candidate_k"), F.lit(r).alias("rrf_k")) for c in (20, 50, 100) for r in (20, 40, 60, 100)))
-    each = sparse.unionByName(near).select("*", F.explode(F.filter(grid, lambda g: g["candidate_k"] >= F.col("rank"))).alias("g"))
-    raw = each.groupBy("g.candidate_k", "g.rrf_k", "query_id", "doc_id").agg(F.round(F.sum(1.0 / (F.col("g.rrf_k") + F.col("rank"))), 12).alias("raw"))
-    return bm25.ranked(raw, 10, "doc_id", "candidate_k", "rrf_k").select("candidate_k", "rrf_k", "query_id", "doc_id", "rank")
+    return evaluate.fusion_sweep(*_channels(s, d, 100), key="doc_id").select("candidate_k", "rrf_k", "query_id", "doc_id", "rank")
 
 
 @query(f"""WITH asked AS (SELECT item_id * 2 AS query_id, text AS question FROM benchmark UNION ALL SELECT item_id * 2 + 1, split_part(text, '. ', 1) FROM benchmark), {_index('documents', 'doc_id', 'text')}, {_TERMS}, {_SCORED},
@@ -266,17 +263,29 @@ def orphan_hits(s, d):
     return fusion.orphans(_chunk_hits(s, d), _read(s, d, "labels").select(F.col("doc_id").alias("parent_id")))
 
 
+#: Distinct leading hashes of items up to which documents are matched inside their rows; more are joined.
+FEW_LEADS = 1 << 14
+
+
 def _qrels(s, d):
-    """Documents that hold an item's words in order: joined on the item's first words, then compared whole."""
+    """Documents that hold an item's words in order: matched on the item's first words (up to four), then compared whole."""
     norm = lambda c: F.concat(F.lit(" "), T.evidence_norm(F.col(c)), F.lit(" "))
-    lead = 4
-    docs = _read(s, d, "documents").select("doc_id", norm("text").alias("t"))
-    places = docs.select("doc_id", "t", F.split(F.trim("t"), " ").alias("w"))
-    seeds = places.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - lead, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice("w", i + 1, lead), " "))))).alias("h"))
+    words = lambda c: F.split(F.trim(c), " ")
+    lead = lambda w, i, n: F.xxhash64(F.lit(n), F.array_join(F.slice(w, i, n), " "))
     items = _items(s, d).select("query_id", norm("question").alias("n"))
-    keyed = items.select("query_id", "n", F.xxhash64(F.array_join(F.slice(F.split(F.trim("n"), " "), 1, lead), " ")).alias("h"))
-    near = seeds.join(keyed, "h").select("doc_id", "query_id", "n")
-    return near.join(docs, "doc_id").where(F.contains("t", "n")).select("query_id", "doc_id")
+    size = F.least(F.size(words("n")), F.lit(4))
+    keyed = items.select("query_id", "n", F.coalesce(*(F.when(size == n, lead(words("n"), 1, n)) for n in (1, 2, 3, 4))).alias("h"))
+    lengths = sorted(r[0] for r in items.select(size).distinct().collect())  # of 1, 2, 3 and 4
+    docs = _read(s, d, "documents").select("doc_id", norm("text").alias("t")).select("doc_id", "t", words("t").alias("w"))
+    starts = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: lead(F.col("w"), i, n))).otherwise(F.array().cast("array<long>"))
+    seeds = F.array_distinct(F.concat(*(starts(n) for n in lengths))) if lengths else F.array().cast("array<long>")
+    leads = keyed.select("h").distinct()
+    if leads.limit(FEW_LEADS + 1).count() <= FEW_LEADS:
+        few = leads.agg(F.collect_list("h").alias("few"))  # one row of a checked size
+        met = docs.crossJoin(F.broadcast(few)).select("doc_id", "t", F.explode(F.array_intersect(seeds, "few")).alias("h")).join(keyed, "h")
+    else:
+        met = docs.select("doc_id", F.explode(seeds).alias("h")).join(keyed, "h").join(docs.select("doc_id", "t"), "doc_id")
+    return met.where(F.contains("t", "n")).select("query_id", "doc_id").distinct()
 
 
 _NORM = "' ' || trim(regexp_replace(lower({}), '[^\\pL\\pN_\\pM]+', ' ', 'g')) || ' '"
@@ -366,11 +375,18 @@ def claims_split(s, d):
     return _read(s, d, "conversations").select("conv_id", "turn", F.size(T.split_claims(F.col("text"))).cast("long").alias("n_claims"))
 
 
-@query("""SELECT conv_id, turn, array_to_string(list_distinct_in_order, ' ') AS numbers FROM (SELECT conv_id, turn, list_transform(list_filter(list_transform(generate_series(1, len(a)), lambda i: CASE WHEN list_position(a, a[i]) = i THEN a[i] END), lambda x: x IS NOT NULL), lambda x: CAST(x AS VARCHAR)) AS list_distinct_in_order
-FROM (SELECT conv_id, turn, list_concat(list_concat([turn], generate_series(turn + 1, turn + 3)), [7::BIGINT, turn + 2]) AS a FROM conversations))""")
+_NUMBERS = """list_filter(list_transform(generate_series(1, len(a)), lambda i: CASE WHEN list_position(a, a[i]) = i THEN a[i] END), lambda x: x IS NOT NULL)"""
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, regexp_replace(regexp_replace(text, '\\. ', ' [' || turn || '-' || (turn + 2) || '; 2020]. ', 'g'), ', ', ' [7, 3–4] [2021] [300-100], ', 'g') AS x FROM conversations),
+parts AS (SELECT conv_id, turn, list_transform(flatten(list_transform(regexp_extract_all(x, '\\[([0-9\\s,，;；\\-–]+)\\]', 1), lambda g: string_split_regex(trim(g), '\\s*[,，;；]\\s*'))), lambda p: trim(p)) AS p FROM t),
+each AS (SELECT conv_id, turn, flatten(list_transform(p, lambda q: CASE WHEN regexp_full_match(q, '\\d+\\s*[-–]\\s*\\d+') THEN CASE WHEN CAST(regexp_extract(q, '^(\\d+)', 1) AS BIGINT) <= CAST(regexp_extract(q, '(\\d+)$', 1) AS BIGINT) AND CAST(regexp_extract(q, '(\\d+)$', 1) AS BIGINT) - CAST(regexp_extract(q, '^(\\d+)', 1) AS BIGINT) <= 100
+  THEN generate_series(CAST(regexp_extract(q, '^(\\d+)', 1) AS BIGINT), CAST(regexp_extract(q, '(\\d+)$', 1) AS BIGINT)) ELSE [CAST(regexp_extract(q, '^(\\d+)', 1) AS BIGINT), CAST(regexp_extract(q, '(\\d+)$', 1) AS BIGINT)] END
+  WHEN regexp_full_match(q, '\\d+') AND NOT (length(q) = 4 AND CAST(q AS BIGINT) BETWEEN 1900 AND 2100) THEN [CAST(q AS BIGINT)] ELSE [] END)) AS a FROM parts)
+SELECT conv_id, turn, array_to_string(list_transform({_NUMBERS}, lambda x: CAST(x AS VARCHAR)), ' ') AS numbers FROM each""")
 def citation_expand(s, d):
     t = F.col("turn")
-    text = F.format_string("See [%s, %s-%s；2020] and [2021], then [7; %s].", t, t + 1, t + 3, t + 2)
+    text = F.regexp_replace(F.regexp_replace("text", F.lit(r"\. "), F.format_string(" [%s-%s; 2020]. ", t, t + 2)), F.lit(", "), F.lit(" [7, 3–4] [2021] [300-100], "))
     return _read(s, d, "conversations").select("conv_id", "turn", F.array_join(F.transform(T.citation_numbers(text), lambda x: x.cast("string")), " ").alias("numbers"))
 
 
@@ -382,21 +398,40 @@ def _answers(s, d):
     return answers, a.select("answer_id", F.lit(1).cast("long").alias("number"), "text")
 
 
-@query("""WITH a AS (SELECT conv_id * 1000 + turn AS answer_id, text FROM conversations WHERE role = 'assistant'),
+_JUDGED = """WITH a AS (SELECT conv_id * 1000 + turn AS answer_id, text FROM conversations WHERE role = 'assistant'),
 c AS (SELECT answer_id, text, unnest(list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace(trim(regexp_replace(text, '\\.', CASE WHEN length(text) > 600 THEN ' [1, 2].' ELSE ' [1].' END, 'g')), '([.!?。！？])\\s+', '\\1\x01', 'g'), '\\n+', '\x01', 'g'), '\x01'), lambda x: trim(x)), lambda x: x <> '')) AS raw FROM a),
 j AS (SELECT answer_id, CASE WHEN raw LIKE '%[1, 2]%' THEN 'invalid_citation_number' WHEN raw NOT LIKE '%[1]%' THEN 'missing_citation' WHEN contains(trim(regexp_replace(lower(text), '[^\\pL\\pN_\\pM]+', ' ', 'g')), trim(regexp_replace(lower(regexp_replace(raw, '\\[1(, 2)?\\]', '', 'g')), '[^\\pL\\pN_\\pM]+', ' ', 'g'))) AND regexp_matches(regexp_replace(raw, '\\[1(, 2)?\\]', '', 'g'), '[\\pL\\pN_]') THEN 'exact_text_match' ELSE 'no_semantic_judge' END AS reason FROM c WHERE regexp_replace(regexp_replace(raw, '\\[1(, 2)?\\]', '', 'g'), '^[ \\t,;:]+|[ \\t,;:]+$', '', 'g') <> '')
-SELECT CASE WHEN reason = 'exact_text_match' THEN 'support' ELSE 'insufficient' END AS verdict, reason, count(*) AS n FROM j GROUP BY reason""")
+SELECT CASE WHEN reason = 'exact_text_match' THEN 'support' ELSE 'insufficient' END AS verdict, reason, count(*) AS n FROM j GROUP BY reason"""
+
+
+@query(_JUDGED)
 def verdict_ladder(s, d):
     return telemetry.counts_by(evidence.verify(*_answers(s, d)), ["verdict", "reason"])
 
 
-@query()
+_JUDGES = _JUDGED[: _JUDGED.rindex("\nSELECT")]
+
+
+@query(f"""{_JUDGES}
+SELECT a.answer_id, count(j.reason) AS n_claims, count(j.reason) > 0 AND bool_and(coalesce(j.reason = 'exact_text_match', false)) AS safe FROM a LEFT JOIN j USING (answer_id) GROUP BY a.answer_id""")
 def answer_safety(s, d):
     answers, contexts = _answers(s, d)
     return evidence.answer_safety(answers, evidence.verify(answers, contexts))
 
 
-@query()
+_PREFIXES = """list_distinct(list_transform(list_filter(regexp_extract_all(lower(question), '[a-z][a-z0-9-]{4,}'), lambda w: w NOT IN ('which', 'where', 'there', 'paper', 'papers', 'about', 'using', 'study', 'studies', 'first', 'their', 'these', 'model', 'models')), lambda w: substr(w, 1, 6)))"""
+
+
+@query(f"""{_CHUNK_HITS.replace('WITH ', 'WITH RECURSIVE ', 1)},
+ranked_parents AS (SELECT query_id, parent_id, row_number() OVER (PARTITION BY query_id ORDER BY min(rank)) AS parent_rank FROM hits GROUP BY query_id, parent_id),
+found AS (SELECT h.query_id, h.parent_id, parent_rank, rank, chunk_id, text, list_filter({_PREFIXES}, lambda t: contains(lower(text), t)) AS f, len({_PREFIXES}) AS n_prefixes FROM hits h JOIN ranked_parents USING (query_id, parent_id) JOIN chunks USING (chunk_id) JOIN asked USING (query_id)),
+pooled AS (SELECT *, flatten(list(f) OVER w) AS every, row_number() OVER (PARTITION BY query_id, parent_id ORDER BY rank) AS nth FROM found WINDOW w AS (PARTITION BY query_id, parent_id)),
+weighted AS (SELECT *, round(coalesce(list_sum(list_transform(f, lambda t: 1.0::DOUBLE / (1 + len(list_filter(every, lambda x: x = t))))), 0), 12) AS weight FROM pooled),
+slots AS (SELECT query_id, CAST(parent_id AS VARCHAR) AS parent_id, parent_rank, chunk_id, text, row_number() OVER (PARTITION BY query_id, parent_id ORDER BY nth > 1, CASE WHEN n_prefixes > 0 THEN -weight ELSE 0 END, nth) AS slot FROM weighted),
+queue AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY slot, parent_rank, parent_id) AS place FROM slots WHERE slot <= 2 AND length(text) > 0),
+taken AS (SELECT query_id, place, parent_id, chunk_id, text, true AS kept, length(text) + 200 AS used FROM queue WHERE place = 1
+UNION ALL SELECT q.query_id, q.place, q.parent_id, q.chunk_id, q.text, t.used + length(q.text) + 200 <= 12000, CASE WHEN t.used + length(q.text) + 200 <= 12000 THEN t.used + length(q.text) + 200 ELSE t.used END FROM taken t JOIN queue q ON q.query_id = t.query_id AND q.place = t.place + 1)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY place) AS number, parent_id, chunk_id, sha256(text) AS text_sha256 FROM taken WHERE kept""")
 def context_select(s, d):
     hits = fusion.parents(_chunk_hits(s, d)).select("query_id", "parent_id", "parent_rank", F.explode("matched_chunks").alias("m"))
     texts = _window_chunks(s, d).select("chunk_id", "text")
@@ -492,9 +527,9 @@ def grouping_slices(s, d):
     return rows.rollup(F.col("r_name").alias("region"), F.col("n_name").alias("nation")).agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("SELECT c_custkey, c_mktsegment FROM customer ANTI JOIN orders ON o_custkey = c_custkey")
-def customers_without_orders(s, d):
-    return _read(s, d, "customer").join(_read(s, d, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey", "c_mktsegment")
+@query("SELECT c_custkey, c_mktsegment FROM customer ANTI JOIN (SELECT * FROM orders WHERE o_totalprice > 250000) ON o_custkey = c_custkey")
+def customers_without_large_orders(s, d):
+    return _read(s, d, "customer").join(_read(s, d, "orders").where("o_totalprice > 250000"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey", "c_mktsegment")
 
 
 @query("SELECT o_custkey, o_orderkey, o_totalprice, k FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k <= 3")
@@ -525,13 +560,20 @@ def unit_chunks(s, d):
     return chunk.chunk(_read(s, d, "documents").select("doc_id", "text"), "units").select("chunk_id", "parent_id", "chunk_index", "section", F.char_length("text").alias("n_chars"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_CHUNKS}, sized AS (SELECT parent_id, n, CAST(chunk_id AS VARCHAR) AS chunk_id, length(text) AS size FROM chunks),
+packed AS (SELECT parent_id, n, chunk_id, 0 AS no, size AS used FROM sized WHERE n = 0
+UNION ALL SELECT s.parent_id, s.n, s.chunk_id, CASE WHEN used > 0 AND used + size > 6000 THEN no + 1 ELSE no END, CASE WHEN used > 0 AND used + size > 6000 THEN size ELSE used + size END FROM packed p JOIN sized s ON s.parent_id = p.parent_id AND s.n = p.n + 1)
+SELECT parent_id, chunk_id, CASE WHEN no < 8 THEN CAST(no AS BIGINT) END AS window_no, count(*) FILTER (WHERE no >= 8) OVER (PARTITION BY parent_id) AS omitted_chunks FROM packed""")
 def chunk_budget_windows(s, d):
     chunks = _window_chunks(s, d).select("parent_id", F.col("n").alias("chunk_index"), F.col("chunk_id").cast("string").alias("chunk_id"), "text")
     return chunk.chunk_windows(chunks, 6000)
 
 
-@query()
+@query(f"""WITH long_texts AS (SELECT doc_id, text, list_distinct({_tok(_FIRST)}) AS terms FROM documents WHERE length(text) > 6000),
+starts AS (SELECT doc_id, text, terms, unnest(generate_series(0, length(text) - 1, 2600)) AS s FROM long_texts),
+scored AS (SELECT doc_id, text, s, coalesce(list_sum(list_transform(terms, lambda t: CASE WHEN contains(lower(substr(text, s + 1, 5200)), t) THEN CASE WHEN regexp_matches(t, '[0-9]') THEN 2 ELSE 1 END ELSE 0 END)), 0) AS hits FROM starts),
+best AS (SELECT doc_id, substr(text, 1, 700) || chr(10) || substr(text, s + 1, 5200) AS x FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, s) AS k FROM scored) WHERE k = 1)
+SELECT doc_id, sha256(coalesce(x, text)) AS digest FROM documents LEFT JOIN best USING (doc_id)""")
 def excerpt_windows(s, d):
     docs = _titled(s, d)
     return docs.select("doc_id", F.sha2(T.best_window(F.col("text"), F.array_distinct(T.tokenize(F.col("title")))), 256).alias("digest"))
@@ -607,8 +649,12 @@ def part_suppliers(s, d):
 
 
 def queries() -> dict[str, Query]:
+    from . import queries_plans  # noqa: F401  registers more
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import queries_plans  # noqa: F401
+
     return dict(SQL)

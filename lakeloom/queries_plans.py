@@ -1,0 +1,517 @@
+"""Registered queries of sources, persisted indexes, evaluation and reports, each beside its DuckDB form.
+
+Sources and indexes are exercised by round trips: a table is written in the form that a source reads, into the
+folder that the session names for such files, and read again whole.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .operators import bm25, context, dense, evidence, fusion
+from .plans import artifacts, evaluate, index, metrics, telemetry
+from .plans import search as S
+from .queries import _BM25, _CHUNK_HITS, _FIRST, _MEANS, _MEASURES, _QRELS, _chunk_hits, _hybrid, _items, _metric_sql, _channels, _qrels, _read, _titled, _tok, _top, _window_chunks, query
+from .sources import readers, sinks
+
+def _squash(x: str) -> str:
+    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+
+
+# --- text functions -------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH q AS (SELECT conv_id, list_filter(list_transform(string_split_regex(text, '[.!?\\n]'), lambda x: {_squash('x')}), lambda x: x <> '' AND length(x) <= 240 AND regexp_matches(x, '[A-Za-z]') AND NOT regexp_matches(x, '[\\x{{3400}}-\\x{{9fff}}]')) AS g, turn FROM conversations)
+SELECT conv_id, turn, array_to_string((list_filter(g, lambda x, i: list_position(list_transform(g, lambda y: lower(y)), lower(x)) = i))[1:3], '|') AS kept FROM q""")
+def sanitized_queries(s, d):
+    pieces = F.split("text", r"[.!?\n]")
+    return _read(s, d, "conversations").select("conv_id", F.array_join(T.sanitize_queries(pieces, 3), "|").alias("kept"), "turn")
+
+
+@query("""SELECT conv_id, turn, CASE WHEN regexp_matches(text, '[\\x{3400}-\\x{9fff}]') THEN '没有检索到可核验的论文证据，无法可靠回答。' ELSE 'No verifiable paper evidence was retrieved, so I cannot answer reliably.' END AS none,
+CASE WHEN regexp_matches(text, '[\\x{3400}-\\x{9fff}]') THEN '现有证据不足以支持可靠回答，请查看检索片段或缩小问题范围。' ELSE 'The evidence does not support a reliable answer. Please inspect the retrieved blocks or narrow the question.' END AS weak FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text ELSE text || ' 什么' END AS text FROM conversations)""")
+def refusal_messages(s, d):
+    text = F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(F.concat("text", F.lit(" 什么")))
+    return _read(s, d, "conversations").select("conv_id", "turn", T.refusal_message(text, "no_retrieval").alias("none"), T.refusal_message(text, "unverified").alias("weak"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, regexp_replace(text, '\\. ', ' [' || turn || ', 2; ' || (turn + 1) || '] [1-3]. ', 'g') AS x FROM conversations),
+a AS (SELECT conv_id, turn, list_transform(flatten(list_transform(regexp_extract_all(x, '\\[(\\s*\\d+(?:\\s*[,;，；]\\s*\\d+)*\\s*)\\]', 1), lambda g: string_split_regex(trim(g), '\\s*[,;，；]\\s*'))), lambda v: CAST(v AS BIGINT)) AS a FROM t)
+SELECT conv_id, turn, array_to_string(list_filter(a, lambda v, i: list_position(a, v) = i), ' ') AS numbers FROM a""")
+def simple_citation_lists(s, d):
+    t = F.col("turn")
+    text = F.regexp_replace("text", F.lit(r"\. "), F.format_string(" [%s, 2; %s] [1-3]. ", t, t + 1))
+    return _read(s, d, "conversations").select("conv_id", "turn", F.array_join(F.transform(T.simple_citations(text), lambda x: x.cast("string")), " ").alias("numbers"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, regexp_replace(lower(CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN '; The evidence does not establish ' || text WHEN 2 THEN 'However, the evidence does not show which was first ' || text ELSE '证据不足 ' || text END), '^[ ,;:，；：]+', '') AS x FROM conversations)
+SELECT conv_id, turn, regexp_matches(x, '^(however, the blocks do not establish|the evidence does not establish|the provided blocks do not establish|the blocks do not establish|therefore, the evidence cannot|the evidence is insufficient|现有证据不足|证据不足|无法根据现有证据|无法从这些证据)')
+ OR (regexp_matches(x, '^(?:however,\\s*)?the evidence does not (?:establish|identify|prove|show|confirm)\\b') AND regexp_matches(x, '\\b(?:first|earliest|priority|only)\\b')) AS caveat FROM t""")
+def caveats(s, d):
+    t, x = F.col("turn") % 4, F.col("text")
+    text = F.when(t == 0, x).when(t == 1, F.concat(F.lit("; The evidence does not establish "), x)).when(t == 2, F.concat(F.lit("However, the evidence does not show which was first "), x)).otherwise(F.concat(F.lit("证据不足 "), x))
+    return _read(s, d, "conversations").select("conv_id", "turn", T.is_caveat(text).alias("caveat"))
+
+
+@query("""SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE WHEN event_id % 3 = 0 OR value IS NULL OR isnan(value) THEN NULL ELSE value END AS value FROM events""")
+def model_answers(s, d):
+    e = _read(s, d, "events")
+    said = F.concat(F.lit("Here it is:\n```json\n"), "props", F.lit("\n```"))
+    x = F.when(F.col("event_id") % 3 == 0, F.lit(float("inf"))).otherwise(F.col("value"))
+    return e.select("event_id", T.json_object(said, "k bigint")["k"].alias("k"), T.finite(x).alias("value"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, text, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS n FROM conversations),
+own AS (SELECT a.conv_id, bool_and(EXISTS (SELECT 1 FROM t b WHERE b.conv_id = a.conv_id AND b.turn = a.turn AND length(trim(substr(a.text, 1, 40))) > 0 AND contains(a.n, lower(trim(regexp_replace(CASE WHEN a.turn % 5 = 4 THEN 'absent ' ELSE '' END || substr(a.text, 1, 40), '\\s+', ' ', 'g')))))) AS covered FROM t a GROUP BY a.conv_id)
+SELECT conv_id, covered FROM own""")
+def gold_quotes(s, d):
+    c = _read(s, d, "conversations").select("conv_id", F.col("turn").cast("string").alias("id"), "text", F.concat(F.when(F.col("turn") % 5 == 4, "absent ").otherwise(""), F.substring("text", 1, 40)).alias("quote"))
+    g = c.groupBy("conv_id").agg(F.collect_list("id").alias("gold"), F.collect_list(F.struct(F.col("id").alias("paper_id"), "quote")).alias("quotes"), F.map_from_entries(F.collect_list(F.struct("id", "text"))).alias("texts"))
+    return g.select("conv_id", T.quotes_cover_gold(F.col("gold"), F.col("quotes"), F.col("texts")).alias("covered"))
+
+
+_MONTHS = ", ".join(f"'{m}'" for m in T.MONTHS)
+_SECTIONS = ", ".join(f"'{m}'" for m in T.KNOWN_SECTIONS)
+#: Every fifth line stands as it is; the others get marks that headings have.
+_LINES = f"""lines AS (SELECT doc_id, pos, {_squash("CASE pos % 5 WHEN 1 THEN '## ' || line || ' #' WHEN 2 THEN (pos % 40) || '.' || pos || ' ' || line WHEN 3 THEN (pos % 7) || ' ' || line WHEN 4 THEN CASE WHEN pos % 2 = 0 THEN 'Related  Work:' ELSE line || ' x = 1' END ELSE line END")} AS bare FROM
+ (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents))"""
+
+
+@query(f"""WITH {_LINES}, cut AS (SELECT *, regexp_extract(bare, '^(#{{1,6}})\\s+(.+?)\\s*#*\\s*$', 1) AS marks, regexp_extract(bare, '^#{{1,6}}\\s+(.+?)\\s*#*\\s*$', 1) AS atx, regexp_extract(bare, '^(\\d+(?:\\.\\d+){{0,5}})[.)]?\\s+(.{{2,100}})$', 1) AS number, regexp_extract(bare, '^\\d+(?:\\.\\d+){{0,5}}[.)]?\\s+(.{{2,100}})$', 1) AS title FROM lines),
+found AS (SELECT *, CASE WHEN length(bare) NOT BETWEEN 1 AND 140 THEN 0 WHEN marks <> '' THEN length(marks)
+ WHEN number <> '' AND regexp_matches(title, '^\\p{{Lu}}') AND TRY_CAST(split_part(number, '.', 1) AS INT) <= 30 AND NOT contains(lower(title), 'arxiv:') AND NOT regexp_matches(title, '[{{}};=@<>]') AND len(string_split(title, ' ')) <= 16
+  AND lower(regexp_replace(split_part(title, ' ', 1), '[.:]+$', '')) NOT IN ({_MONTHS}) THEN len(string_split(number, '.'))
+ WHEN lower(regexp_replace(bare, ':+$', '')) IN ({_SECTIONS}) THEN 1 ELSE 0 END AS level FROM cut)
+SELECT doc_id, pos, CAST(level AS INT) AS level, CASE WHEN marks <> '' THEN trim(atx) ELSE bare END AS title FROM found WHERE level > 0""")
+def heading_lines(s, d):
+    pos = F.col("p") + 1
+    line = F.col("line")
+    made = F.when(pos % 5 == 1, F.concat(F.lit("## "), line, F.lit(" #"))).when(pos % 5 == 2, F.concat((pos % 40).cast("string"), F.lit("."), pos.cast("string"), F.lit(" "), line)).when(pos % 5 == 3, F.concat((pos % 7).cast("string"), F.lit(" "), line))
+    made = made.when((pos % 5 == 4) & (pos % 2 == 0), "Related  Work:").when(pos % 5 == 4, F.concat(line, F.lit(" x = 1"))).otherwise(line)
+    rows = _read(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line")).select("doc_id", pos.cast("long").alias("pos"), T.heading(T.collapse(made)).alias("h"))
+    return rows.where("h is not null").select("doc_id", "pos", "h.level", "h.title")
+
+
+# --- sources and sinks ----------------------------------------------------------------------------------------------
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS paper_id, sha256(text) AS digest, 'full_text' AS evidence_scope FROM documents")
+def papers_round_trip(s, d):
+    at = artifacts.scratch(s)
+    rows = _read(s, d, "documents").select(F.col("doc_id").cast("string").alias("paper_id"), F.col("text").alias("abstract"), F.lit("u").alias("source_url"), F.lit("full_text").alias("evidence_scope"))
+    sinks.write_jsonl(rows, at)
+    return readers.papers(s, at).select("paper_id", F.sha2("abstract", 256).alias("digest"), "evidence_scope")
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS paper_id, sha256(regexp_replace(text, '^ +| +$', '', 'g')) AS digest, CASE WHEN doc_id % 3 = 0 THEN 'u' ELSE 'somewhere' END AS source_url, 'parent' AS doc_type FROM documents WHERE trim(text) <> ''""")
+def parents_round_trip(s, d):
+    at = artifacts.scratch(s)
+    odd, i = F.col("doc_id") % 2 == 1, F.col("doc_id").cast("string")
+    rows = _read(s, d, "documents").where(F.trim("text") != "").select(
+        F.when(odd, i).alias("paper_id"), F.when(~odd, i).alias("corpusid"), F.when(odd, F.col("text")).otherwise("").alias("full_text"), F.when(~odd, F.col("text")).alias("full_paper"), F.when(F.col("doc_id") % 3 == 0, "u").alias("source_url")
+    )
+    rows.write.json(at)  # without the null fields
+    return readers.parents(s, at, "somewhere").select("paper_id", F.sha2("full_text", 256).alias("digest"), "source_url", "doc_type")
+
+
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS paper_id, length(text) AS n_chars, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN {_FIRST} ELSE '' END AS title FROM documents WHERE text <> ''")
+def shards_with_metadata(s, d):
+    docs = _titled(s, d)
+    a, b = artifacts.scratch(s), artifacts.scratch(s)
+    nested = docs.select(F.col("doc_id").alias("corpusid"), F.struct(F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise("").alias("text"), F.lit("x").alias("other")).alias("content"), F.col("text").alias("full_paper"), F.lit("y").alias("unread"))
+    nested.where("corpusid % 3 = 0").write.parquet(a)
+    copied = sinks.read_with_retries(lambda: nested.where("corpusid % 3 <> 0"), b)
+    known = docs.join(_read(s, d, "labels").select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").cast("string").alias("paper_id"), "title", F.lit("").alias("abstract"))
+    assert copied.columns == nested.columns
+    return readers.with_metadata(readers.shards(s, [a, b]), known).select("paper_id", F.char_length("full_text").alias("n_chars"), "title")
+
+
+@query(f"SELECT format('query_{{:03d}}', row_number() OVER (ORDER BY item_id)) AS id, {_squash('text')} AS question, 0 AS empty_title, (SELECT count(*) FROM documents) AS empty_abstract FROM benchmark")
+def benchmark_round_trip(s, d):
+    corpus, counts = readers.benchmark_papers(_read(s, d, "documents").select(F.col("doc_id").cast("string").alias("paper_id"), F.lit("t").alias("title"), F.lit(" ").alias("abstract")))
+    rows = _items(s, d).select("question", F.array(F.lit("0")).alias("gold_paper_ids"), F.col("query_id").alias("position"))
+    queries, _ = readers.benchmark_queries(rows, corpus)
+    return queries.select("id", "question").crossJoin(counts.select("empty_title", "empty_abstract"))  # one row of counts
+
+
+@query("SELECT doc_id, length(text) AS n_chars FROM documents WHERE doc_id % 7 = 3")
+def point_lookups(s, d):
+    docs = _read(s, d, "documents").withColumn("id", F.col("doc_id").cast("string"))
+    ids = [str(r.doc_id) for r in docs.where("doc_id % 7 = 3").select("doc_id").collect()]
+    return readers.by_ids(docs, ids, "id").select("doc_id", F.char_length("text").alias("n_chars"))
+
+
+@query("SELECT item_id || '_zh' AS id, '问 ' || item_id AS question FROM benchmark")
+def translated_probes(s, d):
+    items = _items(s, d).select(F.col("query_id").cast("string").alias("id"), "question")
+    return readers.probes(items, {r.id: f"问 {r.id}" for r in items.select("id").collect()}).select("id", "question")
+
+
+_SIZED = "chunks AS (SELECT doc_id AS parent_id, n AS chunk_index, CASE WHEN length(text) <= 1800 THEN text ELSE substr(text, n * 1560 + 1, 1800) END AS text FROM (SELECT doc_id, text, unnest(generate_series(0, CASE WHEN length(text) <= 1800 THEN 0 ELSE (length(text) - 1) // 1560 END)) AS n FROM documents))"
+
+
+@query(f"WITH {_SIZED} SELECT parent_id, chunk_index, length(text) AS n_chars, row_number() OVER (ORDER BY chunk_index) AS place FROM chunks WHERE parent_id = (SELECT max(doc_id) FROM documents)")
+def chunks_of_one_paper(s, d):
+    made = _window_chunks(s, d).select("parent_id", F.col("n").alias("chunk_index"), "chunk_id", "text")
+    last = made.agg(F.max("parent_id")).first()[0]
+    rows = readers.paper_chunks(made, last).select("parent_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.char_length("text").alias("n_chars"))
+    return rows.withColumn("place", F.col("chunk_index") + 1)
+
+
+@query(f"WITH {_SIZED} SELECT count(*) AS chunks, CAST(sum(length(text)) AS BIGINT) AS chars, true AS bound, true AS rejected FROM chunks")
+def published_chunks(s, d):
+    root = artifacts.scratch(s)
+    made = _window_chunks(s, d).select("chunk_id", "parent_id", "text")
+    artifacts.publish(made.limit(0), root, scope="old")
+    artifacts.publish(made, root, scope="full_text_chunk")
+    got = artifacts.load(s, root, verify=True, scope="full_text_chunk")
+    try:
+        artifacts.load(s, root, scope="old")
+        rejected = False
+    except ValueError:
+        rejected = True
+    return got.agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.char_length("text")).alias("chars")).select("*", F.lit(artifacts.manifest(s, root)[1]["scope"] == "full_text_chunk").alias("bound"), F.lit(rejected).alias("rejected"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 4 <> 1")
+def resumed_run(s, d):
+    run = artifacts.Checkpoint(s, artifacts.scratch(s), {"what": "ids"})
+    wanted = _read(s, d, "documents").select("doc_id")
+    run.append(wanted.where("doc_id % 4 = 1"))
+    return run.todo(wanted, "doc_id")
+
+
+@query("SELECT 'a' AS name, 'ok' AS status UNION ALL SELECT 'b', 'missing' UNION ALL SELECT 'c', 'stale'")
+def artifact_audit(s, d):
+    root = artifacts.scratch(s)
+    artifacts.publish(_read(s, d, "labels"), root, scope="labels")
+    return artifacts.audit(s, {"a": {"root": root, "scope": "labels"}, "b": {"root": f"{root}-none"}, "c": {"root": root, "scope": "other"}}).select("name", "status")
+
+
+@query("SELECT (SELECT count(*) FROM labels) AS labels, (SELECT count(*) FROM benchmark) AS items, true AS kept_together")
+def rebuilt_together(s, d):
+    roots = {name: artifacts.scratch(s) for name in ("labels", "benchmark")}
+    parts = lambda less: {name: (root, lambda name=name: _read(s, d, name).limit(0) if less else _read(s, d, name), {}) for name, root in roots.items()}
+    artifacts.rebuild(s, parts(False))
+
+    def check(frames):
+        if any(f.isEmpty() for f in frames.values()):
+            raise ValueError("an empty part")
+
+    try:
+        artifacts.rebuild(s, parts(True), check)
+        kept = False
+    except ValueError:
+        kept = True
+    n = lambda name: artifacts.load(s, roots[name]).agg(F.count(F.lit(1)).alias({"benchmark": "items"}.get(name, name)))
+    return n("labels").crossJoin(n("benchmark")).withColumn("kept_together", F.lit(kept))  # single rows
+
+
+# --- indexes --------------------------------------------------------------------------------------------------------
+
+
+@query(f"{_BM25} SELECT query_id, k AS doc_id, rank, round(raw, 5) AS score FROM {_top('scored', 10)}")
+def written_index_search(s, d):
+    docs = _read(s, d, "documents")
+    postings, _ = index.ensure_lexical(docs, artifacts.scratch(s))
+    return index.search(postings, _items(s, d)).select("query_id", "doc_id", "rank", "score")
+
+
+@query(f"""WITH vecs AS (SELECT vec_id AS k, embedding::DOUBLE[] AS v FROM embeddings), pairs AS (SELECT q.k AS query_id, x.k AS k, round(list_inner_product(x.v, q.v) / sqrt(list_inner_product(x.v, x.v)), 6) AS raw FROM vecs x JOIN vecs q ON q.k % 20 = 0)
+SELECT query_id, k AS doc_id, rank FROM {_top('pairs', 1)}""")
+def written_vectors_search(s, d):
+    rows = _read(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("vec_id").cast("string").alias("text"), "embedding")
+    root = artifacts.scratch(s)
+    index.migrate_vectors(rows, root, len(rows.select("embedding").first()[0]), "m")
+    vectors = index.open_dense(s, root, rows, model="m")
+    asked = rows.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return dense.search(vectors, asked, 1).select("query_id", "doc_id", "rank")
+
+
+@query("""SELECT count(*) FILTER (WHERE doc_id % 11 = 0) AS without_vector, 1 AS without_document, 0 AS repeated, count(*) FILTER (WHERE doc_id % 11 <> 0 AND doc_id % 13 = 5) AS other_text, max(doc_id) - min(doc_id) + 1 = count(*) AS contiguous FROM documents""")
+def vector_binding(s, d):
+    docs = _read(s, d, "documents").select("doc_id", "text")
+    had = F.when(F.col("doc_id") % 13 == 5, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
+    vectors = docs.where("doc_id % 11 <> 0").select("doc_id", F.sha2(had, 256).alias("text_sha256")).unionByName(s.range(1).select(F.lit(-1).cast("long").alias("doc_id"), F.lit("").alias("text_sha256")))
+    first = docs.agg(F.min("doc_id")).first()[0]
+    return index.binding(vectors, docs).withColumn("contiguous", F.lit(index.contiguous(docs, "doc_id", first)))
+
+
+@query("SELECT unnest(['corpus: keys are unique', 'lexical: facts and corpus', 'lexical: rows', 'lexical: documents']) AS \"check\", true AS ok")
+def index_validation(s, d):
+    docs, root = _read(s, d, "documents"), artifacts.scratch(s)
+    index.build_lexical(docs, root)
+    return index.validate(s, docs, root).select("check", "ok")
+
+
+# --- fusion, contexts, evidence ---------------------------------------------------------------------------------------
+
+
+@query(f"""{_hybrid(20)}, fused AS (SELECT query_id, k, coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0) AS raw FROM sparse a FULL JOIN dense b USING (query_id, k))
+SELECT query_id, k AS doc_id, rank, round(raw, 8) AS score FROM {_top('fused', 40)}""")
+def hybrid_driver(s, d):
+    docs = _titled(s, d)
+    vectors = _read(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    asked = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("title").alias("question")).join(vectors.select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id", "left")
+    return S.hybrid(bm25.build(docs), vectors, asked, 20).select("query_id", "doc_id", "rank", "score")
+
+
+@query(f"""{_CHUNK_HITS} SELECT query_id, parent_id, row_number() OVER (PARTITION BY query_id ORDER BY min(rank)) AS rank FROM hits WHERE rank <= 20 GROUP BY query_id, parent_id""")
+def parent_channel(s, d):
+    return fusion.channel(_chunk_hits(s, d), 20, "parent_id").select("query_id", "parent_id", "rank")
+
+
+@query(f"""{_CHUNK_HITS}, firsts AS (SELECT query_id, parent_id, row_number() OVER (PARTITION BY query_id ORDER BY min(rank)) AS parent_rank FROM hits GROUP BY query_id, parent_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY parent_rank) AS number, CAST(parent_id AS VARCHAR) AS parent_id, sha256(text) AS text_sha256 FROM firsts JOIN documents ON doc_id = parent_id WHERE parent_rank <= 3 AND length(text) > 0""")
+def whole_contexts(s, d):
+    best = fusion.parents(_chunk_hits(s, d)).where("parent_rank <= 3").join(_read(s, d, "documents").select(F.col("doc_id").alias("parent_id"), "text"), "parent_id")
+    rows = best.select("query_id", F.col("parent_id").cast("string").alias("parent_id"), "parent_rank", "text")
+    return context.full_contexts(rows, 100_000_000).select("query_id", "number", "parent_id", "text_sha256")
+
+
+_RELATED = f"""{_CHUNK_HITS.replace('WITH ', 'WITH RECURSIVE ', 1)},
+ranked_parents AS (SELECT query_id, parent_id, row_number() OVER (PARTITION BY query_id ORDER BY min(rank)) AS parent_rank FROM hits GROUP BY query_id, parent_id),
+slots AS (SELECT query_id, CAST(parent_id AS VARCHAR) AS parent_id, parent_rank, CAST(chunk_id AS VARCHAR) AS chunk_id, substr(text, 1, 4000) AS text, row_number() OVER (PARTITION BY query_id, parent_id ORDER BY rank) AS slot FROM hits JOIN chunks USING (chunk_id, parent_id) JOIN ranked_parents USING (query_id, parent_id) WHERE parent_rank <= 20),
+queue AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY slot, parent_rank, parent_id) AS place FROM slots WHERE slot <= 4 AND length(text) > 0),
+taken AS (SELECT query_id, place, parent_id, chunk_id, text, true AS kept, length(text) + 220 AS used FROM queue WHERE place = 1
+UNION ALL SELECT q.query_id, q.place, q.parent_id, q.chunk_id, q.text, t.used + length(q.text) + 220 <= 12000, CASE WHEN t.used + length(q.text) + 220 <= 12000 THEN t.used + length(q.text) + 220 ELSE t.used END FROM taken t JOIN queue q ON q.query_id = t.query_id AND q.place = t.place + 1)"""
+
+
+def _context_rows(s, d):
+    hits = fusion.parents(_chunk_hits(s, d)).select("query_id", "parent_id", "parent_rank", F.explode("matched_chunks").alias("m"))
+    return hits.select("query_id", F.col("parent_id").cast("string").alias("parent_id"), "parent_rank", F.col("m.rank").alias("rank"), F.col("m.chunk_id").alias("chunk_id")).join(_window_chunks(s, d).select("chunk_id", "text"), "chunk_id")
+
+
+@query(f"{_RELATED} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY place) AS number, parent_id, chunk_id FROM taken WHERE kept")
+def related_contexts(s, d):
+    return evidence.related_context(_context_rows(s, d)).select("query_id", "number", "parent_id", F.col("chunk_id").cast("string").alias("chunk_id"))
+
+
+@query(f"{_RELATED}, n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS number FROM taken WHERE kept) SELECT query_id, sha256(string_agg('[' || number || '] ' || parent_id || chr(10) || text, chr(10) || chr(10) ORDER BY number)) AS digest FROM n GROUP BY query_id")
+def prompts(s, d):
+    return context.prompt(evidence.related_context(_context_rows(s, d))).select("query_id", F.sha2("prompt", 256).alias("digest"))
+
+
+_PROPOSED = """proposed AS (SELECT conv_id AS parent_id, ['methods', 'datasets', 'limitations', 'none'][turn % 4 + 1] AS field, turn AS pos, regexp_extract(text, '^\\s*(\\S+)', 1) AS claim, turn AS chunk_id, CASE WHEN turn % 3 = 2 THEN 'absent ' ELSE '' END || substr(text, 3, 30) AS quote, text FROM conversations),
+held AS (SELECT * FROM proposed WHERE field <> 'none' AND trim(claim) <> '' AND trim(regexp_replace(quote, '\\s+', ' ', 'g')) <> '' AND contains(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(quote, '\\s+', ' ', 'g'))))),
+spelt AS (SELECT parent_id, field, lower(trim(claim)) AS spelling, min(pos) AS pos, arg_min(claim, pos) AS claim, count(DISTINCT chunk_id) AS n FROM held GROUP BY parent_id, field, spelling),
+card AS (SELECT parent_id, field, claim, pos, n, row_number() OVER (PARTITION BY parent_id, field ORDER BY pos, spelling) AS claim_no FROM spelt)"""
+
+
+def _proposals(s, d):
+    t = F.col("turn")
+    field = F.element_at(F.array(*map(F.lit, ("methods", "datasets", "limitations", "none"))), (t % 4 + 1).cast("int"))
+    c = _read(s, d, "conversations").withColumn("parent_id", F.col("conv_id"))
+    quote = F.concat(F.when(t % 3 == 2, "absent ").otherwise(""), F.substring("text", 3, 30))
+    proposed = c.select("parent_id", field.alias("field"), t.alias("pos"), F.regexp_extract("text", r"^\s*(\S+)", 1).alias("claim"), t.alias("chunk_id"), quote.alias("quote"))
+    return proposed, c.select("parent_id", t.alias("chunk_id"), "text")
+
+
+@query(f"WITH {_PROPOSED} SELECT parent_id, field, claim, pos, claim_no, n AS n_evidence FROM card WHERE claim_no <= 20")
+def card_claims(s, d):
+    return evidence.card_claims(*_proposals(s, d)).select("parent_id", "field", "claim", "pos", "claim_no", F.size("evidence").cast("long").alias("n_evidence"))
+
+
+@query(f"WITH {_PROPOSED}, asked AS (SELECT parent_id, count(DISTINCT (field, pos)) AS proposed FROM proposed GROUP BY parent_id), kept AS (SELECT parent_id, count(*) AS k FROM card WHERE claim_no <= 20 GROUP BY parent_id) SELECT parent_id, proposed, proposed - coalesce(k, 0) AS dropped FROM asked LEFT JOIN kept USING (parent_id)")
+def card_drops(s, d):
+    proposed, chunks = _proposals(s, d)
+    return evidence.card_drops(proposed, evidence.card_claims(proposed, chunks))
+
+
+@query("""WITH w AS (SELECT doc_id % 50 AS parent_id, doc_id // 50 AS window_no, lang AS field, doc_id AS claim_no, substr(text, 1, 4) AS claim FROM documents),
+f AS (SELECT parent_id, field, lower(trim(claim)) AS spelling, arg_min(claim, struct_pack(a := window_no, b := claim_no)) AS claim, min(window_no) AS window_no, min(struct_pack(a := window_no, b := claim_no)) AS nth FROM w GROUP BY ALL)
+SELECT parent_id, field, row_number() OVER (PARTITION BY parent_id, field ORDER BY nth) AS claim_no, claim, window_no FROM f""")
+def merged_cards(s, d):
+    i = F.col("doc_id")
+    rows = _read(s, d, "documents").select((i % 50).alias("parent_id"), F.expr("doc_id div 50").alias("window_no"), F.col("lang").alias("field"), i.alias("claim_no"), F.substring("text", 1, 4).alias("claim"), F.array(i).alias("evidence"))
+    return evidence.merged_cards(rows).drop("evidence")
+
+
+@query("""WITH w AS (SELECT conv_id AS parent_id, CASE WHEN turn % 5 = 1 THEN 'failed' WHEN turn > 7 THEN 'omitted' ELSE 'ok' END AS state, CASE WHEN turn % 2 = 0 AND conv_id % 3 > 0 THEN 1 ELSE 0 END AS n_claims, length(text) AS n_chunks FROM conversations),
+g AS (SELECT parent_id, count_if(state = 'failed') AS f, count_if(state = 'omitted') AS o, count(*) AS n, sum(n_claims) AS c, CAST(sum(CASE WHEN state <> 'ok' THEN n_chunks ELSE 0 END) AS BIGINT) AS omitted_chunks, CAST(sum(CASE WHEN state = 'ok' THEN n_chunks ELSE 0 END) AS BIGINT) AS processed_chunks FROM w GROUP BY parent_id)
+SELECT parent_id, CASE WHEN n = f + o THEN 'failed' WHEN f + o > 0 THEN 'partial' WHEN c = 0 THEN 'insufficient_evidence' ELSE 'verified' END AS status, n - o AS attempted_windows, n - f - o AS completed_windows, processed_chunks, omitted_chunks FROM g""")
+def card_status(s, d):
+    t = F.col("turn")
+    rows = _read(s, d, "conversations").select(F.col("conv_id").alias("parent_id"), t.alias("window_no"), F.when(t % 5 == 1, "failed").when(t > 7, "omitted").otherwise("ok").alias("state"), F.when((t % 2 == 0) & (F.col("conv_id") % 3 > 0), 1).otherwise(0).alias("n_claims"), F.char_length("text").alias("n_chunks"))
+    return evidence.card_status(rows)
+
+
+@query("""WITH e AS (SELECT conv_id AS comparison_id, turn AS entry_no, CAST(turn % 3 AS VARCHAR) AS paper_id, turn < 6 AS supported FROM conversations), c AS (SELECT DISTINCT conv_id AS comparison_id, CAST(turn % 3 AS VARCHAR) AS paper_id FROM conversations WHERE conv_id % 4 > 0 OR turn > 0)
+SELECT comparison_id, array_to_string(list_sort(list(DISTINCT e.paper_id)), ' ') AS papers FROM e GROUP BY comparison_id HAVING bool_and(supported) AND count(DISTINCT paper_id) >= 2 AND list_sort(list(DISTINCT e.paper_id)) = (SELECT list_sort(list(c.paper_id)) FROM c WHERE c.comparison_id = e.comparison_id)""")
+def comparisons_that_hold(s, d):
+    c = _read(s, d, "conversations").select(F.col("conv_id").alias("comparison_id"), F.col("turn").alias("entry_no"), (F.col("turn") % 3).cast("string").alias("paper_id"))
+    verdicts = c.select("comparison_id", "entry_no", F.when(F.col("entry_no") < 6, "support").otherwise("unclear").alias("verdict"))
+    got = evidence.comparisons(c, c.where("comparison_id % 4 > 0 OR entry_no > 0"), verdicts)
+    return got.select("comparison_id", F.array_join("papers", " ").alias("papers"))
+
+
+@query("""SELECT conv_id AS group_id, CASE WHEN count(DISTINCT role) >= 2 THEN 'so' ELSE 'unknown' END AS inference FROM conversations WHERE turn < 2 GROUP BY conv_id""")
+def group_inferences(s, d):
+    c = _read(s, d, "conversations").where("turn < 2").select(F.col("conv_id").alias("group_id"), F.col("role").alias("paper_id"))
+    return evidence.inferences(c.select("group_id", F.lit("so").alias("inference")).distinct(), c)
+
+
+@query("""WITH g AS (SELECT conv_id AS group_id, list_sort(list(DISTINCT role)) AS members FROM conversations WHERE turn < 3 GROUP BY conv_id), e AS (SELECT conv_id AS group_id, list_sort(list(DISTINCT role)) AS cited FROM conversations WHERE turn < 2 OR conv_id % 2 = 0 GROUP BY conv_id)
+SELECT group_id, array_to_string(cited, ' ') AS members FROM g JOIN e USING (group_id) WHERE members = cited AND len(cited) >= 2""")
+def groups_that_hold(s, d):
+    c = _read(s, d, "conversations").select(F.col("conv_id").alias("group_id"), "turn", F.col("role").alias("paper_id"))
+    groups = c.where("turn < 3").groupBy("group_id").agg(F.collect_list("paper_id").alias("members"))
+    return evidence.valid_groups(groups, c.where("turn < 2 OR group_id % 2 = 0")).select("group_id", F.array_join("members", " ").alias("members"))
+
+
+@query("""SELECT conv_id AS k, turn, CASE WHEN turn % 3 = 0 THEN 'support' WHEN turn % 3 = 1 THEN 'contradiction' ELSE 'insufficient' END AS verdict FROM conversations""")
+def verdicts_fail_closed(s, d):
+    c = _read(s, d, "conversations").select(F.col("conv_id").alias("k"), "turn")
+    said = c.where("turn % 3 <> 2 OR k % 2 = 0").withColumn("verdict", F.when(F.col("turn") % 3 == 0, "support").when(F.col("turn") % 3 == 1, "contradiction").otherwise("perhaps"))
+    return evidence.apply_verdicts(c, said, ["k", "turn"])
+
+
+@query("""WITH r AS (SELECT conv_id AS query_id, turn AS number, text FROM conversations WHERE turn > 0), n AS (SELECT DISTINCT conv_id AS query_id, CASE WHEN conv_id % 2 = 0 THEN 'So [2, 4].' ELSE 'No.' END AS answer FROM conversations)
+SELECT query_id, substr(sha256('run' || chr(0) || query_id || chr(0) || answer), 1, 20) AS review_id, coalesce(string_agg(CAST(number AS VARCHAR), ' ' ORDER BY number) FILTER (WHERE CASE WHEN query_id % 2 = 0 THEN number IN (2, 4) ELSE number <= 5 END), '') AS evidence FROM n JOIN r USING (query_id) GROUP BY query_id, answer""")
+def review_export(s, d):
+    c = _read(s, d, "conversations").where("turn > 0")
+    asked = c.select(F.lit("run").alias("run_id"), F.col("conv_id").alias("query_id"), F.lit("q").alias("question"), F.when(F.col("conv_id") % 2 == 0, "So [2, 4].").otherwise("No.").alias("answer")).distinct()
+    got = evidence.review_rows(asked, c.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("number"), "text"))
+    return c.select(F.col("conv_id").alias("query_id")).distinct().join(got, "query_id", "left").select("query_id", T.short_id(F.lit("run"), F.col("query_id"), F.when(F.col("query_id") % 2 == 0, "So [2, 4].").otherwise("No.")).alias("review_id"), F.coalesce(F.array_join(F.transform("evidence", lambda e: e["number"].cast("string")), " "), F.lit("")).alias("evidence"))
+
+
+# --- evaluation and reports -------------------------------------------------------------------------------------------
+
+_RANKED = f"hits AS (SELECT query_id, k AS doc_id, rank FROM {_top('scored', 20)})"
+_OVERLAP = f"len(list_intersect(list_distinct({_tok('question')}), list_distinct({_tok('text')}))) / len(list_distinct({_tok('text')}))"
+
+
+@query(f"""{_BM25}, pool AS (SELECT query_id, k AS doc_id, rank FROM {_top('scored', 20)}), {_QRELS},
+passages AS (SELECT p.*, CASE WHEN rank <= 10 THEN {_OVERLAP} END AS overlap FROM pool p JOIN asked USING (query_id) JOIN documents USING (doc_id)),
+hits AS (SELECT 'before' AS stage, query_id, doc_id, rank FROM pool UNION ALL SELECT 'after', query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank > 10, overlap DESC NULLS LAST, rank) FROM passages), {_metric_sql('hits', 'stage')},
+covered AS (SELECT query_id, count(*) AS c FROM pool SEMI JOIN qrels USING (query_id, doc_id) GROUP BY query_id)
+SELECT b.query_id, round(b.mrr, 6) AS mrr_before, round(a.mrr, 6) AS mrr_after, round(a.mrr - b.mrr, 6) AS mrr_delta, round(a.ndcg - b.ndcg, 6) AS ndcg_delta, round(CASE WHEN b.n_gold IS NOT NULL THEN coalesce(c, 0) / b.n_gold END, 6) AS pool_coverage
+FROM (SELECT * FROM per_query WHERE stage = 'before') b JOIN (SELECT * FROM per_query WHERE stage = 'after') a USING (query_id) LEFT JOIN covered USING (query_id)""")
+def rerank_evaluation(s, d):
+    docs, items = _read(s, d, "documents"), _items(s, d)
+    pool = bm25.search(bm25.build(docs), items, 20).join(items, "query_id").join(docs.select("doc_id", F.col("text").alias("passage")), "doc_id")
+    q, p = F.array_distinct(T.tokenize(F.col("question"))), F.array_distinct(T.tokenize(F.col("passage")))
+    got = evaluate.rerank_eval(items, _qrels(s, d), pool.select("query_id", "doc_id", "rank", "question", "passage"), score=F.size(F.array_intersect(q, p)) / F.size(p), limit=10)
+    return got.select("query_id", *(F.round(c, 6).alias(c) for c in ("mrr_before", "mrr_after", "mrr_delta", "ndcg_delta", "pool_coverage")))
+
+
+_GRID = """grid AS (SELECT ck, rk FROM (SELECT unnest([20, 50, 100]) AS ck) CROSS JOIN (SELECT unnest([20, 40, 60, 100]) AS rk)),
+parts AS (SELECT ck, rk, query_id, k, 1.0::DOUBLE / (rk + rank) AS part FROM sparse JOIN grid ON rank <= ck UNION ALL SELECT ck, rk, query_id, k, 1.0::DOUBLE / (rk + rank) FROM dense JOIN grid ON rank <= ck),
+fused AS (SELECT ck, rk, query_id, k, round(sum(part), 12) AS raw FROM parts GROUP BY ALL)"""
+
+
+@query(f"""{_hybrid(100)}, {_GRID.replace('grid AS', 'configs AS').replace('JOIN grid', 'JOIN configs')}, hits AS (SELECT ck, rk, query_id, k AS doc_id, rank FROM {_top('fused', 10, ', ck, rk')}), qrels AS (SELECT query_id, query_id AS doc_id FROM asked),
+{_metric_sql('hits', 'ck, rk')}, means AS (SELECT ck, rk, {_MEANS} FROM per_query GROUP BY ck, rk)
+SELECT m.ck AS candidate_k, m.rk AS rrf_k, m.mrr, m.ndcg, round(m.mrr - b.mrr, 6) AS delta_mrr, round(m.ndcg - b.ndcg, 6) AS delta_ndcg FROM means m JOIN means b ON b.ck = 100 AND b.rk = 60""")
+def sweep_deltas(s, d):
+    sparse, near = _channels(s, d, 100)
+    asked = _titled(s, d).where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"))
+    got = evaluate.sweep_deltas(asked, asked.withColumn("doc_id", F.col("query_id")), evaluate.fusion_sweep(sparse, near, key="doc_id"), [])
+    return got.select("candidate_k", "rrf_k", "mrr", "ndcg", "delta_mrr", "delta_ndcg")
+
+
+_PILOT = f"""{_CHUNK_HITS.replace('hits AS (', 'chunk_hits AS (')}, inside AS (SELECT doc_id FROM documents WHERE doc_id % 3 > 0), {_QRELS.replace('qrels AS', 'all_qrels AS')},
+qrels AS (SELECT query_id, doc_id FROM all_qrels SEMI JOIN inside USING (doc_id)),
+hits AS (SELECT query_id, parent_id AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY min(rank), CAST(parent_id AS VARCHAR)) AS rank FROM chunk_hits WHERE parent_id IN (SELECT doc_id FROM inside) GROUP BY query_id, parent_id), {_metric_sql('hits')},
+extra AS (SELECT query_id, question, count(DISTINCT h.parent_id) FILTER (WHERE i.doc_id IS NOT NULL) AS recovered, count(h.parent_id) FILTER (WHERE i.doc_id IS NULL) AS orphans, count(DISTINCT h.parent_id) FILTER (WHERE q.doc_id IS NOT NULL) AS in_pool FROM asked LEFT JOIN chunk_hits h USING (query_id) LEFT JOIN inside i ON i.doc_id = h.parent_id LEFT JOIN qrels q ON q.query_id = asked.query_id AND q.doc_id = h.parent_id GROUP BY query_id, question)"""
+
+
+@query(f"""{_PILOT}, rows AS (SELECT p.*, recovered, orphans, in_pool / n_gold AS pool_coverage FROM per_query p JOIN extra USING (query_id))
+SELECT CASE WHEN grouping(size) = 1 THEN 'all' ELSE 'size' END AS slice, coalesce(size, 'all') AS value, count(*) AS n, count(n_gold) AS eligible, round(avg(mrr), 6) AS mrr, round(avg(pool_coverage), 6) AS pool_coverage, round(avg(recovered), 6) AS mean_recovered, count_if(recovered < 5) AS below_top_k, CAST(sum(orphans) AS BIGINT) AS orphans
+FROM (SELECT *, CASE WHEN length(question) < 150 THEN 'short' ELSE 'long' END AS size FROM rows) GROUP BY GROUPING SETS ((), (size))""")
+def pilot_evaluation(s, d):
+    asked = _items(s, d).withColumn("size", F.when(F.char_length("question") < 150, "short").otherwise("long"))
+    inside = _read(s, d, "documents").where("doc_id % 3 > 0").select(F.col("doc_id").alias("parent_id"))
+    per = evaluate.retrieval_eval(asked, _qrels(s, d).withColumnRenamed("doc_id", "parent_id"), _chunk_hits(s, d), inside)
+    return evaluate.summary(per, ["size"]).select("slice", "value", "n", "eligible", "mrr", "pool_coverage", "mean_recovered", "below_top_k", "orphans")
+
+
+@query(f"""{_BM25}, ranked AS (SELECT query_id, k AS doc_id, rank FROM {_top('scored', 20)}), {_QRELS}, hits AS (SELECT 'all' AS mode, query_id, doc_id, rank FROM ranked UNION ALL SELECT 'odd', query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) FROM ranked WHERE doc_id % 2 = 1), {_metric_sql('hits', 'mode')}
+SELECT mode, {_MEANS} FROM per_query GROUP BY mode""")
+def compared_modes(s, d):
+    docs = _read(s, d, "documents").select(F.col("doc_id").alias("parent_id"))
+    hits = bm25.search(bm25.build(_read(s, d, "documents")), _items(s, d), 20).select("query_id", F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("parent_id"), "rank")
+    got = evaluate.compare(_items(s, d), _qrels(s, d).withColumnRenamed("doc_id", "parent_id"), {"all": hits, "odd": hits.where("parent_id % 2 = 1")}, docs, [])
+    return got.select("mode", *_MEASURES)
+
+
+@query(f"""{_hybrid(20)} SELECT 0::BIGINT AS only_left, 0::BIGINT AS only_right, 4::BIGINT AS checks, 0::BIGINT AS failed""")
+def independent_checks(s, d):
+    sparse, near = _channels(s, d, 20)
+    key = lambda f: f.withColumnRenamed("doc_id", "chunk_id")
+    fused = fusion.fuse(key(sparse), key(near), 40, key="chunk_id")
+    every = _read(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("parent_id"), F.concat("text", F.lit("x")).alias("text"))
+    every = every.unionByName(_read(s, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("parent_id"), F.lit("x").alias("text"))).dropDuplicates(["chunk_id"])
+    report = evaluate.smoke(fused, key(sparse), key(near), every, every.select("parent_id"), k=40)
+    again = fusion.fuse(key(sparse), key(near), 40, key="chunk_id")
+    return metrics.same_rows(fused, again).crossJoin(report.agg(F.count(F.lit(1)).alias("checks"), F.count_if(~F.col("ok")).alias("failed")))  # single rows
+
+
+_RUNS = """runs AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'classic' ELSE 'agentic' END AS system, CASE WHEN event_id % 5 = 0 THEN 'failed' WHEN event_id % 5 = 1 THEN 'refused_x' WHEN event_id % 5 = 2 THEN 'odd' ELSE 'verified' END AS status, value AS seconds, event_type AS category, user_id AS usr FROM events)"""
+
+
+def _reports(s, d):
+    """One aggregate report a user; every third of its rows has a detail report of its own in a folder below."""
+    e, i = _read(s, d, "events"), F.col("event_id")
+    status = F.when(i % 5 == 0, "failed").when(i % 5 == 1, "refused_x").when(i % 5 == 2, "odd").otherwise("verified")
+    none = lambda t: F.lit(None).cast(t)
+    timing = F.array(F.struct(F.lit("plan").alias("stage"), F.col("value").alias("seconds"), F.when(i % 2 == 0, "ok").alias("status")))
+    calls = F.array().cast("array<string>")
+    question = F.concat(F.lit("q"), i.cast("string"))
+    row = F.struct(F.concat(i.cast("string"), F.when(i % 2 == 0, "_zh").otherwise("")).alias("id"), question.alias("question"), F.col("event_type").alias("category"), status.alias("status"), F.lit(False).alias("refused"), F.col("value").alias("seconds"), F.lit(0.5).alias("cost"), (i % 10 / 10).alias("recall"), F.lit(0.5).alias("mrr"), F.lit(0.5).alias("ndcg"), timing.alias("timings"), calls.alias("calls"))
+    system = F.when(i % 4 == 0, "classic_hybrid").otherwise("agentic_hybrid")
+    folder = F.concat(F.lit("/runs/u"), F.col("user_id").cast("string"))
+    systems = e.groupBy("user_id", system.alias("system")).agg(F.collect_list(row).alias("rows")).groupBy("user_id").agg(F.collect_list(F.struct("system", "rows")).alias("systems"))
+    config = F.create_map(F.lit("judge"), F.lit("j1"))
+    every = systems.select(F.concat(folder, F.lit("/all.json")).alias("path"), none("string").alias("status"), none("string").alias("question"), none("string").alias("pipeline"), F.lit(False).alias("rerank"), F.lit(5).alias("top_k"), F.lit("p").alias("corpus_hash"), F.lit("c").alias("chunk_hash"), config.alias("config"), none("double").alias("seconds"), none("double").alias("cost"), none("array<struct<stage:string,seconds:double,status:string>>").alias("timings"), none("array<string>").alias("calls"), "systems")
+    detail = e.where(i % 3 == 0).select(F.concat(folder, F.lit("/one/"), i.cast("string"), F.lit(".json")).alias("path"), status.alias("status"), question.alias("question"), F.when(i % 4 == 0, "classic").otherwise("agentic").alias("pipeline"), F.lit(False).alias("rerank"), F.lit(5).alias("top_k"), F.lit("p").alias("corpus_hash"), F.lit("c").alias("chunk_hash"), none("map<string,string>").alias("config"), F.col("value").alias("seconds"), F.lit(0.5).alias("cost"), timing.alias("timings"), calls.alias("calls"), none(every.schema["systems"].dataType.simpleString()).alias("systems"))
+    return telemetry.report_rows(every.unionByName(detail))
+
+
+@query(f"""WITH {_RUNS} SELECT system, count(*) AS runs, count_if(status = 'verified') AS successful, count_if(status = 'refused_x') AS refused, count_if(status = 'failed') AS failed, count_if(status = 'odd') AS unlabeled, round(0.5::DOUBLE * count(*), 6) AS cost,
+ count(seconds) FILTER (WHERE status IN ('verified', 'refused_x')) AS timed, round(quantile_cont(seconds, 0.5) FILTER (WHERE status IN ('verified', 'refused_x')), 6) AS p50, round(quantile_cont(seconds, 0.95) FILTER (WHERE status IN ('verified', 'refused_x')), 6) AS p95 FROM runs GROUP BY system""")
+def report_analysis(s, d):
+    got = telemetry.report_groups(_reports(s, d))
+    return got.select("system", "runs", "successful", "refused", "failed", "unlabeled", F.round("cost", 6).alias("cost"), "timed", "p50", "p95")
+
+
+@query(f"""WITH {_RUNS} SELECT 'plan' AS stage, count(seconds) AS n, round(quantile_cont(seconds, 0.5), 6) AS p50, round(quantile_cont(seconds, 0.95), 6) AS p95, count_if(event_id % 2 = 0) AS ok, count_if(event_id % 2 = 1) AS unlabeled FROM runs""")
+def stage_latency(s, d):
+    got = telemetry.stage_summary(_reports(s, d))
+    return got.select("stage", "n", "p50", "p95", F.col("status_counts")["ok"].alias("ok"), F.col("status_counts")["unlabeled"].alias("unlabeled"))
+
+
+@query(f"""WITH {_RUNS} SELECT CASE WHEN event_id % 2 = 0 THEN 'translated' ELSE 'original' END AS language, category, count(*) AS n_recall, round(avg(event_id % 10 / 10), 6) AS recall FROM runs GROUP BY ALL""")
+def quality_by_language(s, d):
+    return telemetry.quality_by_language(_reports(s, d)).select("language", "category", "n_recall", "recall")
+
+
+@query("""WITH r AS (SELECT source AS system, doc_id, CASE quality WHEN 1 THEN 'correct' WHEN 0 THEN CASE WHEN toxic = 1 THEN 'uncertain' ELSE 'incorrect' END END AS label, CASE WHEN doc_id % 3 = 0 THEN 'unknown' WHEN doc_id % 3 = 1 THEN 'answerable' ELSE 'unanswerable' END AS expected, doc_id % 4 = 0 AS refused, doc_id % 7 = 0 AS failed FROM documents LEFT JOIN labels USING (doc_id))
+SELECT CASE WHEN grouping(system) = 1 THEN 'overall' ELSE system END AS system, count(*) AS n, count(DISTINCT doc_id) AS questions, count(label) AS labelled, count_if(label = 'uncertain') AS uncertain, count_if(label IN ('correct', 'incorrect')) AS decided, round(count_if(label = 'correct') / nullif(count_if(label IN ('correct', 'incorrect')), 0), 6) AS rate,
+count_if(expected <> 'unknown' AND NOT failed) AS refusal_scored, count_if(expected <> 'unknown' AND failed) AS refusal_skipped_failed, round(count_if(expected <> 'unknown' AND NOT failed AND refused = (expected = 'unanswerable')) / nullif(count_if(expected <> 'unknown' AND NOT failed), 0), 6) AS refusal_accuracy FROM r GROUP BY ROLLUP (system)""")
+def review_scores(s, d):
+    rows = _read(s, d, "documents").select("doc_id", "source").join(_read(s, d, "labels"), "doc_id", "left")
+    i, q = F.col("doc_id"), F.col("quality")
+    label = F.when(q == 1, "correct").when((q == 0) & (F.col("toxic") == 1), "uncertain").when(q == 0, "incorrect")
+    expected = F.when(i % 3 == 0, "unknown").when(i % 3 == 1, "answerable").otherwise("unanswerable")
+    frame = rows.select(F.col("source").alias("system"), i.alias("query_id"), label.alias("label"), expected.alias("answerability"), (i % 4 == 0).alias("refused"), (i % 7 == 0).alias("failed"))
+    got = telemetry.label_report(frame, ("correct", "incorrect", "uncertain"), ("correct", "incorrect"), ("correct",))
+    return got.select("system", "n", "questions", "labelled", F.coalesce(F.col("labels")["uncertain"], F.lit(0)).alias("uncertain"), "decided", "rate", "refusal_scored", "refusal_skipped_failed", "refusal_accuracy")
+
+
+@query("""SELECT count(*) AS papers, min(2000 + doc_id % 20) AS first_year, max(2000 + doc_id % 20) AS last_year, count_if(doc_id % 3 = 0) AS no_doi, count_if(doc_id % 5 <> 0) AS no_pdf_url, (SELECT count(DISTINCT source) FROM documents) AS categories, (SELECT max(n) FROM (SELECT count(*) AS n FROM documents GROUP BY source)) AS largest,
+count_if(len(list_filter(string_split_regex(trim(text), '\\s+'), lambda x: x <> '')) < 50) AS short FROM documents""")
+def paper_audit(s, d):
+    i = F.col("doc_id")
+    papers = _read(s, d, "documents").select(i.alias("paper_id"), (2000 + i % 20).cast("int").alias("year"), F.when(i % 3 > 0, "10.1/x").alias("doi"), F.when(i % 5 == 0, "u").otherwise(" ").alias("pdf_url"), F.col("source").alias("primary_category"), F.col("text").alias("abstract"))
+    one, categories, short = telemetry.paper_audit(papers)
+    return one.crossJoin(categories.agg(F.count(F.lit(1)).alias("categories"), F.max("n").alias("largest"))).crossJoin(short.agg(F.count(F.lit(1)).alias("short")))  # single rows
+
+
+@query(f"WITH {_SIZED}, p AS (SELECT count(*) AS parents, CAST(sum(strlen(text)) AS BIGINT) AS parents_bytes FROM documents), c AS (SELECT count(*) AS chunks, CAST(sum(strlen(text)) AS BIGINT) AS chunks_bytes FROM chunks) SELECT *, round(chunks / parents, 6) AS chunks_a_parent, CAST(round(chunks / parents * 1000000) AS BIGINT) AS projected_chunks, true AS same_hash FROM p CROSS JOIN c")
+def chunk_scale(s, d):
+    made = _window_chunks(s, d).select("chunk_id", "text")
+    got = telemetry.chunk_scale(_read(s, d, "documents").select("doc_id", "text"), made, 1_000_000)
+    again = artifacts.fingerprint(made.repartition(3)).select(F.hex("x").alias("again"))
+    return got.crossJoin(again).select("parents", "parents_bytes", "chunks", "chunks_bytes", "chunks_a_parent", "projected_chunks", (F.col("again") == F.col("chunks_hash")).alias("same_hash"))  # single rows
