@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,14 @@ from pyspark.sql import DataFrame
 
 
 def shared_folder(frame: DataFrame) -> str:
-    """spark.checkpoint.dir; a temporary folder only where it is unset, as in local tests."""
+    """spark.checkpoint.dir; a temporary folder only on a local master where it is unset, as in tests. Unset on a cluster is an error."""
     context = frame.sparkSession.sparkContext
-    return context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir() or tempfile.mkdtemp(prefix="lakeloom-")
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[[^-]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir is not set: executors would write where nobody else reads")
+        folder = tempfile.mkdtemp(prefix="lakeloom-")
+    return folder
 
 
 def written(frame: DataFrame) -> DataFrame:
