@@ -18,9 +18,9 @@ Nobody meets everybody in a bucket:
 2. What is left are strays, members outside the leader's component. A shingle is open if it occurs in
    two components. All that a stray shares with a text of another component is open, so one with fewer open
    shingles than the least overlap that any size in its bucket needs has no further link and leaves.
-3. Of a stray with o open shingles and a least overlap of x, any partner must have one of the o - x + 1 rarest
-   open ones. Strays meet other members on these only, where sizes and open shingles let them reach the
-   threshold, and are compared with them.
+3. Of a stray with o open shingles, any partner whose size needs an overlap of x must have one of the
+   o - x + 1 rarest open ones. Strays meet other members on these only, and are compared with those whose own
+   open shingles suffice.
 
 So each pair in a bucket is in one component, was compared, or is ruled out by a proven bound: no
 link that the bands have found is lost. Copies near their source join in step 1, those with changes of
@@ -42,6 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -172,7 +173,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             band = K.mix(band ^ (np.arange(1, BANDS + 1, dtype=U) * _LEVEL))
             m = np.bincount(doc, minlength=n)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), pa.array(band.view(np.int64).ravel()))
-            bands = pa.compute.if_else(pa.array(m == 0), pa.scalar(None, bands.type), bands)
+            bands = pc.if_else(pa.array(m == 0), pa.scalar(None, bands.type), bands)
             yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, n) for c in ("k1", "k2", "did")), pa.array(m), bands], ["k1", "k2", "did", "m", "bands"])
 
 
@@ -279,16 +280,16 @@ def _with_strays(members: DataFrame, labels: DataFrame, cells: DataFrame, simila
     own = Window.partitionBy("t")
     ranked = spread.where("stray").select("t", "cell").join(open_cells, "cell").select("t", "cell", F.count(F.lit(1)).over(own).alias("o"), F.row_number().over(own.orderBy("n", "cell")).alias("k"))
     # the least overlap with a text of the least size that the bucket has and the similarity lets
-    need = F.ceil(similarity / (1 + similarity) * (F.col("m") + F.greatest(similarity * F.col("m"), F.col("least_m"))) - 1e-9)
-    asks = written(ranked.join(who.drop("stray"), "t").where((F.col("o") >= need) & (F.col("k") <= F.col("o") - need + 1)).select("t", "c", "m", "o", "cell"))
+    need = lambda other: F.ceil(similarity / (1 + similarity) * (F.col("m") + other) - 1e-9)
+    in_prefix = lambda other: F.col("k") <= F.col("o") - need(other) + 1
+    asks = written(ranked.join(who.drop("stray"), "t").where(in_prefix(F.greatest(similarity * F.col("m"), F.col("least_m")))).select("t", "c", "m", "o", "k", "cell"))
     if asks.isEmpty():
         return labels
     asking = asks.select("t").distinct()
     met = rest.join(rest.join(asking, "t", "left_semi").select("bucket").distinct(), "bucket", "left_semi")
-    partners = met.where("not stray").select("t", "c", "m").unionByName(asks.select("t", "c", "m")).distinct()
-    theirs = partners.join(cells, "t").select(F.col("t").alias("b"), F.col("c").alias("b_c"), F.col("m").alias("b_m"), F.explode("cells").alias("cell"))
-    x = F.least("o", "b_m")
-    able = (F.col("c") != F.col("b_c")) & (x >= similarity * (F.col("m") + F.col("b_m") - x) - 1e-9)
+    partners = met.where("not stray").select("t", "c", "m", F.col("m").alias("o")).unionByName(asks.select("t", "c", "m", "o")).distinct()
+    theirs = partners.join(cells, "t").select(F.col("t").alias("b"), F.col("c").alias("b_c"), F.col("m").alias("b_m"), F.col("o").alias("b_o"), F.explode("cells").alias("cell"))
+    able = (F.col("c") != F.col("b_c")) & in_prefix(F.col("b_m")) & (F.col("b_o") >= need(F.col("b_m"))) & (F.least("m", "b_m") >= similarity * F.greatest("m", "b_m") - 1e-9)
     pairs = asks.join(theirs, "cell").where(able).select(F.least("t", "b").alias("a"), F.greatest("t", "b").alias("b")).distinct()
     return contract(labels, _near(written(pairs), cells, similarity))
 

@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -124,10 +125,10 @@ def _solved(solver: Callable, units: Unit, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            known = batch.filter(pa.compute.is_null(batch.column("ctx")))
+            known = batch.filter(pc.is_null(batch.column("ctx")))
             if len(known):
                 yield known.select(names)
-            batch = batch.filter(pa.compute.is_valid(batch.column("ctx")))
+            batch = batch.filter(pc.is_valid(batch.column("ctx")))
             while len(batch):
                 h = batch.column("h").to_numpy(zero_copy_only=False)
                 if size >= SOLVE_BYTES:  # up to the end of the open group
