@@ -3,10 +3,11 @@
 Every context of a gram's group (see repeats.py) is cut into non-overlapping reference blocks of
 half a window, whose hashes form the index; every rolling window of the block's length, of all
 contexts of the group, probes the index. A window of 35 words holds a whole block of 18, so a
-repeated window always has a hit. Hits are extended in both directions by the words of the window
-to exact repeats of at least 35 words; runs of them that touch are the maximal repeats. Extension
-compares the window's words by a 64-bit hash, so a block that thousands of contexts share costs
-one comparison a window, never a pair of contexts.
+repeated window always has a hit. The windows around a hit meet their equals by the hash of the whole
+window; then a hit is extended: from the block to both ends the words of each window are compared with those
+of the first of its equals, word by word, and what holds to a window's length counts. Runs of such windows
+that touch are the maximal repeats. A block that thousands of contexts share costs one extension a window,
+never a pair of contexts.
 
 Defined results: a null text has no words (nothing removed, the digest of b""); texts under 35
 words lose nothing; repeated rows remove one another whole; an empty table gives no rows; other
@@ -27,7 +28,7 @@ WINDOW, GRAM = 35, 8
 _SPACE = bytes(32 if x in (9, 10, 11, 12, 13, 32) else x for x in range(256))
 
 
-def block_hits(sums, first, weight, starts, row, width: int) -> np.ndarray:
+def block_hits(sums, first, weight, starts, row, data, width: int) -> np.ndarray:
     """Mask of starts whose `width` words occur at another start too."""
     if not len(starts):
         return np.zeros(0, bool)
@@ -47,7 +48,13 @@ def block_hits(sums, first, weight, starts, row, width: int) -> np.ndarray:
     count = np.concatenate(([0], np.cumsum(anchored)))
     rest = np.flatnonzero(count[starts + width - size + 1] > count[starts])
     out = np.zeros(len(starts), bool)
-    out[rest[K.repeated(K.rolling(sums, width)[starts[rest]], weight[row[rest]])]] = True
+    whole = K.rolling(sums, width)[starts[rest]]
+    words = K.span_hash(sums, np.arange(len(sums) - 1), np.arange(1, len(sums)))
+    leader = R.equal_first(whole)
+    equal = R.same_spans(words, starts[rest], starts[rest[leader]], width)
+    again = equal & (leader != np.arange(len(rest)))
+    times = np.bincount(leader[again], minlength=len(rest))
+    out[rest[again | (times > 0) | (weight[row[rest]] > 1)]] = True
     return out
 
 

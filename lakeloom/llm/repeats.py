@@ -9,7 +9,8 @@ else. The frame finds candidates without sending every window over the network:
 2. contexts: for each anchor that is not unique, the bytes of the windows that it serves go to the
    task of the gram. Contexts that occur twice in one Arrow batch are settled at once, and one
    copy goes on, so a hot passage costs a gram's task one row a batch and not one a copy.
-3. solving: inside a gram's group the named method (a solver) marks the starts that repeat.
+3. solving: inside a gram's group the named method (a solver) marks the starts that repeat. What it finds by
+   hashes is compared with the group's first copy, value by value, before it counts.
 4. marks return to the documents by row key, where the text is cut.
 
 The text is shuffled once, by row key; both later reads use the same exchange.
@@ -27,6 +28,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .lineage import written
+
+def same_spans(values: np.ndarray, a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
+    """Mask of the pairs of starts whose `width` values are equal."""
+    same = np.ones(len(a), bool)
+    for i in range(width):
+        same &= values[a + i] == values[b + i]
+    return same
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number (zeros after the end)."""
+    out = np.zeros(len(data) + 8, np.uint64)
+    for i in range(8):
+        out[: len(data) - i] |= data[i:].astype(np.uint64) << np.uint64(8 * i)
+    return out
+
+
+def equal_first(ids: np.ndarray) -> np.ndarray:
+    """For each entry the number of the first one with the same id."""
+    _, first, inverse = np.unique(ids, return_index=True, return_inverse=True)
+    return first[inverse]
+
 
 Unit = Callable[[np.ndarray, np.ndarray], tuple]
 
@@ -90,10 +114,16 @@ def _contexts(units: Unit, width: int, gram: int):
             if not parts or not sum(map(len, seen)):
                 continue
             h, r, d, s, e, begin, end = (np.concatenate(x) for x in zip(*parts, strict=True))
-            _, where, inverse, count = np.unique(np.concatenate(seen), return_index=True, return_inverse=True, return_counts=True)
-            twice = count[inverse] > 1
-            first_of = np.zeros(len(h), bool)
-            first_of[where] = True
+            first = equal_first(np.concatenate(seen))
+            # equal hashes count after a look at the bytes
+            copy = np.flatnonzero((first != np.arange(len(h))) & (end - begin == (end - begin)[first]))
+            length = (end - begin)[copy]
+            differ = data[K.ranges(begin[copy], length)] != data[K.ranges(begin[first[copy]], length)]
+            copy = copy[np.add.reduceat(differ, np.cumsum(length) - length) == 0] if len(copy) else copy
+            first_of = np.ones(len(h), bool)
+            first_of[copy] = False
+            twice = ~first_of
+            twice[first[copy]] = True
             t = np.flatnonzero(twice)  # settled here; any key that spreads them will do
             yield pa.RecordBatch.from_arrays([pa.array(r[t]), pa.array(r[t]), pa.array(d[t]), pa.array(s[t]), pa.array(e[t]), pa.array(np.full(len(t), 2, np.int32)), pa.nulls(len(t), pa.binary())], names)
             t = np.flatnonzero(first_of)
@@ -106,7 +136,7 @@ def _contexts(units: Unit, width: int, gram: int):
 
 
 def _solved(solver: Callable, units: Unit, width: int):
-    """solver(sums, first, weight, starts, row of start) -> mask of the starts whose window repeats."""
+    """solver(sums, first, weight, starts, row of start, bytes) -> mask of the starts whose window repeats."""
     names = ["rid", "did", "s", "e"]
 
     def solve(table: pa.Table) -> pa.RecordBatch:
@@ -116,7 +146,7 @@ def _solved(solver: Callable, units: Unit, width: int):
         served = np.maximum(np.diff(first) - width + 1, 0)
         starts = K.ranges(first[:-1], served)
         row = np.repeat(np.arange(len(served)), served)
-        hit = solver(sums, first, w, starts, row)
+        hit = solver(sums, first, w, starts, row, data)
         begin, stop = K.runs(hit, np.concatenate(([True], row[1:] != row[:-1])) if len(row) else None)
         own = row[begin]
         rel = starts[begin] - first[own] + s[own]
@@ -167,7 +197,7 @@ def repeat_spans(docs: DataFrame, units: Unit, solver: Callable, width: int, gra
     """
     keyed = _keyed(docs)
     anchors = keyed.select("rid", "text").mapInArrow(_anchors(units, width, gram), "h long, rid long, pos int")
-    common = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    common = written(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))  # on its own, so that the join of a hot gram can be split
     marks = anchors.join(common, "h").groupBy("rid").agg(F.collect_list("pos").alias("marks"))
     dealt = keyed.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("did"), "text", "rid").repartition("rid")
     contexts = dealt.join(marks, "rid").select("doc_id", "did", "text", "rid", "marks")  # all columns: the exchange is reused

@@ -5,8 +5,8 @@ start in buckets of their first 50 bytes; a refined bucket is the pair of a suff
 bucket of its later offset (50, then 100 bytes on), and the identifiers made by one refinement are
 the pointers read by the next, so two rounds reach 200 bytes. A suffix alone in its bucket is
 settled and leaves. Bucket identifiers are 64-bit fingerprints, not dense ranks: tasks then need
-not agree on a numbering. Two different 200-byte strings in one gram's group would have to collide
-in 64 bits to be taken for equal.
+not agree on a numbering. What is left in a bucket at 200 bytes is sorted by its identifier and compared with
+the bucket's first suffix, byte by byte, before it counts.
 
 Defined results: a null text is an empty one (no bytes, nothing removed, the digest of b"");
 texts under 200 bytes lose nothing; repeated rows remove one another whole; an empty table gives
@@ -25,7 +25,7 @@ from . import repeats as R
 WINDOW, GRAM = 200, 24
 
 
-def refine(sums, first, weight, starts, row, width: int) -> np.ndarray:
+def refine(sums, first, weight, starts, row, data, width: int) -> np.ndarray:
     """Mask of starts whose `width` values occur at another start too."""
     if not len(starts):
         return np.zeros(0, bool)
@@ -42,7 +42,18 @@ def refine(sums, first, weight, starts, row, width: int) -> np.ndarray:
         bucket = K.mix(bucket[:n] * K.U64(0x9E3779B97F4A7C15) ^ K.mix(bucket[jump:]))
         depth += jump
     out = np.zeros(len(starts), bool)
-    out[alive] = True
+    if len(alive):
+        text, at = R.eights(data), starts[alive]
+        leader = R.equal_first(bucket[at])
+        steps = [*range(0, width - 7, 8), max(0, width - 8)]
+        equal = np.ones(len(alive), bool)
+        for i in steps if width >= 8 else ():
+            equal &= text[at + i] == text[at[leader] + i]
+        if width < 8:
+            equal = R.same_spans(data, at, at[leader], width)
+        again = equal & (leader != np.arange(len(alive)))
+        times = np.bincount(leader[again], minlength=len(alive))
+        out[alive[again | (times > 0) | (weight[row[alive]] > 1)]] = True
     return out
 
 
