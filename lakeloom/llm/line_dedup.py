@@ -74,10 +74,10 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _ranked(suffixes: DataFrame, *key: str) -> DataFrame:
-    """The suffixes (rid, did, pos, words, key) whose key repeats, ranked by the place of its first copy."""
+    """The suffixes (rid, did, pos, words, key) whose key repeats, ranked by the place of its first copy (written, so that a hot key's join can be split)."""
     place = F.struct("did", "rid", "pos")
     firsts = suffixes.groupBy(*key).agg(F.min(place).alias("place"), F.max(place).alias("last")).where("place <> last").drop("last")
-    return suffixes.join(firsts, [*key]).select("rid", "did", "pos", "words", F.col("place").alias("rank"))
+    return suffixes.join(written(firsts), [*key]).select("rid", "did", "pos", "words", F.col("place").alias("rank"))
 
 
 def _doubled(suffixes: DataFrame, step: int) -> DataFrame:

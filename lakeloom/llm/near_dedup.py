@@ -250,12 +250,12 @@ def _components(docs: DataFrame, similarity: float) -> DataFrame:
     texts = written(texts.withColumn("t", F.monotonically_increasing_id()))
 
     buckets = texts.where("bands is not null").select(F.explode("bands").alias("bucket"), "t", "m")
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = written(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))  # sums are written before they are joined: a hot bucket's join can be split then
     members = written(buckets.join(shared, "bucket"))
     # the text that most others meet leads: in a group of copies that is the one they were made from
     met = members.groupBy("t").agg(F.sum("n").alias("met"))
     leaders = members.join(met, "t").groupBy("bucket").agg(F.max(F.struct("met", "t", "m")).alias("x")).select("bucket", F.col("x.t").alias("leader"), F.col("x.m").alias("leader_m"))
-    members = written(members.join(leaders, "bucket").drop("n"))
+    members = written(members.join(written(leaders), "bucket").drop("n"))
     needed = written(members.select("t").distinct().join(texts.select("k1", "k2", "did", "t"), "t"))
     cells = _cells_of(needed, rows)
 
@@ -270,7 +270,7 @@ def _with_strays(members: DataFrame, labels: DataFrame, cells: DataFrame, simila
     """labels (t, c) of members (bucket, t, m, leader), with the links of those outside their leaders' components."""
     named = members.join(labels, "t")
     mixed = named.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max_by("c", F.col("t") == F.col("leader")).alias("head"), F.min("m").alias("least_m"))
-    rest = named.join(mixed.where("lo < hi").drop("lo", "hi"), "bucket").select("bucket", "t", "m", "c", "least_m", (F.col("c") != F.col("head")).alias("stray"))
+    rest = named.join(written(mixed.where("lo < hi").drop("lo", "hi")), "bucket").select("bucket", "t", "m", "c", "least_m", (F.col("c") != F.col("head")).alias("stray"))
     rest = written(rest)
     if rest.isEmpty():
         return labels
