@@ -461,11 +461,54 @@ def test_addresses_without_scheme_or_host(spark):
     assert all(got[k] == ("no_earlier_response", None, None) for k in (5, 6, 7))
 
 
+def plain_viterbi(model, seen):
+    """Every path's score by enumeration of states line by line, without NumPy."""
+    best = [(model.start[j] + sum(e[j][x] for e, x in zip(model.emit, seen[0], strict=True)), [j]) for j in range(6)]
+    for row in seen[1:]:
+        best = [max(((score + model.step[path[-1]][j] + sum(e[j][x] for e, x in zip(model.emit, row, strict=True)), [*path, j]) for score, path in best), key=lambda x: x[0]) for j in range(6)]
+    return max(best, key=lambda x: x[0])
+
+
+def some_model(seed):
+    r = np.random.default_rng(seed)
+    return chat.Model(r.integers(0, 9, 6), r.integers(0, 9, (6, 6)), [r.integers(0, 9, (6, n)) for n in chat.FEATURES.values()])
+
+
+def test_paths_equal_plain_viterbi():
+    for seed in range(20):
+        model, r = some_model(seed), np.random.default_rng(seed)
+        seen = np.stack([r.integers(0, n, 12) for n in chat.FEATURES.values()], axis=1)
+        state = model.path(seen)
+        score = model.start[state[0]] + sum(model.step[a, b] for a, b in zip(state, state[1:], strict=False)) + model.scores(seen)[np.arange(12), state].sum()
+        assert score == pytest.approx(plain_viterbi(model, seen.tolist())[0])
+
+
+def test_parts_are_parsed_as_one_conversation(spark, monkeypatch):
+    monkeypatch.setattr(chat, "SEGMENT", 3)
+    rows = [(c, t, chat.ROLES[((c or 7) + t) % 3], f"{sentence(100 * (c or 7) + t, 3 + t % 5)}{'.?x'[t % 3]}") for c in (1, 2, None) for t in range(11)] + [(9, 0, "user", "short")]
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    plain = chat.transcripts(conv).persist()
+    for seed in range(3):
+        model = some_model(seed)
+        got, want = defaultdict(list), {}
+        for r in chat.parse_transcripts(plain, model).orderBy("conv_id", "part", "turn").collect():
+            if r.continued:
+                got[r.conv_id][-1][1].append(r.text)
+            else:
+                got[r.conv_id].append((r.role, [r.text]))
+        whole = defaultdict(list)
+        for r in plain.orderBy("conv_id", "part").collect():
+            whole[r.conv_id].append(r.transcript)
+        for c, parts in whole.items():
+            want[c] = [(role, "".join(text.split())) for role, text, _ in chat.parse(model, "\n".join(parts))]
+        assert {c: [(role, "".join("".join(x).split())) for role, x in v] for c, v in got.items()} == want
+
+
 def test_odd_transcripts(spark):
     rows = [(1, 0, "user", None), (1, 1, None, "x"), (1, None, "assistant", ""), (None, 0, "user", "a\n\nb"), (2, 5, "tool", "z"), (2, 5, "tool", "z")]
     conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("part", F.lit("clash"))
     got = chat.chat_digests(conv)
-    assert got.count() >= 3 and chat.chat_digests(conv.limit(0)).count() == 0
+    assert got.count() >= 4 and got.where("part is null").count() == 1 and chat.chat_digests(conv.limit(0)).count() == 0
 
 
 def test_pipeline(spark):
