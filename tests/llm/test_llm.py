@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on odd rows and on the smallest tables."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -178,6 +179,53 @@ def test_quality_fences(spark):
     assert not got[900] and not got[901] and sum(got.values()) == 300
 
 
+def exact_quantile(values, q):
+    """What a sketch that holds all values gives: the least value whose rank, itself included, reaches q."""
+    return sorted(values)[max(0, math.ceil(q * len(values) - 1e-9) - 1)]
+
+
+def test_quality_verdicts_equal_brute_force(spark):
+    """Up to SKETCH_K rows a group the sketches are exact, so are the fences."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = quality.measures(docs, "doc_id", "lang", "source").collect()
+    ratio = lambda r, name: (lambda a, b: r[a] / r[b] if r[b] else 0.0)(*quality.RATIOS[name][0].split(" / "))
+    passed = [r for r in rows if not (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)]
+    groups = {"all": passed}
+    for r in passed:
+        groups.setdefault(r.lang, []).append(r)
+        groups.setdefault((r.lang, r.source), []).append(r)
+
+    def fences(key, name):
+        _, side, between, times, least = quality.RATIOS[name]
+        low, high = (exact_quantile([ratio(r, name) for r in groups[key]], q) for q in between)
+        far = max(times * (high - low), least)
+        return (low - far if side == "both" else -math.inf), high + far
+
+    def shrunk(r, name):
+        weight = lambda key: len(groups[key]) / (len(groups[key]) + quality.PRIOR_ROWS)
+        out = fences("all", name)
+        for key in (r.lang, (r.lang, r.source)):
+            own = fences(key, name)
+            out = tuple(weight(key) * a + (1 - weight(key)) * b if math.isfinite(a) else a for a, b in zip(own, out, strict=True))
+        return out
+
+    want = {}
+    for r in rows:
+        ok = r in passed
+        for name in quality.RATIOS if ok else ():
+            low, high = shrunk(r, name)
+            ok &= low - 1e-12 <= ratio(r, name) <= high + 1e-12
+        want[r.doc_id] = ok
+    got = {r.doc_id: r.kept for r in quality.quality_scores(docs).collect()}
+    assert got == want and 0 < sum(want.values()) < len(passed)
+
+
+def test_small_groups_change_smoothly():
+    """No size at which a group's own quantiles begin or cease to count."""
+    weights = [n / (n + quality.PRIOR_ROWS) for n in range(1, 400)]
+    assert all(0 < b - a < 0.05 for a, b in zip(weights, weights[1:], strict=False))
+
+
 def with_ratio(name, level, seed):
     """A text of 100 words and 20 lines in which a ratio is about level and the others are plain."""
     r = np.random.default_rng(seed)
@@ -511,6 +559,79 @@ def test_odd_transcripts(spark):
     assert got.count() >= 4 and got.where("part is null").count() == 1 and chat.chat_digests(conv.limit(0)).count() == 0
 
 
+STAGE_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+@pytest.mark.parametrize("name", ["quality", "line_dedup", "near_dedup", "decontamination", "packing"])
+def test_stages_on_odd_and_no_rows(spark, odd, name):
+    import corpus_pipeline as P
+
+    stage = dict(P.STAGES)[name]
+    rows = odd.select(*STAGE_COLUMNS)
+    for docs in (rows, rows.limit(0), odd):
+        got = stage(spark, docs, DATA)
+        if name == "packing":
+            assert got.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+        else:
+            assert got.columns == docs.columns and got.count() <= docs.count()
+            if name == "line_dedup":
+                assert got.count() == docs.count()
+
+
+def test_pipeline_equals_its_stages_by_brute_force(spark):
+    """Each stage's decisions by definition, on the rows that the one before kept."""
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = {r.doc_id: r.text or "" for r in docs.collect()}
+    verdict = {r.doc_id for r in quality.quality_scores(docs).where("kept").collect()}
+    rows = {i: x for i, x in rows.items() if i in verdict}
+    lines = {i: x.split("\n") for i, x in sorted(rows.items())}
+    places = defaultdict(list)
+    for i, ls in lines.items():
+        for k, line in enumerate(ls):
+            if len(re.findall(WORD, line)) >= line_dedup.ALONE_WORDS:
+                places[line,].append((i, k))
+            if k + 1 < len(ls):
+                places[line, ls[k + 1]].append((i, k))
+    gone, held = set(), set()
+    for run, found in places.items():
+        if len(found) > 1:
+            held |= {(found[0][0], found[0][1] + j) for j in range(len(run))}
+            gone |= {(i, k + j) for i, k in found[1:] for j in range(len(run))}
+    cut = {i: "\n".join(x for k, x in enumerate(ls) if (i, k) not in gone - held) for i, ls in lines.items()}
+    shingles = {i: shingle_counts(x) for i, x in cut.items()}
+    group = {i: i for i in cut}
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for i in cut:
+        for j in cut:
+            if i < j and shingles[i] and shingles[j] and min(sum(shingles[i].values()), sum(shingles[j].values())) >= 0.8 * max(sum(shingles[i].values()), sum(shingles[j].values())):
+                common = sum((shingles[i] & shingles[j]).values())
+                if common >= 0.8 * (sum(shingles[i].values()) + sum(shingles[j].values()) - common):
+                    a, b = sorted((find(i), find(j)))
+                    group[b] = a
+    empty = [i for i in cut if not shingles[i]]
+    first = {}
+    for i in empty:
+        group[i] = first.setdefault(cut[i], i)
+    kept = {i: cut[i] for i in cut if find(i) == i}
+    after = spark.createDataFrame(list(kept.items()), "doc_id long, text string")
+    bad = {r.doc_id for r in decontaminate.contaminations(after, spark.read.parquet(f"{DATA}/benchmark.parquet")).collect()}
+    packed = P.run(spark, DATA)
+    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(kept) - bad
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    sizes = {r.doc_id: r.doc_tokens for r in packed.collect()}
+    assert sizes == {i: len(tokenizer.encode(x, add_special_tokens=False).ids) + 1 for i, x in kept.items() if i not in bad}
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 
