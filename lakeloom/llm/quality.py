@@ -45,19 +45,20 @@ def measures(docs: DataFrame, *keep: str) -> DataFrame:
     """The columns of keep, and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper (all long)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(WHITE)) != "")
+    bare = F.btrim(text, F.lit(WHITE))
     cut = docs.select(
         *keep,
-        F.filter(F.split(F.btrim(text, F.lit(WHITE)), r"[\x20\x09-\x0D]+", -1), lambda x: x != "").alias("_words"),
-        (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+", -1)).alias("_words"),
+        F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
+        F.regexp_count(text, F.lit("[A-Z]")).cast("long").alias("n_upper"),
         lines.alias("_lines"),
     )
-    # positions of five-word windows, in order of their hashes: equal windows become neighbours
     hashed = cut.select(
         *keep,
         "n_symbols",
+        "n_upper",
         F.size("_words").cast("long").alias("n_words"),
-        F.expr("aggregate(_words, 0L, (a, x) -> a + char_length(x))").alias("word_chars"),
-        F.expr("aggregate(_words, 0L, (a, x) -> a + char_length(x) - char_length(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')))").alias("n_upper"),
+        F.char_length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.expr("transform(_words, x -> xxhash64(x))").alias("_w"),
