@@ -16,12 +16,26 @@ from ..functions.text import tokenize
 K1, B, TITLE_WEIGHT = 1.2, 0.75, 1.25
 
 
-def build(docs: DataFrame, key: str = "doc_id", text: Column | None = None, title: Column | None = None, tokens=tokenize) -> DataFrame:
-    """Postings (term, key, tf, dl, df, n_docs, avgdl, in_title) of docs; key is unique."""
+#: Distinct terms up to which an index is built for a stated batch of queries only.
+FEW_TERMS = 5000
+
+
+def few_terms(queries: DataFrame, tokens=tokenize) -> list[str] | None:
+    """The distinct terms of a batch of queries (query_id, question), or None if there are more than FEW_TERMS."""
+    found = [r.term for r in query_terms(queries, tokens).select("term").distinct().limit(FEW_TERMS + 1).collect()]
+    return found if len(found) <= FEW_TERMS else None
+
+
+def build(docs: DataFrame, key: str = "doc_id", text: Column | None = None, title: Column | None = None, tokens=tokenize, terms: list[str] | None = None) -> DataFrame:
+    """Postings (term, key, tf, dl, df, n_docs, avgdl, in_title) of docs; key is unique.
+
+    terms: postings of these only. Other words then never leave their row; lengths and counts of documents are those of whole texts.
+    """
     text = F.col("text") if text is None else text
     title = F.lit("") if title is None else title
     words = docs.select(key, tokens(F.concat_ws(" ", title, text)).alias("w"), F.array_distinct(tokens(title)).alias("tw"))
-    sized = words.select(key, F.explode("w").alias("term"), F.size("w").cast("long").alias("dl"), "tw")
+    wanted = F.col("w") if terms is None else F.filter("w", lambda t: t.isin(*terms)) if terms else F.slice("w", 1, 0)
+    sized = words.select(key, F.size("w").cast("long").alias("dl"), "tw", wanted.alias("w")).select(key, F.explode("w").alias("term"), "dl", "tw")
     tf = sized.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"), F.first(F.array_contains("tw", F.col("term"))).alias("in_title"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     stats = words.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("w")).alias("avg")).select("n_docs", F.when(F.col("avg") > 0, F.col("avg")).otherwise(1.0).alias("avgdl"))
@@ -79,7 +93,7 @@ def section_search(docs: DataFrame, queries: DataFrame, k: int = 10, tokens=toke
 
     docs: doc_id, section, text. Scores are compared after rounding to 4 digits.
     """
-    postings = build(docs, tokens=tokens)
+    postings = build(docs, tokens=tokens, terms=few_terms(queries, tokens))
     raw = contributions(postings, query_terms(queries, tokens), title_weight=1.0).groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 9).alias("raw"))
     wanted = queries.select("query_id", F.array_distinct(tokens(F.col("question"))).alias("q"))
     named = docs.select("doc_id", F.array_distinct(tokens(F.col("section"))).alias("s"))

@@ -39,6 +39,11 @@ def _title() -> F.Column:
     return F.substring_index("text", "\n", 1)
 
 
+def _index_for(s, d, docs: DataFrame, queries: DataFrame, *more, **options) -> DataFrame:
+    """Postings of docs for a stated batch of queries."""
+    return bm25.build(docs, *more, terms=bm25.few_terms(queries), **options)
+
+
 def _titled(s: SparkSession, d: str) -> DataFrame:
     return _read(s, d, "documents").withColumn("title", _title())
 
@@ -83,18 +88,18 @@ _TITLED = f"WITH {_ASKED}, {_index('documents', 'doc_id', _BODY, _FIRST)}, {_TER
 
 @query(f"{_BM25} SELECT query_id, k AS doc_id, rank, round(raw, 5) AS score FROM {_top('scored', 10)}")
 def bm25_topk(s, d):
-    return bm25.search(bm25.build(_read(s, d, "documents")), _items(s, d)).select("query_id", "doc_id", "rank", "score")
+    return bm25.search(_index_for(s, d, _read(s, d, "documents"), _items(s, d)), _items(s, d)).select("query_id", "doc_id", "rank", "score")
 
 
 @query(f"{_TITLED} SELECT query_id, k AS doc_id, rank, round(raw, 5) AS score FROM {_top('scored', 10)}")
 def bm25_title_boost(s, d):
-    return bm25.search(bm25.build(_titled(s, d), text=_body(), title=F.col("title")), _items(s, d)).select("query_id", "doc_id", "rank", "score")
+    return bm25.search(_index_for(s, d, _titled(s, d), _items(s, d), text=_body(), title=F.col("title")), _items(s, d)).select("query_id", "doc_id", "rank", "score")
 
 
 @query(f"""{_BM25}, hits AS (SELECT query_id, k, rank FROM {_top('scored', 10)})
 SELECT query_id, k AS doc_id, rank, string_agg(DISTINCT term, ' ' ORDER BY term) AS matched_terms FROM hits JOIN terms USING (query_id) JOIN tf USING (k, term) GROUP BY query_id, k, rank""")
 def bm25_matched_terms(s, d):
-    postings = bm25.build(_read(s, d, "documents"))
+    postings = _index_for(s, d, _read(s, d, "documents"), _items(s, d))
     got = bm25.matched_terms(postings, _items(s, d), bm25.search(postings, _items(s, d)))
     return got.select("query_id", "doc_id", "rank", F.array_join("matched_terms", " ").alias("matched_terms"))
 
@@ -106,14 +111,14 @@ extra AS (SELECT query_id, k, 0.25 * sum(part) AS more FROM postings JOIN terms
 both_passes AS (SELECT query_id, k, round(body + coalesce(more, 0), 9) AS raw FROM pool LEFT JOIN extra USING (query_id, k))
 SELECT query_id, k AS doc_id, rank, round(raw, 5) AS score FROM {_top('both_passes', 10)}""")
 def bm25_late_title(s, d):
-    return bm25.late_title_search(bm25.build(_titled(s, d), text=_body(), title=F.col("title")), _items(s, d)).select("query_id", "doc_id", "rank", "score")
+    return bm25.late_title_search(_index_for(s, d, _titled(s, d), _items(s, d), text=_body(), title=F.col("title")), _items(s, d)).select("query_id", "doc_id", "rank", "score")
 
 
 _WEIGHTS = (1.0, 1.25, 1.5)
 
 
 def _weight_hits(s, d, k=10):
-    postings = bm25.build(_titled(s, d), text=_body(), title=F.col("title"))
+    postings = _index_for(s, d, _titled(s, d), _items(s, d), text=_body(), title=F.col("title"))
     weights = F.explode(F.array(*map(F.lit, _WEIGHTS)))
     parts = bm25.contributions(postings, bm25.query_terms(_items(s, d)), title_weight=1.0).withColumn("weight", weights)
     raw = parts.groupBy("weight", "query_id", "doc_id").agg(F.round(F.sum(F.col("part") * F.when(F.col("in_title"), F.col("weight")).otherwise(1.0)), 9).alias("raw"))
@@ -214,7 +219,7 @@ SELECT query_id, k AS doc_id, rank, round(raw, 8) AS score, matched_queries FROM
 def multi_query_rrf(s, d):
     items = _items(s, d)
     asked = items.select((F.col("query_id") * 2).alias("query_id"), "question").unionByName(items.select((F.col("query_id") * 2 + 1).alias("query_id"), F.substring_index("question", ". ", 1).alias("question")))
-    hits = bm25.search(bm25.build(_read(s, d, "documents")), asked, 20).select(F.expr("query_id div 2").alias("query_id"), (F.col("query_id") % 2).alias("variant"), "doc_id", "rank")
+    hits = bm25.search(_index_for(s, d, _read(s, d, "documents"), asked), asked, 20).select(F.expr("query_id div 2").alias("query_id"), (F.col("query_id") % 2).alias("variant"), "doc_id", "rank")
     got = fusion.fuse_queries(hits)
     return got.select("query_id", "doc_id", "rank", "score", F.array_join(F.transform("matched_queries", lambda x: F.concat_ws(":", x["variant"].cast("string"), x["rank"].cast("string"))), " ").alias("matched_queries"))
 
@@ -224,7 +229,7 @@ passages AS (SELECT h.*, CASE WHEN rank <= 5 THEN len(list_intersect(list_distin
 SELECT query_id, k AS doc_id, rank AS pre_rerank_rank, round(overlap, 8) AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rank > 5, overlap DESC NULLS LAST, rank) AS new_rank FROM passages""")
 def rerank_topn(s, d):
     docs, items = _read(s, d, "documents"), _items(s, d)
-    hits = bm25.search(bm25.build(docs), items).join(items, "query_id").join(docs.select("doc_id", F.col("text").alias("passage")), "doc_id")
+    hits = bm25.search(_index_for(s, d, docs, items), items).join(items, "query_id").join(docs.select("doc_id", F.col("text").alias("passage")), "doc_id")
     q, p = F.array_distinct(T.tokenize(F.col("question"))), F.array_distinct(T.tokenize(F.col("passage")))
     got = fusion.rerank(hits.select("query_id", "doc_id", "rank", "question", "passage"), None, 5, score=F.size(F.array_intersect(q, p)) / F.size(p))
     return got.select("query_id", "doc_id", F.col("rank").alias("pre_rerank_rank"), F.round("rerank_score", 8).alias("rerank_score"), "new_rank")
@@ -244,7 +249,7 @@ def chunk_windows(s, d):
 
 def _chunk_hits(s, d):
     chunks = _window_chunks(s, d)
-    hits = bm25.search(bm25.build(chunks, "chunk_id"), _items(s, d), 50, "chunk_id")
+    hits = bm25.search(_index_for(s, d, chunks, _items(s, d), "chunk_id"), _items(s, d), 50, "chunk_id")
     return hits.withColumn("parent_id", F.expr("chunk_id div 100000"))
 
 
@@ -299,7 +304,7 @@ def qrels_containment(s, d):
 
 def _per_query(s, d):
     asked = _items(s, d).withColumn("size", F.when(F.char_length("question") < 150, "short").otherwise("long"))
-    return metrics.query_metrics(asked, _qrels(s, d), bm25.search(bm25.build(_read(s, d, "documents")), _items(s, d), 20))
+    return metrics.query_metrics(asked, _qrels(s, d), bm25.search(_index_for(s, d, _read(s, d, "documents"), _items(s, d)), _items(s, d), 20))
 
 
 def _metric_sql(hits: str, more: str = "") -> str:

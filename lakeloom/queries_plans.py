@@ -12,7 +12,7 @@ from .functions import text as T
 from .operators import bm25, context, dense, evidence, fusion
 from .plans import artifacts, evaluate, index, metrics, telemetry
 from .plans import search as S
-from .queries import _BM25, _CHUNK_HITS, _FIRST, _MEANS, _MEASURES, _QRELS, _chunk_hits, _hybrid, _items, _metric_sql, _channels, _qrels, _read, _titled, _tok, _top, _window_chunks, query
+from .queries import _BM25, _CHUNK_HITS, _FIRST, _MEANS, _MEASURES, _QRELS, _chunk_hits, _hybrid, _index_for, _items, _metric_sql, _channels, _qrels, _read, _titled, _tok, _top, _window_chunks, query
 from .sources import readers, sinks
 
 def _squash(x: str) -> str:
@@ -390,7 +390,7 @@ SELECT b.query_id, round(b.mrr, 6) AS mrr_before, round(a.mrr, 6) AS mrr_after,
 FROM (SELECT * FROM per_query WHERE stage = 'before') b JOIN (SELECT * FROM per_query WHERE stage = 'after') a USING (query_id) LEFT JOIN covered USING (query_id)""")
 def rerank_evaluation(s, d):
     docs, items = _read(s, d, "documents"), _items(s, d)
-    pool = bm25.search(bm25.build(docs), items, 20).join(items, "query_id").join(docs.select("doc_id", F.col("text").alias("passage")), "doc_id")
+    pool = bm25.search(_index_for(s, d, docs, items), items, 20).join(items, "query_id").join(docs.select("doc_id", F.col("text").alias("passage")), "doc_id")
     q, p = F.array_distinct(T.tokenize(F.col("question"))), F.array_distinct(T.tokenize(F.col("passage")))
     got = evaluate.rerank_eval(items, _qrels(s, d), pool.select("query_id", "doc_id", "rank", "question", "passage"), score=F.size(F.array_intersect(q, p)) / F.size(p), limit=10)
     return got.select("query_id", *(F.round(c, 6).alias(c) for c in ("mrr_before", "mrr_after", "mrr_delta", "ndcg_delta", "pool_coverage")))
@@ -431,7 +431,7 @@ def pilot_evaluation(s, d):
 SELECT mode, {_MEANS} FROM per_query GROUP BY mode""")
 def compared_modes(s, d):
     docs = _read(s, d, "documents").select(F.col("doc_id").alias("parent_id"))
-    hits = bm25.search(bm25.build(_read(s, d, "documents")), _items(s, d), 20).select("query_id", F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("parent_id"), "rank")
+    hits = bm25.search(_index_for(s, d, _read(s, d, "documents"), _items(s, d)), _items(s, d), 20).select("query_id", F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("parent_id"), "rank")
     got = evaluate.compare(_items(s, d), _qrels(s, d).withColumnRenamed("doc_id", "parent_id"), {"all": hits, "odd": hits.where("parent_id % 2 = 1")}, docs, [])
     return got.select("mode", *_MEASURES)
 

@@ -67,6 +67,9 @@ def test_bm25_ties_and_empty(spark):
     queries = spark.createDataFrame([(1, "cat"), (2, "the")], "query_id long, question string")
     got = bm25.search(bm25.build(docs), queries).orderBy("rank").collect()
     assert [(r.query_id, r.doc_id) for r in got] == [(1, 10), (1, 9)]
+    few = bm25.build(docs, terms=bm25.few_terms(queries))
+    assert few.select("term").distinct().count() == 1 and sorted(map(tuple, bm25.search(few, queries).collect())) == sorted(map(tuple, bm25.search(bm25.build(docs), queries).collect()))
+    assert not bm25.build(docs, terms=[]).count() and few.first().n_docs == 3
     with pytest.raises(ValueError):
         bm25.search(bm25.build(docs), queries, 0)
 
