@@ -175,3 +175,13 @@ def license_scan(docs: DataFrame) -> DataFrame:
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
     names = [x.split()[0] for x in schema.split(", ")]
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+
+
+#: The base columns of license_scan(); expressions have no SQL form.
+BASE_ORACLE = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+phrases AS (SELECT unnest([['cc', 'by'], ['general', 'public', 'license'], ['all', 'rights', 'reserved']]) AS p, unnest(['cc-by', 'gpl', 'reserved']) AS label),
+starts AS (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM w),
+hits AS (SELECT doc_id, i - 1 AS place, label FROM starts JOIN phrases ON w[i:i + len(p) - 1] = p)
+SELECT doc_id, len(w) AS n_words, count(place) AS n_base, min(place) AS first_word, max(place) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels FROM w LEFT JOIN hits USING (doc_id) GROUP BY doc_id, w
+"""

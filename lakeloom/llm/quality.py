@@ -141,3 +141,14 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     row = F.struct(*docs.columns).alias("_row")
     measured = written(measures(docs.select(row, "text", F.col("lang").alias("lang"), F.col("source").alias("source")), "_row", "lang", "source"))
     return _with_fences(measured).where(~base_failed() & verdict()).select("_row.*")
+
+
+#: The base columns of quality_scores(); sketches have no SQL form.
+BASE_ORACLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+windows AS (SELECT doc_id, i, w[i:i + 4] AS x FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM d)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM (SELECT doc_id, i, unnest(generate_series(0, 4)) AS j FROM twice) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+  len(w) < 10 OR 100 * coalesce(n, 0) > 20 * len(w) AS base_failed FROM d LEFT JOIN covered USING (doc_id)
+"""
