@@ -343,9 +343,8 @@ def eval_coverage(s, d):
 @query(f"""{_SWEEP}, {_QRELS}, {_metric_sql('hits', 'weight')}, means AS (SELECT weight, {_MEANS} FROM per_query GROUP BY weight)
 SELECT m.weight, m.mrr, m.ndcg, round(m.mrr - b.mrr, 6) AS delta_mrr, round(m.ndcg - b.ndcg, 6) AS delta_ndcg FROM means m JOIN means b ON b.weight = 1.25""")
 def eval_delta(s, d):
-    per = metrics.query_metrics(_items(s, d), _qrels(s, d), _weight_hits(s, d), more=("weight",))
-    means = per.groupBy("weight").agg(*(F.round(F.avg(m), 6).alias(m) for m in ("mrr", "ndcg"))).withColumn("one", F.lit(1))
-    return metrics.deltas(means, F.col("weight") == 1.25, ["one"], ["mrr", "ndcg"]).select("weight", "mrr", "ndcg", "delta_mrr", "delta_ndcg")
+    postings = _index_for(s, d, _titled(s, d), _items(s, d), text=_body(), title=F.col("title"))
+    return evaluate.title_sweep(postings, _items(s, d), _qrels(s, d), _WEIGHTS).select("weight", "mrr", "ndcg", "delta_mrr", "delta_ndcg")
 
 
 @query(f"""WITH {_ASKED}, {_QRELS}, state AS (SELECT query_id, bool_and(doc_id IN (SELECT doc_id FROM labels)) AS complete FROM qrels GROUP BY query_id)

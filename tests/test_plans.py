@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lakeloom import service
 from lakeloom.functions import text as T
 from lakeloom.operators import bm25, chunk, context, dense, evidence, fusion
-from lakeloom.plans import artifacts, evaluate, index, metrics, provenance, runtime, telemetry, workspace
+from lakeloom.plans import artifacts, evaluate, index, metrics, provenance, runtime, telemetry, understand, workspace
 from lakeloom.sources import readers, sinks
 from lakeloom.streaming import incremental
 
@@ -413,6 +413,52 @@ def test_dense_blocks_equal_plain_products(spark, monkeypatch):
     assert dense.search(vectors, queries.limit(0), 3).count() == 0 and dense.search(vectors.limit(0), queries, 3).count() == 0
 
 
+def test_cards_from_a_model(spark):
+    rows = [("p", f"c{i}", i, f"Part {i}. We use method{i} here. " + "x" * 90) for i in range(6)] + [("q", "d0", 0, "Nothing much.")]
+    chunks = spark.createDataFrame(rows, "parent_id string, chunk_id string, chunk_index long, text string")
+
+    def complete(prompt):
+        if "[c2]" in prompt:
+            raise OSError("down")
+        if "[d0]" in prompt:
+            return "no json"
+        ids = [x for x in ("c0", "c1", "c4", "c5") if f"[{x}]" in prompt]
+        said = [{"claim": f"Uses method{i[1]}", "evidence": [{"chunk_id": i, "quote": f"we use METHOD{i[1]}"}]} for i in ids] + [{"claim": "Same", "evidence": [{"chunk_id": ids[0], "quote": "We use"}]}, {"claim": "Made up", "evidence": [{"chunk_id": ids[0], "quote": "absent"}]}]
+        return "```json\n" + json.dumps({"methods": said, "odd": said}) + "\n```"
+
+    claims, status = understand.cards(chunks, complete, window_chars=260)
+    assert [(r.claim_no, r.claim) for r in claims.where("parent_id = 'p'").orderBy("claim_no").collect()] == [(1, "Uses method0"), (2, "Uses method1"), (3, "Same"), (4, "Uses method4"), (5, "Uses method5")]
+    got = {r.parent_id: r for r in status.collect()}
+    assert (got["p"].status, got["p"].completed_windows, got["p"].processed_chunks, got["p"].omitted_chunks, got["q"].status) == ("partial", 2, 4, 2, "failed")
+    few = runtime.Run(runtime.Policy(max_calls=1))
+    _, status = understand.cards(chunks.where("parent_id = 'p'"), complete, lambda c, e: pd.Series(["support"] * len(c)), few, 260, 2)
+    assert (status.first().status, status.first().attempted_windows, status.first().omitted_chunks) == ("partial", 1, 4)
+
+
+def test_related_overview(spark):
+    contexts = spark.createDataFrame([(1, "a", "c1", "A uses trees."), (2, "b", "c2", "B uses graphs."), (3, "z", "c3", "Z.")], "number long, parent_id string, chunk_id string, text string")
+    ev = lambda *x: [{"paper_id": p, "chunk_id": c, "quote": q} for p, c, q in x]
+    a, b = ("a", "c1", "uses trees"), ("b", "c2", "uses graphs")
+    answer = {
+        "papers": [{"paper_id": "a", "field": "method", "value": "trees", "evidence": ev(a)}, {"paper_id": "b", "field": "method", "value": "trees", "evidence": ev(a)}],
+        "groups": [{"members": ["b", "a"], "inference": "both", "evidence": ev(a, b)}, {"members": ["a", "b"], "inference": "one", "evidence": ev(a)}],
+        "comparisons": [{"entries": [{"paper_id": "a", "claim": "trees"}, {"paper_id": "b", "claim": "graphs"}], "cited": ["a", "b"]}, {"entries": [{"paper_id": "a", "claim": "x"}], "cited": ["a"]}],
+    }
+    got = understand.overview(contexts, lambda p: json.dumps(answer), lambda c, e: pd.Series(["support" if x in y else "insufficient" for x, y in zip(c, e)]))
+    assert {r.paper_id: r.value for r in got["fields"].collect()} == {"a": "trees", "b": "unknown"}
+    assert [(r.members, r.inference) for r in got["groups"].collect()] == [(["a", "b"], "both")] and [r.papers for r in got["comparisons"].collect()] == [["a", "b"]]
+    assert tuple(got["coverage"].first()) == (["a", "b"], ["z"])
+
+
+def test_title_sweep(spark, docs):
+    postings = bm25.build(docs, title=F.col("title"))
+    queries = spark.createDataFrame([(1, "graph title"), (2, "net title")], "query_id long, question string")
+    qrels = spark.createDataFrame([(1, "d0"), (2, "d1")], "query_id long, doc_id string")
+    got = {r.weight: r for r in evaluate.title_sweep(postings, queries, qrels).collect()}
+    assert set(got) == {1.0, 1.25, 1.5} and got[1.25].delta_mrr == 0
+    assert evaluate.title_sweep(postings, queries, qrels, sample=1).count() == 3
+
+
 def test_folder(spark, tmp_path):
     folder = tmp_path / "notes"
     folder.mkdir()
