@@ -25,11 +25,11 @@ def parent_hits(hits: DataFrame, parents: DataFrame, *more: str) -> tuple[DataFr
     return metrics.parent_ranking(marked.where("known"), "parent_id", *more), orphans
 
 
-def retrieval_eval(queries: DataFrame, qrels: DataFrame, hits: DataFrame, parents: DataFrame, more: tuple = (), top_k: int = 5) -> DataFrame:
+def retrieval_eval(queries: DataFrame, qrels: DataFrame, hits: DataFrame, parents: DataFrame, more: tuple = (), top_k: int = 5, grid: list[tuple] | None = None) -> DataFrame:
     """Per query: ranking metrics of its parents, how many were recovered, gold in the child pool, orphans. Gold outside the corpus doesn't count."""
     inside = qrels.join(parents.select("parent_id").distinct(), "parent_id", "left_semi").distinct()
     ranking, orphans = parent_hits(hits, parents, *more)
-    scored = metrics.query_metrics(queries, inside, ranking, "parent_id", more=more)
+    scored = metrics.query_metrics(queries, inside, ranking, "parent_id", more=more, grid=grid)
     keys = ["query_id", *more]
     recovered = ranking.groupBy(*keys).agg(F.count(F.lit(1)).alias("recovered"))
     found = hits.select(*keys, "parent_id").distinct().join(inside, ["query_id", "parent_id"], "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("in_pool"))
@@ -54,7 +54,7 @@ def compare(queries: DataFrame, qrels: DataFrame, modes: Mapping[str, DataFrame]
     for name, hits in modes.items():
         rows = hits.select("query_id", "chunk_id", "parent_id", "rank").withColumn("mode", F.lit(name))
         every = rows if every is None else every.unionByName(rows)
-    return summary(retrieval_eval(queries, qrels, every, parents, ("mode",)), slices, ("mode",))
+    return summary(retrieval_eval(queries, qrels, every, parents, ("mode",), grid=[(name,) for name in modes]), slices, ("mode",))
 
 
 def fusion_sweep(sparse: DataFrame, near: DataFrame, k: int = 10, key: str = "chunk_id", candidate_ks: Iterable[int] = CANDIDATE_KS, rrf_ks: Iterable[int] = RRF_KS) -> DataFrame:
@@ -66,9 +66,9 @@ def fusion_sweep(sparse: DataFrame, near: DataFrame, k: int = 10, key: str = "ch
     return bm25.ranked(raw, k, key, "candidate_k", "rrf_k")
 
 
-def sweep_deltas(queries: DataFrame, qrels: DataFrame, swept: DataFrame, slices: list[str], key: str = "doc_id") -> DataFrame:
+def sweep_deltas(queries: DataFrame, qrels: DataFrame, swept: DataFrame, slices: list[str], key: str = "doc_id", candidate_ks: Iterable[int] = CANDIDATE_KS, rrf_ks: Iterable[int] = RRF_KS) -> DataFrame:
     """Metrics of every configuration of fusion_sweep(), overall and by slice, and their differences from the baseline's."""
-    per = metrics.query_metrics(queries, qrels, swept, key, more=("candidate_k", "rrf_k"))
+    per = metrics.query_metrics(queries, qrels, swept, key, more=("candidate_k", "rrf_k"), grid=[(c, r) for c in candidate_ks for r in rrf_ks])
     sets = F.explode(F.array(F.struct(F.lit("all").alias("slice"), F.lit("all").alias("value")), *(F.struct(F.lit(c).alias("slice"), F.col(c).cast("string").alias("value")) for c in slices)))
     means = per.withColumn("g", sets).groupBy("candidate_k", "rrf_k", "g.slice", "g.value").agg(*(F.round(F.avg(m), 6).alias(m) for m in MEASURES))
     return metrics.deltas(means, (F.col("candidate_k") == BASELINE[0]) & (F.col("rrf_k") == BASELINE[1]), ["slice", "value"], MEASURES)
@@ -80,7 +80,7 @@ def title_sweep(postings: DataFrame, queries: DataFrame, qrels: DataFrame, weigh
     grid = F.explode(F.array(*(F.lit(float(w)) for w in weights)))
     parts = bm25.contributions(postings, bm25.query_terms(asked), key, 1.0).withColumn("weight", grid)
     raw = parts.groupBy("weight", "query_id", key).agg(F.round(F.sum(F.col("part") * F.when(F.col("in_title"), F.col("weight")).otherwise(1.0)), 9).alias("raw"))
-    per = metrics.query_metrics(asked, qrels, bm25.ranked(raw, k, key, "weight"), key, more=("weight",))
+    per = metrics.query_metrics(asked, qrels, bm25.ranked(raw, k, key, "weight"), key, more=("weight",), grid=[(float(w),) for w in weights])
     means = per.groupBy("weight").agg(*(F.round(F.avg(m), 6).alias(m) for m in MEASURES)).withColumn("one", F.lit(1))
     return metrics.deltas(means, F.col("weight") == baseline, ["one"], MEASURES).drop("one")
 
@@ -92,7 +92,7 @@ def rerank_eval(queries: DataFrame, qrels: DataFrame, pool: DataFrame, scorer=No
     """
     after = fusion.rerank(pool, scorer, limit, score, key).select("query_id", key, F.col("new_rank").alias("rank"))
     both = pool.select("query_id", key, F.col("rank").cast("long").alias("rank")).withColumn("stage", F.lit("before")).unionByName(after.withColumn("stage", F.lit("after")))
-    per = metrics.query_metrics(queries.select("query_id"), qrels, both, key, more=("stage",))
+    per = metrics.query_metrics(queries.select("query_id"), qrels, both, key, more=("stage",), grid=[("before",), ("after",)])
     side = lambda name: per.where(F.col("stage") == name).select("query_id", "n_gold", *(F.col(m).alias(f"{m}_{name}") for m in MEASURES))
     covered = pool.join(qrels, ["query_id", key], "left_semi").groupBy("query_id").agg(F.count(F.lit(1)).alias("in_pool"))
     joined = side("before").join(side("after").drop("n_gold"), "query_id").join(covered, "query_id", "left")

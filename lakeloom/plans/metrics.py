@@ -18,10 +18,11 @@ def parent_ranking(hits: DataFrame, key: str = "doc_id", *more: str) -> DataFram
     return first.withColumn("rank", F.row_number().over(order).cast("long")).drop("at")
 
 
-def query_metrics(queries: DataFrame, qrels: DataFrame, ranking: DataFrame, key: str = "doc_id", cutoffs: tuple = CUTOFFS, k: int = 10, more: tuple = ()) -> DataFrame:
+def query_metrics(queries: DataFrame, qrels: DataFrame, ranking: DataFrame, key: str = "doc_id", cutoffs: tuple = CUTOFFS, k: int = 10, more: tuple = (), grid: list[tuple] | None = None) -> DataFrame:
     """Per query (and columns of more, from ranking): n_gold, recall@c, mrr, ndcg, hit; NULL without gold.
 
-    qrels: distinct (query_id, key). A query that retrieved nothing scores zeros.
+    qrels: distinct (query_id, key). A query that retrieved nothing scores zeros. grid: the values of more, if they are known; else they are
+    read from ranking.
     """
     gold = qrels.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_gold"))
     hits = ranking.join(qrels, ["query_id", key], "left_semi")
@@ -32,7 +33,10 @@ def query_metrics(queries: DataFrame, qrels: DataFrame, ranking: DataFrame, key:
         F.array_sort(F.collect_list(F.when(r <= k, r))).alias("places"),
     )
     base = queries.join(gold, "query_id", "left")
-    if more:
+    if more and grid is not None:
+        every = F.array(*(F.struct(*(F.lit(x).alias(c) for c, x in zip(more, row, strict=True))) for row in grid))
+        base = base.withColumn("_grid", F.explode(every)).select("*", "_grid.*").drop("_grid")
+    elif more:
         base = base.crossJoin(F.broadcast(ranking.select(*more).distinct()))  # a table of configurations
     joined = base.join(found, ["query_id", *more], "left")
     gain = F.aggregate(F.coalesce("places", F.array().cast("array<bigint>")), F.lit(0.0), lambda s, x: s + 1.0 / F.log2(x + 1.0))
@@ -50,9 +54,12 @@ def summarize(per_query: DataFrame, sets: list[str], measures: list[str], digits
 
 
 def deltas(summary: DataFrame, baseline: Column, keys: list[str], measures: list[str], digits: int = 6) -> DataFrame:
-    """Each row's measures less those of the baseline row with the same keys."""
-    base = summary.where(baseline).select(*keys, *(F.col(m).alias(f"base_{m}") for m in measures))
-    return summary.join(base, keys).select("*", *(F.round(F.col(m) - F.col(f"base_{m}"), digits).alias(f"delta_{m}") for m in measures)).drop(*(f"base_{m}" for m in measures))
+    """Each row's measures less those of the baseline row with the same keys; rows without one go."""
+    same = Window.partitionBy(*keys)
+    base = {m: F.max(F.when(baseline, F.col(m))).over(same) for m in measures}
+    has = F.max(baseline.cast("int")).over(same) == 1
+    marked = summary.select("*", has.alias("_has"), *(F.round(F.col(m) - base[m], digits).alias(f"delta_{m}") for m in measures))
+    return marked.where("_has").drop("_has")
 
 
 def complete_only(queries: DataFrame, qrels: DataFrame, corpus: DataFrame, key: str = "doc_id") -> DataFrame:
