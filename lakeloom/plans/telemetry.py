@@ -29,12 +29,11 @@ def percentiles(rows: DataFrame, keys: list[str], value: Column, points: tuple =
     wanted = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"), side(p - MARGIN, "lo").alias("a"), side(p + MARGIN, "hi").alias("b")) for i, p in enumerate(points)))
     marks = sketch.select("g", "n", F.explode(wanted).alias("q")).select("g", "n", "q.*")
     joined = measured.join(marks, "g")
-    below = joined.groupBy("g", "i").agg(F.max("n").alias("n"), F.max("p").alias("p"), F.count_if(F.col("x") < F.col("a")).alias("below"))
-    near = joined.where(F.col("x").between(F.col("a"), F.col("b"))).groupBy("g", "i", "x").agg(F.count(F.lit(1)).alias("c"))
-    last = F.sum("c").over(Window.partitionBy("g", "i").orderBy("x"))
-    placed = near.withColumn("last", last).join(below, ["g", "i"])
+    # one pass for both, since a sketch that is computed again may give other bounds: all values below them are one entry, with x NULL
+    near = joined.where(F.col("x") <= F.col("b")).groupBy("g", "i", F.when(F.col("x") >= F.col("a"), F.col("x")).alias("x")).agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), F.max("p").alias("p"))
+    placed = near.withColumn("last", F.sum("c").over(Window.partitionBy("g", "i").orderBy(F.asc_nulls_first("x"))))
     rank = (F.col("n") - 1) * F.col("p")
-    holds = lambda r: F.max(F.when((F.col("below") + F.col("last") - F.col("c") <= r) & (r < F.col("below") + F.col("last")), F.col("x")))
+    holds = lambda r: F.max(F.when((F.col("last") - F.col("c") <= r) & (r < F.col("last")), F.col("x")))
     found = placed.groupBy("g", "i").agg(holds(F.floor(rank)).alias("low"), holds(F.ceil(rank)).alias("high"), F.max(rank).alias("rank"))
     read = F.round(F.col("low") + (F.col("high") - F.col("low")) * (F.col("rank") - F.floor("rank")), 6)
     wide = found.groupBy("g").agg(*(F.max(F.when(F.col("i") == i, read)).alias(f"p{round(100 * p)}") for i, p in enumerate(points)))
