@@ -16,8 +16,7 @@ interval's first suffix stay, even where a later copy of another run (or of itse
 them: every repeated run stands somewhere whole.
 
 With `alone`, a single line of at least so many words is a run too: intervals of depth one whose line has
-as many words are added, by the same rule. The pipeline does so; op4_line_dedup has runs of LEAST_LINES
-only, as its SQL.
+as many words are added, by the same rule. The pipeline, op4_line_dedup and its SQL do so with ALONE_WORDS.
 
 Lines are told apart by 128 bits of hash, longer prefixes by places, which do not collide.
 
@@ -41,7 +40,7 @@ from .lineage import fresh_names, written
 
 #: Production parameter: lines that a repeated run has at least.
 LEAST_LINES = 2
-#: Words of a line that the pipeline takes for a run by itself.
+#: Production parameter: words of a line that is a run by itself.
 ALONE_WORDS = 5
 
 def line_spans(data: np.ndarray, offsets: np.ndarray):
@@ -152,23 +151,26 @@ def deduplicated(docs: DataFrame, least: int = LEAST_LINES, alone: int | None =
     return dealt.mapInArrow(run, out)
 
 
-def line_digests(docs: DataFrame, least: int = LEAST_LINES) -> DataFrame:
+def line_digests(docs: DataFrame, least: int = LEAST_LINES, alone: int | None = ALONE_WORDS) -> DataFrame:
     """doc_id, n_lines, n_removed, n_runs, kept_sha256 of every row."""
-    cut = deduplicated(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), least)
+    cut = deduplicated(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), least, alone)
     return cut.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-ORACLE = """
+ORACLE = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
 ), runs AS (
   SELECT doc_id, pos, line, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS next_line FROM lines
-), later AS (
-  SELECT doc_id, pos, place > 1 AS again, place = 1 AND copies > 1 AS is_first
-  FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY line, next_line ORDER BY doc_id, pos) AS place, count(*) OVER (PARTITION BY line, next_line) AS copies FROM runs WHERE next_line IS NOT NULL)
+), windows AS (
+  SELECT doc_id, pos, 2 AS size, row_number() OVER (PARTITION BY line, next_line ORDER BY doc_id, pos) AS place, count(*) OVER (PARTITION BY line, next_line) AS copies FROM runs WHERE next_line IS NOT NULL
+  UNION ALL
+  SELECT doc_id, pos, 1 AS size, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS place, count(*) OVER (PARTITION BY line) AS copies
+  FROM lines WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 5
+), covered AS (
+  SELECT doc_id, unnest(generate_series(pos, pos + size - 1)) AS pos, place > 1 AS again FROM windows WHERE copies > 1
 ), gone AS (
-  (SELECT doc_id, pos FROM later WHERE again UNION SELECT doc_id, pos + 1 FROM later WHERE again)
-  EXCEPT (SELECT doc_id, pos FROM later WHERE is_first UNION SELECT doc_id, pos + 1 FROM later WHERE is_first)
+  SELECT doc_id, pos FROM covered WHERE again EXCEPT SELECT doc_id, pos FROM covered WHERE NOT again
 ), marked AS (
   SELECT l.doc_id, l.pos, l.line, g.pos IS NOT NULL AS cut, lag(g.pos IS NOT NULL, 1, false) OVER (PARTITION BY l.doc_id ORDER BY l.pos) AS cut_before
   FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos

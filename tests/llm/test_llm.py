@@ -252,22 +252,28 @@ def test_quality_groups_differ(spark, name, plain, usual, probe):
     assert not got[-1] and got[-2] and sum(got.values()) == 501
 
 
-def test_lines(docs):
+@pytest.mark.parametrize("alone", [None, line_dedup.ALONE_WORDS])
+def test_lines(docs, alone):
     rows = sorted({(d is not None, d or 0, x) for d, x in pairs(docs)})
-    firsts: dict = {}
-    want = {}
     order = sorted(((d if known else -(1 << 63), x) for known, d, x in rows), key=lambda r: r[0])
+    places = defaultdict(list)
     for d, x in order:
         ls = x.split("\n")
-        for i in range(len(ls) - 1):
-            firsts.setdefault((ls[i], ls[i + 1]), []).append((d, x, i))
+        for i, line in enumerate(ls):
+            if i + 1 < len(ls):
+                places[line, ls[i + 1]].append((d, x, i))
+            if alone is not None and len(re.findall(WORD, line)) >= alone:
+                places[line,].append((d, x, i))
+    first, later = defaultdict(set), defaultdict(set)
+    for run, found in places.items():
+        for k, (d, x, i) in enumerate(found if len(found) > 1 else ()):
+            (later if k else first)[d, x].update(range(i, i + len(run)))
+    want = {}
     for d, x in order:
-        ls = x.split("\n")
-        gone = {j for i in range(len(ls) - 1) if firsts[ls[i], ls[i + 1]][0] != (d, x, i) for j in (i, i + 1)}
-        gone -= {j for i in range(len(ls) - 1) if len(p := firsts[ls[i], ls[i + 1]]) > 1 and p[0] == (d, x, i) for j in (i, i + 1)}
+        ls, gone = x.split("\n"), later[d, x] - first[d, x]
         want[d, x] = (len(ls), len(gone), hashlib.sha256("\n".join(y for i, y in enumerate(ls) if i not in gone).encode()).hexdigest())
     expected = sorted(((d, *want[-(1 << 63) if d is None else d, x]) for d, x in pairs(docs)), key=repr)
-    got = line_dedup.line_digests(docs)
+    got = line_dedup.line_digests(docs, alone=alone)
     assert rows_of(got.drop("n_runs")) == expected
     full = line_dedup.deduplicated(docs)
     assert full.columns[:-3] == docs.columns and full.count() == docs.count()
