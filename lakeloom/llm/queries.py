@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_dedup, chat, licenses, line_dedup, quality, suffix_dedup, warc
+from . import block_dedup, chat, conversation_repair, licenses, line_dedup, quality, suffix_dedup, warc
 from .decontaminate import contaminations
 from .licenses import license_scan
 from .near_dedup import near_duplicate_classes
@@ -58,6 +58,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_dedup.block_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_digests(_table(spark, sf_dir, "conversations"))
+
+
 def license_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of op1: its base columns."""
     return op1_license_scan(spark, sf_dir).drop("labels", "score")
@@ -80,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": op8_chat_format,
         "op9_decontamination": op9_decontamination,
         "op10_substring_dedup": op10_substring_dedup,
+        "op11_conversation_repair": op11_conversation_repair,
         "license_base_places": license_base_places,
         "quality_base_measures": quality_base_measures,
     }
@@ -92,6 +97,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_warc_revisits": warc.ORACLE,
         "op6_suffix_dedup": suffix_dedup.ORACLE,
         "op10_substring_dedup": block_dedup.ORACLE,
+        "op11_conversation_repair": conversation_repair.ORACLE,
         "license_base_places": licenses.BASE_ORACLE,
         "quality_base_measures": quality.BASE_ORACLE,
     }
