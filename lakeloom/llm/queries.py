@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_dedup, chat, conversation_repair, licenses, line_dedup, quality, suffix_dedup, warc
+from . import block_dedup, chat, conversation_repair, licenses, line_dedup, quality, suffix_dedup, warc, whitening
 from .decontaminate import contaminations
 from .licenses import license_scan
 from .near_dedup import near_duplicate_classes
@@ -62,6 +62,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_digests(_table(spark, sf_dir, "conversations"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
 def license_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of op1: its base columns."""
     return op1_license_scan(spark, sf_dir).drop("labels", "score")
@@ -72,6 +76,11 @@ def quality_base_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_quality_rules(spark, sf_dir).drop("kept")
 
 
+def whitening_base_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op12: the rows that remain and their exact deviations."""
+    return op12_embedding_whitening(spark, sf_dir).where("component = 1").select("vec_id", "n", "deviation")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -85,8 +94,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_decontamination": op9_decontamination,
         "op10_substring_dedup": op10_substring_dedup,
         "op11_conversation_repair": op11_conversation_repair,
+        "op12_embedding_whitening": op12_embedding_whitening,
         "license_base_places": license_base_places,
         "quality_base_measures": quality_base_measures,
+        "whitening_base_deviations": whitening_base_deviations,
     }
 
 
@@ -100,4 +111,5 @@ def oracle_sql() -> dict[str, str]:
         "op11_conversation_repair": conversation_repair.ORACLE,
         "license_base_places": licenses.BASE_ORACLE,
         "quality_base_measures": quality.BASE_ORACLE,
+        "whitening_base_deviations": whitening.BASE_ORACLE,
     }

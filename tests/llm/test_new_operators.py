@@ -2,13 +2,16 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 from lakeloom.llm import conversation_repair as repair
+from lakeloom.llm import whitening
 
 DATA = "/root/testdata/sf0.001"
 TALK = "conv_id long, turn long, role string, text string, rows string, part string, moves long"
@@ -150,3 +153,71 @@ def test_no_conversations(spark):
 def test_conversations_equal_brute_force(spark):
     frame = spark.read.parquet(f"{DATA}/conversations.parquet")
     assert repaired_rows(repair.repair_digests(frame, 5)) == brute_repair([tuple(r) for r in frame.select("conv_id", "turn", "role", "text").collect()])
+
+
+def brute_whitening(rows):
+    """n, deviations, covariance and mean by plain fractions."""
+    from fractions import Fraction
+
+    kept = [(k, [math.floor(64 * float(c)) + 1_000_000 for c in v]) for k, v in rows if v is not None and all(c is not None and math.isfinite(c) for c in v)]
+    n, sums = len(kept), [sum(c) for c in zip(*(v for _, v in kept), strict=True)]
+    mean = [Fraction(s, n) for s in sums]
+    apart = [[x - m for x, m in zip(v, mean, strict=True)] for _, v in kept]
+    cov = np.array([[float(sum(a[i] * a[j] for a in apart) / n) for j in range(len(sums))] for i in range(len(sums))])
+    return n, [(k, sum((n * x - s) ** 2 for x, s in zip(v, sums, strict=True)), [float(x) for x in a]) for (k, v), a in zip(kept, apart, strict=True)], cov
+
+
+def assert_whitened(got, rows):
+    n, kept, cov = brute_whitening(rows)
+    values, vectors = np.linalg.eigh(cov)
+    values, vectors = values[::-1], vectors[:, ::-1]
+    k = min(32, int((values > np.trace(cov) * len(cov) * 2.0**-52).sum()))
+    assert len(got) == k * len(kept) and {r.n for r in got} == {n} and len({r.identity_error for r in got}) == 1
+    assert all(r.identity_error <= 1e-9 for r in got)
+    table = {}
+    for r in got:
+        table.setdefault((r.vec_id, r.deviation), {}).setdefault(r.component, []).append(r.whitened)
+        assert abs(r.explained / (values[r.component - 1] / np.trace(cov)) - 1) < 1e-9
+    assert set(table) == {(key, d if d < 1 << 63 else None) for key, d, _ in kept}
+    for c in range(k):
+        want = {}
+        for key, d, a in kept:
+            want.setdefault((key, d if d < 1 << 63 else None), []).append(float(np.array(a) @ vectors[:, c] / math.sqrt(values[c])))
+        off = [max(abs(x - y) for key in want for x, y in zip(sorted(sign * z for z in table[key][c + 1]), sorted(want[key]), strict=True)) for sign in (1, -1)]
+        assert min(off) < 1e-6
+
+
+def test_whitening_equals_fractions(spark):
+    frame = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in frame.collect()]
+    assert_whitened(whitening.whitened(frame).collect(), rows)
+
+
+EMBEDDED = "vec_id long, embedding array<double>, vector string, n string, i long, component string"
+
+
+def test_odd_vectors(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in r.normal(size=5) * [1, 2, 3, 1000, 1e-1]]) for i in range(60)]
+    rows += [(None, rows[0][1]), (3, rows[3][1]), (3, rows[3][1]), (70, [0.0, -0.0, 1e-300, -1e-300, 5.0])]
+    bad = [(80, None), (81, [1.0, None, 2.0, 3.0, 4.0]), (82, [1.0, float("nan"), 2.0, 3.0, 4.0]), (83, [1.0, float("inf"), 2.0, 3.0, 4.0]), (84, []), (85, [1.0, 2.0])]
+    frame = spark.createDataFrame([(*x, "a", "b", 1, "c") for x in [*rows, *bad]], EMBEDDED).repartition(3)
+    assert_whitened(whitening.whitened(frame).collect(), rows)
+
+
+def test_long_integers_are_exact(spark):
+    """Values beyond one limb, and deviations beyond 64 bits."""
+    r = np.random.default_rng(4)
+    rows = [(i, [float(x) * 1e13, float(y)]) for i, (x, y) in enumerate(r.normal(size=(40, 2)))]
+    v = np.array([[math.floor(64 * c) for c in x] for _, x in rows], object)
+    n, sums, scatter = whitening.exact_scatter(spark.createDataFrame([(x,) for _, x in rows], "vector array<double>").repartition(4), 2)
+    assert (n, sums) == (40, list(v.sum(0))) and scatter == (40 * v.T.dot(v) - np.outer(v.sum(0), v.sum(0))).tolist()
+    got = whitening.whitened(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("component = 1").collect()
+    want = {i: int(((40 * v[i] - v.sum(0)) ** 2).sum()) for i in range(40)}
+    assert {x.vec_id: x.deviation for x in got} == {i: d if d < 1 << 63 else None for i, d in want.items()}
+
+
+def test_vectors_without_components(spark):
+    empty = spark.createDataFrame([], EMBEDDED)
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(5)], "vec_id long, embedding array<double>")
+    assert whitening.whitened(empty).collect() == whitening.whitened(same).collect() == []
