@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_dedup, chat, conversation_repair, licenses, line_dedup, quality, suffix_dedup, warc, whitening
+from . import block_dedup, chat, conversation_repair, licenses, line_dedup, quality, suffix_dedup, token_files, warc, whitening
 from .decontaminate import contaminations
 from .licenses import license_scan
 from .near_dedup import near_duplicate_classes
@@ -66,6 +66,10 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_digests(_table(spark, sf_dir, "documents"))
+
+
 def license_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of op1: its base columns."""
     return op1_license_scan(spark, sf_dir).drop("labels", "score")
@@ -95,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_substring_dedup": op10_substring_dedup,
         "op11_conversation_repair": op11_conversation_repair,
         "op12_embedding_whitening": op12_embedding_whitening,
+        "op13_token_files": op13_token_files,
         "license_base_places": license_base_places,
         "quality_base_measures": quality_base_measures,
         "whitening_base_deviations": whitening_base_deviations,

@@ -8,10 +8,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lakeloom.llm import conversation_repair as repair
-from lakeloom.llm import whitening
+from lakeloom.llm import queries as llm_queries
+from lakeloom.llm import token_files, whitening
 
 DATA = "/root/testdata/sf0.001"
 TALK = "conv_id long, turn long, role string, text string, rows string, part string, moves long"
@@ -221,3 +223,92 @@ def test_vectors_without_components(spark):
     empty = spark.createDataFrame([], EMBEDDED)
     same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(5)], "vec_id long, embedding array<double>")
     assert whitening.whitened(empty).collect() == whitening.whitened(same).collect() == []
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(token_files.default_vocabulary())
+
+
+def brute_tokens(rows, tokenizer):
+    """(doc_id, n_tokens, crc) of each row, by doc_id."""
+    out = []
+    for key, text in rows:
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+        out.append((key, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    return sorted(out, key=lambda x: (x[0] is not None, x[0] or 0))
+
+
+def assert_tokens(got, rows, tokenizer):
+    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in got)
+    want = brute_tokens(rows, tokenizer)
+    assert [r[1] for r in got] == [r[0] for r in want]
+    assert sorted(r[1:] for r in got if r[1] is not None) == sorted(r for r in want if r[0] is not None)
+    assert sorted(r[2:] for r in got if r[1] is None) == sorted(r[1:] for r in want if r[0] is None)
+    assert [r[0] for r in got] == [sum(x[2] for x in got[:i]) for i in range(len(got))]
+
+
+ODD_TEXTS = [
+    None, "", " ", "  ", "\n", " lead", "trail ", "two  blanks", "a \n b\n c \t d", "x\u00a0 y \u3000z", "it's we'll 's 't", "12 345six 7", "<|endoftext|> in <|endoftext|>text", "a\x1c b \x1d\x1ec",
+    "中文 测试。 日本語", "é ß ñ 🙂 👍🏽", "word " * 3000, "y" * 40_000, "tab\tsep\r\nline \r\n end", "!!!??? ...\u2028 z", "\u017f \u01c5 \u0250 \u02b0 a\u02b0 \u0345", "a. b, (c) d;e", "0", "!",
+]
+
+
+def test_words_are_tokenised_as_in_their_text(tokenizer):
+    r, code = random.Random(2), token_files.Coder(token_files.default_vocabulary())
+    parts = ["a", "Word", " ", "  ", "\n", "'s", ".", "é", " ", "7", "\t", "中", "!?", " ", "<|", "\x1f", "ß"]
+    texts = [x or "" for x in ODD_TEXTS] + ["".join(r.choice(parts) for _ in range(r.randrange(1, 30))) for _ in range(3000)]
+    for _ in range(2):  # the second time from the caches
+        assert [np.frombuffer(x, code.kind).tolist() for x in code.encode(texts)] == [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_odd_token_documents(spark, tokenizer):
+    rows = [(i, x) for i, x in enumerate(ODD_TEXTS)] + [(3, "again"), (3, "again"), (3, None), (None, "null"), (None, None), (None, "null"), (-5, "less"), (1 << 60, "more")]
+    frame = spark.createDataFrame([(*r, "a", 1, "b", "c") for r in rows], "doc_id long, text string, hash string, n_tokens long, file string, tie string").repartition(3)
+    assert_tokens(token_files.token_digests(frame).collect(), rows, tokenizer)
+    assert token_files.token_digests(frame.limit(0)).collect() == []
+
+
+def test_token_documents_equal_brute_force(spark, tokenizer):
+    frame = spark.read.parquet(f"{DATA}/documents.parquet")
+    assert_tokens(token_files.token_digests(frame).collect(), [tuple(r) for r in frame.select("doc_id", "text").collect()], tokenizer)
+
+
+def test_sequences_are_read_at_their_place(spark, tokenizer, tmp_path):
+    """Any sequence equals the same slice of all ids, and is a view of the mapped file."""
+    frame = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 40")
+    manifest = token_files.write_token_files(frame, f"file://{tmp_path}/files", token_files.default_vocabulary(), length=64, rows=4)
+    docs = dict(frame.select("doc_id", "text").collect())
+    total, first = [x for k in sorted(docs) for x in [*tokenizer.encode(docs[k] or "", add_special_tokens=False).ids, 0]], 0
+    files = sorted(manifest.collect())
+    for row in files:
+        file = token_files.TokenFile(f"{row.path}.arrow")
+        want = total[first : first + row.n_ids]
+        assert row.sequences == -(-row.n_ids // 64)
+        for k in random.Random(1).sample(range(row.sequences), row.sequences):
+            ids, mask = file.sequence(k)
+            real = min(64, row.n_ids - 64 * k)
+            assert ids[:real].tolist() == want[64 * k : 64 * k + real] and mask.tolist() == [True] * real + [False] * (64 - real) and not ids[real:].any()
+            mapped = pa.memory_map(row.path.removeprefix("file://") + ".arrow").size()
+            assert not ids.flags.owndata and ids.nbytes < mapped
+        with pa.memory_map(row.path.removeprefix("file://") + ".arrow") as source:
+            assert sum(len(b) for b in pa.ipc.open_stream(source)) == row.sequences
+        first += row.n_ids
+    assert first == len(total)
+    asked = spark.createDataFrame([(files[-1].file, 0), (files[0].file, files[0].sequences - 1)], "file long, sequence long")
+    got = {(r.file, r.sequence): r.ids for r in token_files.read_sequences(manifest, asked).collect()}
+    assert len(got) == len({(r.file, r.sequence) for r in asked.collect()}) and got[files[-1].file, 0][:5] == total[first - files[-1].n_ids :][:5]
+
+
+@pytest.mark.parametrize("name", sorted(x for x in llm_queries.oracle_sql() if x[:4] in ("op11", "op12", "whit")))
+def test_matches_sql(spark, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("conversations", "embeddings"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    got, want = llm_queries.queries()[name](spark, DATA), c.sql(llm_queries.oracle_sql()[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
