@@ -28,7 +28,7 @@ WINDOW, GRAM = 35, 8
 _SPACE = bytes(32 if x in (9, 10, 11, 12, 13, 32) else x for x in range(256))
 
 
-def block_hits(sums, first, weight, starts, row, data, width: int) -> np.ndarray:
+def block_hits(sums, first, weight, starts, row, data, opens, closes, width: int) -> np.ndarray:
     """Mask of starts whose `width` words occur at another start too."""
     if not len(starts):
         return np.zeros(0, bool)
@@ -48,13 +48,9 @@ def block_hits(sums, first, weight, starts, row, data, width: int) -> np.ndarray
     count = np.concatenate(([0], np.cumsum(anchored)))
     rest = np.flatnonzero(count[starts + width - size + 1] > count[starts])
     out = np.zeros(len(starts), bool)
-    whole = K.rolling(sums, width)[starts[rest]]
-    words = K.span_hash(sums, np.arange(len(sums) - 1), np.arange(1, len(sums)))
-    leader = R.equal_first(whole)
-    equal = R.same_spans(words, starts[rest], starts[rest[leader]], width)
-    again = equal & (leader != np.arange(len(rest)))
-    times = np.bincount(leader[again], minlength=len(rest))
-    out[rest[again | (times > 0) | (weight[row[rest]] > 1)]] = True
+    words = K.exact_ids(data, opens, closes)
+    whole, at = K.rolling(sums, width)[starts[rest]], starts[rest]
+    out[rest] = R.repeats_of(whole, weight[row[rest]], lambda some, firsts: R.same_spans(words, at[some], at[firsts], width))
     return out
 
 

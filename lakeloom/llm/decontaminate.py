@@ -84,7 +84,7 @@ def _candidates(text: np.ndarray, item: np.ndarray, free_a: np.ndarray, free_b:
         starts = np.flatnonzero(K.sliding_min(free.astype(np.int8), length)) if len(x) >= length else np.zeros(0, np.int64)
         h = K.rolling(K.prefix(x), length)
         follows = np.concatenate(([False], np.diff(starts) == 1)) if len(starts) else np.zeros(0, bool)
-        sides.append((starts, h[starts], np.where(follows, h[np.maximum(starts - 1, 0)], 0) if len(starts) else h[:0], follows))
+        sides.append((starts, h[starts], x[np.maximum(starts - 1, 0)] if len(starts) else h[:0], follows))  # with the word before
     (at_a, ha, before_a, follows_a), (at_b, hb, before_b, follows_b) = sides
     places: dict[int, dict[int, list[int]]] = {}
     for h, j, before, follows in zip(hb.tolist(), at_b.tolist(), before_b.tolist(), follows_b.tolist(), strict=True):
@@ -97,6 +97,8 @@ def _candidates(text: np.ndarray, item: np.ndarray, free_a: np.ndarray, free_b:
                 continue
             for j in js:
                 k = length
+                if not np.array_equal(text[i : i + k], item[j : j + k]):  # equal hashes of unequal words
+                    continue
                 while i + k < len(text) and j + k < len(item) and free_a[i + k] and free_b[j + k] and text[i + k] == item[j + k]:
                     k += 1
                 out.append((-k, i, j))

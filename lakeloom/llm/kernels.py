@@ -2,12 +2,16 @@
 
 Everything here works on one flat ``uint8`` buffer that holds many texts plus an offsets array,
 so that NumPy's per-call cost is paid once for about a megabyte of text and not once a document.
-Hashes are polynomials modulo 2**64 with an odd base (so every prefix difference can be divided
-back to position 0) followed by a 64-bit finaliser.
+Rolling hashes are polynomials modulo 2**64 with an odd base (so every prefix difference can be divided
+back to position 0) followed by a 64-bit finaliser. Such sums have equal values for some pairs of
+long unequal sequences (Thue-Morse words), so they only ever find candidates; words and lines are named by
+digests(), which mixes eight bytes at a time, and what windows have in common is compared value by value.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -109,8 +113,55 @@ def words(data: np.ndarray, offsets: np.ndarray, white: np.ndarray = _WHITE):
     return start, end, np.searchsorted(start, offsets)
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number (zeros after the end)."""
+    out = np.zeros(len(data) + 8, U64)
+    for i in range(min(8, len(data))):
+        out[: len(data) - i] |= data[i:].astype(U64) << U64(8 * i)
+    return out
+
+
+#: Longer spans are digested one by one.
+_BLOCKS = 32
+
+
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit name of each span of bytes, mixed eight bytes at a time (a chain, no sum); other seeds give independent names."""
+    length = end - start
+    out = mix(length.astype(U64) * U64(BASE) + U64(seed))
+    blocks, odd = eights(data), U64(0xD6E8FEB86659FD93)
+    at, open_spans = start, np.flatnonzero((length > 0) & (length <= 8 * _BLOCKS))
+    for done in range(0, 8 * _BLOCKS, 8):
+        if not len(open_spans):
+            break
+        left = length[open_spans] - done
+        cut = np.where(left < 8, (U64(1) << (U64(8) * np.clip(left, 0, 7).astype(U64))) - U64(1), ~U64(0))
+        block = blocks[at[open_spans] + done] & cut
+        out[open_spans] = mix((out[open_spans] ^ mix(block + U64(seed))) * odd)
+        open_spans = open_spans[left > 8]
+    key = seed.to_bytes(8, "little")
+    for i in np.flatnonzero(length > 8 * _BLOCKS):
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8, key=key).digest(), "little")
+    return out
+
+
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return span_hash(prefix(data), start, end)
+    return digests(data, start, end)
+
+
+def exact_ids(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number for each span, equal where the bytes are: equal digests count after a look at the bytes."""
+    _, first, ids = np.unique(digests(data, start, end), return_index=True, return_inverse=True)
+    length, lead = end - start, first[ids]
+    same = length == length[lead]
+    rows = np.flatnonzero(same & (length > 0))
+    sizes = length[rows]
+    differ = data[ranges(start[rows], sizes)] != data[ranges(start[lead[rows]], sizes)]
+    if len(rows):
+        same[rows] = np.add.reduceat(differ, np.cumsum(sizes) - sizes) == 0
+    for k in np.flatnonzero(~same):  # digests that collide: named by their bytes
+        ids[k] = len(first) + int.from_bytes(hashlib.blake2b(data[start[k] : end[k]], digest_size=7).digest(), "little")
+    return ids
 
 
 def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:

@@ -18,7 +18,7 @@ them: every repeated run stands somewhere whole.
 With `alone`, a single line of at least so many words is a run too: intervals of depth one whose line has
 as many words are added, by the same rule. The pipeline, op4_line_dedup and its SQL do so with ALONE_WORDS.
 
-Lines are told apart by 128 bits of hash, longer prefixes by places, which do not collide.
+Lines are told apart by 128 bits of two independent digests, longer prefixes by places, which do not collide.
 
 Defined results: a null text is an empty one and stays null; lines are split at \n only and blank
 lines are lines; a null id orders first; rows alike in id and text are one document (both get its
@@ -66,7 +66,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start, end, first = line_spans(part, own)
             begins = K.words(part, own)[0]
             doc = np.repeat(np.arange(j - i), np.diff(first))
-            hashes = [K.span_hash(K.prefix(x), start, end).view(np.int64) for x in (part, K.mix(part.astype(np.uint64)))]
+            hashes = [K.digests(part, start, end, seed).view(np.int64) for seed in (1, 2)]
             words = np.searchsorted(begins, end) - np.searchsorted(begins, start)
             columns = [rid[i:j][doc], did[i:j][doc], (np.arange(len(doc)) - first[doc]).astype(np.int32), words.astype(np.int32), *hashes]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["rid", "did", "pos", "words", "h1", "h2"])

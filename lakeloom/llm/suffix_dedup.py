@@ -25,7 +25,7 @@ from . import repeats as R
 WINDOW, GRAM = 200, 24
 
 
-def refine(sums, first, weight, starts, row, data, width: int) -> np.ndarray:
+def refine(sums, first, weight, starts, row, data, opens, closes, width: int) -> np.ndarray:
     """Mask of starts whose `width` values occur at another start too."""
     if not len(starts):
         return np.zeros(0, bool)
@@ -43,17 +43,18 @@ def refine(sums, first, weight, starts, row, data, width: int) -> np.ndarray:
         depth += jump
     out = np.zeros(len(starts), bool)
     if len(alive):
-        text, at = R.eights(data), starts[alive]
-        leader = R.equal_first(bucket[at])
-        steps = [*range(0, width - 7, 8), max(0, width - 8)]
-        equal = np.ones(len(alive), bool)
-        for i in steps if width >= 8 else ():
-            equal &= text[at + i] == text[at[leader] + i]
-        if width < 8:
-            equal = R.same_spans(data, at, at[leader], width)
-        again = equal & (leader != np.arange(len(alive)))
-        times = np.bincount(leader[again], minlength=len(alive))
-        out[alive[again | (times > 0) | (weight[row[alive]] > 1)]] = True
+        text, at = K.eights(data), starts[alive]
+        steps = [*range(0, width - 7, 8), max(0, width - 8)] if width >= 8 else []
+
+        def equal(some: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+            if not steps:
+                return R.same_spans(data, at[some], at[firsts], width)
+            same = np.ones(len(some), bool)
+            for i in steps:
+                same &= text[at[some] + i] == text[at[firsts] + i]
+            return same
+
+        out[alive] = R.repeats_of(bucket[at], weight[row[alive]], equal)
     return out
 
 

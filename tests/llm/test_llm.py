@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -649,3 +650,57 @@ def test_pipeline(spark):
     assert not decontaminate.contaminations(docs, spark.read.parquet(f"{DATA}/benchmark.parquet")).count()
     packed = P.run(spark, DATA)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.collect()}
+
+
+def thue_morse(a, b, rounds=10):
+    """Two different sequences with equal polynomial hashes modulo 2**64, whatever the odd base."""
+    x, y = [a], [b]
+    for _ in range(rounds):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_unequal_sequences_with_equal_sums_stay_apart(spark):
+    """A Thue-Morse word and its complement are different lines, words, windows and texts."""
+    x, y = ("".join(v) for v in thue_morse("a", "b"))
+    data = np.frombuffer((x + y).encode(), np.uint8)
+    at = np.array([0, 1024]), np.array([1024, 2048])
+    assert len(set(kernels.span_hash(kernels.prefix(data), *at).tolist())) == 1 and len(set(kernels.digests(data, *at).tolist())) == 2
+    tail = " ".join(f"w{i}" for i in range(34))
+    docs = spark.createDataFrame([(1, f"{x} {tail}"), (2, f"{y} {tail}")], "doc_id long, text string")
+    assert {r.n_removed for r in block_dedup(docs).collect()} == {0}
+    alone = spark.createDataFrame([(1, x), (2, y)], "doc_id long, text string")
+    assert {r.n_removed for r in line_dedup.line_digests(alone, alone=1).collect()} == {0}
+    assert len({r.class_id for r in near_dedup.near_duplicate_classes(alone).collect()}) == 2
+    words = [" ".join(v) for v in thue_morse("alpha", "beta")]
+    benchmark = spark.createDataFrame([(7, words[1])], "item_id long, text string")
+    wide = spark.createDataFrame([(1, words[0]), (2, words[1])], "doc_id long, text string")
+    tiled = decontaminate.tiles(*(decontaminate.word_ids(pa.array([w]))[0] for w in words))
+    a, b = (w.split() for w in words)
+    assert all(a[i : i + k] == b[j : j + k] for i, j, k in tiled)
+    assert 2 in {r.doc_id for r in decontaminate.contaminations(wide, benchmark).collect()}
+    both = block_dedup(spark.createDataFrame([(1, words[0]), (2, words[1])], "doc_id long, text string")).collect()
+    windows = Counter(tuple(v[i : i + 35]) for v in (a, b) for i in range(len(v) - 34))
+    for r in both:
+        v = (a, b)[r.doc_id - 1]
+        gone = {i + k for i in range(len(v) - 34) if windows[tuple(v[i : i + 35])] > 1 for k in range(35)}
+        assert r.n_removed == len(gone)
+
+
+def test_many_equal_rows_cost_one(spark):
+    """Ten thousand rows alike in id and text are folded, and each gets its result."""
+    text = sentence(8, 300)
+    rows = spark.range(10_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text")).repartition(4)
+    for got, n in ((block_dedup(rows), len(text.split())), (suffix_dedup(rows), len(text))):
+        assert {(r.doc_id, r.n_removed, r["count"]) for r in got.groupBy("doc_id", "n_removed").count().collect()} == {(None, n, 10_000)}
+
+
+def test_colliding_ids_are_told_apart():
+    from lakeloom.llm.repeats import repeats_of
+
+    values, ids, weight = np.array([1, 2, 2, 3, 1, 4]), np.zeros(6, np.int64), np.array([1, 1, 1, 1, 1, 2])
+    assert repeats_of(ids, weight, lambda some, firsts: values[some] == values[firsts]).tolist() == [True, True, True, False, True, True]
+    data = np.frombuffer(b"aa b aa ccccccccccc b", np.uint8)
+    start, end, _ = kernels.words(data, np.array([0, len(data)]))
+    a, b, c, d, e = kernels.exact_ids(data, start, end).tolist()
+    assert a == c and b == e and len({a, b, d}) == 3
