@@ -259,8 +259,9 @@ ODD_TEXTS = [
 def test_words_are_tokenised_as_in_their_text(tokenizer):
     r, code = random.Random(2), token_files.Coder(token_files.default_vocabulary())
     parts = ["a", "Word", " ", "  ", "\n", "'s", ".", "é", " ", "7", "\t", "中", "!?", " ", "<|", "\x1f", "ß"]
-    texts = [x or "" for x in ODD_TEXTS] + ["".join(r.choice(parts) for _ in range(r.randrange(1, 30))) for _ in range(3000)]
-    for _ in range(2):  # the second time from the caches
+    texts = [x or "" for x in ODD_TEXTS] + ["".join(r.choice(some) for _ in range(r.randrange(1, 30))) for some in (parts, [x for x in parts if token_files.ALIKE.fullmatch(x)]) for _ in range(2000)]
+    assert code.plain is not None and sum(token_files.ALIKE.fullmatch(x) is not None for x in texts) > 500
+    for _ in range(2):
         assert [np.frombuffer(x, code.kind).tolist() for x in code.encode(texts)] == [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
 
 
