@@ -13,8 +13,8 @@ else. The frame finds candidates without sending every window over the network:
    hashes is compared with the group's first copy, value by value, before it counts.
 4. marks return to the documents by row key, where the text is cut.
 
-Rows alike in id and text are folded to one with a number of copies before all this, so repeated rows cost
-one; the result is given back as many times.
+The text is shuffled once, by row key; both later reads use the same exchange. Rows alike in id and text share
+their key: what one of them marks all marked, so marks and spans are sets, and n such rows cost n times one.
 """
 
 from __future__ import annotations
@@ -79,23 +79,21 @@ def word_units(data: np.ndarray, offsets: np.ndarray):
     return K.prefix(K.word_hashes(data, start, end)), first, start, end
 
 
-def _folded(docs: DataFrame) -> DataFrame:
-    """One row for rows alike in id and text, with their number: what one of them loses all lose."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    folded = rows.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copies"))
-    return folded.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("did"), "text", F.xxhash64("doc_id", "text").alias("rid"), "copies")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """rid is equal only for rows that are alike in id and text, whose results are alike too."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
 
 
 def _anchors(units: Unit, width: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = K.flat(batch.column("text"))
-            rid, copies = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("rid", "copies"))
+            rid = batch.column("rid").to_numpy(zero_copy_only=False)
             for i, j in K.chunks(offsets):
                 o = offsets[i : j + 1] - offsets[i]
                 sums, first, _, _ = units(data[offsets[i] : offsets[j]], o)
                 doc, pos, _, _, h = K.minimizer_runs(sums, first, width, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(rid[i:j][doc]), pa.array((pos - first[doc]).astype(np.int32)), pa.array(copies[i:j][doc])], ["h", "rid", "pos", "copies"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(rid[i:j][doc]), pa.array((pos - first[doc]).astype(np.int32))], ["h", "rid", "pos"])
 
     return run
 
@@ -107,7 +105,7 @@ def _contexts(units: Unit, width: int, gram: int):
         for batch in batches:
             data, offsets = K.flat(batch.column("text"))
             rid = batch.column("rid").to_numpy(zero_copy_only=False)
-            did, copies = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("did", "copies"))
+            did = batch.column("did").to_numpy(zero_copy_only=False)
             marks = batch.column("marks")
             at = np.asarray(marks.offsets).astype(np.int64)
             flat_marks = np.asarray(marks.values)
@@ -120,11 +118,11 @@ def _contexts(units: Unit, width: int, gram: int):
                 wanted = (np.repeat(np.arange(j - i), np.diff(at[i : j + 1])) << 32) | flat_marks[at[i] : at[j]]
                 keep = np.isin((doc << 32) | (pos - first[doc]), wanted)
                 doc, a, b, h = doc[keep], a[keep], b[keep], h[keep]
-                parts.append((h, rid[i:j][doc], did[i:j][doc], copies[i:j][doc], (a - first[doc]).astype(np.int32), (b - first[doc]).astype(np.int32), offsets[i] + begin[a], offsets[i] + end[b + width - 1]))
+                parts.append((h, rid[i:j][doc], did[i:j][doc], (a - first[doc]).astype(np.int32), (b - first[doc]).astype(np.int32), offsets[i] + begin[a], offsets[i] + end[b + width - 1]))
                 seen.append(K.mix(K.span_hash(sums, a, b + width) ^ K.mix(h)))
             if not parts or not sum(map(len, seen)):
                 continue
-            h, r, d, n, s, e, begin, end = (np.concatenate(x) for x in zip(*parts, strict=True))
+            h, r, d, s, e, begin, end = (np.concatenate(x) for x in zip(*parts, strict=True))
             first = equal_first(np.concatenate(seen))
             # equal hashes count after a look at the bytes
             copy = np.flatnonzero((first != np.arange(len(h))) & (end - begin == (end - begin)[first]))
@@ -133,7 +131,7 @@ def _contexts(units: Unit, width: int, gram: int):
             copy = copy[np.add.reduceat(differ, np.cumsum(length) - length) == 0] if len(copy) else copy
             first_of = np.ones(len(h), bool)
             first_of[copy] = False
-            twice = ~first_of | (n > 1)
+            twice = ~first_of
             twice[first[copy]] = True
             t = np.flatnonzero(twice)  # settled here; any key that spreads them will do
             yield pa.RecordBatch.from_arrays([pa.array(r[t]), pa.array(r[t]), pa.array(d[t]), pa.array(s[t]), pa.array(e[t]), pa.array(np.full(len(t), 2, np.int32)), pa.nulls(len(t), pa.binary())], names)
@@ -201,24 +199,25 @@ def cover(n: int, spans: list, width: int) -> np.ndarray:
 
 
 def repeat_spans(docs: DataFrame, units: Unit, solver: Callable, width: int, gram: int) -> DataFrame:
-    """Rows (doc_id, did, text, rid, copies, spans): spans has the first and last start of repeated windows, by id.
+    """Rows (doc_id, text, rid, did, spans): spans has the first and last start of repeated windows, by id.
 
-    A document without any has spans null. Null texts count as empty, null ids are ids like others, rows
-    alike in id and text are one row with their number in copies, and other columns of docs are ignored.
+    A document without any has spans null. Null texts count as empty, null ids are ids like others,
+    repeated rows are copies of one another, and other columns of docs are ignored.
     """
-    dealt = _folded(docs)
-    anchors = dealt.select("rid", "text", "copies").mapInArrow(_anchors(units, width, gram), "h long, rid long, pos int, copies long")
-    common = written(anchors.groupBy("h").agg(F.sum("copies").alias("n")).where("n > 1").select("h"))  # on its own, so that the join of a hot gram can be split
-    marks = anchors.join(common, "h").groupBy("rid").agg(F.collect_set("pos").alias("marks"))
-    contexts = dealt.join(marks, "rid").select("doc_id", "did", "text", "rid", "copies", "marks")
+    keyed = _keyed(docs)
+    anchors = keyed.select("rid", "text").mapInArrow(_anchors(units, width, gram), "h long, rid long, pos int")
+    common = written(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))  # on its own, so that the join of a hot gram can be split
+    marks = anchors.join(common, "h").groupBy("rid").agg(F.collect_set("pos").alias("marks"))  # sets: rows alike in id and text have the same marks and spans, once
+    dealt = keyed.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("did"), "text", "rid").repartition("rid")
+    contexts = dealt.join(marks, "rid").select("doc_id", "did", "text", "rid", "marks")  # all columns: the exchange is reused
     contexts = contexts.mapInArrow(_contexts(units, width, gram), "h long, rid long, did long, s int, e int, w int, ctx binary")
     spans = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_solved(solver, units, width), "rid long, did long, s int, e int")
-    grouped = spans.groupBy("rid").agg(F.collect_list(F.struct("did", "s", "e")).alias("spans"))
+    grouped = spans.groupBy("rid").agg(F.collect_set(F.struct("did", "s", "e")).alias("spans"))
     return dealt.join(grouped, "rid", "left")
 
 
 def digests(frame: DataFrame, cut: Callable, schema: str) -> DataFrame:
-    """cut(text bytes, spans) gives the values after doc_id of the schema; a row for each of a row's copies."""
+    """cut(text bytes, spans) gives the values after doc_id of the schema."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,18 +225,10 @@ def digests(frame: DataFrame, cut: Callable, schema: str) -> DataFrame:
             raw, spans = memoryview(data), batch.column("spans").to_pylist()
             dids = batch.column("did").to_pylist()
             rows = [cut(bytes(raw[offsets[i] : offsets[i + 1]]), [(x["s"], x["e"]) for x in spans[i] or () if x["did"] == dids[i]]) for i in range(len(dids))]
-            if not rows:
-                continue
-            out = pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, zip(*rows, strict=True))], names)
-            left = batch.column("copies").to_numpy(zero_copy_only=False)
-            while len(out):  # at most as many rows at a time as there came, and a thousand more
-                take = np.minimum(left, 1 + 1000 // len(out))
-                yield out.take(pa.array(np.repeat(np.arange(len(out)), take)))
-                more = np.flatnonzero(left > take)
-                out, left = out.take(pa.array(more)), (left - take)[more]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, zip(*rows, strict=True))], names) if rows else pa.RecordBatch.from_pylist([])
 
     names = [x.split()[0] for x in schema.split(", ")]
-    return frame.select("doc_id", "did", "text", "spans", "copies").mapInArrow(run, schema)
+    return frame.select("doc_id", "did", "text", "spans").mapInArrow(lambda it: (b for b in run(it) if len(b)), schema)
 
 
 def sha256(x: bytes) -> str:
