@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -46,8 +46,8 @@ def claims(answers: DataFrame) -> DataFrame:
     return kept.select("answer_id", (F.row_number().over(Window.partitionBy("answer_id").orderBy("pos"))).cast("long").alias("claim_no"), "claim", "citations")
 
 
-def _guarded(judge: Callable) -> Callable:
-    """judge over Series, giving verdict and reason; results that make no sense and errors fail closed, without the error's text, which may hold secrets."""
+def _fail_closed(judge: Callable, claim: pd.Series, evidence: pd.Series) -> list[tuple[str, str]]:
+    """Verdict and reason of each claim from one call; results that make no sense and errors fail closed, without the error's text, which may hold secrets."""
 
     def one(x) -> tuple[str, str]:
         if isinstance(x, str):
@@ -59,22 +59,46 @@ def _guarded(judge: Callable) -> Callable:
         said = said.strip().casefold()
         return (said, why) if said in VERDICTS else ("insufficient", "invalid_judge_verdict")
 
-    def run(claim: pd.Series, evidence: pd.Series) -> pd.DataFrame:
-        try:
-            got = list(judge(claim, evidence))
-            rows = [one(x) for x in got] if len(got) == len(claim) else [("insufficient", "invalid_judge_result")] * len(claim)
-        except Exception:
-            rows = [("insufficient", "judge_error")] * len(claim)
-        return pd.DataFrame(rows, columns=["verdict", "reason"])
+    try:
+        got = list(judge(claim, evidence))
+        return [one(x) for x in got] if len(got) == len(claim) else [("insufficient", "invalid_judge_result")] * len(claim)
+    except Exception:
+        return [("insufficient", "judge_error")] * len(claim)
+
+
+def _guarded(judge: Callable) -> Callable:
+    """judge over Series of entries, a batch a call."""
+    return F.pandas_udf(lambda claim, evidence: pd.DataFrame(_fail_closed(judge, claim, evidence), columns=["verdict", "reason"]), "verdict string, reason string")
+
+
+def judged_answers(rows: DataFrame, judge: Callable[[pd.Series, pd.Series], object], tasks: int | None = None) -> DataFrame:
+    """(answer_id, claim_no, said): one call of the judge for each answer, with all its claims and evidence in order; rows: answer_id, claim_no, claim, evidence.
+
+    A call that fails, or doesn't give as many verdicts as there are claims, leaves this answer's claims insufficient and no other's.
+    """
+    one = F.struct("claim_no", "claim", F.coalesce("evidence", F.lit("")).alias("evidence"))
+    asked = rows.groupBy("answer_id").agg(F.array_sort(F.collect_list(one)).alias("asked"))
+    if tasks is not None:  # by a key of its own, or the engine would keep the grouping's partitions and coalesce them
+        asked = asked.withColumn("slot", F.xxhash64("answer_id")).repartition(tasks, "slot").drop("slot")
+    kind = rows.schema["answer_id"].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for answer, claims in zip(pdf.answer_id, pdf.asked, strict=True):
+                said = _fail_closed(judge, pd.Series([x["claim"] for x in claims]), pd.Series([x["evidence"] for x in claims]))
+                out += [(answer, x["claim_no"], *verdict) for x, verdict in zip(claims, said, strict=True)]
+            yield pd.DataFrame(out, columns=["answer_id", "claim_no", "verdict", "reason"])
 
-    return F.pandas_udf(run, "verdict string, reason string")
+    said = asked.mapInPandas(run, f"answer_id {kind}, claim_no long, verdict string, reason string")
+    return said.select("answer_id", "claim_no", F.struct("verdict", "reason").alias("said"))
 
 
-def verify(answers: DataFrame, contexts: DataFrame, judge: Callable[[pd.Series, pd.Series], pd.Series] | None = None) -> DataFrame:
+def verify(answers: DataFrame, contexts: DataFrame, judge: Callable[[pd.Series, pd.Series], object] | None = None, tasks: int | None = None) -> DataFrame:
     """Verdict and reason of each claim, and its citation numbers that no context has; contexts: (answer_id, number, text), checked first.
 
-    judge, if given, maps Series of claims and joined evidence to verdicts, or to mappings with verdict and reason; whatever
-    is no known verdict is insufficient.
+    judge, if given, is called once an answer with Series of its claims and their joined evidence and gives verdicts, or mappings with verdict
+    and reason, in the same order; whatever is no known verdict is insufficient. tasks: over how many the calls are spread (for a lease).
     """
     found, contexts = claims(answers), check_contexts(contexts, answers)
     cited = found.select("answer_id", "claim_no", "claim", F.explode("citations").alias("number")).join(contexts.select("answer_id", "number", "text"), ["answer_id", "number"], "left")
@@ -87,9 +111,9 @@ def verify(answers: DataFrame, contexts: DataFrame, judge: Callable[[pd.Series,
     joined = found.join(tested, ["answer_id", "claim_no"], "left").withColumn("unsupported", F.coalesce("unsupported", F.slice("citations", 1, 0)))
     if judge is None:
         said = F.struct(F.when(F.col("exact"), "support").otherwise("insufficient").alias("verdict"), F.when(F.col("exact"), "exact_text_match").otherwise("no_semantic_judge").alias("reason"))
+        joined = joined.withColumn("said", said)
     else:
-        said = _guarded(judge)("claim", F.coalesce("evidence", F.lit("")))
-    joined = joined.withColumn("said", said)
+        joined = joined.join(judged_answers(joined, judge, tasks), ["answer_id", "claim_no"])
     uncited, invalid = F.size("citations") == 0, F.size("unsupported") > 0
     return joined.select(
         "answer_id", "claim_no", "claim", "citations",

@@ -131,7 +131,7 @@ def end_to_end(spark: SparkSession, questions: list[dict], systems: Mapping[str,
             row |= {"state": "ok", "ranked": [], "refused": False, "n_claims": 0, "n_supported": 0, "n_citations": 0, "n_valid": 0, "answer": None, "seconds": None, "error": None}
             began = run.clock()
             try:
-                with run.span("question", system=system):
+                with run.stage("question", system=system):
                     ids = [str(x) for x in retrieve(q["question"])]
                     said = answer(q["question"], ids)
                     cited = [str(x) for x in said.get("citations") or []]

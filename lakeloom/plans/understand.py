@@ -1,6 +1,6 @@
 """Paper cards and related-work overviews from an injected model, kept only as far as their evidence holds.
 
-The papers of one call are a stated set: their prompts come to the driver, and the run's policy bounds the calls.
+The papers of one call are a stated set: their prompts come to the driver, and the run's grants bound the calls.
 """
 
 from __future__ import annotations
@@ -43,8 +43,8 @@ def cards(chunks: DataFrame, complete: Callable[[str], str], judge: Judge | None
         state, answer = "omitted", None
         if w.prompt is not None and not spent:
             try:
-                run.claim_call(2048)
-                with run.span("understand"):
+                run.book("understand", 1, 2048)
+                with run.stage("understand"):
                     state, answer = "ok", complete(w.prompt)
             except BudgetExceeded:
                 spent, state = True, "omitted"
@@ -80,8 +80,8 @@ def overview(contexts: DataFrame, complete: Callable[[str], str], judge: Judge |
     spark, run = contexts.sparkSession, run or Run()
     texts = contexts.select(F.col("parent_id").alias("paper_id"), "chunk_id", F.col("text").alias("source"))
     blocks = [f"[{r.number}] {r.parent_id} {r.chunk_id}\n{r.text}" for r in contexts.orderBy("number").collect()]
-    run.claim_call(4096)
-    with run.span("related"):
+    run.book("related", 1, 4096)
+    with run.stage("related"):
         answer = complete("\n\n".join(blocks))
     got = spark.createDataFrame([(answer,)], "answer string").select(T.json_object(F.col("answer"), OVERVIEW).alias("o")).select("o.*")
 

@@ -124,22 +124,23 @@ class Library:
         if pipeline == "agentic" and way != "hybrid":
             raise ValueError("the agentic pipeline needs the hybrid retriever")
         asked = translated(question, Chat(self.chat, run)) if translate and self.chat is not None else question
-        with run.span("retrieve"):
+        questions = self.spark.createDataFrame([(0, asked)], "query_id long, question string")
+        with run.stage("retrieve"):
             if pipeline == "agentic":
-                hits = S.agentic(self.spark, asked, planner, lambda q: self.rank(q, "hybrid", candidate_k, run), run, k=2 * candidate_k, key="chunk_id")
+                hits = S.agentic(questions, planner, lambda q: self.rank(q, "hybrid", candidate_k, run), run, k=2 * candidate_k, key="chunk_id")
             else:
-                hits = self.rank(self.spark.createDataFrame([(0, asked)], "query_id long, question string"), way, candidate_k, run)
+                hits = self.rank(questions, way, candidate_k, run)
         texts = self.chunks().select("chunk_id", "parent_id", "text")
         rows = hits.select("query_id", "chunk_id", "rank", "score").join(texts, "chunk_id").withColumn("question", F.lit(question))
         if rerank_k and self.scorer is not None:
-            with run.span("rerank"):
+            with run.stage("rerank"):
                 try:
                     ranked = fusion.rerank(rows.withColumnRenamed("text", "passage"), self.scorer, rerank_k, key="chunk_id")
                     again = ranked.withColumns({"rank": F.col("new_rank"), "text": F.col("passage")}).drop("new_rank", "passage")
                     again.limit(1).collect()  # a model that can't be loaded fails here
                     rows = again
                 except Exception as e:
-                    run.degrade("reranker", None, OSError(type(e).__name__) if isinstance(e, PySparkException) else e)
+                    run.give_way("reranker", OSError(type(e).__name__) if isinstance(e, PySparkException) else e)
         best = fusion.parents(rows).where(F.col("parent_rank") <= top_k).select("query_id", "parent_id", "parent_rank", "retrieval_score")
         return rows.join(best, ["query_id", "parent_id"]).select("query_id", "question", "parent_id", "parent_rank", "retrieval_score", "rank", "chunk_id", "text")
 

@@ -185,7 +185,7 @@ def _channels(s, d, k):
     docs = _titled(s, d)
     asked = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("title").alias("question"))
     vectors = _read(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    sparse = bm25.search(bm25.build(docs), asked, k)
+    sparse = bm25.search(bm25.build(docs, terms=bm25.few_terms(asked)), asked, k)
     near = dense.search(vectors, asked.join(vectors, F.col("query_id") == F.col("doc_id")).select("query_id", F.col("embedding").alias("vector")), k)
     return sparse.select("query_id", "doc_id", "rank"), near.select("query_id", "doc_id", "rank")
 

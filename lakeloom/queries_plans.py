@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import bm25, context, dense, evidence, fusion
-from .plans import artifacts, evaluate, index, metrics, telemetry
+from .plans import artifacts, evaluate, index, metrics, segments, telemetry
 from .plans import search as S
 from .queries import _BM25, _CHUNK_HITS, _FIRST, _MEANS, _MEASURES, _QRELS, _chunk_hits, _hybrid, _index_for, _items, _metric_sql, _channels, _qrels, _read, _titled, _tok, _top, _window_chunks, query
 from .sources import readers, sinks
@@ -245,6 +245,26 @@ def index_validation(s, d):
     return index.validate(s, docs, root).select("check", "ok")
 
 
+@query(f"{_BM25} SELECT query_id, k AS doc_id, rank, round(raw, 5) AS score FROM {_top('scored', 10)}")
+def block_max_search(s, d):
+    """Top ten of every benchmark item over a segmented index, reading only the blocks of postings that can matter."""
+    made = segments.Segments(s, artifacts.scratch(s))
+    made.apply(_read(s, d, "documents").select("doc_id", "text"))
+    return made.search(_items(s, d), 10)
+
+
+@query(f"{_BM25.replace('FROM documents', 'FROM (SELECT * FROM documents WHERE doc_id % 11 <> 5)')} SELECT query_id, k AS doc_id, rank, round(raw, 5) AS score FROM {_top('scored', 10)}")
+def incremental_index_search(s, d):
+    """An index that was filled with some texts cut, then mended, and from which documents were deleted, equals one of what is left."""
+    docs = _read(s, d, "documents").select("doc_id", "text")
+    made = segments.Segments(s, artifacts.scratch(s))
+    cut = F.when(F.col("doc_id") % 7 == 1, F.substring("text", 1, 50)).otherwise(F.col("text"))
+    made.apply(docs.withColumn("text", cut), 0)
+    made.apply(docs.where("doc_id % 7 = 1"), 1)
+    made.apply(docs.where("doc_id % 11 = 5").withColumn("deleted", F.lit(True)), 2)
+    return made.search(_items(s, d), 10)
+
+
 # --- fusion, contexts, evidence ---------------------------------------------------------------------------------------
 
 
@@ -254,7 +274,7 @@ def hybrid_driver(s, d):
     docs = _titled(s, d)
     vectors = _read(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     asked = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("title").alias("question")).join(vectors.select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id", "left")
-    return S.hybrid(bm25.build(docs), vectors, asked, 20).select("query_id", "doc_id", "rank", "score")
+    return S.hybrid(bm25.build(docs, terms=bm25.few_terms(asked)), vectors, asked, 20).select("query_id", "doc_id", "rank", "score")
 
 
 @query(f"""{_CHUNK_HITS} SELECT query_id, parent_id, row_number() OVER (PARTITION BY query_id ORDER BY min(rank)) AS rank FROM hits WHERE rank <= 20 GROUP BY query_id, parent_id""")

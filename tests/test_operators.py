@@ -231,16 +231,16 @@ def test_percentiles(spark):
 
 
 def test_runtime():
-    run = runtime.Run(runtime.Policy(max_calls=1, on_error="degrade"))
-    run.claim_call(10)
+    run = runtime.Run(True, calls=1)
+    run.book("plan", 1, 10)
     with pytest.raises(runtime.BudgetExceeded):
-        run.claim_call(10)
-    run.degrade("dense", "bm25_only", OSError("x"))
+        run.book("plan", 1, 10)
+    run.give_way("dense", OSError("x"))
     with pytest.raises(ValueError):
-        run.degrade("dense", "bm25_only", ValueError("stale"))
+        run.give_way("dense", ValueError("stale"))
     with pytest.raises(runtime.BudgetExceeded):
-        run.degrade("dense", "bm25_only", runtime.BudgetExceeded("x"))
-    with run.span("a"), run.span("b"):
+        run.give_way("dense", runtime.BudgetExceeded("x"))
+    with run.stage("a"), run.stage("b"):
         pass
     assert [(x["stage"], x["depth"], x["parent_stage"]) for x in run.spans] == [("b", 1, "a"), ("a", 0, None)]
 
@@ -303,6 +303,6 @@ def test_agentic(spark):
         def follow_up(self, q, asked, titles):
             raise RuntimeError("down")
 
-    run = runtime.Run(runtime.Policy(on_error="degrade"))
-    got = S.agentic(spark, "graph", Plans(), lambda q: bm25.search(postings, q), run).collect()
+    run = runtime.Run(True)
+    got = S.agentic(spark.createDataFrame([(0, "graph")], "query_id long, question string"), Plans(), lambda q: bm25.search(postings, q), run).collect()
     assert {r.doc_id for r in got} == {"a", "b"} and run.fallbacks[0]["fallback"] == "first_round_only"
