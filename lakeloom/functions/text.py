@@ -55,13 +55,33 @@ def language(question: Column) -> Column:
     return F.when(has_han(question), "Chinese").otherwise("English")
 
 
+def _foldings() -> tuple[str, str, dict[str, str]]:
+    """Characters that fold to one other character, what they fold to, and those that fold to several: Unicode's rule, as Python has it."""
+    pairs = {c: f for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x20000))) if (f := c.casefold()) != c}
+    single = {c: f for c, f in pairs.items() if len(f) == 1}
+    return "".join(single), "".join(single.values()), {c: f for c, f in pairs.items() if len(f) > 1}
+
+
+_FROM, _TO, _LONGER = _foldings()
+
+
+def casefold(text: Column) -> Column:
+    """Full case folding: sharp s is ss, ligatures come apart, every sigma is one. Plain ASCII texts take the short way."""
+    ascii_letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    folded = F.translate(text, ascii_letters + _FROM, ascii_letters.lower() + _TO)
+    several = F.create_map(*(F.lit(x) for pair in _LONGER.items() for x in pair))
+    letters = F.regexp_extract_all(folded, F.lit("(?s)."), F.lit(0))
+    apart = F.array_join(F.transform(letters, lambda c: F.coalesce(several[c], c)), "")
+    return F.when(text.rlike(r"\A\p{ASCII}*\z"), F.lower(text)).when(folded.rlike(f"[{''.join(_LONGER)}]"), apart).otherwise(folded)
+
+
 def evidence_norm(text: Column) -> Column:
-    """Words only: lower case, anything that is no word character becomes one blank."""
-    return F.trim(F.regexp_replace(F.lower(text), r"(?U)\W+", " "))
+    """Words only: case is folded, anything that is no word character becomes one blank."""
+    return F.trim(F.regexp_replace(casefold(text), r"(?U)\W+", " "))
 
 
 def quote_norm(text: Column) -> Column:
-    return collapse(F.lower(text))
+    return collapse(casefold(text))
 
 
 def contains_quote(text: Column, quote: Column) -> Column:

@@ -93,10 +93,14 @@ def section_search(docs: DataFrame, queries: DataFrame, k: int = 10, tokens=toke
 
     docs: doc_id, section, text. Scores are compared after rounding to 4 digits.
     """
-    postings = build(docs, tokens=tokens, terms=few_terms(queries, tokens))
-    raw = contributions(postings, query_terms(queries, tokens), title_weight=1.0).groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 9).alias("raw"))
+    return section_ranked(build(docs, tokens=tokens, terms=few_terms(queries, tokens)), docs.select("doc_id", "section"), queries, k, "doc_id", tokens)
+
+
+def section_ranked(postings: DataFrame, sections: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id", tokens=tokenize) -> DataFrame:
+    """(query_id, key, score, rank) from postings at hand; sections: key, section."""
+    raw = contributions(postings, query_terms(queries, tokens), key, 1.0).groupBy("query_id", key).agg(F.round(F.sum("part"), 9).alias("raw"))
     wanted = queries.select("query_id", F.array_distinct(tokens(F.col("question"))).alias("q"))
-    named = docs.select("doc_id", F.array_distinct(tokens(F.col("section"))).alias("s"))
-    boosted = raw.join(wanted, "query_id").join(named, "doc_id").select("query_id", "doc_id", F.round(F.col("raw") * (1 + 0.25 * F.size(F.array_intersect("q", "s"))), 4).alias("score")).where("score > 0")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
+    named = sections.select(key, F.array_distinct(tokens(F.col("section"))).alias("s"))
+    boosted = raw.join(wanted, "query_id").join(named, key).select("query_id", key, F.round(F.col("raw") * (1 + 0.25 * F.size(F.array_intersect("q", "s"))), 4).alias("score")).where("score > 0")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), key)
     return boosted.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)

@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 
 
 def fingerprint(frame: DataFrame) -> DataFrame:
-    """One row that doesn't depend on row order or partitions: row count, and sum and exclusive-or of the row hashes."""
-    h = F.xxhash64(*(F.col(c) for c in sorted(frame.columns)))
-    return frame.select(h.alias("h")).agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h").alias("x"), F.sum(F.pmod("h", F.lit(1 << 31))).alias("s"))
+    """One row that doesn't depend on row order or partitions: row count n, exclusive-or x of the row hashes, and the sum s, in full width as text, of independent ones."""
+    columns = [F.col(c) for c in sorted(frame.columns)]
+    hashes = frame.select(F.xxhash64(*columns).alias("h"), F.xxhash64(F.lit(1), *columns).cast("decimal(20,0)").alias("g"))
+    return hashes.agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h").alias("x"), F.coalesce(F.sum("g"), F.lit(0)).cast("decimal(38,0)").cast("string").alias("s"))
 
 
 def files(spark: SparkSession, path: str):
@@ -118,31 +119,32 @@ def load(spark: SparkSession, root: str, verify: bool = False, at: str | None =
     return frame
 
 
-def rebuild(spark: SparkSession, parts: Mapping[str, tuple[str, Callable[[], DataFrame], dict]], check: Callable[[dict[str, DataFrame]], None] | None = None) -> dict[str, str]:
-    """Builds several artifacts, name -> (root, builder, facts), checks them together, and only then makes them current: name -> version.
-
-    If a pointer can't be set, those set before are set back, so that the old versions stay current together.
-    """
-    staged = {name: (root, stage(build(), root, **facts)) for name, (root, build, facts) in parts.items()}
-    if check is not None:
-        check({name: spark.read.parquet(f"{root}/{facts['version']}") for name, (root, facts) in staged.items()})
+def point_all(spark: SparkSession, staged: Mapping[str, dict]) -> None:
+    """Makes staged versions, root -> facts, current together: if a pointer can't be set, those set before are set back."""
     before: dict[str, dict | None] = {}
     try:
-        for name, (root, facts) in staged.items():
+        for root, facts in staged.items():
             try:
-                before[name] = manifest(spark, root)[1]
+                before[root] = manifest(spark, root)[1]
             except FileNotFoundError:
-                before[name] = None
+                before[root] = None
             point(spark, root, facts)
     except Exception:
-        for name, old in before.items():
-            root = staged[name][0]
+        for root, old in before.items():
             if old is not None and manifest(spark, root)[1] != old:
                 point(spark, root, old)
             elif old is None:
                 fs, p = files(spark, f"{root}/_pointers")
                 fs.delete(p, True)
         raise
+
+
+def rebuild(spark: SparkSession, parts: Mapping[str, tuple[str, Callable[[], DataFrame], dict]], check: Callable[[dict[str, DataFrame]], None] | None = None) -> dict[str, str]:
+    """Builds several artifacts, name -> (root, builder, facts), checks them together, and only then makes them current together: name -> version."""
+    staged = {name: (root, stage(build(), root, **facts)) for name, (root, build, facts) in parts.items()}
+    if check is not None:
+        check({name: spark.read.parquet(f"{root}/{facts['version']}") for name, (root, facts) in staged.items()})
+    point_all(spark, dict(staged.values()))
     return {name: facts["version"] for name, (_, facts) in staged.items()}
 
 

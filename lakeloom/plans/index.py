@@ -32,17 +32,22 @@ def contiguous(rows: DataFrame, key: str, first: int = 0) -> bool:
     return r.n == 0 or (r.lo == first and r.hi == first + r.n - 1 and r.d == r.n)
 
 
-def build_lexical(docs: DataFrame, root: str, scope: str = "full_text_chunk", key: str = "doc_id", text: str = "text", title: str | None = None) -> DataFrame:
-    """Publishes the postings of docs and opens them."""
+def stage_lexical(docs: DataFrame, root: str, scope: str = "full_text_chunk", key: str = "doc_id", text: str = "text", title: str | None = None, tokens=bm25.tokenize) -> dict:
+    """Writes the postings of docs, which nobody reads until the facts that are returned are pointed to."""
     spark = docs.sparkSession
     columns = [text] if title is None else [text, title]
-    made = bm25.build(docs, key, F.col(text), None if title is None else F.col(title))
+    made = bm25.build(docs, key, F.col(text), None if title is None else F.col(title), tokens)
     stats = docs.agg(F.count(F.lit(1)).alias("n")).first()
     laid_out = made.repartitionByRange("term", key).sortWithinPartitions("term", key)  # a term that all documents have is several ranges
-    staged = artifacts.stage(laid_out, root, kind="lexical", format=1, scope=scope, key=key, documents=stats.n, k1=bm25.K1, b=bm25.B, **corpus_facts(docs, key, *columns))
+    staged = artifacts.stage(laid_out, root, kind="lexical", format=1, scope=scope, key=key, tokens=tokens.__name__, documents=stats.n, k1=bm25.K1, b=bm25.B, **corpus_facts(docs, key, *columns))
     average = spark.read.parquet(f"{root}/{staged['version']}").agg(F.max("avgdl")).first()[0]
-    artifacts.point(spark, root, staged | {"avg_length": average or 1.0})
-    return open_lexical(spark, root)
+    return staged | {"avg_length": average or 1.0}
+
+
+def build_lexical(docs: DataFrame, root: str, scope: str = "full_text_chunk", key: str = "doc_id", text: str = "text", title: str | None = None) -> DataFrame:
+    """Publishes the postings of docs and opens them."""
+    artifacts.point(docs.sparkSession, root, stage_lexical(docs, root, scope, key, text, title))
+    return open_lexical(docs.sparkSession, root)
 
 
 def open_lexical(spark: SparkSession, root: str, docs: DataFrame | None = None, verify: bool = False, text: str = "text", title: str | None = None, **expected) -> DataFrame:
@@ -55,8 +60,8 @@ def open_lexical(spark: SparkSession, root: str, docs: DataFrame | None = None,
     return artifacts.load(spark, root, verify, **expected)
 
 
-def build_dense(docs: DataFrame, root: str, embedder=None, model: str = "", snapshot: str = "", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Publishes one unit vector a document, each beside the hash of its text. docs has an embedding column, or embedder makes it."""
+def stage_dense(docs: DataFrame, root: str, embedder=None, model: str = "", snapshot: str = "", key: str = "doc_id", text: str = "text") -> dict:
+    """Writes one unit vector a document, each beside the hash of its text, which nobody reads yet. docs has an embedding column, or embedder makes it."""
     rows = docs if embedder is None else dense.embed(docs, embedder, text)
     made = rows.select(key, F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("text_sha256"), dense.normalise(F.col("embedding")).alias("embedding"))
     spark = docs.sparkSession
@@ -64,8 +69,13 @@ def build_dense(docs: DataFrame, root: str, embedder=None, model: str = "", snap
     sizes = spark.read.parquet(f"{root}/{staged['version']}").agg(F.min(F.size("embedding")).alias("lo"), F.max(F.size("embedding")).alias("hi"), F.count_if(F.col("embedding").isNull()).alias("none")).first()
     if sizes.none or sizes.lo != sizes.hi:
         raise ValueError("vectors are missing, not finite, zero or of several dimensions")
-    artifacts.point(spark, root, staged | {"dimension": sizes.hi})
-    return open_dense(spark, root)
+    return staged | {"dimension": sizes.hi}
+
+
+def build_dense(docs: DataFrame, root: str, embedder=None, model: str = "", snapshot: str = "", key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Publishes the vectors of docs and opens them."""
+    artifacts.point(docs.sparkSession, root, stage_dense(docs, root, embedder, model, snapshot, key, text))
+    return open_dense(docs.sparkSession, root)
 
 
 def open_dense(spark: SparkSession, root: str, docs: DataFrame | None = None, verify: bool = False, text: str = "text", **identity) -> DataFrame:
@@ -129,6 +139,11 @@ def terms_only(postings: DataFrame, terms: DataFrame) -> DataFrame:
     return postings.where(F.col("term").isin(few)) if len(few) <= PUSHED_TERMS else postings
 
 
+def section_search(postings: DataFrame, sections: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id", tokens=bm25.tokenize) -> DataFrame:
+    """bm25.section_search() over a written index; sections: key, section."""
+    return bm25.section_ranked(terms_only(postings, bm25.query_terms(queries, tokens)), sections, queries, k, key, tokens)
+
+
 def search(postings: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id", title_weight: float | Column = bm25.TITLE_WEIGHT) -> DataFrame:
     """bm25.search() over a written index."""
     return bm25.search(terms_only(postings, bm25.query_terms(queries)), queries, k, key, title_weight)

@@ -37,7 +37,7 @@ def query_metrics(queries: DataFrame, qrels: DataFrame, ranking: DataFrame, key:
         every = F.array(*(F.struct(*(F.lit(x).alias(c) for c, x in zip(more, row, strict=True))) for row in grid))
         base = base.withColumn("_grid", F.explode(every)).select("*", "_grid.*").drop("_grid")
     elif more:
-        base = base.crossJoin(F.broadcast(ranking.select(*more).distinct()))  # a table of configurations
+        base = base.crossJoin(ranking.select(*more).distinct())  # every configuration has every query
     joined = base.join(found, ["query_id", *more], "left")
     gain = F.aggregate(F.coalesce("places", F.array().cast("array<bigint>")), F.lit(0.0), lambda s, x: s + 1.0 / F.log2(x + 1.0))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n_gold"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, x: s + 1.0 / F.log2(x + 1.0))

@@ -30,18 +30,19 @@ def index_folder(spark: SparkSession, folder: str, root: str, size: int = 700, o
     staged = artifacts.stage(made, f"{root}/chunks", kind="folder")
     if not staged["n"]:
         raise ValueError(f"{folder}: no text")
-    artifacts.point(spark, f"{root}/chunks", staged)
-    chunks = artifacts.load(spark, f"{root}/chunks")
-    index.build_lexical(chunks, f"{root}/lexical", key="chunk_id")
+    chunks = spark.read.parquet(f"{root}/chunks/{staged['version']}")
+    lexical = index.stage_lexical(chunks, f"{root}/lexical", key="chunk_id", tokens=T.tokenize_mixed)
+    artifacts.point_all(spark, {f"{root}/lexical": lexical, f"{root}/chunks": staged})
     return {"chunks": staged["n"], "files": files.count(), "empty": [r.path for r in empty_files(files).collect()]}
 
 
 def search_folder(spark: SparkSession, root: str, question: str, top_k: int = 4) -> DataFrame:
-    """chunk_id, parent_id, section, text, rank, score: words of the section name raise a chunk's whole score."""
+    """chunk_id, parent_id, section, text, rank, score from the written postings: words of the section name raise a chunk's whole score."""
     chunks = artifacts.load(spark, f"{root}/chunks", kind="folder")
+    postings = index.open_lexical(spark, f"{root}/lexical", tokens=T.tokenize_mixed.__name__)
     asked = spark.createDataFrame([(0, question)], "query_id long, question string")
-    hits = bm25.section_search(chunks.select(F.col("chunk_id").alias("doc_id"), "section", "text"), asked, top_k, T.tokenize_mixed)
-    return hits.withColumnRenamed("doc_id", "chunk_id").join(chunks.select("chunk_id", "parent_id", "section", "text"), "chunk_id").orderBy("rank").drop("query_id")
+    hits = index.section_search(postings, chunks, asked, top_k, "chunk_id", T.tokenize_mixed)
+    return hits.join(chunks.select("chunk_id", "parent_id", "section", "text"), "chunk_id").orderBy("rank").drop("query_id")
 
 
 def ask_folder(spark: SparkSession, root: str, question: str, generate: Callable[[str, str], str], top_k: int = 4, judge=None) -> tuple[str, str]:
@@ -90,11 +91,10 @@ class Library:
         fixed = self.spark.read.parquet(f"{self.root}/parents/{staged['version']}")
         made = artifacts.stage(chunk.chunk(fixed, style, **options), f"{self.root}/chunks", kind="chunks", style=style, parents_x=staged["x"])
         chunks = self.spark.read.parquet(f"{self.root}/chunks/{made['version']}")
-        index.build_lexical(chunks, f"{self.root}/lexical", key="chunk_id", title="title")
+        parts = {"parents": staged, "chunks": made, "lexical": index.stage_lexical(chunks, f"{self.root}/lexical", key="chunk_id", title="title")}
         if self.embed is not None:
-            index.build_dense(chunks, f"{self.root}/dense", self.embed, key="chunk_id")
-        for name, facts in (("parents", staged), ("chunks", made)):
-            artifacts.point(self.spark, f"{self.root}/{name}", facts)
+            parts["dense"] = index.stage_dense(chunks, f"{self.root}/dense", self.embed, key="chunk_id")
+        artifacts.point_all(self.spark, {f"{self.root}/{name}": facts for name, facts in parts.items()})
 
     def chunks(self) -> DataFrame:
         return self.session.get(f"{self.root}/chunks")
@@ -137,8 +137,9 @@ class Library:
                 try:
                     ranked = fusion.rerank(rows.withColumnRenamed("text", "passage"), self.scorer, rerank_k, key="chunk_id")
                     again = ranked.withColumns({"rank": F.col("new_rank"), "text": F.col("passage")}).drop("new_rank", "passage")
-                    again.limit(1).collect()  # a model that can't be loaded fails here
-                    rows = again
+                    path = artifacts.scratch(self.spark)
+                    again.write.parquet(path)  # the model runs here, once, and fails here if it does
+                    rows = self.spark.read.schema(again.schema).parquet(path)
                 except Exception as e:
                     run.give_way("reranker", OSError(type(e).__name__) if isinstance(e, PySparkException) else e)
         best = fusion.parents(rows).where(F.col("parent_rank") <= top_k).select("query_id", "parent_id", "parent_rank", "retrieval_score")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import bm25, context, dense, evidence, fusion
-from .plans import artifacts, evaluate, index, metrics, segments, telemetry
+from .plans import artifacts, evaluate, hashtree, index, metrics, segments, telemetry
 from .plans import search as S
 from .queries import _BM25, _CHUNK_HITS, _FIRST, _MEANS, _MEASURES, _QRELS, _chunk_hits, _hybrid, _index_for, _items, _metric_sql, _channels, _qrels, _read, _titled, _tok, _top, _window_chunks, query
 from .sources import readers, sinks
@@ -265,6 +265,15 @@ def incremental_index_search(s, d):
     return made.search(_items(s, d), 10)
 
 
+@query("""SELECT doc_id, CASE WHEN doc_id % 97 = 3 THEN 'changed' WHEN doc_id % 89 = 7 THEN 'gone' ELSE 'new' END AS change FROM documents WHERE doc_id % 97 = 3 OR (doc_id % 89 = 7) <> (doc_id % 83 = 11)""")
+def changed_documents(s, d):
+    """A stored copy against the table as it is now: what differs is named by its hash tree and read from those ranges only."""
+    docs, root = _read(s, d, "documents").select("doc_id", "text", "lang"), artifacts.scratch(s)
+    hashtree.publish(docs.where("doc_id % 83 <> 11 or doc_id % 97 = 3"), root, "doc_id")
+    now = docs.where("doc_id % 89 <> 7 or doc_id % 97 = 3").withColumn("text", F.when(F.col("doc_id") % 97 == 3, F.concat("text", F.lit("."))).otherwise(F.col("text")))
+    return hashtree.changes(now, root)[0]
+
+
 # --- fusion, contexts, evidence ---------------------------------------------------------------------------------------
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lakeloom import service
 from lakeloom.functions import text as T
 from lakeloom.operators import bm25, chunk, context, dense, evidence, fusion
-from lakeloom.plans import artifacts, evaluate, index, metrics, provenance, runtime, segments, telemetry, understand, workspace
+from lakeloom.plans import artifacts, evaluate, hashtree, index, metrics, provenance, runtime, segments, telemetry, understand, workspace
 from lakeloom.plans import search as S
 from lakeloom.sources import readers, sinks
 from lakeloom.streaming import incremental
@@ -668,3 +668,50 @@ def test_blocks_that_cannot_matter_are_not_read(spark, tmp_path):
     assert size(read) <= size(blocks) / 2
     assert made._read(read, made.facts()).count() == size(read)
     assert found(made.search(queries, 5)) == found(bm25.search(bm25.build(docs), queries, 5))
+
+
+def test_one_changed_row_is_found_in_one_range(spark, tmp_path):
+    rows, root = spark.range(100_000).selectExpr("id AS k", "concat('text ', id) AS x"), f"file://{tmp_path}/ranged"
+    hashtree.publish(rows, root, "k")
+    found_, ranges = hashtree.changes(rows, root)
+    assert ranges == [] and found_.count() == 0
+    found_, ranges = hashtree.changes(rows.withColumn("x", F.when(F.col("k") == 4711, "other").otherwise(F.col("x"))), root)
+    assert [tuple(r) for r in found_.collect()] == [(4711, "changed")] and len(ranges) == 1
+    read = artifacts.load(spark, root).where(F.col("key_range").isin(ranges))
+    assert read.count() < 100 and "PushedFilters: [" in read._jdf.queryExecution().toString() and "key_range" in read._jdf.queryExecution().toString().split("PushedFilters: [")[1].split("]")[0]
+    twice = spark.createDataFrame([(1, "a"), (1, "a"), (None, "n")], "k long, x string")
+    hashtree.publish(twice, f"{root}2", "k")
+    got = {r.k: r.change for r in hashtree.changes(spark.createDataFrame([(1, "a"), (2, "b")], "k long, x string"), f"{root}2")[0].collect()}
+    assert got == {1: "changed", 2: "new", None: "gone"}
+
+
+def test_case_folding_of_every_character(spark):
+    codes = [c for c in range(1, 0x20000) if not 0xD800 <= c < 0xE000]
+    rows = spark.createDataFrame([(c, f"x{chr(c)}Y") for c in codes], "c long, x string")
+    got = {r.c: r.f for r in rows.select("c", T.casefold(F.col("x")).alias("f")).collect()}
+    assert got == {c: f"x{chr(c)}Y".casefold() for c in codes}
+    assert spark.createDataFrame([("Maße ΣΑΣ ﬁn İ",)], "x string").select(T.evidence_norm(F.col("x"))).first()[0] == "masse σασ fin i̇"
+
+
+def test_a_failing_embedder_leaves_the_old_library(spark, tmp_path):
+    root = f"file://{tmp_path}/lib"
+    parents = lambda word: spark.createDataFrame([(i, f"T{i}", f"{word} graph text {i}. " * 40) for i in range(4)], "doc_id long, title string, text string")
+    workspace.Library(spark, root, embedder).prepare(parents("old"))
+
+    def broken(texts):
+        raise OSError("no model")
+
+    with pytest.raises(Exception):
+        workspace.Library(spark, root, broken).prepare(parents("new"))
+    again = workspace.Library(spark, root, embedder)
+    assert all(r.ok for r in again.validate().collect())
+    assert again.search("old", "bm25").count() and not again.search("new", "bm25").count()
+
+
+def test_folder_search_reads_its_written_index(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.md").write_text("# Graphs\nGraph text one.\n" * 20)
+    (tmp_path / "in" / "b.md").write_text("# 图\n图神经网络 text.\n" * 20)
+    workspace.index_folder(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out")
+    monkeypatch.setattr(bm25, "build", None)  # nothing is indexed while searching
+    assert workspace.search_folder(spark, f"file://{tmp_path}/out", "graph").count() and workspace.search_folder(spark, f"file://{tmp_path}/out", "神经").count()

@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 
 from lakeloom import queries as Q
+from lakeloom import queries_plans  # noqa: F401  registers more
 
 DATA = "/root/testdata/sf0.001"
 
