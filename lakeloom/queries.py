@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import bm25, chunk, context, dense, evidence, fusion
+from .operators import bm25, cells, chunk, context, dense, evidence, fusion
 from .plans import evaluate, metrics, telemetry
 from .streaming.incremental import latency_windows
 
@@ -173,6 +173,15 @@ def dense_topk(s, d):
     return dense.search(vectors, _vec_queries(s, d)).select("query_id", "doc_id", "rank", "score")
 
 
+@query(f"""WITH {_VECTORS}, pairs AS (SELECT q.k AS query_id, x.k AS k, round(list_inner_product(x.v, q.v), 9) AS raw FROM vecs x JOIN vecs q ON q.k % 20 = 0)
+SELECT query_id, k AS doc_id, rank, round(raw, 5) AS score FROM {_top('pairs', 10)}""")
+def dense_topk_cells(s, d):
+    """The same over cells of vectors, without those that cannot reach a query's tenth."""
+    vectors = _read(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    centres = cells.centres_of(vectors)
+    return cells.Cells(cells.assigned(vectors, centres), centres).search(_vec_queries(s, d))
+
+
 @query(f"WITH {_VECTORS} SELECT count(*) AS n, min(len(v)) AS least_dim, max(len(v)) AS most_dim, count_if(abs(sqrt(list_inner_product(v, v)) - 1) > 0.001) AS off_norm FROM vecs")
 def dense_norm_check(s, d):
     v = F.col("embedding")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lakeloom import service
 from lakeloom.functions import text as T
-from lakeloom.operators import bm25, chunk, context, dense, evidence, fusion
+from lakeloom.operators import bm25, cells, chunk, context, dense, evidence, fusion
 from lakeloom.plans import artifacts, evaluate, hashtree, index, metrics, provenance, runtime, segments, telemetry, understand, workspace
 from lakeloom.plans import search as S
 from lakeloom.sources import readers, sinks
@@ -715,3 +715,20 @@ def test_folder_search_reads_its_written_index(spark, tmp_path, monkeypatch):
     workspace.index_folder(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out")
     monkeypatch.setattr(bm25, "build", None)  # nothing is indexed while searching
     assert workspace.search_folder(spark, f"file://{tmp_path}/out", "graph").count() and workspace.search_folder(spark, f"file://{tmp_path}/out", "神经").count()
+
+
+def test_cells_leave_vectors_out_and_lose_none(spark):
+    r = np.random.default_rng(2)
+    middle = r.normal(size=(20, 16))
+    v = middle[r.integers(0, 20, 3000)] + 0.15 * r.normal(size=(3000, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[7] = v[8] = v[9]
+    v[40:50] *= r.uniform(0.8, 1.1, size=(10, 1))  # bounds hold for vectors of any length
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "doc_id long, embedding array<double>").repartition(3).persist()
+    queries = rows.where("doc_id % 40 = 0 or doc_id = 8").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("vector"))
+    centres = cells.centres_of(rows, most=200)
+    made = cells.Cells(cells.assigned(rows, centres).persist(), centres)
+    for k in (1, 10, 4000):
+        assert found(made.search(queries, k)) == found(dense.search(rows, queries, k).select("query_id", "doc_id", "rank", "score"))
+        assert k > 10 or 0 < made.multiplied.value < queries.count() * 3000 / 2
+    assert made.search(queries.limit(0), 3).collect() == []
