@@ -208,6 +208,18 @@ def rebuilt_together(s, d):
     return n("labels").crossJoin(n("benchmark")).withColumn("kept_together", F.lit(kept))  # single rows
 
 
+@query(f"""WITH d AS (SELECT doc_id, {_squash("regexp_replace(string_split(coalesce(text, ''), chr(10))[1], '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g')")} AS title, {_squash("regexp_replace(coalesce(text, ''), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g')")} AS abstract, lang FROM documents)
+SELECT CAST(doc_id AS VARCHAR) AS paper_id, 'v' || (doc_id % 3 + 1) AS version, title, sha256(abstract) AS abstract_sha256, ['A ' || lang, 'B'] AS authors, 2000 + CAST(doc_id % 20 AS INTEGER) AS year FROM d WHERE title <> '' AND abstract <> ''""")
+def atom_entries(s, d):
+    """Documents as Atom files, some entries twice with a later version, read by the data source atom_feed."""
+    esc = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""), "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
+    docs, path = _read(s, d, "documents"), artifacts.scratch(s)
+    entry = lambda version, title: F.concat(F.lit("<entry><id>http://arxiv.org/abs/"), F.col("doc_id").cast("string"), F.lit("v"), version.cast("string"), F.lit("</id><title>"), title, F.lit("</title><summary>"), esc(F.col("text")), F.lit("</summary><published>"), (2000 + F.col("doc_id") % 20).cast("string"), F.lit("-01-02T00:00:00Z</published><author><name>A "), esc(F.col("lang")), F.lit("</name></author><author><name>B</name></author></entry>"))
+    one, again = entry(F.col("doc_id") % 3 + 1, esc(F.substring_index("text", "\n", 1))), entry(F.col("doc_id") % 3 + 9, F.lit("again"))
+    docs.select(F.when(F.col("doc_id") % 5 == 0, F.concat(one, again)).otherwise(one).alias("value")).write.text(path)
+    return readers.atom(s, path).select("paper_id", "version", "title", F.sha2("abstract", 256).alias("abstract_sha256"), "authors", "year")
+
+
 # --- indexes --------------------------------------------------------------------------------------------------------
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse
+from .datasource import register
 
 PAPER = "paper_id string, title string, abstract string, source_url string, evidence_scope string, published_at string, year int, doi string, primary_category string, categories array<string>, authors array<string>, pdf_url string"
 PARENT = "paper_id string, corpusid string, title string, abstract string, full_text string, full_paper string, source_url string, evidence_scope string"
@@ -91,13 +92,18 @@ def benchmark_queries(rows: DataFrame, corpus: DataFrame, prefix: str = "query")
 
 
 def atom(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of an Atom feed: id and version split, first entry of an id wins, then entries without title or abstract go."""
-    schema = "id string, title string, summary string, published string, updated string, author array<struct<name:string>>"
-    rows = spark.read.format("xml").option("rowTag", "entry").schema(schema).load(path).withColumn("pos", F.monotonically_increasing_id())
+    """Entries of Atom files: id and version split, the first entry of an id (by file, then by place in it) wins, then entries without title or abstract go."""
+    rows = register(spark).read.format("atom_feed").load(path).where("fault is null")
+    return papers_of_entries(rows)
+
+
+def papers_of_entries(rows: DataFrame) -> DataFrame:
+    """Papers from the rows of the format atom_feed."""
     full = F.regexp_extract("id", r"arxiv\.org/abs/(.+?)(?:v\d+)?$", 1)
     named = rows.withColumns({"paper_id": full, "version": F.regexp_extract("id", r"(v\d+)$", 1)}).where("paper_id <> ''")
-    first = named.withColumn("k", F.row_number().over(Window.partitionBy("paper_id").orderBy("pos"))).where("k = 1")
-    out = first.select("paper_id", "version", collapse(F.col("title")).alias("title"), collapse(F.col("summary")).alias("abstract"), F.transform("author", lambda a: collapse(a["name"])).alias("authors"), "published", F.substring("published", 1, 4).cast("int").alias("year"), F.col("id").alias("source_url"))
+    whole = F.struct(*(F.col(c) for c in named.columns))
+    first = named.groupBy("paper_id").agg(F.min_by(whole, F.struct("file", "place")).alias("e")).select("e.*")
+    out = first.select("paper_id", "version", collapse(F.col("title")).alias("title"), collapse(F.col("summary")).alias("abstract"), F.transform("author", lambda a: collapse(a)).alias("authors"), "published", F.substring("published", 1, 4).cast("int").alias("year"), F.col("id").alias("source_url"))
     return out.where("title <> '' and abstract <> ''")
 
 

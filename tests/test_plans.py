@@ -14,7 +14,7 @@ from lakeloom.functions import text as T
 from lakeloom.operators import bm25, cells, chunk, context, dense, evidence, fusion
 from lakeloom.plans import artifacts, evaluate, hashtree, index, metrics, provenance, runtime, segments, telemetry, understand, workspace
 from lakeloom.plans import search as S
-from lakeloom.sources import readers, sinks
+from lakeloom.sources import datasource, readers, sinks
 from lakeloom.streaming import incremental
 
 WORDS = "graph net vector search tree model data query index claim".split()
@@ -732,3 +732,33 @@ def test_cells_leave_vectors_out_and_lose_none(spark):
         assert found(made.search(queries, k)) == found(dense.search(rows, queries, k).select("query_id", "doc_id", "rank", "score"))
         assert k > 10 or 0 < made.multiplied.value < queries.count() * 3000 / 2
     assert made.search(queries.limit(0), 3).collect() == []
+
+
+def test_data_sources(spark, tmp_path):
+    """Order inside files, faults, several tasks, units, reports and a stream of new files."""
+    datasource.register(spark)
+    at = tmp_path / "feeds"
+    at.mkdir()
+    entry = lambda i, t: f"<entry><id>http://arxiv.org/abs/{i}v1</id><title>{t}</title><summary>s &amp; {t}</summary><author><name>N</name></author></entry>"
+    (at / "a.xml").write_text('<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom">' + "".join(entry(i, f"t{i}") for i in range(1200)) + entry(3, "dup") + "</feed>")
+    (at / "b.xml").write_text(entry(5, "later") + entry("x1", "y") + "<entry><id>")
+    rows = spark.read.format("atom_feed").load(f"file://{at}")
+    got = rows.collect()
+    assert len(got) == 1201 + 3 and [r.fault is None for r in sorted(got, key=lambda r: (r.file, r.place))][-1] is False
+    papers = {r.paper_id: (r.title, r.abstract, r.authors) for r in readers.atom(spark, f"file://{at}").collect()}
+    assert len(papers) == 1201 and papers["3"] == ("t3", "s & t3", ["N"]) and papers["5"][0] == "t5" and papers["x1"][0] == "y"
+    stream = lambda: spark.readStream.format("atom_feed").load(f"file://{at}").writeStream.format("parquet").option("path", f"file://{tmp_path}/live").option("checkpointLocation", f"file://{tmp_path}/check").trigger(availableNow=True).start().awaitTermination(120)
+    stream()
+    (at / "c.xml").write_text(entry("new", "n"))
+    stream()
+    live = spark.read.parquet(f"file://{tmp_path}/live")
+    assert live.count() == 1205 and live.where("id like '%new%'").count() == 1
+    (at / "n.md").write_bytes(b"\xef\xbb\xbf# H\nx \xff")
+    (at / "r.json").write_text('{"a": 1}')
+    (at / "s.json").write_text("{broken")
+    (unit,) = spark.read.format("text_units").load(f"file://{at}").collect()
+    assert (unit.place, unit.section, unit.text) == (0, None, "# H\nx \ufffd")
+    reports = {r.file.rpartition("/")[2]: (r.report, r.fault) for r in spark.read.format("report_files").load(f"file://{at}").collect()}
+    assert reports == {"r.json": ('{"a": 1}', None), "s.json": (None, "JSONDecodeError")}
+    (tmp_path / "empty").mkdir()
+    assert spark.read.format("atom_feed").load(f"file://{tmp_path}/empty").count() == 0
