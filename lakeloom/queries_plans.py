@@ -14,6 +14,7 @@ from .plans import artifacts, evaluate, hashtree, index, metrics, segments, tele
 from .plans import search as S
 from .queries import _BM25, _CHUNK_HITS, _FIRST, _MEANS, _MEASURES, _QRELS, _chunk_hits, _hybrid, _index_for, _items, _metric_sql, _channels, _qrels, _read, _titled, _tok, _top, _window_chunks, query
 from .sources import readers, sinks
+from .streaming import spans
 
 def _squash(x: str) -> str:
     return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
@@ -220,6 +221,16 @@ def atom_entries(s, d):
     return readers.atom(s, path).select("paper_id", "version", "title", F.sha2("abstract", 256).alias("abstract_sha256"), "authors", "year")
 
 
+@query("""WITH e AS (SELECT user_id % 50 AS run, event_id // 2 AS span, event_id % 2 = 0 AS opens, event_type, epoch_us(ts) / 1e6 AS t, value > 30 AS bad FROM events WHERE event_id % 17 <> 5),
+p AS (SELECT span, min(t) FILTER (opens) AS b, min(t) FILTER (NOT opens) AS e, bool_or(NOT opens AND bad) AS bad, coalesce(min(event_type) FILTER (opens), min(event_type)) AS stage FROM e GROUP BY span)
+SELECT stage, count(*) AS n, count(*) FILTER (b IS NOT NULL AND e IS NOT NULL AND bad) AS failed, count(*) FILTER (b IS NULL OR e IS NULL) AS lost, round(avg(round(e - b, 6)), 6) AS mean FROM p GROUP BY stage""")
+def span_stages(s, d):
+    """Events as begins (even ids) and ends (odd ids) of spans, some without a partner, paired and summed up by stage."""
+    e = _read(s, d, "events").where("event_id % 17 <> 5")
+    rows = e.select(F.lit("r").alias("run_id"), F.expr("event_id div 2").cast("string").alias("span_id"), F.when(F.col("event_id") % 2 == 0, "began").otherwise("ended").alias("kind"), F.col("event_type").alias("stage"), "ts", F.when(F.col("value") > 30, "bad").alias("error"))
+    return spans.stage_summary(spans.paired(rows))
+
+
 # --- indexes --------------------------------------------------------------------------------------------------------
 
 

@@ -15,7 +15,7 @@ from lakeloom.operators import bm25, cells, chunk, context, dense, evidence, fus
 from lakeloom.plans import artifacts, evaluate, hashtree, index, metrics, provenance, runtime, segments, telemetry, understand, workspace
 from lakeloom.plans import search as S
 from lakeloom.sources import datasource, readers, sinks
-from lakeloom.streaming import incremental
+from lakeloom.streaming import incremental, spans
 
 WORDS = "graph net vector search tree model data query index claim".split()
 
@@ -762,3 +762,28 @@ def test_data_sources(spark, tmp_path):
     assert reports == {"r.json": ('{"a": 1}', None), "s.json": (None, "JSONDecodeError")}
     (tmp_path / "empty").mkdir()
     assert spark.read.format("atom_feed").load(f"file://{tmp_path}/empty").count() == 0
+
+
+def test_spans_of_a_stream_equal_those_of_a_table(spark, tmp_path):
+    """Pairs across batches, ends before begins, repeats, failures and halves that never meet."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    at = lambda minute: f"2024-01-01 {minute // 60:02d}:{minute % 60:02d}:00"
+    batches = [
+        [("r", "1", "began", "plan", at(0), None), ("r", "2", "began", "search", at(1), None), ("r", "3", "ended", "late begin", at(2), None), ("s", "1", "began", "plan", at(1), None), ("r", "9", "began", "never", at(3), None)],
+        [("r", "1", "ended", "plan", at(4), None), ("r", "1", "ended", "plan", at(4), "again"), ("r", "3", "began", "late begin", at(1), None), ("s", "1", "ended", "plan", at(6), "OSError"), ("x", "8", "ended", "no begin", at(7), None)],
+        [("r", "2", "ended", "search", at(8), None), ("z", "1", "began", "plan", at(9), None), ("z", "1", "ended", "plan", at(9), None)],
+        [("t", "1", "began", "tick", at(300), None), ("t", "1", "ended", "tick", at(300), None)],
+        [("t", "2", "began", "tick", at(301), None), ("t", "2", "ended", "tick", at(301), None)],
+    ]
+    schema = "run_id string, span_id string, kind string, stage string, ts timestamp, error string"
+    make = lambda rows: spark.createDataFrame(rows, schema.replace("timestamp", "string")).withColumn("ts", F.to_timestamp("ts")).select(*(x.split()[0] for x in schema.split(", ")))
+    for batch in batches:
+        make(batch).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    q = spans.paired(stream).writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/check").trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    rows = lambda f: sorted(map(tuple, f.select("run_id", "span_id", "stage", "began", "ended", "seconds", "status").collect()), key=repr)
+    live, table = spark.read.parquet(f"file://{tmp_path}/out"), spans.paired(make([r for b in batches for r in b]))
+    assert rows(live) == rows(table) and {r.status for r in table.collect()} == {"ok", "failed", "lost"}
+    assert {r.stage: (r.n, r.failed, r.lost, r["mean"]) for r in spans.stage_summary(live).collect()}["plan"] == (3, 1, 0, 180.0)
+    assert sorted((r.run_id, r.events) for r in spans.sessions(make([r for b in batches for r in b])).collect()) == [("r", 8), ("s", 2), ("t", 4), ("x", 1), ("z", 2)]
