@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -249,3 +249,49 @@ def review_rows(results: DataFrame, contexts: DataFrame, most: int = 5) -> DataF
     joined = cited.join(contexts, "query_id", "left").where(F.col("number").isNull() | F.array_contains("cited", F.col("number")) | ((F.size("cited") == 0) & (F.col("number") <= most)))
     packed = joined.groupBy("run_id", "query_id", "question", "answer").agg(F.array_sort(F.collect_list(F.when(F.col("number").isNotNull(), F.struct("number", "text")))).alias("evidence"))
     return packed.withColumn("review_id", T.short_id(F.col("run_id"), F.col("query_id"), F.col("answer")))
+
+
+def checked_questions(results: DataFrame, questions: DataFrame, recorded: Mapping[str, object] | None = None) -> DataFrame:
+    """results (query_id, question, ...) with the questions' own columns, after the question set proved to be that of the run.
+
+    recorded holds the fingerprint (n, x, s) that the run noted of its question set. Another set, a question that the set lacks, or one
+    with another text, is an error: a label must not be given to something else than was asked.
+    """
+    if recorded is not None:
+        from ..plans.artifacts import fingerprint
+
+        now = fingerprint(questions).first().asDict()
+        if {k: recorded.get(k) for k in now} != now:
+            raise ValueError("the question set is not the one that the run recorded")
+    told = questions.withColumnRenamed("question", "_told")
+    joined = results.join(told, "query_id", "left")
+    wrong = joined.agg(F.count_if(F.col("_told").isNull()).alias("absent"), F.count_if(F.col("_told") != F.col("question")).alias("other")).first()
+    if wrong.absent or wrong.other:
+        raise ValueError(f"{wrong.absent} results have no question in the set, {wrong.other} have another text")
+    return joined.drop("_told")
+
+
+def _review(rows: DataFrame, report: Column, kind: str, path: Column, content: Column, references: Column) -> DataFrame:
+    named = rows.select(report.alias("report_id"), F.lit(kind).alias("kind"), path.alias("path"), content.alias("content"), references.alias("source_references"))
+    ids = T.short_id(F.col("report_id"), F.col("kind"), F.col("path"), F.col("content"))
+    return named.select(ids.alias("review_id"), "*", F.lit("").alias("label"), F.lit("").alias("evidence_support"))
+
+
+def card_review_rows(claims: DataFrame) -> DataFrame:
+    """Every claim of paper cards (parent_id, field, claim_no, claim, evidence) as a row for review: review_id, report_id, kind, path, content, source_references, label, evidence_support.
+
+    Paths name a claim's place in its field, counted from 0; references are each passage once, in order; ids are stable.
+    """
+    place = F.row_number().over(Window.partitionBy("parent_id", "field").orderBy("claim_no")) - 1
+    rows = claims.where(F.trim(F.coalesce("claim", F.lit(""))) != "").withColumn("place", place)
+    passages = F.transform(F.array_distinct("evidence"), lambda e: F.struct(e["chunk_id"].cast("string").alias("chunk_id"), e["quote"].alias("quote")))
+    return _review(rows, F.concat(F.lit("paper_understanding:"), F.col("parent_id").cast("string")), "paper_field", F.concat(F.lit("fields."), F.col("field"), F.lit("["), F.col("place").cast("string"), F.lit("]")), F.col("claim"), passages)
+
+
+def overview_review_rows(topic: str, parts: Mapping[str, DataFrame]) -> DataFrame:
+    """What an overview (see understand.overview) says, as rows for review: known fields of papers, groups and comparisons."""
+    none, report = F.array().cast("array<struct<chunk_id: string, quote: string>>"), F.lit(f"related_work:{topic}")
+    fields = parts["fields"].where(F.lower("value") != "unknown")
+    known = _review(fields, report, "related_paper_field", F.concat_ws(".", F.lit("papers"), F.col("paper_id").cast("string"), "field"), F.col("value"), none)
+    whole = lambda name, key: _review(parts[name], report, name.removesuffix("s"), F.concat(F.lit(f"{name}["), F.col(key).cast("string"), F.lit("]")), F.to_json(F.struct(*sorted(parts[name].columns))), none)
+    return known.unionByName(whole("groups", "group_id")).unionByName(whole("comparisons", "comparison_id"))

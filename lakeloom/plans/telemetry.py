@@ -51,6 +51,28 @@ def label_scores(labels: DataFrame, system: str, decided: Column, good: Column)
     return g.select(F.coalesce(F.col(system).cast("string"), F.lit("overall")).alias("system"), "n", "labelled", "decided", F.round(F.try_divide("labelled", "n"), 6).alias("coverage"), F.round(F.try_divide("good", "decided"), 6).alias("rate"))
 
 
+# What reviewers of cards may say of an entry, and of its evidence.
+CARD_LABELS, SUPPORT_LABELS = ("correct", "incorrect", "uncertain"), ("yes", "no", "uncertain")
+
+
+def card_report(rows: DataFrame, kind: str = "kind") -> DataFrame:
+    """By kind and overall: rows, and for labels and for evidence labels each a histogram, coverage, decided rows and the share of good ones among them.
+
+    rows: kind, label, evidence_support. Blank and unknown labels are not labels; uncertain ones are not decided.
+    """
+    def part(column: str, allowed: tuple, good: str, name: str) -> list[Column]:
+        said = F.col(column)
+        decided = said.isin(*allowed[:2])
+        histogram = F.map_from_arrays(F.array(*map(F.lit, allowed)), F.array(*(F.count_if(said == x) for x in allowed)))
+        return [
+            histogram.alias(f"{name}s"), F.round(F.count_if(said.isin(*allowed)) / F.count(F.lit(1)), 6).alias(f"{name}_coverage"), F.count_if(decided).alias(f"{name}_decided"),
+            F.round(F.try_divide(F.count_if(said == good), F.count_if(decided)), 6).alias(f"{name}_rate"),
+        ]
+
+    g = rows.rollup(kind).agg(F.grouping(kind).alias("_every"), F.count(F.lit(1)).alias("n"), *part("label", CARD_LABELS, "correct", "label"), *part("evidence_support", SUPPORT_LABELS, "yes", "support"))
+    return g.withColumn(kind, F.when(F.col("_every") == 1, "overall").otherwise(F.col(kind))).drop("_every")
+
+
 def label_report(rows: DataFrame, labels: tuple, decided: tuple, good: tuple, system: str = "system") -> DataFrame:
     """By system and overall: rows, questions, a histogram of the allowed labels, decided rows, coverage, the share of good ones among the decided, and refusal accuracy.
 

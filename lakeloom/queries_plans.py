@@ -183,11 +183,18 @@ def resumed_run(s, d):
     return run.todo(wanted, "doc_id")
 
 
-@query("SELECT 'a' AS name, 'ok' AS status UNION ALL SELECT 'b', 'missing' UNION ALL SELECT 'c', 'stale'")
+@query("""WITH n AS (SELECT count(*) AS n, count(*) FILTER (toxic = 1) AS toxic, count(*) FILTER (quality = 1) AS good FROM labels)
+SELECT name, CASE name WHEN 'a' THEN 'ok' WHEN 'b' THEN 'missing' WHEN 'c' THEN CASE WHEN good = toxic THEN 'ok' ELSE 'stale' END ELSE CASE WHEN toxic = 0 THEN 'ok' ELSE 'corrupt' END END AS status, CASE WHEN name = 'd' THEN n + toxic WHEN name <> 'b' THEN n END AS rows
+FROM n, (SELECT unnest(['a', 'b', 'c', 'd']) AS name)""")
 def artifact_audit(s, d):
-    root = artifacts.scratch(s)
-    artifacts.publish(_read(s, d, "labels"), root, scope="labels")
-    return artifacts.audit(s, {"a": {"root": root, "scope": "labels"}, "b": {"root": f"{root}-none"}, "c": {"root": root, "scope": "other"}}).select("name", "status")
+    """Whole, missing, stale (made for another number of toxic labels) and corrupt (toxic labels written into it again) artifacts."""
+    labels, root, torn = _read(s, d, "labels"), artifacts.scratch(s), artifacts.scratch(s)
+    toxic, good = (labels.where(f"{c} = 1").count() for c in ("toxic", "quality"))
+    artifacts.publish(labels, root, toxic=toxic)
+    labels.where("toxic = 1").write.mode("append").parquet(f"{torn}/{artifacts.publish(labels, torn)}")
+    roots = {"a": {"root": root, "toxic": toxic}, "b": {"root": f"{root}-none"}, "c": {"root": root, "toxic": good}, "d": {"root": torn}}
+    rows = s.createDataFrame([(k, artifacts.load(s, v["root"]).count()) for k, v in roots.items() if k != "b"], "name string, rows long")
+    return artifacts.audit(s, roots).select("name", "status").join(rows, "name", "left")
 
 
 @query("SELECT (SELECT count(*) FROM labels) AS labels, (SELECT count(*) FROM benchmark) AS items, true AS kept_together")
@@ -261,11 +268,15 @@ def vector_binding(s, d):
     return index.binding(vectors, docs).withColumn("contiguous", F.lit(index.contiguous(docs, "doc_id", first)))
 
 
-@query("SELECT unnest(['corpus: keys are unique', 'lexical: facts and corpus', 'lexical: rows', 'lexical: documents']) AS \"check\", true AS ok")
+@query(f"""WITH n AS (SELECT count(*) FILTER (doc_id % 101 = 4 AND doc_id % 11 <> 5) AS twice, count(*) FILTER (doc_id % 11 = 5 AND doc_id % 101 <> 4 AND len({_tok("coalesce(text, '')")}) > 0) AS lost, count(*) FILTER ((doc_id % 101 = 4) <> (doc_id % 11 = 5)) AS other FROM documents)
+SELECT 'corpus: keys are unique' AS "check", twice = 0 AS ok, CASE WHEN twice > 0 THEN twice END AS found FROM n UNION ALL SELECT 'lexical: facts and corpus', other = 0, NULL FROM n UNION ALL SELECT 'lexical: rows', true, NULL UNION ALL SELECT 'lexical: documents', lost = 0, CASE WHEN lost > 0 THEN lost END FROM n""")
 def index_validation(s, d):
+    """An index against a corpus that lost some documents and has others twice: each check with the number of rows that it found."""
     docs, root = _read(s, d, "documents"), artifacts.scratch(s)
     index.build_lexical(docs, root)
-    return index.validate(s, docs, root).select("check", "ok")
+    now = docs.where("doc_id % 11 <> 5").unionByName(docs.where("doc_id % 101 = 4"))
+    number = F.regexp_extract("detail", r"^\d+$", 0)
+    return index.validate(s, now, root).select("check", "ok", F.when(number != "", number.cast("long")).alias("found"))
 
 
 @query(f"{_BM25} SELECT query_id, k AS doc_id, rank, round(raw, 5) AS score FROM {_top('scored', 10)}")
@@ -428,6 +439,33 @@ def review_export(s, d):
     return c.select(F.col("conv_id").alias("query_id")).distinct().join(got, "query_id", "left").select("query_id", T.short_id(F.lit("run"), F.col("query_id"), F.when(F.col("query_id") % 2 == 0, "So [2, 4].").otherwise("No.")).alias("review_id"), F.coalesce(F.array_join(F.transform("evidence", lambda e: e["number"].cast("string")), " "), F.lit("")).alias("evidence"))
 
 
+_CARDS = """WITH c AS (SELECT conv_id AS parent_id, role AS field, turn AS claim_no, text AS claim FROM conversations),
+rows AS (SELECT *, 'paper_understanding:' || parent_id AS report_id, 'fields.' || field || '[' || (row_number() OVER (PARTITION BY parent_id, field ORDER BY claim_no) - 1) || ']' AS path FROM c WHERE trim(claim) <> ''),
+ids AS (SELECT *, substr(sha256(report_id || chr(0) || 'paper_field' || chr(0) || path || chr(0) || claim), 1, 20) AS review_id FROM rows)"""
+
+
+def _card_rows(s, d):
+    c = _read(s, d, "conversations").select(F.col("conv_id").alias("parent_id"), F.col("role").alias("field"), F.col("turn").cast("long").alias("claim_no"), F.col("text").alias("claim"), F.array(F.struct(F.col("turn").alias("chunk_id"), F.substring("text", 1, 20).alias("quote"))).alias("evidence"))
+    return evidence.card_review_rows(c.withColumn("evidence", F.concat("evidence", "evidence")))
+
+
+@query(f"{_CARDS} SELECT review_id, report_id, 'paper_field' AS kind, path, 1 AS n_references FROM ids")
+def card_review(s, d):
+    return _card_rows(s, d).select("review_id", "report_id", "kind", "path", F.size("source_references").alias("n_references"))
+
+
+@query(f"""{_CARDS}, l AS (SELECT parent_id % 2 AS half, CASE ascii(review_id) % 4 WHEN 0 THEN 'correct' WHEN 1 THEN 'incorrect' WHEN 2 THEN 'uncertain' ELSE '' END AS label, CASE ascii(substr(review_id, 2, 1)) % 4 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' WHEN 2 THEN 'uncertain' ELSE 'odd' END AS support FROM ids)
+SELECT CASE WHEN grouping(half) = 1 THEN 'overall' ELSE CAST(half AS VARCHAR) END AS kind, count(*) AS n, round(count(*) FILTER (label <> '') / count(*), 6) AS label_coverage, count(*) FILTER (label IN ('correct', 'incorrect')) AS label_decided,
+round(count(*) FILTER (label = 'correct') / nullif(count(*) FILTER (label IN ('correct', 'incorrect')), 0), 6) AS label_rate, round(count(*) FILTER (support <> 'odd') / count(*), 6) AS support_coverage, count(*) FILTER (support IN ('yes', 'no')) AS support_decided,
+round(count(*) FILTER (support = 'yes') / nullif(count(*) FILTER (support IN ('yes', 'no')), 0), 6) AS support_rate, count(*) FILTER (label = 'uncertain') AS uncertain FROM l GROUP BY ROLLUP (half)""")
+def card_review_scores(s, d):
+    """Labels that follow from the review ids, scored by halves of the papers and overall."""
+    pick = lambda at, *of: F.element_at(F.array(*map(F.lit, of)), (F.ascii(F.substring("review_id", at, 1)) % 4 + 1).cast("int"))
+    rows = _card_rows(s, d).withColumns({"kind": (F.substring_index("report_id", ":", -1).cast("long") % 2).cast("string"), "label": pick(1, "correct", "incorrect", "uncertain", ""), "evidence_support": pick(2, "yes", "no", "uncertain", "odd")})
+    got = telemetry.card_report(rows)
+    return got.withColumn("uncertain", F.col("labels")["uncertain"]).drop("labels", "supports")
+
+
 # --- evaluation and reports -------------------------------------------------------------------------------------------
 
 _RANKED = f"hits AS (SELECT query_id, k AS doc_id, rank FROM {_top('scored', 20)})"

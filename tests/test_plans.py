@@ -787,3 +787,20 @@ def test_spans_of_a_stream_equal_those_of_a_table(spark, tmp_path):
     assert rows(live) == rows(table) and {r.status for r in table.collect()} == {"ok", "failed", "lost"}
     assert {r.stage: (r.n, r.failed, r.lost, r["mean"]) for r in spans.stage_summary(live).collect()}["plan"] == (3, 1, 0, 180.0)
     assert sorted((r.run_id, r.events) for r in spans.sessions(make([r for b in batches for r in b])).collect()) == [("r", 8), ("s", 2), ("t", 4), ("x", 1), ("z", 2)]
+
+
+def test_reviews_of_checked_questions_and_overviews(spark):
+    results = spark.createDataFrame([(1, "What?", "a"), (2, "Why?", "b")], "query_id long, question string, answer string")
+    questions = spark.createDataFrame([(1, "What?", "answerable"), (2, "Why?", "unanswerable"), (3, "x", None)], "query_id long, question string, answerability string")
+    noted = artifacts.fingerprint(questions).first().asDict()
+    assert sorted((r.query_id, r.answerability) for r in evidence.checked_questions(results, questions, noted).collect()) == [(1, "answerable"), (2, "unanswerable")]
+    for bad, mark in ((questions.where("query_id < 3"), noted), (questions.where("query_id <> 2"), None), (questions.withColumn("question", F.lit("other")), None)):
+        with pytest.raises(ValueError):
+            evidence.checked_questions(results, bad, mark)
+    parts = {
+        "fields": spark.createDataFrame([("p", "method", "trees"), ("p", "data", "Unknown")], "paper_id string, field string, value string"),
+        "groups": spark.createDataFrame([(0, ["p", "q"])], "group_id long, members array<string>"),
+        "comparisons": spark.createDataFrame([], "comparison_id long, papers array<string>"),
+    }
+    got = {r.path: (r.kind, r.content, len(r.review_id)) for r in evidence.overview_review_rows("trees", parts).collect()}
+    assert got == {"papers.p.method": ("related_paper_field", "trees", 20), "groups[0]": ("group", '{"group_id":0,"members":["p","q"]}', 20)}
