@@ -486,7 +486,7 @@ def test_matches_sql(spark, name):
     import duckdb
 
     c = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "conversations", "embeddings"):
         c.sql(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     got, want = llm_queries.queries()[name](spark, DATA), c.sql(llm_queries.oracle_sql()[name])
     assert sorted(got.columns) == sorted(want.columns)

@@ -12,7 +12,6 @@ import pyarrow as pa
 import pytest
 
 from lakeloom.llm import conversation_repair as repair
-from lakeloom.llm import queries as llm_queries
 from lakeloom.llm import token_files, whitening
 
 DATA = "/root/testdata/sf0.001"
@@ -301,15 +300,3 @@ def test_sequences_are_read_at_their_place(spark, tokenizer, tmp_path):
     asked = spark.createDataFrame([(files[-1].file, 0), (files[0].file, files[0].sequences - 1)], "file long, sequence long")
     got = {(r.file, r.sequence): r.ids for r in token_files.read_sequences(manifest, asked).collect()}
     assert len(got) == len({(r.file, r.sequence) for r in asked.collect()}) and got[files[-1].file, 0][:5] == total[first - files[-1].n_ids :][:5]
-
-
-@pytest.mark.parametrize("name", sorted(x for x in llm_queries.oracle_sql() if x[:4] in ("op11", "op12", "whit")))
-def test_matches_sql(spark, name):
-    import duckdb
-
-    c = duckdb.connect()
-    for t in ("conversations", "embeddings"):
-        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
-    got, want = llm_queries.queries()[name](spark, DATA), c.sql(llm_queries.oracle_sql()[name])
-    assert sorted(got.columns) == sorted(want.columns)
-    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
