@@ -32,7 +32,11 @@ def hybrid(postings: DataFrame, vectors: DataFrame | None, queries: DataFrame, c
 
     Without vectors a lenient run takes BM25 alone; else that is an error.
     """
-    sparse = bm25.search(postings, queries, candidate_k, key)
+    return both_channels(bm25.search(postings, queries, candidate_k, key), vectors, queries, candidate_k, rrf_k, run, key)
+
+
+def both_channels(sparse: DataFrame, vectors: DataFrame | None, queries: DataFrame, candidate_k: int = 100, rrf_k: int = fusion.RRF_K, run: Run | None = None, key: str = "doc_id") -> DataFrame:
+    """hybrid() from a lexical ranking (query_id, key, rank, score) at hand."""
     if vectors is None or "vector" not in queries.columns:
         if run is not None:
             run.give_way("dense", OSError("no dense index"))
