@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batch import Best
 from .bm25 import ranked
 from .dense import QUERY_BYTES, _matrix
 
@@ -72,25 +73,26 @@ class Cells:
         return np.minimum(products + np.sqrt(squares) * self.radius, (squares + self.norm**2 - apart**2) / 2)
 
     def _products(self, ids: pa.Array, q: np.ndarray, wanted: np.ndarray, k: int, kind: str) -> DataFrame:
-        """The k best products, with ties, of each query with each batch's vectors of the cells that it wants; `wanted` is queries by cells."""
+        """The k best products of each query with a task's vectors of the cells that it wants; `wanted` is queries by cells."""
         spark, key = self.rows.sparkSession, self.key
         shared, counted = spark.sparkContext.broadcast((ids, q, np.packbits(wanted, axis=0))), self.multiplied
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q, packed = shared.value
+            best = Best(len(q), k, True, 9, -np.inf)
             for batch in batches:
                 cell = batch.column("cell").to_numpy(zero_copy_only=False)
                 v = _matrix(batch.column("embedding"), len(batch)) if len(batch) else np.zeros((0, q.shape[1]))
                 for c in np.unique(cell):
                     who = np.flatnonzero(np.unpackbits(packed[:, c], count=len(q)))
                     at = np.flatnonzero(cell == c)
-                    for i in range(0, len(who), step := max(1, (1 << 24) // max(1, len(at)))):
+                    for i in range(0, len(who), step := max(1, (1 << 22) // max(1, len(at)))):
                         some = who[i : i + step]
                         counted.add(len(some) * len(at))
-                        score = np.round(q[some] @ v[at].T, 9)
-                        least = np.partition(score, -k, axis=1)[:, -k, None] if k < len(at) else np.full((len(some), 1), -np.inf)
-                        row, col = np.nonzero(score >= least)
-                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(some[row])), batch.column(key).take(pa.array(at[col])), pa.array(score[row, col])], ["query_id", key, "raw"])
+                        best.add(q[some] @ v[at].T, batch.column(key).take(pa.array(at)), who=some)
+            rows = best.cut()
+            for r in rows.to_batches(max_chunksize=1 << 16) if rows is not None else ():
+                yield pa.RecordBatch.from_arrays([ids.take(r.column("q")), r.column("key"), r.column("raw")], ["query_id", key, "raw"])
 
         cells = [int(c) for c in np.flatnonzero(wanted.any(0))]
         key_kind = self.rows.schema[key].dataType.simpleString()
