@@ -2,7 +2,7 @@
 
 An index is an artifact whose facts hold the fingerprint of its corpus. Opening one checks the facts and,
 against a corpus at hand, the fingerprint; a stale or corrupt index is an error or, with ensure(), built anew.
-Postings lie in files by ranges of terms, sorted, so that a batch of queries reads the row groups of its
+Postings lie in files by ranges of terms, sorted by term, so that a batch of queries reads the row groups of its
 terms only.
 """
 
@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bm25, dense
+from ..operators import batch, bm25, counts, dense
 from . import artifacts
 
 #: Distinct query terms up to which they are pushed into the scan as a list; more are joined.
@@ -34,14 +34,15 @@ def contiguous(rows: DataFrame, key: str, first: int = 0) -> bool:
 
 def stage_lexical(docs: DataFrame, root: str, scope: str = "full_text_chunk", key: str = "doc_id", text: str = "text", title: str | None = None, tokens=bm25.tokenize) -> dict:
     """Writes the postings of docs, which nobody reads until the facts that are returned are pointed to."""
-    spark = docs.sparkSession
     columns = [text] if title is None else [text, title]
-    made = bm25.build(docs, key, F.col(text), None if title is None else F.col(title), tokens)
-    stats = docs.agg(F.count(F.lit(1)).alias("n")).first()
-    laid_out = made.repartitionByRange("term", key).sortWithinPartitions("term", key)  # a term that all documents have is several ranges
-    staged = artifacts.stage(laid_out, root, kind="lexical", format=1, scope=scope, key=key, tokens=tokens.__name__, documents=stats.n, k1=bm25.K1, b=bm25.B, **corpus_facts(docs, key, *columns))
-    average = spark.read.parquet(f"{root}/{staged['version']}").agg(F.max("avgdl")).first()[0]
-    return staged | {"avg_length": average or 1.0}
+    counted = artifacts.settled(counts.by_document(docs, key, F.col(text), None if title is None else F.col(title), tokens))
+    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("average")).first()
+    average = stats.average or 1.0
+    df = counted.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    blocks = counts.by_term(counted, key).drop("layer").join(df, "term")
+    rows = counts.laid_out(blocks, key).select("term", key, "tf", "dl", "in_title", "df", F.lit(stats.n).cast("long").alias("n_docs"), F.lit(average).alias("avgdl"))
+    facts = dict(kind="lexical", format=1, scope=scope, key=key, tokens=tokens.__name__, documents=stats.n, k1=bm25.K1, b=bm25.B, avg_length=average)
+    return artifacts.stage(rows, root, **facts, **corpus_facts(docs, key, *columns))
 
 
 def build_lexical(docs: DataFrame, root: str, scope: str = "full_text_chunk", key: str = "doc_id", text: str = "text", title: str | None = None) -> DataFrame:
@@ -145,8 +146,9 @@ def section_search(postings: DataFrame, sections: DataFrame, queries: DataFrame,
 
 
 def search(postings: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id", title_weight: float | Column = bm25.TITLE_WEIGHT) -> DataFrame:
-    """bm25.search() over a written index."""
-    return bm25.search(terms_only(postings, bm25.query_terms(queries)), queries, k, key, title_weight)
+    """bm25.search() over a written index; no row for each pair of query and document, unless the weight of title words is a column."""
+    rows = terms_only(postings, bm25.query_terms(queries))
+    return bm25.search(rows, queries, k, key, title_weight) if isinstance(title_weight, Column) else batch.search_postings(rows, queries, k, key, title_weight)
 
 
 def migrate_vectors(rows: DataFrame, root: str, dimension: int, model: str, snapshot: str = "", key: str = "doc_id", text: str = "text") -> DataFrame:
