@@ -18,15 +18,16 @@ Nobody meets everybody in a bucket:
 2. What is left are strays, members outside the leader's component. A shingle is open if it occurs in
    two components. All that a stray shares with a text of another component is open, so one with fewer open
    shingles than the least overlap that any size in its bucket needs has no further link and leaves.
-3. Of a stray with o open shingles, any partner whose size needs an overlap of x must have one of the
-   o - x + 1 rarest open ones. Strays meet other members on these only, and are compared with those whose own
-   open shingles suffice.
+3. Take open shingles in one order for all, rarest first. Of two texts with o and p open shingles whose sizes
+   need an overlap of x, the first that they share is among the o - x + 1 first of the one and the p - x + 1
+   first of the other. So strays and members meet on these prefixes only, and nobody brings more.
 
 So each pair in a bucket is in one component, was compared, or is ruled out by a proven bound: no
 link that the bands have found is lost. Copies near their source join in step 1, those with changes of
 their own leave in step 2, and in step 3 the shingles of the source are rarely among the rarest: if a
-stray lacked only few of them it would be linked to the source. So the work grows with the members
-of a bucket, not with their square.
+stray lacked only few of them it would be linked to the source. So rows grow with the members of a
+bucket. What can still grow faster are the pairs compared in step 3, where many strays share one rare
+change: this is what the exact decision costs.
 
 Texts are told apart by 128 bits of hash, shingles by 64.
 
@@ -275,22 +276,22 @@ def _with_strays(members: DataFrame, labels: DataFrame, cells: DataFrame, simila
     if rest.isEmpty():
         return labels
     who = written(rest.groupBy("t").agg(F.first("c").alias("c"), F.first("m").alias("m"), F.max("stray").alias("stray"), F.min("least_m").alias("least_m")))
-    spread = who.select("t", "c", "stray").join(cells, "t").select("t", "c", "stray", F.explode("cells").alias("cell"))
+    spread = who.select("t", "c").join(cells, "t").select("t", "c", F.explode("cells").alias("cell"))
     open_cells = spread.groupBy("cell").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("cell", "n")
     own = Window.partitionBy("t")
-    ranked = spread.where("stray").select("t", "cell").join(open_cells, "cell").select("t", "cell", F.count(F.lit(1)).over(own).alias("o"), F.row_number().over(own.orderBy("n", "cell")).alias("k"))
+    ranked = spread.join(open_cells, "cell").select("t", "cell", F.count(F.lit(1)).over(own).alias("o"), F.row_number().over(own.orderBy("n", "cell")).alias("k"))
+    need = lambda m, other: F.ceil(similarity / (1 + similarity) * (F.col(m) + other) - 1e-9)
     # the least overlap with a text of the least size that the bucket has and the similarity lets
-    need = lambda other: F.ceil(similarity / (1 + similarity) * (F.col("m") + other) - 1e-9)
-    in_prefix = lambda other: F.col("k") <= F.col("o") - need(other) + 1
-    asks = written(ranked.join(who.drop("stray"), "t").where(in_prefix(F.greatest(similarity * F.col("m"), F.col("least_m")))).select("t", "c", "m", "o", "k", "cell"))
+    prefixes = ranked.join(who, "t").where(F.col("k") <= F.col("o") - need("m", F.greatest(similarity * F.col("m"), F.col("least_m"))) + 1)
+    prefixes = written(prefixes.select("t", "c", "m", "o", "k", "stray", "cell"))
+    asks = prefixes.where("stray").drop("stray")
     if asks.isEmpty():
         return labels
-    asking = asks.select("t").distinct()
-    met = rest.join(rest.join(asking, "t", "left_semi").select("bucket").distinct(), "bucket", "left_semi")
-    partners = met.where("not stray").select("t", "c", "m", F.col("m").alias("o")).unionByName(asks.select("t", "c", "m", "o")).distinct()
-    theirs = partners.join(cells, "t").select(F.col("t").alias("b"), F.col("c").alias("b_c"), F.col("m").alias("b_m"), F.col("o").alias("b_o"), F.explode("cells").alias("cell"))
-    able = (F.col("c") != F.col("b_c")) & in_prefix(F.col("b_m")) & (F.col("b_o") >= need(F.col("b_m"))) & (F.least("m", "b_m") >= similarity * F.greatest("m", "b_m") - 1e-9)
-    pairs = asks.join(theirs, "cell").where(able).select(F.least("t", "b").alias("a"), F.greatest("t", "b").alias("b")).distinct()
+    theirs = prefixes.select("cell", *(F.col(x).alias(f"b_{x}") for x in ("t", "c", "m", "o", "k")))
+    overlap = need("m", F.col("b_m"))
+    both = (F.col("k") <= F.col("o") - overlap + 1) & (F.col("b_k") <= F.col("b_o") - overlap + 1)
+    able = both & (F.col("c") != F.col("b_c")) & (F.least("m", "b_m") >= similarity * F.greatest("m", "b_m") - 1e-9)
+    pairs = asks.join(theirs, "cell").where(able).select(F.least("t", "b_t").alias("a"), F.greatest("t", "b_t").alias("b")).distinct()
     return contract(labels, _near(written(pairs), cells, similarity))
 
 

@@ -373,6 +373,21 @@ def test_large_bucket_with_strays(spark):
     test_near_duplicates(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string"))
 
 
+def test_members_of_a_large_bucket_meet_on_prefixes_of_both_sides(spark, monkeypatch):
+    """Variants of one source whose changes are drawn from a few words: few of the pairs that share one are compared, and no link is lost."""
+    pick, base = np.random.default_rng(7), sentence(6, 150).split()
+    rows = [(0, " ".join(base))]
+    for i in range(1, 241):
+        words = list(base)
+        for j in pick.choice(150, pick.integers(2, 7), replace=False):
+            words[j] = f"v{pick.integers(3)}"
+        rows.append((i, " ".join(words)))
+    compared, near = [], near_dedup._near
+    monkeypatch.setattr(near_dedup, "_near", lambda pairs, *a: compared.append(pairs.count()) or near(pairs, *a))
+    test_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len(compared) >= 2 and max(compared[1::2]) < 1000
+
+
 def test_near_duplicates_of_the_larger_tables(spark):
     """Every link of at least 0.8 that a shingle index finds at sf0.01 is inside one class, and classes hold nothing else."""
     test_near_duplicates(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
